@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from talweg.llm.op4_packing import op4_packing
 from talweg.llm.op7_token_codes import op7_token_codes
 
 
 def queries() -> dict:
-    return {"op7_token_codes": op7_token_codes}
+    return {f.__name__: f for f in (op4_packing, op7_token_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

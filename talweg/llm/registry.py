@@ -8,10 +8,11 @@ from talweg.llm.op3_toxicity import op3_toxicity
 from talweg.llm.op4_packing import op4_packing
 from talweg.llm.op6_embedding_dedup import op6_embedding_dedup
 from talweg.llm.op7_token_codes import op7_token_codes
+from talweg.llm.op9_mixing import op9_mixing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_packing, op6_embedding_dedup, op7_token_codes, op10_media_jpeg)}
+    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_packing, op6_embedding_dedup, op7_token_codes, op9_mixing, op10_media_jpeg)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,6 +42,12 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hinted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``ids`` (one long column), hinted as broadcast if they are counted to be few enough; else a shuffled join takes them."""
+    ids = written(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
     """``(node, component)`` for every node that an edge touches; component is the least node id reachable.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from talweg.llm.op10_media_jpeg import op10_media_jpeg
 from talweg.llm.op1_license_scan import op1_license_scan
+from talweg.llm.op2_minhash_dedup import op2_minhash_dedup
 from talweg.llm.op3_toxicity import op3_toxicity
 from talweg.llm.op4_packing import op4_packing
 from talweg.llm.op6_embedding_dedup import op6_embedding_dedup
@@ -12,7 +13,7 @@ from talweg.llm.op9_mixing import op9_mixing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_packing, op6_embedding_dedup, op7_token_codes, op9_mixing, op10_media_jpeg)}
+    return {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_toxicity, op4_packing, op6_embedding_dedup, op7_token_codes, op9_mixing, op10_media_jpeg)}
 
 
 def oracle_sql() -> dict[str, str]:

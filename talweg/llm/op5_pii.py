@@ -142,6 +142,34 @@ def bootstrap(mentions: DataFrame) -> DataFrame:
     return mentions.where("seed = 0").join(accepted, "pattern").select("row_key", "start", "end").distinct()
 
 
+def merged(spans: Column) -> Column:
+    """Spans by start, those that overlap joined under the first one's kind."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def lay(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        meets = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"])
+        return F.when(meets, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(ordered, none, lay)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind in brackets; null texts stay null."""
+    spans = find(docs, id_col, text_col).where(F.size("base") + F.size("added") > 0).groupBy("row_key").agg(F.first("base").alias("base"), F.first("added").alias("added"))
+    spans = spans.select("row_key", merged(F.concat("base", "added")).alias("_spans"))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    text, n = F.col(text_col), F.size("_spans")
+    # The text up to the first span, then each span's kind and the text up to the next.
+    ends = F.transform("_spans", lambda s, i: F.coalesce(F.try_element_at("_spans", i + 2)["start"], F.length(text)))
+    clean = F.concat(F.substring(text, F.lit(1), F.element_at("_spans", 1)["start"]), F.array_join(F.zip_with("_spans", ends, lambda s, e: F.concat(F.element_at(kinds, s["kind"] + 1), F.substring(text, s["end"] + 1, e - s["end"]))), ""))
+    rows = docs.withColumn("row_key", key).join(spans, "row_key", "left")
+    return rows.withColumn(text_col, F.when(n > 0, clean).otherwise(text)).drop("row_key", "_spans")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and bootstrapped spans of every document."""
     rows = find(common.table(spark, sf_dir, "documents"))

@@ -84,3 +84,10 @@ def test_empty_table_repeated_rows_and_query_columns(spark, tmp_path):
     got = P.op5_pii(spark, str(tmp_path)).collect()
     assert sorted((r.n_email, r.n_ip, r.spans) for r in got) == [(0, 0, ""), (0, 1, "ip:0:7"), (1, 0, "email:0:7"), (1, 0, "email:0:7")]
     assert {r.base_sha256 for r in got if r.n_email} == {hashlib.sha256(b"email:0:7").hexdigest()}
+
+
+def test_redact_replaces_spans_and_keeps_the_rest(spark):
+    rows = [(1, "mail a@b.com and +1 (377) 555-0271.", "x"), (1, "mail a@b.com and +1 (377) 555-0271.", "x"), (2, None, "y"), (3, "nothing", None), (4, "4111111111111111", "z"), (5, "é c@d.org", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text, r.source) for r in P.redact(df).fillna("-").collect())
+    assert got == [(1, "mail [EMAIL] and [PHONE].", "x")] * 2 + [(2, "-", "y"), (3, "nothing", "-"), (4, "[CARD]", "z"), (5, "é [EMAIL]", "z")]

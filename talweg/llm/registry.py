@@ -10,11 +10,12 @@ from talweg.llm.op4_packing import op4_packing
 from talweg.llm.op5_pii import op5_pii
 from talweg.llm.op6_embedding_dedup import op6_embedding_dedup
 from talweg.llm.op7_token_codes import op7_token_codes
+from talweg.llm.op8_chat_threads import op8_chat_threads
 from talweg.llm.op9_mixing import op9_mixing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_toxicity, op4_packing, op5_pii, op6_embedding_dedup, op7_token_codes, op9_mixing, op10_media_jpeg)}
+    return {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_toxicity, op4_packing, op5_pii, op6_embedding_dedup, op7_token_codes, op8_chat_threads, op9_mixing, op10_media_jpeg)}
 
 
 def oracle_sql() -> dict[str, str]:

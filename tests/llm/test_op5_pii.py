@@ -70,7 +70,6 @@ def test_bootstrap_finds_identifiers_in_learnt_contexts(spark):
     rows = [(i, f"Some words then please write to user{i}@mail.example.com today", "k") for i in range(12)]
     rows += [(100, "More text, please write to ID-88231x today", "k"), (101, "An unrelated code is here: ID-99231x today", "k"), (102, None, "k"), (103, "", "k")]
     got = results(spark, rows)
-    assert got[100].added == "id:27:36" or rows[100 - 88][1][27:36]
     assert [k for k, r in got.items() if r.added] == [100]
     start, end = map(int, got[100].added.split(":")[1:])
     assert rows[12][1][start:end] == "ID-88231x"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from talweg.plans import basics, evidence_text, indicators, relational  # noqa: F401  they register their queries
+from talweg.plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "q04_opportunity_index"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

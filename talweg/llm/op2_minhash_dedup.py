@@ -12,14 +12,14 @@ bucket's pairs are listed: texts equal word for word are one from the start;
 then
 
 1. each text of a bucket is verified against the bucket's least id;
-2. where a bucket's texts still lie in several components, against the text
-   most like the bucket's usual samples (the original that many edited copies
-   come from);
-3. what is still apart is compared block by block, only across components, so
-   no link between different texts of a bucket is lost.
-
-Every step is a partial aggregate or a join of many rows with one row a bucket
-or document, which adaptive execution splits where a bucket is hot. Components
+2. where a bucket's texts still lie in several components, all are compared
+   exactly, block by block: counts as unit levels make the sum of minima a
+   matrix product, and only a spanning forest of the links found leaves a block.
+   Blocks are bounded by rows and by bytes of text.
+
+So no link between different texts of a bucket is lost, and none is listed for
+each pair. The other steps are partial aggregates or joins of many rows with one
+row a bucket or document, which adaptive execution splits where it is hot. Components
 are found by distributed contraction (``common.connected_components``).
 
 Nulls and texts without a word are equal to each other; rows without an id are
@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import common, tokens
+from talweg.llm.graph import forest
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Samples of 24 that candidates share at least; at the similarity asked for, fewer have odds of some 2 in 10,000.
 AGREE = 12
 DF_BUCKETS, CHUNK = 1 << 20, 1 << 14
-BLOCK = 1024
+#: Most texts, and code points of text, in a block; columns of one product.
+BLOCK, BLOCK_CHARS, COLUMNS = 2048, 8_000_000, 2048
 ID_BITS = np.uint64(44)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -256,47 +258,67 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     rest = apart(edges)
     if rest.head(1):
-        place = F.explode(F.sequence(F.lit(1), F.lit(BANDS * ROWS))).alias("place")
-        usual = rest.select("bucket", "sig_a", place).withColumn("value", F.substring("sig_a", 2 * F.col("place") - 1, 2))
-        usual = usual.groupBy("bucket", "place", "value").count().groupBy("bucket", "place").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
-        usual = usual.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("usual"))
-        same = F.aggregate("usual", F.lit(0), lambda n, u: n + (F.substring("sig_a", 2 * u["place"] - 1, 2) == u["value"]).cast("int"))
-        hub = rest.join(usual, "bucket").select("bucket", "a", "sig_a", "component", same.alias("same"))
-        hub = hub.groupBy("bucket").agg(F.max_by(F.struct("a", "sig_a", "component"), F.struct("same", -F.col("a"))).alias("hub"))
-        tried = rest.join(hub, "bucket").where("component <> hub.component").select("a", F.col("hub.a").alias("b"), "sig_a", F.col("hub.sig_a").alias("sig_b"))
-        edges = common.written(edges.union(verified(agreeing(tried), docs, idf, similarity)), "edges")
-        rest = apart(edges)
-    if rest.head(1):
-        edges = edges.union(verified(across(rest), docs, idf, similarity))
+        edges = edges.union(compared(rest, docs, idf, similarity))
     component = common.connected_components(edges).withColumnRenamed("node", "a")
     groups = signed.groupBy("key").agg(F.min("doc_id").alias("a")).join(component, "a", "left").select("key", F.coalesce("component", "a").alias("class_id"))
     out = signed.select("doc_id", "key").join(groups, "key").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-def across(rest: DataFrame) -> DataFrame:
-    """Agreeing pairs across components of each bucket, compared block by block; blocks are of bounded size."""
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("a", F.lit(5)), F.col("blocks")).cast("int"))
+def overlaps(s: Shingles, idf: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of the rows x with the rows y of ``s``.
+
+    A shingle that occurs t times is t levels, each of its idf's weight: two
+    texts share the levels up to the lesser count, so the sum of minima is a
+    product of 0/1 matrices, taken some columns at a time.
+    """
+    times = s.count.astype(np.int64)
+    row = np.repeat(np.repeat(np.arange(len(s.size)), s.size), times)
+    level = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    weight = idf[(s.id & np.uint64(DF_BUCKETS - 1)).astype(np.int64)].astype(np.float64)
+    total = np.bincount(np.repeat(np.arange(len(s.size)), s.size), weights=weight * times, minlength=len(s.size))
+    keys, first, column, often = np.unique(np.repeat(s.id, times) | level.astype(np.uint64) << ID_BITS, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(keys), -1)
+    place[shared] = np.arange(len(shared))
+    column, root = place[column], np.sqrt(np.repeat(weight, times)[first[shared]])
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(x), len(y)))
+    for a in range(0, len(shared), COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((len(s.size), min(COLUMNS, len(shared) - a)))
+        part[row[lo:hi], column[lo:hi] - a] = root[column[lo:hi]]
+        both += part[x] @ part[y].T
+    return both / np.maximum(total[x][:, None] + total[y][None, :] - both, 1e-300)
+
+
+def compared(rest: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
+    """Edges (src, dst) that connect what is linked within each bucket: all its texts, compared by blocks."""
+    wanted = rest.select(F.col("a").alias("doc_id")).distinct()
+    texts = docs.join(common.hinted(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "text").dropDuplicates(["a"])
+    rows = common.written(rest.select("bucket", "a", "component").join(texts, "a"), "compared")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("a", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "component", "sig_a")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "component", "text")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        x, y = group[group["own"] == i], group[group["own"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        p, q = (np.frombuffer(b"".join(g["sig_a"]), "<u2").reshape(len(g), -1) for g in (x, y))
-        same = np.zeros((len(x), len(y)), np.uint8)
-        for k in range(p.shape[1]):
-            same += p[:, k, None] == q[None, :, k]
-        good = (same >= AGREE) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :])
-        if i == j:
-            good = np.triu(good)
-        left, right = np.nonzero(good)
-        return pd.DataFrame({"a": x["a"].to_numpy()[left], "b": y["a"].to_numpy()[right]})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        group = group.sort_values("a")
+        own, name, component = group["own"].to_numpy(), group["a"].to_numpy(), group["component"].to_numpy()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        none = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+        if not len(x) or not len(y) or len(np.unique(component)) < 2:
+            return none
+        linked = (overlaps(Shingles(pa.array(group["text"], pa.large_string())), idf.value, x, y) >= similarity) & (component[x][:, None] != component[y][None, :])
+        left, right = np.nonzero(linked)
+        root = forest(len(group), x[left], y[right])
+        some = root != np.arange(len(group))
+        return pd.DataFrame({"src": name[some], "dst": name[root[some]]})
+
+    return common.written(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "src long, dst long").distinct(), "edges")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

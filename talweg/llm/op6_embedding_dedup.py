@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import common
+from talweg.llm.graph import forest
 
 COSINE, PIVOTS, NEAREST, SHARED, BLOCK = 0.95, 256, 8, 2, 2048
 
@@ -54,20 +55,6 @@ def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.nd
     return candidate & (a @ b.T >= cosine)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least row that each row reaches by links (left[i], right[i])."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     rows = vectors.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("v"))

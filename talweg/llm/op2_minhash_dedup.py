@@ -1,9 +1,9 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words (lower case, cut at white space; a shorter text is one
-shingle). A shingle weighs its count times 1 + ln(N / df) / (2 ln(N + 1)); df is
+shingle). A shingle weighs its count times 1 + ln(N / df) / (4 ln(N + 1)); df is
 counted over all documents in ``DF_BUCKETS`` hashed buckets, a table of fixed
-size, so weights lie between the count and 1.5 times the count.
+size, so weights lie between the count and 1.25 times the count.
 
 Improved consistent weighted sampling draws ``BANDS`` x ``ROWS`` samples of each
 text; texts that agree on all samples of a band meet in a bucket. Candidates
@@ -175,7 +175,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         return np.ones(DF_BUCKETS, np.float32)
     df = np.concatenate([np.frombuffer(r.counts, "<u8") for r in sorted(rows, key=lambda r: r.chunk)]).astype(float)
     n = rows[0].n
-    return np.clip(1 + np.log(n / np.maximum(df, 1)) / (2 * np.log(n + 1)), 1, 1.5).astype(np.float32)
+    return np.clip(1 + np.log(n / np.maximum(df, 1)) / (4 * np.log(n + 1)), 1, 1.25).astype(np.float32)
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:

@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 
 def overlaps(s: Shingles, idf: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of the rows x with the rows y of ``s``.
+    """Weighted Jaccard similarity of the rows x with other rows y of ``s`` (a row with itself is not asked for).
 
     A shingle that occurs t times is t levels, each of its idf's weight: two
     texts share the levels up to the lesser count, so the sum of minima is a

@@ -11,10 +11,13 @@ MISSING = ["", "-", "—", "－", "NA", "N/A", "無", "面議"]
 ROC_OFFSET = 1911
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no function for; Arrow batches."""
-    return text.str.normalize("NFKC")
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC, which Spark has no function for: a pandas UDF over Arrow batches."""
+
+    def normalised(text: pd.Series) -> pd.Series:
+        return text.str.normalize("NFKC")
+
+    return F.pandas_udf(normalised, "string")(c)
 
 
 def clean_text(c: Column, unicode_form: bool = False) -> Column:

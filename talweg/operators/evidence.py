@@ -44,8 +44,8 @@ def flatten(payloads: DataFrame, body: str, key: str) -> DataFrame:
         leaf = now.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))).select(key, "path", F.col("v").cast("string").alias("value"))
         done = leaf if done is None else done.unionAll(leaf)
         deep = now.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        nxt = deep.select(key, "path", F.explode(F.coalesce(F.expr("try_cast(v as map<string,variant>)"), F.map_from_entries(F.transform(F.expr("try_cast(v as array<variant>)"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))))).alias("k", "v"))
-        now = nxt.where(~F.array_contains(names, F.col("k"))).select(key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("k")).alias("path"), "v")
+        nxt = deep.select(key, "path", F.explode(F.coalesce(F.expr("try_cast(v as map<string,variant>)"), F.map_from_entries(F.transform(F.expr("try_cast(v as array<variant>)"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))))).alias("__name", "v"))
+        now = nxt.where(~F.array_contains(names, F.col("__name"))).select(key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("__name")).alias("path"), "v")
     return done.where("value IS NOT NULL")
 
 

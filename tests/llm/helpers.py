@@ -13,6 +13,12 @@ def prose(rng, words):
     return " ".join(word(rng) for _ in range(words))
 
 
+def edited_copy(rng, text):
+    """The text with its last word changed, where it is long enough for that to stay near."""
+    w = text.split()
+    return " ".join([*w[:-1], word(rng) + "x"]) if len(w) > 50 else " ".join(w).upper()
+
+
 def write(spark, rows, schema, path, name):
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
     return str(path)

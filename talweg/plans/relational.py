@@ -136,3 +136,43 @@ def sliding_events(t):
 def session_events(t):
     out = windows.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", "user_id")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", r(F.col("total")).alias("total"))
+
+
+def _squares(t):
+    """A square of side 100 for each nation, on a grid, one corner cut by its key."""
+    k, x, y = F.col("n_nationkey"), (F.col("n_nationkey") % 5 * 200).cast("double"), (F.floor(F.col("n_nationkey") / 5) * 200).cast("double")
+    p = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    ring = F.array(p(0, 0), p(100, 0), p(100, 100), p(k.cast("double"), 100), p(0, 100 - k.cast("double")))
+    return t.nation.select(k.alias("k"), F.array(ring).alias("rings"))
+
+
+@query("SELECT n_nationkey AS k, round(10000 - n_nationkey * n_nationkey / 2.0, 6) AS area FROM nation")
+def q07_polygon_area(t):
+    from talweg.functions import geo
+
+    return _squares(t).select("k", r(geo.polygon_area(F.col("rings")), 6).alias("area"))
+
+
+@query()
+def q12_service_coverage(t):
+    """Share of each district within 30 of a service point (suppliers, on the same grid)."""
+    pts = t.supplier.select(((F.col("s_suppkey") * 37) % 1000).cast("double").alias("x"), ((F.col("s_suppkey") * 53) % 1000).cast("double").alias("y"))
+    return joins.coverage(_squares(t), pts, "k", 30.0).select("k", r(F.col("ratio"), 6).alias("ratio"), "n_points")
+
+
+@query()
+def f32_tm2_forward(t):
+    from talweg.functions import geo
+
+    x, y = geo.tm2(121.0 + F.col("s_suppkey") % 100 / 100.0, 24.0 + F.col("s_suppkey") % 70 / 100.0)
+    return t.supplier.select("s_suppkey", r(x).alias("x"), r(y).alias("y"))
+
+
+@query("SELECT n_nationkey AS request, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS tier FROM nation WHERE n_nationkey % 3 < 2")
+def j11_tiered_resolution(t):
+    """Strict keys resolve a third of the requests, loose ones another; the rest stay unresolved."""
+    k = F.col("n_nationkey")
+    requests = t.nation.select(k.alias("request"), F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.concat(F.lit("strict"), k).alias("key")), F.struct(F.lit(1).alias("tier"), F.concat(F.lit("loose"), k).alias("key")))).alias("p")).select("request", "p.*")
+    keys = t.nation.where(k % 3 == 0).select(F.concat(F.lit("strict"), k).alias("key"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    keys = keys.unionByName(t.nation.where(k % 3 == 1).select(F.concat(F.lit("loose"), k).alias("key"), F.lit(2.0).alias("x"), F.lit(2.0).alias("y")))
+    return joins.tiered(requests, keys, "request").select("request", "tier")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from talweg.llm import common, tokens
 from talweg.llm.features import BUCKETS, linear, sparse, sums
 
-MODELS, MAX_POSITIVE, MAX_UNLABELLED = 4, 3000, 12000
+MODELS, MAX_POSITIVE, MAX_UNLABELLED = 4, 2000, 10000
 STEPS, RATE, SHRINK, MIN_ROWS = 200, 0.5, 1.2e-4, 5
 #: One text in this many hash remainders is held out.
 FOLDS = 5
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
         rows = rows.sort_values(["positive", "doc_id"])
         count = rows["bucket"].map(len).to_numpy()
         w, b = train(np.concatenate(rows["bucket"].to_list()).astype(np.int64), np.concatenate(rows["value"].to_list()).astype(float), count, rows["positive"].to_numpy(bool), prior)
+        tokens.tidy()
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "intercept": [b]})
 
     # Both samples are bounded by their parameters, so their ids may be broadcast.

@@ -62,11 +62,11 @@ def train(bucket: np.ndarray, value: np.ndarray, count: np.ndarray, label: np.nd
     m, v = np.zeros_like(w), np.zeros_like(w)
     truth = np.eye(domains)[label]
     for t in range(1, STEPS + 1):
-        z = sums(w[at] * value[:, None], count) + b
+        # A domain at a time: no array of features by domains.
+        z = np.stack([sums(w[at, k] * value, count) for k in range(domains)], 1) + b
         p = np.exp(z - z.max(1, keepdims=True))
         g = (p / p.sum(1, keepdims=True) - truth) / len(label)
-        each = np.repeat(g, count, axis=0) * value[:, None]
-        gw = np.stack([np.bincount(at, weights=each[:, k], minlength=len(used)) for k in range(domains)], 1)
+        gw = np.stack([np.bincount(at, weights=np.repeat(g[:, k], count) * value, minlength=len(used)) for k in range(domains)], 1)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         step = RATE * (1 - t / (STEPS + 1)) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         size = np.sqrt(v) + 1e-6
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
         count = group["bucket"].map(len).to_numpy()
         label = group["domain"].map(names.index).to_numpy()
         w, b = train(np.concatenate(group["bucket"].to_list()).astype(np.int64), np.concatenate(group["value"].to_list()).astype(float), count, label, len(names))
+        tokens.tidy()
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "intercepts": [b.tolist()]})
 
     models = rows.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(MODELS)).alias("model")).applyInPandas(one, "weights binary, intercepts array<double>").collect()

@@ -22,7 +22,7 @@ PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: A letter before one of these always ends a pre-token (not the apostrophe: 's and the like are tokens; nor the bar: special tokens have it).
 CLOSED = r"(\p{L})([!-&(-/:-@\[-`{}~])"
 #: Bytes of text in one slice, pieces that the cache may hold, and pieces in one call of the tokenizer.
-SLICE_BYTES, CACHE_PIECES, CALL_PIECES = 8_000_000, 1_000_000, 500
+SLICE_BYTES, CACHE_PIECES, CALL_PIECES = 4_000_000, 500_000, 500
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,14 +31,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are reused and would keep each stage's peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, one row at least."""
+    """Row ranges of at most ``most`` bytes, one row at least; memory that their work freed goes back at the end."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(size):
         b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
         yield a, b
         a = b
+    tidy()
 
 
 class Encoder:

@@ -128,12 +128,17 @@ def memberships(docs: DataFrame, domains: Domains, keep: list[str]) -> DataFrame
     return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(scored, schema)
 
 
+def advance(r: Column, pull: list[float], floor: float) -> Column:
+    """The rate one step on: it moves by the posterior's product with the domains' pull, then is projected."""
+    move = sum((F.col(f"_p{k}") * F.lit(float(u)) for k, u in enumerate(pull)), F.lit(0.0))
+    return F.greatest(F.lit(float(floor)), r - move)
+
+
 def rate(steps: list[list[float]], floor: float) -> Column:
-    """The rate after ``steps``: each moves it by the posterior's product with the domains' pull, then projects."""
-    r = F.lit(1.0) if floor <= 1 else F.lit(floor)
+    """The rate after ``steps``."""
+    r = F.lit(max(1.0, float(floor)))
     for pull in steps:
-        move = sum((F.col(f"_p{k}") * F.lit(float(u)) for k, u in enumerate(pull)), F.lit(0.0))
-        r = F.greatest(F.lit(float(floor)), r - move)
+        r = advance(r, pull, floor)
     return r
 
 
@@ -152,12 +157,12 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
     """
     n = len(domains.names)
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        r = rate(steps, floor)
+    def totals(r: Column) -> np.ndarray:
         row = members.select(r.alias("r"), "_tokens", *(f"_p{k}" for k in range(n))).agg(*(F.sum(F.col("r") * F.col("_tokens") * F.col(f"_p{k}")).alias(f"t{k}") for k in range(n))).first()
         return np.array([x or 0.0 for x in row])
 
-    now = totals([])
+    r = rate([], floor)
+    now = totals(r)
     whole = now.sum()
     if not whole:
         return []
@@ -171,7 +176,8 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
         if np.abs(off).max() < CLOSE:
             break
         steps.append((off / share).tolist())
-        now = totals(steps)
+        r = advance(r, steps[-1], floor)
+        now = totals(r)
     return steps
 
 

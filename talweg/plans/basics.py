@@ -53,11 +53,11 @@ def parse_number_guards(t):
     return t.part.select("p_partkey", P.parse_int(s).alias("i"), P.parse_decimal(s).alias("d"))
 
 
-@query("SELECT DISTINCT lpad((year(o_orderdate) - 1911)::VARCHAR, 3, '0') || lpad(month(o_orderdate)::VARCHAR, 2, '0') AS roc, date_trunc('month', o_orderdate)::DATE AS period_start, last_day(o_orderdate)::DATE AS period_end FROM orders")
+@query("SELECT DISTINCT lpad((year(o_orderdate) - 1911)::VARCHAR, 3, '0') || lpad(month(o_orderdate)::VARCHAR, 2, '0') AS roc, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS period_start, strftime(last_day(o_orderdate), '%Y-%m-%d') AS period_end FROM orders")
 def roc_month_roundtrip(t):
     m = t.orders.select(P.to_roc_month(F.col("o_orderdate")).alias("roc")).distinct()
     start = P.roc_month(F.col("roc"))
-    return m.select("roc", start.alias("period_start"), F.last_day(start).alias("period_end"))
+    return m.select("roc", start.cast("string").alias("period_start"), F.last_day(start).cast("string").alias("period_end"))
 
 
 @query("SELECT o_orderkey, year(o_orderdate) - 1980 - CASE WHEN month(o_orderdate) * 100 + day(o_orderdate) < 229 THEN 1 ELSE 0 END AS age FROM orders")
@@ -109,7 +109,7 @@ def ols_by_group(t):
     return t.lineitem.groupBy(F.col("l_returnflag").alias("k")).agg(o["n"].alias("n"), r(o["slope"]).alias("slope"), r(o["intercept"], 3).alias("intercept"), r(o["r2"], 6).alias("r2"))
 
 
-@query("SELECT l_returnflag AS k, round(regr_slope(5.0, l_quantity), 6) AS slope, CASE WHEN var_pop(5.0) > 0 THEN 1.0 END AS r2 FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS k, round(regr_slope(5.0, l_quantity), 6) AS slope, CAST(CASE WHEN var_pop(5.0) > 0 THEN 1.0 END AS DOUBLE) AS r2 FROM lineitem GROUP BY 1")
 def ols_constant_y(t):
     o = stats.ols(F.lit(5.0) + F.col("l_tax") * 0, F.col("l_quantity"))
     return t.lineitem.groupBy(F.col("l_returnflag").alias("k")).agg(r(o["slope"], 6).alias("slope"), o["r2"].alias("r2"))

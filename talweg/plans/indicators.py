@@ -179,7 +179,7 @@ def q19_complete_trend(t):
     return series.change_by_join(c, ["g"], "y", "n").select("y", "n", r(F.col("yoy")).alias("yoy"))
 
 
-@query(f"SELECT k, count(*) AS vacancies, sum(o_orderkey % 4) AS positions, round(count(*) FILTER (WHERE o_orderkey % 3 <> 0) * 1.0 / count(*), 6) AS coverage, CASE WHEN NOT bool_or(o_totalprice > 499900) THEN round(median(o_totalprice), 4) END AS median_salary FROM {PLACED} GROUP BY k")
+@query(f"SELECT k, count(*) AS vacancies, sum(o_orderkey % 4)::BIGINT AS positions, round(count(*) FILTER (WHERE o_orderkey % 3 <> 0) * 1.0 / count(*), 6) AS coverage, CASE WHEN NOT bool_or(o_totalprice > 499900) THEN round(median(o_totalprice), 4) END AS median_salary FROM {PLACED} GROUP BY k")
 def g26_vacancy_summary(t):
     """Positions, coverage of salaries, and a median that is withheld where the source was cut."""
     return placed(t).groupBy("k").agg(F.count("*").alias("vacancies"), F.sum(F.col("o_orderkey") % 4).alias("positions"), r(F.count_if(F.col("o_orderkey") % 3 != 0) / F.count("*"), 6).alias("coverage"), F.when(~F.bool_or(F.col("o_totalprice") > 499900), r(F.percentile("o_totalprice", 0.5), 4)).alias("median_salary"))

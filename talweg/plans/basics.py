@@ -9,19 +9,14 @@ from talweg.functions import parsing as P
 from talweg.operators import quality, series, sets, stats
 from talweg.plans.base import order_year, query, r
 
-ORDERS_BY_YEAR = "SELECT c_nationkey AS k, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
-
-
-def by_nation_year(t):
-    """Order value of each nation and year; some cells are dropped, others null, so that series have gaps."""
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k"), order_year().alias("y")).agg(F.sum("o_totalprice").alias("v"))
-
-
 def gappy(t):
-    return by_nation_year(t).where((F.col("k") + F.col("y")) % 5 != 0).withColumn("v", F.when((F.col("k") + F.col("y")) % 7 != 0, F.col("v")))
+    """Value of each nation's and year's largest orders: a series with gaps where there is none, and nulls where none is very large."""
+    big = t.orders.where("o_totalprice > 495000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    v = F.when(F.max("o_totalprice") > 496500, F.sum("o_totalprice"))
+    return big.groupBy(F.col("c_nationkey").alias("k"), order_year().alias("y")).agg(v.alias("v"))
 
 
-GAPPY = f"SELECT k, y, CASE WHEN (k + y) % 7 <> 0 THEN v END AS v FROM ({ORDERS_BY_YEAR}) WHERE (k + y) % 5 <> 0"
+GAPPY = "SELECT c_nationkey AS k, year(o_orderdate) AS y, CASE WHEN max(o_totalprice) > 496500 THEN sum(o_totalprice) END AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 495000 GROUP BY ALL"
 
 
 @query("SELECT year(o_orderdate) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ALL")
@@ -205,9 +200,9 @@ def asof_join_latest_before(t):
     return series.as_of(left, right, "user_id", "ts", "ts", "value", "event_id").select("event_id", "as_of", r(F.col("value")).alias("value"))
 
 
-@query("SELECT k, y, src, round(v, 2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY k, y ORDER BY rank, id) AS p FROM (SELECT o_custkey % 50 AS k, year(o_orderdate) AS y, o_orderpriority AS src, CASE o_orderpriority WHEN '1-URGENT' THEN 0 ELSE 1 END AS rank, o_orderkey AS id, o_totalprice AS v FROM orders)) WHERE p = 1")
+@query("SELECT k, y, src, round(v, 2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY k, y ORDER BY rank, id) AS p FROM (SELECT o_custkey AS k, year(o_orderdate) AS y, o_orderpriority AS src, CASE o_orderpriority WHEN '1-URGENT' THEN 0 ELSE 1 END AS rank, o_orderkey AS id, o_totalprice AS v FROM orders)) WHERE p = 1")
 def priority_pick(t):
-    rows = t.orders.select((F.col("o_custkey") % 50).alias("k"), order_year().alias("y"), F.col("o_orderpriority").alias("src"), (F.col("o_orderpriority") != "1-URGENT").cast("int").alias("rank"), F.col("o_orderkey").alias("id"), r(F.col("o_totalprice"), 2).alias("v"))
+    rows = t.orders.select(F.col("o_custkey").alias("k"), order_year().alias("y"), F.col("o_orderpriority").alias("src"), (F.col("o_orderpriority") != "1-URGENT").cast("int").alias("rank"), F.col("o_orderkey").alias("id"), r(F.col("o_totalprice"), 2).alias("v"))
     return stats.first_by(rows, ["k", "y"], F.col("rank"), F.col("id")).select("k", "y", "src", "v")
 
 
@@ -238,9 +233,9 @@ def reject_split_quarantine(t):
     return quality.split(t.documents, _rules(), "doc_id").quarantine.select("input_index", "reject_reason")
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS line, unnest(['l_quantity', 'l_tax', 'l_discount']) AS metric_id, unnest([l_quantity, l_tax, l_discount]) AS value FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT l_orderkey AS k, l_linenumber AS line, unnest(['l_quantity', 'l_tax', 'l_discount']) AS metric_id, unnest([l_quantity, l_tax, l_discount]) AS value FROM lineitem")
 def unpivot_metrics(t):
-    rows = t.lineitem.where(F.col("l_orderkey") % 10 == 0).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "l_quantity", "l_tax", "l_discount")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "l_quantity", "l_tax", "l_discount")
     return sets.unpivot(rows, ["k", "line"], ["l_quantity", "l_tax", "l_discount"])
 
 

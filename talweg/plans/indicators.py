@@ -86,13 +86,13 @@ def q02_fertility_annual(t):
 
 
 @query(f"""WITH y AS (SELECT unnest(range((SELECT min(y) FROM {PLACED}), (SELECT max(y) + 1 FROM {PLACED})))::INTEGER AS y),
-b AS (SELECT y, sum(o_totalprice) AS budget FROM {PLACED} WHERE o_orderstatus <> 'P' AND y % 3 <> 0 GROUP BY 1), s AS (SELECT y, sum(o_totalprice) AS spent FROM {PLACED} WHERE o_orderstatus = 'F' GROUP BY 1),
+b AS (SELECT y, sum(o_totalprice) AS budget FROM {PLACED} WHERE o_orderstatus <> 'P' AND y <> 1996 GROUP BY 1), s AS (SELECT y, sum(o_totalprice) AS spent FROM {PLACED} WHERE o_orderstatus = 'F' GROUP BY 1),
 j AS (SELECT y, budget, spent FROM y LEFT JOIN b USING (y) LEFT JOIN s USING (y))
 SELECT y, round(budget, 2) AS budget, round(spent / nullif(budget, 0) * 100, 4) AS execution, round((budget - p) / nullif(p, 0) * 100, 4) AS yoy, CASE WHEN budget IS NULL THEN 'missing_budget' WHEN spent IS NULL THEN 'missing_settlement' END AS failure
 FROM (SELECT *, last_value(budget IGNORE NULLS) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM j)""")
 def q03_budget_execution(t):
     """Budget and settlement by year on the full grid of years; change bridges years without a budget."""
-    p = placed(t).groupBy("y").agg(F.sum(F.when((F.col("o_orderstatus") != "P") & (F.col("y") % 3 != 0), F.col("o_totalprice"))).alias("budget"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("spent"))
+    p = placed(t).groupBy("y").agg(F.sum(F.when((F.col("o_orderstatus") != "P") & (F.col("y") != 1996), F.col("o_totalprice"))).alias("budget"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("spent"))
     span = p.agg(F.min("y").alias("a"), F.max("y").alias("b")).select(F.explode(F.sequence("a", "b")).alias("y"))
     out = series.change(span.join(p, "y", "left").withColumn("g", F.lit(0)), ["g"], "y", "budget", bridge=True)
     failure = F.when(F.col("budget").isNull(), "missing_budget").when(F.col("spent").isNull(), "missing_settlement")
@@ -133,10 +133,10 @@ def q13_proposal_funnel(t):
     return n.unpivot(["y"], ["proposed", "resolved", "escalated", "funded", "closed"], "stage", "n")
 
 
-@query(f"WITH s AS (SELECT o_orderpriority AS scope, y, sum(o_totalprice) AS v FROM {PLACED} WHERE (length(o_orderpriority) + y) % 4 <> 0 GROUP BY ALL), pick AS (SELECT scope FROM s GROUP BY scope ORDER BY count(*) DESC, max(y) DESC, scope DESC LIMIT 1) SELECT scope, y, round(v, 2) AS amount, scope IN (SELECT scope FROM pick) AS comparable FROM s")
+@query(f"WITH s AS (SELECT o_orderpriority AS scope, y, sum(o_totalprice) AS v FROM {PLACED} WHERE o_totalprice > 498000 GROUP BY ALL), pick AS (SELECT scope FROM s GROUP BY scope ORDER BY count(*) DESC, max(y) DESC, scope DESC LIMIT 1) SELECT scope, y, round(v, 2) AS amount, scope IN (SELECT scope FROM pick) AS comparable FROM s")
 def q14_grants_scope(t):
     """Amounts by scope and year; the comparable scope has the most years, then the latest."""
-    s = placed(t).where((F.length("o_orderpriority") + F.col("y")) % 4 != 0).groupBy(F.col("o_orderpriority").alias("scope"), "y").agg(F.sum("o_totalprice").alias("v"))
+    s = placed(t).where("o_totalprice > 498000").groupBy(F.col("o_orderpriority").alias("scope"), "y").agg(F.sum("o_totalprice").alias("v"))
     pick = s.groupBy("scope").agg(F.count("*").alias("n"), F.max("y").alias("last")).agg(F.max_by("scope", F.struct("n", "last", "scope")).alias("pick"))
     return s.crossJoin(F.broadcast(pick)).select("scope", "y", r(F.col("v"), 2).alias("amount"), (F.col("scope") == F.col("pick")).alias("comparable"))
 

@@ -21,9 +21,9 @@ def ambiguous_lookup_keys(t):
     return joins.ambiguous(t.orders.select(F.col("o_custkey").alias("k")), ["k"])
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS suppliers, a.k IS NULL AS orders_missing, b.k IS NULL AS suppliers_missing FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) a FULL JOIN (SELECT s_suppkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS suppliers, a.k IS NULL AS orders_missing, b.k IS NULL AS suppliers_missing FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) a FULL JOIN (SELECT s_suppkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def full_outer_flags(t):
-    a = t.orders.where(F.col("o_custkey") % 3 == 0).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"), F.lit(True).alias("a"))
+    a = t.orders.where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"), F.lit(True).alias("a"))
     b = t.supplier.groupBy(F.col("s_suppkey").alias("k")).agg(F.count("*").alias("suppliers"), F.lit(True).alias("b"))
     return a.join(b, "k", "full").select("k", "orders", "suppliers", F.col("a").isNull().alias("orders_missing"), F.col("b").isNull().alias("suppliers_missing"))
 

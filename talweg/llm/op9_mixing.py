@@ -7,9 +7,8 @@ documents' rates r >= ``floor`` (0 unless stated) then minimise
     sum over domains k of (sum_d r_d tokens_d p_dk - target_k)^2 / (N tokens of k)
 
 by projected gradient from r = 1. A step needs the domains' residuals alone: one
-aggregate over a narrow table, with the rates of the last step as a column
-expression, so nothing grows on the driver and no state is lost with an
-executor. In the metric of the documents' tokens the loss's curvature is at most
+aggregate over a narrow table, in which every task takes the steps so far anew in
+numpy, so nothing grows on the driver and no state is lost with an executor. In the metric of the documents' tokens the loss's curvature is at most
 1, so the step is 1 and no document's weight in the step depends on its length.
 
 Labelled rows are a bounded sample (``max_labelled``, least hash of id); rates,
@@ -142,6 +141,14 @@ def rate(steps: list[list[float]], floor: float) -> Column:
     return r
 
 
+def rates(p: np.ndarray, steps: list[list[float]], floor: float) -> np.ndarray:
+    """``rate`` of rows with the posteriors ``p``, in numpy: a task takes any number of steps without a plan that grows."""
+    r = np.full(len(p), max(1.0, float(floor)))
+    for pull in steps:
+        r = np.maximum(floor, r - p @ np.array(pull))
+    return r
+
+
 def tempered(share: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     """A group's share (names up to the slash) to the power ``TEMPERATURE``; its domains keep their parts of it."""
     groups = [n.split("/")[0] for n in names]
@@ -156,13 +163,23 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
     the least total at which no domain has to shrink.
     """
     n = len(domains.names)
+    narrow = members.select("_tokens", *(f"_p{k}" for k in range(n)))
+
+    def totals(steps: list[list[float]]) -> np.ndarray:
+        """Each domain's tokens at the rates after ``steps``: one row a task, then one."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(n)
+            for batch in batches:
+                own, *p = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+                p = np.stack(p, 1)
+                held += (rates(p, steps, floor) * own) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=[f"t{k}" for k in range(n)])
 
-    def totals(r: Column) -> np.ndarray:
-        row = members.select(r.alias("r"), "_tokens", *(f"_p{k}" for k in range(n))).agg(*(F.sum(F.col("r") * F.col("_tokens") * F.col(f"_p{k}")).alias(f"t{k}") for k in range(n))).first()
+        row = narrow.mapInArrow(part, ", ".join(f"t{k} double" for k in range(n))).agg(*(F.sum(f"t{k}") for k in range(n))).first()
         return np.array([x or 0.0 for x in row])
 
-    r = rate([], floor)
-    now = totals(r)
+    now = totals([])
     whole = now.sum()
     if not whole:
         return []
@@ -176,8 +193,7 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
         if np.abs(off).max() < CLOSE:
             break
         steps.append((off / share).tolist())
-        r = advance(r, steps[-1], floor)
-        now = totals(r)
+        now = totals(steps)
     return steps
 
 

@@ -99,6 +99,9 @@ def test_mixing_floor_copies_and_no_labels(spark):
     assert M.fit_rates(members, domains) == [] and M.fit_rates(members.limit(0), domains) == []
     out = members.select("doc_id", M.rate([[5.0]], 1.0).alias("r"), M.copies(M.rate([[-1.25]], 0.0), members["doc_id"]).alias("n")).collect()
     assert all(x.r == 1.0 and x.n in (2, 3) for x in out)
+    p, steps = np.array([[0.2, 0.8], [0.9, 0.1]]), [[0.3, -0.5], [-0.1, 0.2], [0.4, 0.05]]
+    got = spark.createDataFrame(p.tolist(), "_p0 double, _p1 double").select(M.rate(steps, 0.5).alias("r")).collect()
+    assert np.allclose([x.r for x in got], M.rates(p, steps, 0.5))
 
 
 def brute_dice(a, b):

@@ -12,8 +12,12 @@ where they are found, and only a spanning forest of their links leaves a group,
 so a cluster of any size costs no row for each of its pairs. Exact copies are
 one vector until the end. Components come from the forests (``common``).
 
-Pivots are a bounded sample (``pivots`` vectors, those of least hash); every
-vector is indexed, whatever its label.
+Pivots come from a bounded sample (``SAMPLE`` times ``pivots`` vectors, those of
+least hash) and are kept apart: one whose cosine to an earlier pivot is above
+``apart`` is left out. So a cluster has a pivot or a few, however many rows it
+holds, and its members agree on their nearest ones. Where the sample has fewer
+such vectors there are fewer pivots and longer lists, down to a comparison of
+all with all. Every vector is indexed, whatever its label.
 
 Nulls: a vector that is null, zero, of a length other than the table's usual
 one, or that holds null or non-finite components links with nothing and stays,
@@ -36,6 +40,7 @@ from talweg.llm import common
 from talweg.llm.graph import forest
 
 COSINE, PIVOTS, NEAREST, SHARED, BLOCK = 0.95, 256, 8, 2, 2048
+SAMPLE, APART = 16, 0.5
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -44,6 +49,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def keep_apart(units: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """The first ``most`` of the unit vectors that have no cosine above ``apart`` to one before."""
+    kept = np.zeros((most, units.shape[1]))
+    m = 0
+    for u in units:
+        if m < most and not (kept[:m] @ u > apart).any():
+            kept[m] = u
+            m += 1
+    return kept[:m]
+
+
 def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.ndarray, pivot: int, pivots: int, shared: int, cosine: float) -> np.ndarray:
     """Which rows of a and b link, of the pairs whose least shared pivot is this one."""
     has_a, has_b = np.zeros((len(a), pivots), np.float32), np.zeros((len(b), pivots), np.float32)
@@ -55,7 +71,7 @@ def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.nd
     return candidate & (a @ b.T >= cosine)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, apart: float = APART) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     rows = vectors.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -66,8 +82,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     width = usual.d
     rows = rows.withColumn("v", F.when(F.size("v") == width, F.col("v")))
     distinct = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    chosen = distinct.orderBy(F.xxhash64("v"), "first").limit(pivots).select("v").collect()
-    reference = _unit(np.array([r.v for r in chosen]))
+    # A bounded sample: SAMPLE vectors a pivot.
+    sample = distinct.orderBy(F.xxhash64("v"), "first").limit(SAMPLE * pivots).select("v").collect()
+    reference = keep_apart(_unit(np.array([r.v for r in sample])), pivots, apart)
     m = len(reference)
     depth = min(nearest, m)
     need = min(shared, depth)

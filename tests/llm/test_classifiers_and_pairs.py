@@ -155,3 +155,16 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(1000, 1006))
     assert E.near_duplicates(df.limit(0)).count() == 0
     assert E.near_duplicates(spark.createDataFrame(odd[:1], df.schema)).collect()[0].kept
+
+
+def test_vectors_of_one_tight_cluster_all_link(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64) / 8
+    v = np.vstack([centre + rng.normal(size=(700, 64)) * 0.15 / 8, rng.normal(size=(1400, 64))])
+    df = spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    found = {r.vec_id: r.n_links for r in E.near_duplicates(df, block=512).collect()}
+    assert near.sum() > 400_000 and sum(found.values()) >= 0.99 * near.sum()
+    assert all(found[i] <= n for i, n in enumerate(near.sum(1)))

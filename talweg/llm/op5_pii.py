@@ -10,12 +10,16 @@ failed); they match what the plain ones match.
 Bootstrapping then looks for identifiers that no expression knows. A mention is
 a word with ``MIN_DIGITS`` digits or more outside the base spans, or a base span
 (the seeds). Its context is a pattern: the ``LEFT`` words before it. Patterns
-and instances (distinct strings) form a bipartite graph. In each round a
-pattern's confidence is the mean confidence of its distinct instances (seeds 1,
-others what they have reached), counted with one doubtful instance more; an
-unknown instance's is ``TRUST`` times its best pattern's. Patterns need ``SUPPORT`` distinct
-instances and a confidence of ``ACCEPT``; after ``ROUNDS`` rounds the unknown mentions in
-accepted patterns are added as spans of the kind "id".
+and instances (distinct strings) form a bipartite graph. A mention of another
+shape (``NO_ID``: years, dates, times, amounts, percentages) is a counterexample
+and never an identifier. In each round a pattern's confidence is the mean of its
+distinct known instances (seeds 1, counterexamples 0, identifiers found their
+best accepted pattern's), counted with one doubtful instance more; unknown ones
+neither help nor harm. Patterns need ``SUPPORT`` distinct identifiers and a
+confidence of ``ACCEPT``; instances of accepted patterns are known in the next
+round, so a pattern can be reached through found identifiers alone. After
+``ROUNDS`` rounds the unknown mentions in accepted patterns are added as spans
+of the kind "id".
 
 Only mentions are shuffled, never texts. Counts are partial aggregates by
 pattern and instance; a common pattern is one row in each join.
@@ -38,8 +42,16 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LEFT, MIN_DIGITS, SUPPORT, ACCEPT, TRUST, ROUNDS = 3, 4, 3, 0.7, 0.5, 3
+LEFT, MIN_DIGITS, SUPPORT, ACCEPT, ROUNDS = 3, 4, 3, 0.7, 3
 MENTION = r"(?:\G|(?<!\S))[^\s0-9]*+[0-9]\S*+"
+#: Years and their ranges; dates; times; grouped or decimal numbers; percentages and amounts of money. Of at most NO_ID_LENGTH characters.
+NO_ID = (
+    r"^[^\p{L}\p{N}$\u20ac\u00a3\u00a5]*+(?:(?:19|20)[0-9]{2}s?(?:[/\u2013-](?:[0-9]{2}){1,2})?"
+    r"|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}){1,2}|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}(?:T[0-9:.Z+-]+)?"
+    r"|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?|[0-9]{1,3}(?:[,.'][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+[.,][0-9]+"
+    r"|[0-9][0-9.,]*%|[$\u20ac\u00a3\u00a5][0-9][0-9.,]*|[0-9][0-9.,]*[$\u20ac\u00a3\u00a5])[^\p{L}\p{N}]*$"
+)
+NO_ID_LENGTH = 40
 
 
 def cut(text: Column, pattern: str, keep) -> Column:
@@ -112,7 +124,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = lambda s: F.slice(F.filter(F.split(F.lower(before(s)), r"[^\p{L}]+"), lambda w: w != ""), -LEFT, LEFT)
     context = lambda s: F.when(F.size(F.filter(F.split(before(s), r"[^\p{L}]+"), lambda w: w != "")) >= LEFT, F.array_join(words(s), " "))
     seed = lambda k: F.transform(k, lambda s: F.struct(F.lit(1.0).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["m"]).alias("instance"), context(s).alias("context")))
-    mention = lambda s: F.struct(F.lit(0.0).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["m"]).alias("instance"), context(s).alias("context"))
+    shape = lambda m: F.when((F.length(m) <= NO_ID_LENGTH) & m.rlike(NO_ID), F.lit(-1.0)).otherwise(F.lit(0.0))
+    mention = lambda s: F.struct(shape(s["m"]).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["m"]).alias("instance"), context(s).alias("context"))
     found = found.withColumn("other", F.transform(other, mention))
     found = found.select(
         "doc_id",
@@ -130,15 +143,18 @@ def bootstrap(mentions: DataFrame) -> DataFrame:
     """(row_key, start, end) of mentions that accepted patterns and instances agree on."""
     graph = common.written(mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     # Patterns that can never be accepted leave the graph at once: without them it holds little.
-    live = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    live = graph.where("seed >= 0").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
     graph = common.written(graph.join(live, "pattern"), "graph")
+    # 1 for seeds, -1 for counterexamples, 0 for what isn't known, else the confidence that has been reached.
     belief = graph.groupBy("instance").agg(F.max("seed").alias("belief"))
-    score = None
+    accepted = None
     for _ in range(ROUNDS):
-        score = graph.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.first("n") + 1)).alias("score"))
-        reached = graph.join(score, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), TRUST * F.max("score")).alias("belief"))
-        belief = common.written(reached, "belief")
-    accepted = common.written(score.where(F.col("score") >= ACCEPT), "accepted")
+        known = graph.join(belief.where("belief <> 0"), "instance").groupBy("pattern")
+        # Rounded, so that the order of a sum decides nothing.
+        score = known.agg(F.round(F.sum(F.greatest("belief", F.lit(0.0))) / (F.count("*") + 1), 9).alias("score"), F.count_if(F.col("belief") > 0).alias("found"))
+        accepted = common.written(score.where((F.col("found") >= SUPPORT) & (F.col("score") >= ACCEPT)).select("pattern", "score"), "accepted")
+        reached = graph.join(accepted, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("score").alias("score"))
+        belief = common.written(reached.select("instance", F.when(F.col("seed") != 0, F.col("seed")).otherwise(F.coalesce("score", F.lit(0.0))).alias("belief")), "belief")
     return mentions.where("seed = 0").join(accepted, "pattern").select("row_key", "start", "end").distinct()
 
 

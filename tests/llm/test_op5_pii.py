@@ -75,6 +75,23 @@ def test_bootstrap_finds_identifiers_in_learnt_contexts(spark):
     assert rows[12][1][start:end] == "ID-88231x"
 
 
+def test_bootstrap_takes_many_unknown_and_a_second_generation(spark):
+    rows = [(i, f"Just call me at +1 377 555 {1000 + i} soon", "seed") for i in range(40)]
+    rows += [(100 + i, f"Just call me at 0377/555{2000 + i} soon", "unknown") for i in range(80)]
+    rows += [(300 + i, f"The old member number was 0377/555{2000 + i} then", "second") for i in range(20)]
+    rows += [(400 + i, f"The old member number was 0488-77{300 + i} then", "second") for i in range(20)]
+    # As many counterexamples as seeds: a context of addresses and of years.
+    rows += [(500 + i, f"It was made in user{i}@mail.example.com once", "base") for i in range(20)]
+    rows += [(600 + i, f"It was made in {1950 + i} once", "year") for i in range(20)]
+    rows += [(700, "It was made in QX-771234 once", "other")]
+    rows += [(800, "Just call me at 2024-01-31 soon", "date")]
+    got = results(spark, rows)
+    for i, text, kind in rows:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].added.split(",") if x]
+        assert len(spans) == (kind in ("unknown", "second")), text
+        assert all(any(c.isdigit() for c in text[a:b]) for a, b in spans)
+
+
 def test_empty_table_repeated_rows_and_query_columns(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(empty).count() == 0

@@ -9,7 +9,9 @@ failed); they match what the plain ones match.
 
 Bootstrapping then looks for identifiers that no expression knows. A mention is
 a word with ``MIN_DIGITS`` digits or more outside the base spans, or a base span
-(the seeds). Its context is a pattern: the ``LEFT`` words before it. Patterns
+(the seeds). Its context is a pattern: the last ``LEFT`` words of all the text
+before it (runs of letters, in lower case), with a mark of the text's start for
+each that is missing. So every mention has one. Patterns
 and instances (distinct strings) form a bipartite graph. A mention of another
 shape (``NO_ID``: years, dates, times, amounts, percentages) is a counterexample
 and never an identifier. In each round a pattern's confidence is the mean of its
@@ -52,6 +54,7 @@ NO_ID = (
     r"|[0-9][0-9.,]*%|[$\u20ac\u00a3\u00a5][0-9][0-9.,]*|[0-9][0-9.,]*[$\u20ac\u00a3\u00a5])[^\p{L}\p{N}]*$"
 )
 NO_ID_LENGTH = 40
+START = "^"  # no run of letters
 
 
 def cut(text: Column, pattern: str, keep) -> Column:
@@ -102,6 +105,25 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def in_context(text: Column, mentions: Column) -> Column:
+    """``mentions`` (in order of start) with ``context``, the last ``LEFT`` words before each.
+
+    The text is read once: each stretch from one mention's start to the next hands its words on.
+    """
+    at = F.transform(mentions, lambda s: s["start"])
+    since = F.concat(F.array(F.lit(0)), at)
+    stretches = F.zip_with(at, F.slice(since, 1, F.size(at)), lambda b, a: F.filter(F.split(F.lower(F.substring(text, a + 1, b - a)), r"[^\p{L}]+"), lambda w: w != ""))
+    start = F.array(*[F.lit(START)] * LEFT)
+    none = F.array().cast("array<string>")
+
+    def read(acc: Column, words: Column) -> Column:
+        last = F.slice(F.concat(acc["last"], words), -LEFT, LEFT)
+        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.array_join(last, " "))).alias("out"))
+
+    contexts = F.aggregate(stretches, F.struct(start.alias("last"), none.alias("out")), read, lambda acc: acc["out"])
+    return F.zip_with(mentions, contexts, lambda s, c: F.struct(s["seed"].alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["instance"].alias("instance"), c.alias("context")))
+
+
 def joined(spans: Column) -> Column:
     """Spans (kind's rank, start, end) as kind:start:end, by rank and then start, comma-joined."""
     kinds = F.array(*map(F.lit, KINDS))
@@ -119,19 +141,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.col("text").rlike("[0-9]"),
         F.filter(cut(F.col("text"), MENTION, lambda m: F.length(_digits(m)) >= MIN_DIGITS), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
     ).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
-    # The words before a span: of at most 80 code points, which hold three ordinary words.
-    before = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - 79, F.lit(1)), F.least(s["start"], F.lit(80)))
-    words = lambda s: F.slice(F.filter(F.split(F.lower(before(s)), r"[^\p{L}]+"), lambda w: w != ""), -LEFT, LEFT)
-    context = lambda s: F.when(F.size(F.filter(F.split(before(s), r"[^\p{L}]+"), lambda w: w != "")) >= LEFT, F.array_join(words(s), " "))
-    seed = lambda k: F.transform(k, lambda s: F.struct(F.lit(1.0).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["m"]).alias("instance"), context(s).alias("context")))
+    mention = lambda seed: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), seed(s["m"]).alias("seed"), F.xxhash64(s["m"]).alias("instance"))
     shape = lambda m: F.when((F.length(m) <= NO_ID_LENGTH) & m.rlike(NO_ID), F.lit(-1.0)).otherwise(F.lit(0.0))
-    mention = lambda s: F.struct(shape(s["m"]).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["m"]).alias("instance"), context(s).alias("context"))
-    found = found.withColumn("other", F.transform(other, mention))
+    seeds = (F.transform(k, mention(lambda m: F.lit(1.0))) for k in KINDS[:4])
+    found = found.withColumn("mentions", F.array_sort(F.concat(*seeds, F.transform(other, mention(shape)))))
     found = found.select(
         "doc_id",
         F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256)).alias("row_key"),
         "base",
-        F.filter(F.concat(*(seed(k) for k in KINDS[:4]), F.col("other")), lambda s: s["context"].isNotNull()).alias("mentions"),
+        in_context(F.col("text"), F.col("mentions")).alias("mentions"),
     )
     found = common.written(found, "spans")
     mentions = found.select("row_key", F.explode("mentions").alias("s")).select("row_key", "s.*").withColumn("pattern", F.xxhash64("context"))

@@ -92,6 +92,16 @@ def test_bootstrap_takes_many_unknown_and_a_second_generation(spark):
         assert all(any(c.isdigit() for c in text[a:b]) for a, b in spans)
 
 
+def test_contexts_at_a_start_in_lists_and_after_long_words(spark):
+    far = "x" * 300
+    rows = [(i, f"Kundennummer: user{i}@mail.example.com", "seed") for i in range(12)]
+    rows += [(20 + i, f"These are the {far} user{i}@mail.example.com ok", "seed") for i in range(12)]
+    rows += [(50, "Kundennummer: 12345678", 1), (51, "Kundennummer: 12345678, 23456789, 34567890", 3), (52, f"Those are the {far} 12345678", 1), (54, "12345678", 0), (55, "Kundennummer: " + "23456789, " * 40, 40)]
+    got = results(spark, rows)
+    for i, text, n in rows:
+        assert len([x for x in got[i].added.split(",") if x]) == (0 if n == "seed" else n), text[:60]
+
+
 def test_empty_table_repeated_rows_and_query_columns(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(empty).count() == 0

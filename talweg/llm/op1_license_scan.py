@@ -3,7 +3,10 @@
 Text and templates are normalised alike: lower case, whatever is neither letter
 nor digit is a space. A text is compared as a whole, line by line, and by each
 run of adjoining lines in which half of the bigrams are a template's (a licence
-wrapped over lines inside a longer text). With m and n distinct bigrams a
+wrapped over lines inside a longer text). Besides, whatever the lines, a template
+of which a text holds enough bigrams is compared with every window of words that
+starts and ends at one of them; a window half of which a better one covers
+doesn't count. With m and n distinct bigrams a
 coefficient of at least t needs m and n within a factor of (2 - t) / t, so
 templates whose size is out of bounds are never compared; nor are passages that
 share fewer bigrams with all templates together than the smallest needs. A
@@ -73,6 +76,46 @@ class Scanner:
         if score >= self.t and score > best.get(self.names[k], (0,))[0]:
             best[self.names[k]] = (score, passage, first, len(pairs) + 1, k)
 
+    def windows(self, pairs: np.ndarray, keys: np.ndarray, best: dict[str, tuple]) -> None:
+        """Give each template its best windows of a text's bigrams, but for those of which a better one covers half."""
+        place: dict[int, list[int]] = defaultdict(list)
+        for x, key in zip(np.flatnonzero(keys >= 0).tolist(), keys[keys >= 0].tolist()):
+            place[key].append(x)
+        shared = Counter(k for key in place for k in self.inverted[key])
+        prior, found = None, []
+        for k, both in shared.items():
+            n = self.size[k]
+            if both < n * self.t / (2 - self.t):
+                continue
+            if prior is None:  # where each bigram stood last
+                order = np.argsort(pairs, kind="stable")
+                prior = np.full(len(pairs), -1)
+                again = pairs[order[1:]] == pairs[order[:-1]]
+                prior[order[1:][again]] = order[:-1][again]
+            own = np.zeros(len(pairs), bool)
+            for key in place:
+                if k in self.inverted[key]:
+                    own[place[key]] = True
+            most = n * (2 - self.t) / self.t
+            for a in np.flatnonzero(own).tolist():
+                reach = int(most) + 1
+                while True:
+                    fresh = prior[a : a + reach] < a
+                    m = np.cumsum(fresh)
+                    if m[-1] > most or a + reach >= len(pairs):
+                        break
+                    reach *= 2
+                score = np.where(m <= most, 2 * np.cumsum(fresh & own[a : a + reach]) / (m + n), 0)
+                end = int(score.argmax())
+                if score[end] >= self.t:
+                    found.append((-float(score[end]), k, a, a + end + 1))
+        taken: list[tuple[int, int]] = []
+        for score, k, a, b in sorted(found):
+            if all(2 * (min(b, d) - max(a, c)) < b - a for c, d in taken):
+                taken.append((a, b))
+                if -score > best.get(self.names[k], (0,))[0]:
+                    best[self.names[k]] = (-score, "words", a, b - a + 1, k)
+
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, str, tuple]]:
         """(row, licence, its best match) of every text."""
         x = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -114,6 +157,7 @@ class Scanner:
                 for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
                     if j - i > 1:
                         self.compare(pairs[lo[i] : hi[j - 1] - 1], keys[lo[i] : hi[j - 1] - 1], best, "lines", int(lo[i] - a))
+            self.windows(pairs[a : b - 1], keys[a : b - 1], best)
             for name in sorted(best):
                 yield int(row[a]), name, best[name]
 

@@ -168,3 +168,17 @@ def test_vectors_of_one_tight_cluster_all_link(spark):
     found = {r.vec_id: r.n_links for r in E.near_duplicates(df, block=512).collect()}
     assert near.sum() > 400_000 and sum(found.values()) >= 0.99 * near.sum()
     assert all(found[i] <= n for i, n in enumerate(near.sum(1)))
+
+
+def test_licences_inside_a_line_and_adjoining():
+    rng = random.Random(9)
+    mit = next(t for n, t in L.TEMPLATES if n == "MIT" and len(t) > 500)
+    apache = max((t for n, t in L.TEMPLATES if n.startswith("Apache")), key=len)
+    name = next(n for n, t in L.TEMPLATES if t == apache)
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    texts = [f"{prose(rng, 300)} {' '.join(mit.split())} {prose(rng, 300)}", f"{prose(rng, 40)}\n{wrap(mit)}\n\n{wrap(apache)}\n{prose(rng, 40)}", prose(rng, 3000), f"{prose(rng, 90)} {' '.join(apache.split())} {prose(rng, 90)}"]
+    got = {}
+    for i, licence, match in L.Scanner(L.TEMPLATES).scan(pa.array(texts)):
+        got.setdefault(i, {})[licence] = match[0]
+    assert got.get(0, {}).get("MIT", 0) > 0.99 and got.get(3, {}).get(name, 0) > 0.99 and 2 not in got
+    assert got.get(1, {}).get("MIT", 0) > 0.95 and got[1].get(name, 0) > 0.95

@@ -23,14 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of least id. Rows without an id stay."""
-    gone = op2_minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id")
-    kept = docs.join(common.hinted(gone), "doc_id", "left_anti")
-    # Rows that repeat an id are one document.
-    named = kept.where("doc_id IS NOT NULL")
-    if named.groupBy("doc_id").count().where("count > 1").head(1):
-        named = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
-    return named.select(common.DOCUMENT_COLUMNS).unionByName(kept.where("doc_id IS NULL").select(common.DOCUMENT_COLUMNS))
+    """One document of each near-duplicate group stays: the one of least id, then of least hash. Rows without an id stay."""
+    return op2_minhash_dedup.one_of_each(docs.select(common.DOCUMENT_COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

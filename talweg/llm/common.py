@@ -43,7 +43,7 @@ def drop_written(df: DataFrame) -> None:
 
 
 def hinted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``ids`` (one long column), hinted as broadcast if they are counted to be few enough; else a shuffled join takes them."""
+    """``ids`` (one column of ids or names), hinted as broadcast if they are counted to be few enough; else a shuffled join takes them."""
     ids = written(ids, "ids")
     return F.broadcast(ids) if ids.count() <= most else ids
 
@@ -55,10 +55,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     minimum (partially aggregated, so a hub's edges meet as one row per task)
     and a join of edges with one row per node, which adaptive execution can
     split where a hub is hot. Each round is written to the shared folder, so
-    lost executors cost one round at most. Nulls and self-loops are ignored;
-    an empty edge table gives an empty result.
+    lost executors cost one round at most. Nodes are of any one type that sorts.
+    Nulls and self-loops are ignored; an empty edge table gives an empty result.
     """
-    e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):

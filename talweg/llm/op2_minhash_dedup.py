@@ -1,9 +1,12 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words (lower case, cut at white space; a shorter text is one
-shingle). A shingle weighs its count times 1 + ln(N / df) / (4 ln(N + 1)); df is
-counted over all documents in ``DF_BUCKETS`` hashed buckets, a table of fixed
-size, so weights lie between the count and 1.25 times the count.
+shingle). A shingle weighs its count times 1 + ln(1 / p) / (4 ln(1 / RARE)), where
+p is the share of all documents that hold it, ``RARE`` at least; so weights lie
+between the count and 1.25 times the count. Shares are counted over all documents
+in ``DF_BUCKETS`` hashed buckets. Other shingles add to a bucket's share what a
+document has of them by ``DF_BUCKETS``, which is far below ``RARE`` and does not
+grow with the number of documents: the weights are the same at every size.
 
 Improved consistent weighted sampling draws ``BANDS`` x ``ROWS`` samples of each
 text; texts that agree on all samples of a band meet in a bucket. Candidates
@@ -12,10 +15,11 @@ bucket's pairs are listed: texts equal word for word are one from the start;
 then
 
 1. each text of a bucket is verified against the bucket's least id;
-2. where a bucket's texts still lie in several components, all are compared
-   exactly, block by block: counts as unit levels make the sum of minima a
-   matrix product, and only a spanning forest of the links found leaves a block.
-   Blocks are bounded by rows and by bytes of text.
+2. where a bucket's texts still lie in several components, those outside the
+   largest are compared with all the bucket's texts exactly, block by block:
+   counts as unit levels make the sum of minima a matrix product, and only a
+   spanning forest of the links found leaves a block. Blocks are bounded by rows
+   and by bytes of text. Texts of the largest component are connected already.
 
 So no link between different texts of a bucket is lost, and none is listed for
 each pair. The other steps are partial aggregates or joins of many rows with one
@@ -23,9 +27,11 @@ row a bucket or document, which adaptive execution splits where it is hot. Compo
 are found by distributed contraction (``common.connected_components``).
 
 Nulls and texts without a word are equal to each other; rows without an id are
-left out. Rows that share an id are one document. Ties go to the least id. Texts
-of any length are read whole. Extra columns are ignored; an empty table gives no
-rows.
+left out. A document is an id with a text: rows that repeat both are one, and
+different texts under one id are documents of their own, each with a row and a
+class (texts are named by id and a hash, ``name``). In each class exactly one
+document is kept: that of least id, then of least hash. Texts of any length are
+read whole. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import common, tokens
@@ -48,6 +54,8 @@ BANDS, ROWS = 8, 3
 #: Samples of 24 that candidates share at least; at the similarity asked for, fewer have odds of some 2 in 10,000.
 AGREE = 12
 DF_BUCKETS, CHUNK = 1 << 20, 1 << 14
+#: Share of documents below which shingles weigh alike.
+RARE = 1 / 256
 #: Most texts, and code points of text, in a block; columns of one product.
 BLOCK, BLOCK_CHARS, COLUMNS = 2048, 8_000_000, 2048
 ID_BITS = np.uint64(44)
@@ -175,26 +183,42 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         return np.ones(DF_BUCKETS, np.float32)
     df = np.concatenate([np.frombuffer(r.counts, "<u8") for r in sorted(rows, key=lambda r: r.chunk)]).astype(float)
     n = rows[0].n
-    return np.clip(1 + np.log(n / np.maximum(df, 1)) / (4 * np.log(n + 1)), 1, 1.25).astype(np.float32)
+    return (1 - np.log(np.clip(df / n, RARE, 1)) / (-4 * np.log(RARE))).astype(np.float32)
+
+
+def named(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, name (16 bytes that sort as id, then a hash of the text), text: the rows that have an id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    return rows.select("doc_id", name(F.col("doc_id"), F.col("text")).alias("name"), "text")
+
+
+def name(doc_id: Column, text: Column) -> Column:
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.unhex(F.concat(digits(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), digits(F.xxhash64(F.coalesce(text, F.lit(""))))))
+
+
+def id_of(name: Column) -> Column:
+    """The id in a name."""
+    return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, key (128 bits of the word sequence), bands (64-bit hashes), sig (16 bits a sample)."""
+    """doc_id, name, key (128 bits of the word sequence), bands (64-bit hashes), sig (16 bits a sample)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * M3
         for batch in batches:
-            for a, b in tokens.slices(batch.column(1), 4_000_000):
-                s = Shingles(batch.column(1).slice(a, b - a))
+            for a, b in tokens.slices(batch.column(2), 4_000_000):
+                s = Shingles(batch.column(2).slice(a, b - a))
                 got = samples(s.id, s.weights(idf.value), s.size)
                 bands = np.zeros((b - a, BANDS), np.uint64) + salt
                 for k in range(ROWS):
                     bands = mix(bands * M1 + got.reshape(-1, BANDS, ROWS)[:, :, k].astype(np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel(), pa.int64()))
                 short = got.astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in s.keys], pa.binary()), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "key", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in s.keys], pa.binary()), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "name", "key", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, key binary, bands array<long>, sig binary")
+    return docs.select("doc_id", "name", "text").mapInArrow(sign, "doc_id long, name binary, key binary, bands array<long>, sig binary")
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
@@ -206,63 +230,83 @@ def agreeing(pairs: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE))
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(some, "a long, b long").distinct()
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(some, "a binary, b binary").distinct()
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, text) of the names ``wanted``, one row each however often a row repeats."""
+    return docs.select("name", "text").join(common.hinted(wanted), "name", "left_semi").dropDuplicates(["name"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' weighted Jaccard similarity is high enough, as edges (src, dst)."""
     pairs = common.written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = common.written(docs.join(common.hinted(wanted), "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    left = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"})
-    right = texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"})
+    texts = common.written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()), "texts")
+    left = texts.withColumnsRenamed({"name": "a", "text": "text_a"})
+    right = texts.withColumnsRenamed({"name": "b", "text": "text_b"})
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in tokens.slices(batch.column("text_a"), 2_000_000):
-                part = batch.slice(lo, hi - lo)
+                part, n = batch.slice(lo, hi - lo), hi - lo
                 # A text that many pairs share is cut into shingles once.
-                names, texts = np.r_[part.column("a").to_numpy(), part.column("b").to_numpy()], pa.concat_arrays([part.column("text_a").cast(pa.large_string()), part.column("text_b").cast(pa.large_string())])
-                unique, first, at = np.unique(names, return_index=True, return_inverse=True)
+                at = pa.concat_arrays([part.column("a"), part.column("b")]).dictionary_encode().indices.to_numpy()
+                first = np.unique(at, return_index=True)[1]
+                texts = pa.concat_arrays([part.column("text_a").cast(pa.large_string()), part.column("text_b").cast(pa.large_string())])
                 s = Shingles(texts.take(pa.array(first)))
                 w, ends = s.weights(idf.value), np.cumsum(s.size)
                 vectors = [(s.id[e - n : e], w[e - n : e]) for e, n in zip(ends.tolist(), s.size.tolist())]
-                n = hi - lo
                 good = [jaccard(vectors[at[k]], vectors[at[n + k]]) >= similarity for k in range(n)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "src long, dst long")
+    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "src binary, dst binary")
     return common.written(edges, "edges")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of its group), kept: one row a document."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, name, class (the least name of its group), copies (rows that repeat it): one row a document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    docs = named(docs, id_col, text_col)
     idf = spark.sparkContext.broadcast(document_frequencies(docs))  # 4 MB, whatever the input
     signed = common.written(signatures(docs, idf), "signatures")
-    distinct = signed.groupBy("key").agg(F.min("doc_id").alias("a"), F.min("bands").alias("bands"), F.min("sig").alias("sig_a"))
+    distinct = signed.groupBy("key").agg(F.min("name").alias("a"), F.min("bands").alias("bands"), F.min("sig").alias("sig_a"))
     banded = distinct.select("a", "sig_a", F.explode("bands").alias("bucket"))
-    # Buckets of one text are most; only the others' rows go on.
-    met = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("a").alias("b")).where("n > 1").select("bucket", "b")
+    # Buckets of one text are most; only the others' rows go on. A bucket's leader is its text of least hash.
+    rank = F.xxhash64("a")
+    met = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rank).alias("low")).where("n > 1").select("bucket", "low")
     members = common.written(banded.join(met, "bucket"), "buckets")
-    lead = members.where("a = b").groupBy("bucket").agg(F.min("sig_a").alias("sig_b"))
-    edges = verified(agreeing(members.where("a <> b").join(lead, "bucket")), docs, idf, similarity)
+    lead = members.where(rank == F.col("low")).groupBy("bucket").agg(F.min(F.struct("a", "sig_a")).alias("lead")).select("bucket", F.col("lead.a").alias("b"), F.col("lead.sig_a").alias("sig_b"))
+    edges = verified(agreeing(members.join(lead, "bucket").where("a <> b")), docs, idf, similarity)
 
     def apart(edges: DataFrame) -> DataFrame:
-        """Rows of buckets whose texts but the leader lie in several components, with their components."""
+        """Rows of buckets whose texts lie in several components, with their components."""
         component = common.connected_components(edges)
-        now = members.join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        open_ = now.where("a <> b").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        now = members.select("bucket", "a").join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        mark = now.withColumn("mark", F.xxhash64("component"))
+        open_ = mark.groupBy("bucket").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("bucket")
         return common.written(now.join(open_, "bucket", "left_semi"), "apart")
 
-    rest = apart(edges)
-    if rest.head(1):
-        edges = edges.union(compared(rest, docs, idf, similarity))
+    edges = edges.union(compared(apart(edges), docs, idf, similarity))
     component = common.connected_components(edges).withColumnRenamed("node", "a")
-    groups = signed.groupBy("key").agg(F.min("doc_id").alias("a")).join(component, "a", "left").select("key", F.coalesce("component", "a").alias("class_id"))
-    out = signed.select("doc_id", "key").join(groups, "key").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    groups = signed.groupBy("key").agg(F.min("name").alias("a")).join(component, "a", "left").select("key", F.coalesce("component", "a").alias("class"))
+    return signed.select("doc_id", "name", "key").join(groups, "key").groupBy("doc_id", "name", "class").agg(F.count("*").alias("copies"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (least id of its group), kept: one row a document."""
+    return classes(docs, similarity, id_col, text_col).select("doc_id", id_of(F.col("class")).alias("class_id"), (F.col("name") == F.col("class")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` (with doc_id and text) without the near-duplicates that aren't kept; rows that repeat an id and a text are one; rows without an id stay."""
+    columns = docs.columns
+    found = common.written(classes(docs, similarity), "classes")
+    rows = docs.withColumn("_name", name(F.col("doc_id"), F.col("text")))
+    gone = found.where("name <> class OR copies > 1").select(F.col("name").alias("_name"))
+    again = found.where("name = class AND copies > 1").select(F.col("name").alias("_name"))
+    once = rows.join(common.hinted(gone), "_name", "left_anti").select(columns)
+    first = rows.join(common.hinted(again), "_name", "left_semi").groupBy("_name").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
+    return once.unionByName(first)
 
 
 def overlaps(s: Shingles, idf: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -295,13 +339,16 @@ def overlaps(s: Shingles, idf: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.n
 
 
 def compared(rest: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
-    """Edges (src, dst) that connect what is linked within each bucket: all its texts, compared by blocks."""
-    wanted = rest.select(F.col("a").alias("doc_id")).distinct()
-    texts = docs.join(common.hinted(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "text").dropDuplicates(["a"])
-    rows = common.written(rest.select("bucket", "a", "component").join(texts, "a"), "compared")
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("a", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Edges (src, dst) that connect what is linked within each bucket: texts outside its largest component against all, by blocks."""
+    texts = texts_of(docs, rest.select(F.col("a").alias("name")).distinct()).withColumnRenamed("name", "a")
+    largest = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
+    rows = common.written(rest.join(largest, "bucket").join(texts, "a").select("bucket", "a", "component", "text", (F.col("component") == F.col("largest")).alias("inside")), "compared")
+    blocks = lambda inside: F.ceil(F.greatest(F.count_if(inside) / BLOCK, F.sum(F.when(inside, F.length("text")).otherwise(0)) / BLOCK_CHARS)).cast("int")
+    sizes = rows.groupBy("bucket").agg(blocks(F.col("inside")).alias("within"), F.greatest(F.lit(1), blocks(~F.col("inside"))).alias("outside"))
+    dealt = rows.join(sizes, "bucket").withColumn("h", F.xxhash64("a", F.lit(5)))
+    # The outside's blocks come first; each meets itself and all blocks after it.
+    dealt = dealt.withColumn("own", F.when(F.col("inside"), F.col("outside") + F.pmod("h", F.greatest("within", F.lit(1)))).otherwise(F.pmod("h", "outside")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outside") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("within")))))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "component", "text")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +356,7 @@ def compared(rest: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFr
         group = group.sort_values("a")
         own, name, component = group["own"].to_numpy(), group["a"].to_numpy(), group["component"].to_numpy()
         x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        none = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+        none = pd.DataFrame({"src": np.zeros(0, object), "dst": np.zeros(0, object)})
         if not len(x) or not len(y) or len(np.unique(component)) < 2:
             return none
         linked = (overlaps(Shingles(pa.array(group["text"], pa.large_string())), idf.value, x, y) >= similarity) & (component[x][:, None] != component[y][None, :])
@@ -318,7 +365,7 @@ def compared(rest: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFr
         some = root != np.arange(len(group))
         return pd.DataFrame({"src": name[some], "dst": name[root[some]]})
 
-    return common.written(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "src long, dst long").distinct(), "edges")
+    return common.written(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "src binary, dst binary").distinct(), "edges")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,56 @@ def test_edge_cases(spark):
     assert D.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id_each_keep_a_class(spark):
+    rows = [(5, "alpha one", 1), (7, "alpha ONE", 2), (5, "beta two", 3), (2, "beta  two", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    assert sorted(map(tuple, D.near_duplicates(df).collect())) == [(2, 2, True), (5, 2, False), (5, 5, True), (7, 5, False)]
+    assert {r.text for r in D.one_of_each(df.drop("kept")).collect()} == {"alpha one", "beta  two"}
+
+
+def test_every_class_keeps_one_document_and_no_text_vanishes(spark):
+    rng = random.Random(8)
+    bases = [prose(rng, 80) for _ in range(12)]
+    rows = [(rng.choice([None, *range(-20, 20)]), rng.choice([None, "", b, b, b.upper(), edited(rng, b, 1)]), k % 3) for k, b in enumerate(rng.choices(bases, k=200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies int")
+    got = D.classes(df).collect()
+    distinct = {(i, t or "") for i, t, _ in rows if i is not None}
+    assert len(got) == len(distinct) and sum(r.copies for r in got) == sum(i is not None for i, _, _ in rows)
+    members = {}
+    for r in got:
+        members.setdefault(bytes(r["class"]), []).append(bytes(r.name))
+    assert all(c == min(m) for c, m in members.items())
+    kept = D.one_of_each(df).collect()
+    named = [r for r in kept if r.doc_id is not None]
+    assert len(named) == len(members) and len(kept) - len(named) == sum(i is None for i, _, _ in rows)
+    for _, t in distinct:
+        assert any(plain(shingles(t), shingles(r.text)) > 0.7 or not (t or r.text) for r in named)
+
+
+def test_blocks_link_outsiders_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 4)
+    rng = random.Random(12)
+    a, b = prose(rng, 60), prose(rng, 60)
+    texts = [edited(rng, a, 1) for _ in range(14)] + [edited(rng, b, 1) for _ in range(9)]
+    docs_ = D.named(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    # One bucket: ten of the first kind are one component, all others still alone.
+    rest = docs_.selectExpr("1L bucket", "name a", "IF(doc_id < 10, 1, doc_id) k")
+    first = docs_.where("doc_id = 0").first().name
+    from pyspark.sql import functions as F
+
+    rest = rest.select("bucket", "a", F.when(F.col("k") == 1, F.lit(bytearray(first))).otherwise(F.col("a")).alias("component"))
+    idf = spark.sparkContext.broadcast(np.ones(D.DF_BUCKETS, np.float32))
+    edges = D.compared(rest, docs_, idf, 0.8)
+    inside = rest.where(F.col("a") != F.col("component")).select(F.col("a").alias("src"), F.col("component").alias("dst"))
+    got = common.connected_components(edges.union(inside)).toPandas()
+    sizes = sorted(got.groupby(got["component"].map(bytes)).size().tolist())
+    want = {}
+    for i in range(len(texts)):
+        want[i] = next((want[j] for j in range(i) if plain(shingles(texts[i]), shingles(texts[j])) >= 0.8), i)
+    if sorted(Counter(want.values()).values()) == [9, 14]:
+        assert sizes == [9, 14]
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5300)] + [(None, 1), (2, 2)]

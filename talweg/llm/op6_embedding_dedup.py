@@ -3,31 +3,38 @@
 Reference points (pivots) are chosen among the distinct vectors; each vector is
 described by its ``nearest`` pivots in order of cosine, and stands in the
 inverted list of each. Two vectors that share ``shared`` or more pivots are
-candidates; their cosine, in double precision, decides.
+candidates; only candidates' cosines are computed, in double precision.
+
+There are ``PER_ROOT`` times the square root of n pivots (n distinct vectors),
+so that a list holds some sqrt(n) of them and the counting of shared pivots
+grows with n^1.5; their number lies between ``LEAST`` and ``MOST``, so what is
+broadcast is ``MOST`` vectors at most. Within a list, shared pivots are counted
+by merging the lists of the other pivots, not by comparing all with all.
 
 A pair meets in every list that it shares, and counts in the one of the least
 pivot only. Long lists are dealt into blocks by hash, and each pair of blocks is
-a group of bounded size in which numpy compares whole blocks: pairs are counted
-where they are found, and only a spanning forest of their links leaves a group,
-so a cluster of any size costs no row for each of its pairs. Exact copies are
-one vector until the end. Components come from the forests (``common``).
+a group of bounded size: pairs are counted where they are found, and only a
+spanning forest of their links leaves a group, so a cluster of any size costs no
+row for each of its pairs. Exact copies are one vector until the end. Components
+come from the forests (``common``).
 
-Pivots come from a bounded sample (``SAMPLE`` times ``pivots`` vectors, those of
+Pivots come from a bounded sample (``SAMPLE`` times their number, the vectors of
 least hash) and are kept apart: one whose cosine to an earlier pivot is above
 ``apart`` is left out. So a cluster has a pivot or a few, however many rows it
 holds, and its members agree on their nearest ones. Where the sample has fewer
 such vectors there are fewer pivots and longer lists, down to a comparison of
 all with all. Every vector is indexed, whatever its label.
 
-Nulls: a vector that is null, zero, of a length other than the table's usual
-one, or that holds null or non-finite components links with nothing and stays,
-a component of its own. Rows that share a vec_id are one vector (the least
-array); rows without one are left out. Ties in cosine go to the first pivot.
-Extra columns are ignored. An empty table gives no rows.
+Nulls: a vector that is null, zero, or that holds null or non-finite components
+links with nothing and stays, a component of its own. Vectors are compared with
+those of their own length: each length has an index. Rows that share a vec_id
+are one vector (the least array); rows without one are left out. Ties in cosine
+go to the first pivot. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +46,11 @@ from pyspark.sql import functions as F
 from talweg.llm import common
 from talweg.llm.graph import forest
 
-COSINE, PIVOTS, NEAREST, SHARED, BLOCK = 0.95, 256, 8, 2, 2048
-SAMPLE, APART = 16, 0.5
+COSINE, NEAREST, SHARED, BLOCK = 0.95, 8, 2, 2048
+PER_ROOT, LEAST, MOST = 4, 256, 4096
+SAMPLE, APART = 8, 0.5
+#: Pairs whose cosines are computed at once, and how near to the threshold a matrix product is computed again pair by pair.
+PAIRS, EXACT = 1 << 16, 1e-9
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -60,48 +70,97 @@ def keep_apart(units: np.ndarray, most: int, apart: float) -> np.ndarray:
     return kept[:m]
 
 
-def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.ndarray, pivot: int, pivots: int, shared: int, cosine: float) -> np.ndarray:
-    """Which rows of a and b link, of the pairs whose least shared pivot is this one."""
-    has_a, has_b = np.zeros((len(a), pivots), np.float32), np.zeros((len(b), pivots), np.float32)
-    np.put_along_axis(has_a, near_a, 1, 1)
-    np.put_along_axis(has_b, near_b, 1, 1)
-    candidate = has_a @ has_b.T >= shared
-    if pivot:
-        candidate &= has_a[:, :pivot] @ has_b[:, :pivot].T == 0
-    return candidate & (a @ b.T >= cosine)
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, apart: float = APART) -> DataFrame:
+def candidates(near_a: np.ndarray, near_b: np.ndarray, pivot: int, shared: int) -> np.ndarray:
+    """Which rows of a and b share ``shared`` pivots or more, of the pairs whose least shared pivot is this one.
+
+    Both stand in this pivot's list; the lists of the others are merged, one pivot at a time.
+    """
+    count = np.ones((len(near_a), len(near_b)), np.uint8)
+
+    def lists(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, flat = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+        order = np.argsort(flat, kind="stable")
+        names, first = np.unique(flat[order], return_index=True)
+        return names, first, rows[order]
+
+    (names_a, first_a, rows_a), (names_b, first_b, rows_b) = lists(near_a), lists(near_b)
+    _, at_a, at_b = np.intersect1d(names_a, names_b, assume_unique=True, return_indices=True)
+    end_a, end_b = np.r_[first_a[1:], len(rows_a)], np.r_[first_b[1:], len(rows_b)]
+    later = []
+    for i, j in zip(at_a.tolist(), at_b.tolist()):
+        cell = np.ix_(rows_a[first_a[i] : end_a[i]], rows_b[first_b[j] : end_b[j]])
+        if names_a[i] < pivot:
+            count[cell] = 0  # counted in that pivot's list
+        elif names_a[i] > pivot:
+            later.append(cell)
+    open_ = count > 0
+    for cell in later:
+        count[cell] += 1
+    return open_ & (count >= shared)
+
+
+def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.ndarray, pivot: int, shared: int, cosine: float) -> np.ndarray:
+    """Which rows of a and b are candidates and link."""
+    pair = candidates(near_a, near_b, pivot, shared)
+    rows, columns = np.flatnonzero(pair.any(1)), np.flatnonzero(pair.any(0))
+    linked = np.zeros_like(pair)
+    if 8 * np.count_nonzero(pair) > len(rows) * len(columns):
+        # Nearly all are candidates: a matrix product, and what is near the threshold once more, so that no decision hangs on the way.
+        got = a[rows] @ b[columns].T
+        here = pair[np.ix_(rows, columns)]
+        linked[np.ix_(rows, columns)] = here & (got >= cosine)
+        x, y = np.nonzero(here & (np.abs(got - cosine) < EXACT))
+        x, y = rows[x], columns[y]
+    else:
+        x, y = np.nonzero(pair)
+    for k in range(0, len(x), PAIRS):
+        i, j = x[k : k + PAIRS], y[k : k + PAIRS]
+        linked[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= cosine
+    return linked
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, apart: float = APART) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     rows = vectors.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = common.written(rows.withColumn("v", F.when(sound, F.col("v"))), "vectors")
-    usual = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = usual.d
-    rows = rows.withColumn("v", F.when(F.size("v") == width, F.col("v")))
+    # An embedding column has one length, or a few.
+    widths = [r.d for r in rows.where("v IS NOT NULL").select(F.size("v").alias("d")).distinct().collect()]
     distinct = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    whole = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c"))
+    for width in sorted(widths):
+        found = linked(distinct.where(F.size("v") == width), width, cosine, pivots, nearest, shared, block, apart)
+        links = found.groupBy("first").agg(F.sum("links").alias("links"))
+        component = common.connected_components(found.where("first <> to"), "first", "to").withColumnRenamed("node", "first")
+        copies = distinct.where(F.size("v") == width).join(links, "first", "left").join(component, "first", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
+        whole = whole.unionByName(rows.where(F.size("v") == width).join(copies, "v").select("vec_id", "n", "c"))
+    return whole.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))
+
+
+def linked(distinct: DataFrame, width: int, cosine: float, pivots: int | None, nearest: int, shared: int, block: int, apart: float) -> DataFrame:
+    """(first, links, to) of each group of the index: a vector's links there, and its parent in their forest."""
+    spark = distinct.sparkSession
+    if pivots is None:
+        pivots = min(MOST, max(LEAST, PER_ROOT * math.isqrt(distinct.count())))
     # A bounded sample: SAMPLE vectors a pivot.
     sample = distinct.orderBy(F.xxhash64("v"), "first").limit(SAMPLE * pivots).select("v").collect()
     reference = keep_apart(_unit(np.array([r.v for r in sample])), pivots, apart)
-    m = len(reference)
-    depth = min(nearest, m)
+    depth = min(nearest, len(reference))
     need = min(shared, depth)
+    # MOST vectors at most.
+    sent = spark.sparkContext.broadcast(reference)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 u = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-                near = np.argsort(-np.round(u @ reference.T, 12), axis=1, kind="stable")[:, :depth]
+                near = np.concatenate([np.argsort(-np.round(u[k : k + 1024] @ sent.value.T, 12), axis=1, kind="stable")[:, :depth] for k in range(0, len(u), 1024)])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, depth), pa.int32()), pa.array(near.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("copies"), pa.array([x.tobytes() for x in u], pa.binary()), lists], names=["first", "copies", "u", "near"])
 
     index = common.written(distinct.mapInArrow(describe, "first long, copies long, u binary, near array<int>"), "index")
-    # One row a pivot.
-    sizes = dict(index.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect())
-    blocks = F.array(*[F.lit(-(-sizes.get(p, 0) // block)) for p in range(m)])
-    posted = index.withColumn("pivot", F.explode("near")).withColumn("n", F.element_at(blocks, F.col("pivot") + 1))
+    sizes = index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    posted = index.withColumn("pivot", F.explode("near")).join(sizes, "pivot")
     posted = posted.withColumn("own", F.pmod(F.xxhash64("first", F.lit(11)), F.col("n")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     posted = posted.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "first", "copies", "u", "near")
@@ -114,10 +173,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             g = group if i == j else group[group["own"] == k]
             parts.append((g["first"].to_numpy(), g["copies"].to_numpy(), np.frombuffer(b"".join(g["u"]), np.float64).reshape(len(g), width), np.array(g["near"].to_list(), np.int64).reshape(len(g), depth)))
         (name_a, copies_a, a, near_a), (name_b, copies_b, b, near_b) = parts
-        none = pd.DataFrame({"first": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
+        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("first", "links", "to")})
         if not len(a) or not len(b):
             return none
-        linked = links_within(a, b, near_a, near_b, pivot, m, need, cosine)
+        linked = links_within(a, b, near_a, near_b, pivot, need, cosine)
         if i == j:
             np.fill_diagonal(linked, False)
             names, links = name_a, linked @ copies_a
@@ -135,12 +194,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         to = names[order][forest(len(names), place[left], place[right])][place]
         return pd.DataFrame({"first": names[some], "links": links[some], "to": to[some]})
 
-    found = common.written(posted.groupBy("pivot", "i", "j").applyInPandas(compare, "first long, links long, to long"), "links")
-    links = found.groupBy("first").agg(F.sum("links").alias("links"))
-    component = common.connected_components(found.where("first <> to"), "first", "to").withColumnRenamed("node", "first")
-    copies = distinct.join(links, "first", "left").join(component, "first", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
-    whole = rows.where("v IS NOT NULL").join(copies, "v").select("vec_id", "n", "c").unionByName(rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c")))
-    return whole.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))
+    return common.written(posted.groupBy("pivot", "i", "j").applyInPandas(compare, "first long, links long, to long"), "links")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

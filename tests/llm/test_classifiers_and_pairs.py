@@ -170,6 +170,39 @@ def test_vectors_of_one_tight_cluster_all_link(spark):
     assert all(found[i] <= n for i, n in enumerate(near.sum(1)))
 
 
+def test_recall_and_candidates_at_the_default_parameters(spark):
+    rng = np.random.default_rng(11)
+    share = []
+    for n in (1500, 6000):
+        base = rng.normal(size=(n // 3, 48))
+        v = np.vstack([base, base + rng.normal(size=base.shape) * rng.uniform(0.1, 0.4, (len(base), 1)), rng.normal(size=(n - 2 * len(base), 48))])
+        df = spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<double>")
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = u @ u.T >= 0.95
+        np.fill_diagonal(near, False)
+        found = sum(r.n_links for r in E.near_duplicates(df).collect())
+        assert 0.95 * near.sum() <= found <= near.sum() and near.sum() > n / 10
+        # The share of all pairs that are candidates falls with n, the number of pivots being that of the operator.
+        reference = E.keep_apart(u, min(E.MOST, max(E.LEAST, E.PER_ROOT * int(n**0.5))), E.APART)
+        nearest = np.argsort(-(u @ reference.T), axis=1)[:, : E.NEAREST]
+        has = np.zeros((n, len(reference)), np.float32)
+        np.put_along_axis(has, nearest, 1, 1)
+        share.append((has @ has.T >= E.SHARED).mean())
+    assert share[1] < 0.8 * share[0]
+
+
+def test_candidates_count_once_in_the_list_of_their_least_shared_pivot():
+    rng = np.random.default_rng(12)
+    near = np.array([rng.permutation(20)[:5] for _ in range(80)])
+    want = (near[:, None, :, None] == near[None, :, None, :]).any(3)
+    shared = want.sum(2)
+    total = np.zeros((80, 80), int)
+    for p in range(20):
+        at = np.flatnonzero((near == p).any(1))
+        total[np.ix_(at, at)] += E.candidates(near[at], near[at], p, 2)
+    assert (total == (shared >= 2)).all()
+
+
 def test_licences_inside_a_line_and_adjoining():
     rng = random.Random(9)
     mit = next(t for n, t in L.TEMPLATES if n == "MIT" and len(t) > 500)

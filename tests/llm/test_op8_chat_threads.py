@@ -27,8 +27,8 @@ def test_nested_quotes_link_to_the_messages_they_quote(spark):
     assert got[1, 1].parent_turn == 0 and got[1, 1].body == B
     assert got[1, 2].parent_turn == 1 and got[1, 2].quote_depth == 2 and got[1, 2].n_quoted == 2
     assert got[1, 3].parent_turn is None and got[1, 3].body == "Something else entirely."
-    assert got[1, 4].parent_turn == 2 and got[1, 4].path == "00000000/00000001/00000002/00000004" and got[1, 4].root_turn == 0
-    assert got[2, 1].parent_turn is None and got[3, 0].body == "" and got[None, 1].parent_turn is None and got[4, None].path == ""
+    assert got[1, 4].parent_turn == 2 and [got[1, t].position for t in (0, 1, 2, 4)] == [0, 1, 2, 3] and got[1, 4].root_turn == 0
+    assert got[2, 1].parent_turn is None and got[3, 0].body == "" and got[None, 1].parent_turn is None and got[4, None].position == 0
 
 
 def test_ties_repeated_rows_and_empty_tables(spark):
@@ -53,10 +53,40 @@ def test_brute_force_on_random_threads(spark):
             rows.append((conv, turn, "u", quote + words, None))
             want[conv, turn] = parent
             said.append(quote + words)
-    got = run(spark, rows)
+    got, paths = run(spark, rows), {}
     for key, parent in want.items():
         assert got[key].parent_turn == parent
         chain, up = [key[1]], parent
         while up is not None:
             chain, up = [up, *chain], want[key[0], up]
-        assert got[key].path == "/".join(f"{t:08d}" for t in chain) and got[key].root_turn == chain[0]
+        assert got[key].reply_depth == len(chain) - 1 and got[key].root_turn == chain[0]
+        paths[key] = chain
+    # The walk through a thread is the order of its messages' chains of turns.
+    for conv in range(12):
+        by_chain = sorted((c for k, c in paths.items() if k[0] == conv))
+        by_walk = sorted((r for k, r in got.items() if k[0] == conv), key=lambda r: (r.root_turn, r.position))
+        assert [c[-1] for c in by_chain] == [r.turn for r in by_walk]
+
+
+def test_short_partial_and_reflowed_quotes_and_any_ids(spark):
+    rows = [
+        ("b", -3, "u", "Are you sure?", None),
+        ("b", 10**10, "u", "> Are you sure?\nYes.", None),
+        ("b", 10**10 + 1, "u", "First of all, I would rather not go there. The second part of it is\nquite another matter altogether. And more.", None),
+        ("b", 10**10 + 2, "u", "> The second part of\n> it is quite another\n> matter altogether.\nIndeed.", None),
+        ("c", 0, "u", "Are you sure?", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, position string")
+    got = {(r.conv_id, r.turn): r.parent_turn for r in C.threads(df).collect()}
+    assert got == {("b", -3): None, ("b", 10**10): -3, ("b", 10**10 + 1): None, ("b", 10**10 + 2): 10**10 + 1, ("c", 0): None}
+
+
+def test_latest_before_over_spans(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(C, "SPAN", 4)
+    rng = random.Random(3)
+    said = [(k, rng.randrange(40)) for k in (1, 2, 3) for _ in range(9)] * 2
+    asked = [(k, t, "x") for k in (1, 2, 4) for t in range(0, 45, 3)]
+    got = {(r.k, r.turn): r.said for r in C.latest_before(spark.createDataFrame(asked, "k int, turn long, at string"), spark.createDataFrame(said, "k int, turn long"), ["k"]).collect()}
+    assert got == {(k, t): max(s for q, s in said if q == k and s < t) for k, t, _ in asked if any(q == k and s < t for q, s in said)}

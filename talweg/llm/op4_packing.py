@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talweg.llm import common, tokens
 
@@ -75,6 +76,8 @@ def pack_vectors(sizes: np.ndarray, loss: np.ndarray, limit: int = LIMIT, segmen
             elif cut:
                 i = int(todo[need.argmax()])
                 n = longest(i, room)
+                if n <= 0 and not items:
+                    raise ValueError("a limit leaves no room for a token")
                 if n <= 0:
                     break
             elif not items:
@@ -115,16 +118,22 @@ def powers(items: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, segments: int = SEGMENTS, loss_limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece (``PIECES``); every token of a document bears loss."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, segments: int = SEGMENTS, loss_limit: int | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+    """One row a piece (``PIECES``).
+
+    ``prompt_col``: how many of a row's first tokens bear no loss (null, negative: none; at most all). Without it every
+    token bears loss, as in plain documents.
+    """
     tokenizer = tokenizer or tokens.tokenizer_path()
+    #: Whole sequences may be cut off a long row without a choice.
+    free = loss_limit is None or loss_limit >= limit
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = tokens.Encoder.of(tokenizer)
         sequence = TaskContext.get().partitionId() * NUMBERED
-        # Pieces that wait: (document's id, its tokens, ids before the piece, the piece's ids).
+        # Pieces that wait: (document's id, its tokens, ids before the piece, the piece's ids, the prompt's tokens in it).
         held: list[tuple] = []
 
         def rows(bins: list, pieces: list[tuple]) -> pa.RecordBatch:
@@ -133,40 +142,41 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = L
             for items in bins:
                 pad, offset = padded(sum(b - a for _, a, b in items), limit), 0
                 for i, a, b in items:
-                    name, total, start, ids = pieces[i]
-                    out.append((name, start + a, b - a, zlib.crc32(ids[a:b]), total, sequence, offset, b - a, pad))
+                    name, total, start, ids, prompt = pieces[i]
+                    out.append((name, start + a, b - a, zlib.crc32(ids[a:b]), total, sequence, offset, b - max(a, min(b, prompt)), pad))
                     offset += b - a
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 9)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         def flush(last: bool) -> pa.RecordBatch:
             """Pack what waits; the last bin's pieces wait for the next buffer, if there is one."""
-            bins = pack_vectors(np.array([len(h[3]) for h in held]), np.array([len(h[3]) for h in held]), limit, segments, loss_limit)
+            bins = pack_vectors(np.array([len(h[3]) for h in held]), np.array([len(h[3]) - h[4] for h in held]), limit, segments, loss_limit)
             waits = [] if last or not bins or padded(sum(b - a for _, a, b in bins[-1]), limit) == 0 else bins.pop()
             # A bin that a limit other than tokens has closed is cut, too.
             batch = rows([x for items in bins for x in (powers(items) if padded(sum(b - a for _, a, b in items), limit) else [items])], held)
-            held[:] = [(n, t, s + a, ids[a:b]) for i, a, b in waits for n, t, s, ids in [held[i]]]
+            held[:] = [(n, t, s + a, ids[a:b], max(0, min(b, p) - a)) for i, a, b in waits for n, t, s, ids, p in [held[i]]]
             return batch
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names, prompts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in tokens.slices(batch.column(1)):
                 ids, lengths = encoder.encode(batch.column(1).slice(a, b - a))
                 ids = ids.astype("<u4", copy=False)
                 ends = np.cumsum(lengths)
-                for name, e, n in zip(names[a:b], ends.tolist(), lengths.tolist()):
-                    # Whole sequences need no choice.
-                    cut = n - n % limit
+                for name, prompt, e, n in zip(names[a:b], prompts[a:b], ends.tolist(), lengths.tolist()):
+                    prompt = max(0, min(n, prompt or 0))
+                    cut = n - n % limit if free else 0
                     if cut:
-                        yield rows([[(0, k, k + limit)] for k in range(0, cut, limit)], [(name, n, 0, ids[e - n : e])])
+                        yield rows([[(0, k, k + limit)] for k in range(0, cut, limit)], [(name, n, 0, ids[e - n : e], prompt)])
                     if n > cut:
-                        held.append((name, n, cut, ids[e - n + cut : e].copy()))
+                        held.append((name, n, cut, ids[e - n + cut : e].copy(), max(0, prompt - cut)))
                     if len(held) >= BUFFER:
                         yield flush(False)
         if held:
             yield flush(True)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(pack, PIECES)
+    prompt = F.lit(0).cast("long") if prompt_col is None else docs[prompt_col].cast("long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), prompt.alias("prompt")).mapInArrow(pack, PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

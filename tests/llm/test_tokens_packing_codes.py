@@ -110,6 +110,26 @@ def test_op4_many_tiny_documents_close_sequences_by_segments(spark, library, mon
     assert op4_packing.pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_op4_loss_and_segment_limits_bind_on_rows_with_prompts(spark, library, monkeypatch):
+    monkeypatch.setattr(op4_packing, "BUFFER", 40)
+    rng = random.Random(5)
+    texts = [prose(rng, rng.choice([3, 30, 120, 700])) for _ in range(120)] + ["", None]
+    prompts = [rng.choice([None, -4, 0, 10, 60, 10**6]) for _ in texts]
+    rows = [(i, t, p, "clash") for i, (t, p) in enumerate(zip(texts, prompts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt long, sequence_id string").coalesce(1)
+    got = op4_packing.pack_documents(df, limit=512, segments=5, loss_limit=200, prompt_col="prompt").collect()
+    check_packing(got, texts, library, 512)
+    loss, segments, length = {}, {}, {}
+    for r in got:
+        prompt = max(0, min(r.doc_tokens, prompts[r.doc_id] or 0))
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, prompt))
+        for total, n in ((loss, r.loss_tokens), (segments, 1), (length, r.length)):
+            total[r.sequence_id] = total.get(r.sequence_id, 0) + n
+    assert max(loss.values()) == 200 and max(segments.values()) == 5 and max(length.values()) == 512
+    with pytest.raises(ValueError):
+        op4_packing.pack_vectors(np.array([3]), np.array([3]), 10, 5, 0)
+
+
 def test_pack_vectors_keeps_all_three_limits():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 900, 300)

@@ -51,6 +51,8 @@ PER_ROOT, LEAST, MOST = 4, 256, 4096
 SAMPLE, APART = 8, 0.5
 #: Pairs whose cosines are computed at once, and how near to the threshold a matrix product is computed again pair by pair.
 PAIRS, EXACT = 1 << 16, 1e-9
+#: Pairs of rows of one shared pivot from which on they are counted as a block.
+DENSE = 1 << 12
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -75,28 +77,39 @@ def candidates(near_a: np.ndarray, near_b: np.ndarray, pivot: int, shared: int)
 
     Both stand in this pivot's list; the lists of the others are merged, one pivot at a time.
     """
-    count = np.ones((len(near_a), len(near_b)), np.uint8)
+    count, elsewhere = np.ones((len(near_a), len(near_b)), np.uint8), np.zeros((len(near_a), len(near_b)), bool)
 
-    def lists(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lists(near: np.ndarray) -> tuple[np.ndarray, ...]:
         rows, flat = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
         order = np.argsort(flat, kind="stable")
-        names, first = np.unique(flat[order], return_index=True)
-        return names, first, rows[order]
-
-    (names_a, first_a, rows_a), (names_b, first_b, rows_b) = lists(near_a), lists(near_b)
-    _, at_a, at_b = np.intersect1d(names_a, names_b, assume_unique=True, return_indices=True)
-    end_a, end_b = np.r_[first_a[1:], len(rows_a)], np.r_[first_b[1:], len(rows_b)]
-    later = []
-    for i, j in zip(at_a.tolist(), at_b.tolist()):
-        cell = np.ix_(rows_a[first_a[i] : end_a[i]], rows_b[first_b[j] : end_b[j]])
-        if names_a[i] < pivot:
-            count[cell] = 0  # counted in that pivot's list
-        elif names_a[i] > pivot:
-            later.append(cell)
-    open_ = count > 0
-    for cell in later:
-        count[cell] += 1
-    return open_ & (count >= shared)
+        names, first, n = np.unique(flat[order], return_index=True, return_counts=True)
+        return names, first, n, rows[order]
+
+    (names_a, first_a, n_a, rows_a), (names_b, first_b, n_b, rows_b) = lists(near_a), lists(near_b)
+    names, at_a, at_b = np.intersect1d(names_a, names_b, assume_unique=True, return_indices=True)
+    first_a, n_a, first_b, n_b = first_a[at_a], n_a[at_a], first_b[at_b], n_b[at_b]
+    size = n_a * n_b
+    # A pair that shares a lesser pivot is counted in that pivot's list.
+    for these, mark in ((names < pivot, True), (names > pivot, False)):
+        for k in np.flatnonzero(these & (size > DENSE)).tolist():
+            cell = np.ix_(rows_a[first_a[k] : first_a[k] + n_a[k]], rows_b[first_b[k] : first_b[k] + n_b[k]])
+            if mark:
+                elsewhere[cell] = True
+            else:
+                count[cell] += 1
+        few = np.flatnonzero(these & (size <= DENSE))
+        ends = np.cumsum(size[few])
+        # Short lists' pairs are written out side by side, so many at a time.
+        for part in np.split(few, np.flatnonzero(np.diff(ends // PAIRS)) + 1) if len(few) else []:
+            n = size[part]
+            k = np.repeat(part, n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j = rows_a[first_a[k] + place // n_b[k]], rows_b[first_b[k] + place % n_b[k]]
+            if mark:
+                elsewhere[i, j] = True
+            else:
+                np.add.at(count, (i, j), 1)
+    return ~elsewhere & (count >= shared)
 
 
 def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.ndarray, pivot: int, shared: int, cosine: float) -> np.ndarray:
@@ -160,7 +173,8 @@ def linked(distinct: DataFrame, width: int, cosine: float, pivots: int | None, n
 
     index = common.written(distinct.mapInArrow(describe, "first long, copies long, u binary, near array<int>"), "index")
     sizes = index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    posted = index.withColumn("pivot", F.explode("near")).join(sizes, "pivot")
+    # A row a pivot, ``MOST`` at most.
+    posted = index.withColumn("pivot", F.explode("near")).join(F.broadcast(sizes), "pivot")
     posted = posted.withColumn("own", F.pmod(F.xxhash64("first", F.lit(11)), F.col("n")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     posted = posted.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "first", "copies", "u", "near")

@@ -1,4 +1,6 @@
-"""Licence notices and short licences to compare texts with, by SPDX-like name."""
+"""Licence notices, short licences and whole licences (``licence_texts``) to compare texts with, by SPDX-like name."""
+
+from pathlib import Path
 
 # The public wording of licence notices.
 NOTICES = [
@@ -77,4 +79,12 @@ restrictions: The origin of this software must not be misrepresented; you must n
 software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
 software. This notice may not be removed or altered from any source distribution."""),
 ]
-TEMPLATES = NOTICES + TEXTS
+
+
+def whole_texts(folder: str | Path | None = None) -> list[tuple[str, str]]:
+    """(name, text) of each file of a folder of whole licences; by default those in this package."""
+    folder = Path(folder) if folder else Path(__file__).with_name("licence_texts")
+    return [(f.stem, f.read_text(encoding="utf-8", errors="replace")) for f in sorted(folder.glob("*.txt"))]
+
+
+TEMPLATES = NOTICES + TEXTS + whole_texts()

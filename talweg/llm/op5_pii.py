@@ -7,14 +7,16 @@ expressions are written so that Java's matcher neither recurses nor rescans on
 long texts (possessive groups; a match may not start inside a run that has
 failed); they match what the plain ones match.
 
-Bootstrapping then looks for identifiers that no expression knows. A mention is
-a word with ``MIN_DIGITS`` digits or more outside the base spans, or a base span
-(the seeds). Its context is a pattern: the last ``LEFT`` words of all the text
-before it (runs of letters, in lower case), with a mark of the text's start for
-each that is missing. So every mention has one. Patterns
-and instances (distinct strings) form a bipartite graph. A mention of another
-shape (``NO_ID``: years, dates, times, amounts, percentages) is a counterexample
-and never an identifier. In each round a pattern's confidence is the mean of its
+Bootstrapping then looks for identifiers that no expression knows. A mention is a
+word outside the base spans that has ``MIN_DIGITS`` digits or more, or letters
+and a digit, ``MIN_MIXED`` characters of them; or a base span (the seeds). Its
+contexts are patterns of three words (runs of letters, in lower case, from all
+the text before and after it): the three before, the three after, and two before
+with one after; a mark of the text's start or end stands for each that is
+missing. Marks alone are no pattern, nor is a single word after. Patterns and instances (distinct
+strings) form a bipartite graph. A mention of another shape (``NO_ID``: years,
+dates, times, amounts, percentages, numbers with a short unit or ending) is a
+counterexample and never an identifier. In each round a pattern's confidence is the mean of its
 distinct known instances (seeds 1, counterexamples 0, identifiers found their
 best accepted pattern's), counted with one doubtful instance more; unknown ones
 neither help nor harm. Patterns need ``SUPPORT`` distinct identifiers and a
@@ -44,17 +46,17 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LEFT, MIN_DIGITS, SUPPORT, ACCEPT, ROUNDS = 3, 4, 3, 0.7, 3
+WORDS, MIN_DIGITS, MIN_MIXED, SUPPORT, ACCEPT, ROUNDS = 3, 4, 5, 3, 0.7, 3
 MENTION = r"(?:\G|(?<!\S))[^\s0-9]*+[0-9]\S*+"
 #: Years and their ranges; dates; times; grouped or decimal numbers; percentages and amounts of money. Of at most NO_ID_LENGTH characters.
 NO_ID = (
     r"^[^\p{L}\p{N}$\u20ac\u00a3\u00a5]*+(?:(?:19|20)[0-9]{2}s?(?:[/\u2013-](?:[0-9]{2}){1,2})?"
     r"|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}){1,2}|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}(?:T[0-9:.Z+-]+)?"
     r"|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?|[0-9]{1,3}(?:[,.'][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+[.,][0-9]+"
-    r"|[0-9][0-9.,]*%|[$\u20ac\u00a3\u00a5][0-9][0-9.,]*|[0-9][0-9.,]*[$\u20ac\u00a3\u00a5])[^\p{L}\p{N}]*$"
+    r"|[0-9]{1,4}\p{L}{1,3}|[0-9][0-9.,]*%|[$\u20ac\u00a3\u00a5][0-9][0-9.,]*|[0-9][0-9.,]*[$\u20ac\u00a3\u00a5])[^\p{L}\p{N}]*$"
 )
 NO_ID_LENGTH = 40
-START = "^"  # no run of letters
+START, END = "^", "$"  # no runs of letters
 
 
 def cut(text: Column, pattern: str, keep) -> Column:
@@ -106,22 +108,34 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def in_context(text: Column, mentions: Column) -> Column:
-    """``mentions`` (in order of start) with ``context``, the last ``LEFT`` words before each.
+    """``mentions`` (in order of start) with ``patterns``, hashes of the words around each.
 
-    The text is read once: each stretch from one mention's start to the next hands its words on.
+    The text is read once forward: each stretch from one mention's start to the
+    next hands its last words on. What follows a mention, up to the next one, is
+    its own stretch; where that has too few words it ends with marks.
     """
+    words = lambda a, n: F.filter(F.split(F.lower(F.substring(text, a + 1, F.greatest(n, F.lit(0)))), r"[^\p{L}]+"), lambda w: w != "")
     at = F.transform(mentions, lambda s: s["start"])
     since = F.concat(F.array(F.lit(0)), at)
-    stretches = F.zip_with(at, F.slice(since, 1, F.size(at)), lambda b, a: F.filter(F.split(F.lower(F.substring(text, a + 1, b - a)), r"[^\p{L}]+"), lambda w: w != ""))
-    start = F.array(*[F.lit(START)] * LEFT)
-    none = F.array().cast("array<string>")
+    stretches = F.zip_with(at, F.slice(since, 1, F.size(at)), lambda b, a: words(a, b - a))
+    marks = lambda m: F.array(*[F.lit(m)] * WORDS)
+    none = F.array().cast("array<array<string>>")
 
-    def read(acc: Column, words: Column) -> Column:
-        last = F.slice(F.concat(acc["last"], words), -LEFT, LEFT)
-        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.array_join(last, " "))).alias("out"))
+    def read(acc: Column, found: Column) -> Column:
+        last = F.slice(F.concat(acc["last"], found), -WORDS, WORDS)
+        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(last)).alias("out"))
 
-    contexts = F.aggregate(stretches, F.struct(start.alias("last"), none.alias("out")), read, lambda acc: acc["out"])
-    return F.zip_with(mentions, contexts, lambda s, c: F.struct(s["seed"].alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["instance"].alias("instance"), c.alias("context")))
+    before = F.aggregate(stretches, F.struct(marks(START).alias("last"), none.alias("out")), read, lambda acc: acc["out"])
+    until = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.length(text)))
+    after = F.zip_with(mentions, until, lambda s, b: F.slice(F.concat(words(s["end"], b - s["end"]), marks(END)), 1, WORDS))
+
+    def patterns(left: Column, right: Column) -> Column:
+        l, r_ = (lambda k: F.element_at(left, k)), (lambda k: F.element_at(right, k))
+        kinds = [([l(1), l(2), l(3)], l(3) != START), ([r_(1), r_(2), r_(3)], r_(2) != END), ([l(2), l(3), r_(1)], (l(3) != START) & (r_(1) != END))]
+        return F.filter(F.array(*(F.when(real, F.xxhash64(F.lit(k), *three)) for k, (three, real) in enumerate(kinds))), lambda p: p.isNotNull())
+
+    around = F.zip_with(before, after, patterns)
+    return F.zip_with(mentions, around, lambda s, p: F.struct(s["seed"].alias("seed"), s["start"].alias("start"), s["end"].alias("end"), s["instance"].alias("instance"), p.alias("patterns")))
 
 
 def joined(spans: Column) -> Column:
@@ -139,7 +153,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = found.withColumn("base", F.concat(*(F.transform(k, tag(i)) for i, k in enumerate(KINDS[:4]))))
     other = F.when(
         F.col("text").rlike("[0-9]"),
-        F.filter(cut(F.col("text"), MENTION, lambda m: F.length(_digits(m)) >= MIN_DIGITS), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
+        F.filter(cut(F.col("text"), MENTION, lambda m: (F.length(_digits(m)) >= MIN_DIGITS) | (m.rlike(r"\p{L}") & (F.length(F.regexp_replace(m, r"[^\p{L}\p{N}]", "")) >= MIN_MIXED))), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
     ).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
     mention = lambda seed: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), seed(s["m"]).alias("seed"), F.xxhash64(s["m"]).alias("instance"))
     shape = lambda m: F.when((F.length(m) <= NO_ID_LENGTH) & m.rlike(NO_ID), F.lit(-1.0)).otherwise(F.lit(0.0))
@@ -152,7 +166,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         in_context(F.col("text"), F.col("mentions")).alias("mentions"),
     )
     found = common.written(found, "spans")
-    mentions = found.select("row_key", F.explode("mentions").alias("s")).select("row_key", "s.*").withColumn("pattern", F.xxhash64("context"))
+    mentions = found.select("row_key", F.explode("mentions").alias("s")).select("row_key", "s.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     added = bootstrap(mentions).groupBy("row_key").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("added"))
     return found.drop("mentions").join(added, "row_key", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
 

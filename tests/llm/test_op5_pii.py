@@ -102,6 +102,49 @@ def test_contexts_at_a_start_in_lists_and_after_long_words(spark):
         assert len([x for x in got[i].added.split(",") if x]) == (0 if n == "seed" else n), text[:60]
 
 
+def test_right_contexts_and_identifiers_of_few_digits(spark):
+    rows = [(i, f"{'abcdefghijkl'[i]} +1 377 555 {1000 + i} is where we answer", "seed") for i in range(12)]
+    rows += [(20, "or else AB-CDEF/7 is where we answer", "found"), (21, "or else 21st is where we answer", "none"), (22, "or else 12kg is where we answer", "none"), (23, "or else word is where we answer", "none")]
+    got = results(spark, rows)
+    assert {i for i, r in got.items() if r.added} == {20}
+
+
+def plain_bootstrap(mentions):
+    """The rounds over dictionaries: (key, start, end) that are added. ``mentions``: key, start, end, seed, instance, pattern."""
+    edges = {}
+    for _, _, _, seed, instance, pattern in mentions:
+        edges[pattern, instance] = max(edges.get((pattern, instance), -2), seed)
+    seeds = {}
+    for (_, i), s in edges.items():
+        seeds[i] = max(seeds.get(i, -2), s)
+    belief, accepted = dict(seeds), {}
+    for _ in range(P.ROUNDS):
+        accepted = {}
+        for p in {p for p, _ in edges}:
+            known = [belief[i] for q, i in edges if q == p and belief[i] != 0]
+            score = sum(max(b, 0) for b in known) / (len(known) + 1)
+            if sum(b > 0 for b in known) >= P.SUPPORT and score >= P.ACCEPT:
+                accepted[p] = score
+        for i, s in seeds.items():
+            belief[i] = s if s != 0 else max((accepted[p] for p, j in edges if j == i and p in accepted), default=0.0)
+    return {(k, a, b) for k, a, b, s, _, p in mentions if s == 0 and p in accepted}
+
+
+def test_bootstrap_against_plain_rounds(spark):
+    import random
+
+    rng = random.Random(7)
+    some = 0
+    for n in (40, 400):
+        kinds = {i: rng.choice([1.0, 1.0, 1.0, -1.0, 0.0, 0.0, 0.0]) for i in range(n)}
+        rows = [(f"k{r}", r, r + 5, kinds[i], i, rng.choice([i % 7, i % 11, rng.randrange(15)])) for r, i in enumerate(rng.choices(range(n), k=3 * n))]
+        got = P.bootstrap(spark.createDataFrame(rows, "row_key string, start int, end int, seed double, instance long, pattern long")).collect()
+        want = plain_bootstrap(rows)
+        assert {tuple(r) for r in got} == want
+        some += len(want)
+    assert some
+
+
 def test_empty_table_repeated_rows_and_query_columns(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(empty).count() == 0

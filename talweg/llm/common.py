@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Unset, it is a temporary one on one machine and an error on a cluster."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         own = f"file://{tempfile.mkdtemp(prefix='talweg-')}"
@@ -25,10 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/talweg/{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/talweg/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -90,8 +90,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write ``documents`` as directly addressable codes, then read the files back."""
-    import uuid
-
-    path = f"{common.shared_dir(spark)}/talweg/codes-{uuid.uuid4().hex}"
+    path = common.scratch(spark, "codes")
     write(common.table(spark, sf_dir, "documents"), path)
     return read_documents(spark, path)

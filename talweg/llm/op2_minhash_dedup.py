@@ -269,13 +269,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     docs = named(docs, id_col, text_col)
     idf = spark.sparkContext.broadcast(document_frequencies(docs))  # 4 MB, whatever the input
     signed = common.written(signatures(docs, idf), "signatures")
-    distinct = signed.groupBy("key").agg(F.min("name").alias("a"), F.min("bands").alias("bands"), F.min("sig").alias("sig_a"))
-    banded = distinct.select("a", "sig_a", F.explode("bands").alias("bucket"))
-    # Buckets of one text are most; only the others' rows go on. A bucket's leader is its text of least hash.
-    rank = F.xxhash64("a")
-    met = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rank).alias("low")).where("n > 1").select("bucket", "low")
+    distinct = signed.groupBy("key").agg(F.min("name").alias("a"), F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("sig").alias("sig_a"))
+    banded = distinct.select("a", "doc_id", "sig_a", F.explode("bands").alias("bucket"))
+    # Buckets of one text are most; only the others' rows go on. A bucket's leader is its text of least name.
+    met = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1").select("bucket", "low")
     members = common.written(banded.join(met, "bucket"), "buckets")
-    lead = members.where(rank == F.col("low")).groupBy("bucket").agg(F.min(F.struct("a", "sig_a")).alias("lead")).select("bucket", F.col("lead.a").alias("b"), F.col("lead.sig_a").alias("sig_b"))
+    lead = members.where("doc_id = low").groupBy("bucket").agg(F.min(F.struct("a", "sig_a")).alias("lead")).select("bucket", F.col("lead.a").alias("b"), F.col("lead.sig_a").alias("sig_b"))
     edges = verified(agreeing(members.join(lead, "bucket").where("a <> b")), docs, idf, similarity)
 
     def apart(edges: DataFrame) -> DataFrame:
@@ -343,19 +342,20 @@ def compared(rest: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFr
     texts = texts_of(docs, rest.select(F.col("a").alias("name")).distinct()).withColumnRenamed("name", "a")
     largest = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
     rows = common.written(rest.join(largest, "bucket").join(texts, "a").select("bucket", "a", "component", "text", (F.col("component") == F.col("largest")).alias("inside")), "compared")
-    blocks = lambda inside: F.ceil(F.greatest(F.count_if(inside) / BLOCK, F.sum(F.when(inside, F.length("text")).otherwise(0)) / BLOCK_CHARS)).cast("int")
-    sizes = rows.groupBy("bucket").agg(blocks(F.col("inside")).alias("within"), F.greatest(F.lit(1), blocks(~F.col("inside"))).alias("outside"))
+    blocks = lambda these: F.ceil(F.greatest(F.count_if(these) / BLOCK, F.sum(F.when(these, F.length("text")).otherwise(0)) / BLOCK_CHARS)).cast("int")
+    sizes = rows.groupBy("bucket").agg(blocks(F.lit(True)).alias("all"), blocks(F.col("inside")).alias("within"), F.greatest(F.lit(1), blocks(~F.col("inside"))).alias("outside"))
     dealt = rows.join(sizes, "bucket").withColumn("h", F.xxhash64("a", F.lit(5)))
-    # The outside's blocks come first; each meets itself and all blocks after it.
-    dealt = dealt.withColumn("own", F.when(F.col("inside"), F.col("outside") + F.pmod("h", F.greatest("within", F.lit(1)))).otherwise(F.pmod("h", "outside")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outside") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("within")))))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "component", "text")
+    # A bucket that fits is one block. Else the outside's blocks come first; each meets itself and all blocks after it.
+    one = F.col("all") <= 1
+    dealt = dealt.withColumn("own", F.when(one, 0).when(F.col("inside"), F.col("outside") + F.pmod("h", F.greatest("within", F.lit(1)))).otherwise(F.pmod("h", "outside")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(one, 0).otherwise(F.col("outside") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("within"))))))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "inside", "a", "component", "text")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         group = group.sort_values("a")
         own, name, component = group["own"].to_numpy(), group["a"].to_numpy(), group["component"].to_numpy()
-        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = np.flatnonzero((own == i) & ~group["inside"].to_numpy(bool)), np.flatnonzero(own == j)
         none = pd.DataFrame({"src": np.zeros(0, object), "dst": np.zeros(0, object)})
         if not len(x) or not len(y) or len(np.unique(component)) < 2:
             return none

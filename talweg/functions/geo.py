@@ -68,6 +68,20 @@ def tm2(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE_EASTING + K0 * radius * east, K0 * radius * north
 
 
+def tm2_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Easting and northing to longitude and latitude (the inverse series to the same order)."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi, eta = y / (K0 * radius), (x - FALSE_EASTING) / (K0 * radius)
+    xi_ = xi - sum((b * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(beta, 1)), F.lit(0.0))
+    eta_ = eta - sum((b * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(beta, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(xi_) / F.cosh(eta_))
+    lat = chi + sum((d * F.sin(2 * k * chi) for k, d in enumerate(delta, 1)), F.lit(0.0))
+    return LON0 + F.degrees(F.atan2(F.sinh(eta_), F.cos(xi_))), F.degrees(lat)
+
+
 def disc(cx: float, cy: float, r: float, sides: int = 64) -> list[tuple[float, float]]:
     """A circle as the polygon that buffers are made of."""
     return [(cx + r * math.cos(2 * math.pi * k / sides), cy + r * math.sin(2 * math.pi * k / sides)) for k in range(sides)]

@@ -63,7 +63,7 @@ def to_roc_month(d: Column) -> Column:
 def free_year(c: Column) -> Column:
     """The first year in free text: yyyMMdd, a marked two- or three-digit year, or an ISO year."""
     compact = F.regexp_extract(c, r"(?<![0-9])([0-9]{3})[0-9]{4}(?![0-9])", 1).try_cast("int")
-    marked = F.regexp_extract(c, r"(?<![0-9])([0-9]{2,3})[年./-]", 1).try_cast("int")
+    marked = F.regexp_extract(c, r"(?<![0-9./-])([0-9]{2,3})\s*[年./-]", 1).try_cast("int")
     iso = F.regexp_extract(c, r"(?<![0-9])([0-9]{4})(?![0-9])", 1).try_cast("int")
     found = F.coalesce(compact, marked, iso)
     return F.when(found > ROC_OFFSET, found).otherwise(found + ROC_OFFSET)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talweg.functions.parsing import nfkc
+
 
-def topic_key(c: Column) -> Column:
-    """Lower case without spaces and punctuation, for matching labels."""
-    return F.regexp_replace(F.lower(c), r"(?U)[\s\W_]+", "")
+def topic_key(c: Column, unicode_form: bool = False) -> Column:
+    """Lower case without spaces and punctuation, for matching labels. ``unicode_form``: NFKC first."""
+    return F.regexp_replace(F.lower(nfkc(c) if unicode_form else c), r"(?U)[\s\W_]+", "")
 
 
 def matched_terms(c: Column, terms: list[str]) -> Column:
@@ -16,9 +21,9 @@ def matched_terms(c: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))
 
 
-def label_match(c: Column, aliases: list[str], exclude: list[str] = ()) -> Column:
+def label_match(c: Column, aliases: list[str], exclude: list[str] = (), unicode_form: bool = False) -> Column:
     """An alias is contained and no excluded term is."""
-    key = topic_key(c)
+    key = topic_key(c, unicode_form)
     none = F.lit(True) if not exclude else F.size(matched_terms(key, list(exclude))) == 0
     return (F.size(matched_terms(key, aliases)) > 0) & none
 
@@ -28,15 +33,23 @@ SCRUBS = {
     "url": r"https?://\S+",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "phone": r"\+?[0-9][0-9() -]{7,}[0-9]",
-    "date": r"[0-9]{2,4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}",
+    "date": r"[0-9]{2,4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{2,4}\s*年\s*[0-9]{1,2}\s*月(?:\s*[0-9]{1,2}\s*日)?",
+    "page": r"第\s*[0-9]+\s*頁|(?i)\bpages?\s+[0-9]+",
+    "identifier": r"\b[A-Za-z]{1,4}-?[0-9]{4,}\b",
     "number": r"[0-9]+",
 }
+#: Titles that follow a person's name in minutes.
+ROLES = ["主席", "主任委員", "副主任委員", "委員", "局長", "副局長", "科長", "處長", "主任", "專員", "代表"]
 
 
-def scrub(c: Column) -> tuple[Column, dict[str, Column]]:
-    """(text without metadata, how many of each kind went)."""
+def scrub(c: Column, roles: list[str] = ()) -> tuple[Column, dict[str, Column]]:
+    """(text without metadata, how many of each kind went). Format characters go first; names before ``roles`` last."""
     counts = {}
-    for name, rx in SCRUBS.items():
+    c = F.regexp_replace(c, r"\p{Cf}", "")
+    kinds = dict(SCRUBS)
+    if roles:
+        kinds["role"] = rf"\p{{IsHan}}{{2,4}}?(?:{'|'.join(sorted(roles, key=len, reverse=True))})"
+    for name, rx in kinds.items():
         counts[name] = F.regexp_count(c, F.lit(rx))
         c = F.regexp_replace(c, rx, " ")
     return c, counts
@@ -47,10 +60,35 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
 
 
+def mixed_tokens(c: Column, contained: list[str] = ()) -> Column:
+    """Lower-case runs of Latin letters and digits, 2- to 4-grams of each run of Han characters, and the listed terms that the text contains."""
+    low = F.lower(c)
+    latin = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9]+"), F.lit(0))
+    han = F.regexp_extract_all(c, F.lit(r"\p{IsHan}+"), F.lit(0))
+    grams = F.flatten(F.transform(han, lambda run: F.flatten(F.array(*(ngrams(run, n) for n in (2, 3, 4))))))
+    parts = [latin, grams]
+    if contained:
+        parts.append(matched_terms(low, [t.lower() for t in contained]))
+    return F.concat(*parts)
+
+
+def udf_tokens(tokenize: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]:
+    """A Python tokenizer as one on columns: Arrow batches, null texts have no tokens."""
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [] if x is None else list(tokenize(x)))
+
+    return lambda c: F.pandas_udf(run, "array<string>")(c)
+
+
 def kept_tokens(c: Column, stop: list[str] = (), protect: list[str] = (), low: int = 2, high: int = 12) -> Column:
-    """Tokens of a length in bounds that are no stop words, or are protected."""
-    inside = lambda t: F.length(t).between(low, high) & ~t.isin(*stop) if stop else F.length(t).between(low, high)
-    return F.filter(c, lambda t: (t.isin(*protect) | inside(t)) if protect else inside(t))
+    """Tokens of a length in bounds with a letter that are no stop words; a protected one may be a stop word."""
+    def good(t: Column) -> Column:
+        sound = F.length(t).between(low, high) & t.rlike(r"\p{L}")
+        if not stop:
+            return sound
+        return sound & (~t.isin(*stop) | t.isin(*protect) if protect else ~t.isin(*stop))
+
+    return F.filter(c, good)
 
 
 def ngrams(c: Column, n: int) -> Column:

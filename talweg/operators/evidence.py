@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,26 +30,147 @@ def public(df: DataFrame) -> DataFrame:
     return df
 
 
+LEVELS = 8
+
+
 def flatten(payloads: DataFrame, body: str, key: str) -> DataFrame:
     """(key, path, value) of each leaf of a JSON payload; blocked keys are left out.
 
     Objects and arrays are unfolded level by level with VARIANT functions: a
-    generator for each level, no Python.
+    generator for each level, no Python. What lies deeper than ``LEVELS`` is
+    walked by a small helper in the same plan; payloads rarely have any of it.
     """
     import json
 
     blocked = json.dumps(sorted(BLOCKED))
     names = F.from_json(F.lit(blocked), "array<string>")
     now = payloads.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(body)).alias("v")).where("v IS NOT NULL")
+    kind = F.schema_of_variant("v")
+    deep = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     done = None
-    for _ in range(8):
-        kind = F.schema_of_variant("v")
-        leaf = now.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))).select(key, "path", F.col("v").cast("string").alias("value"))
+    for _ in range(LEVELS):
+        leaf = now.where(~deep).select(key, "path", F.col("v").cast("string").alias("value"))
         done = leaf if done is None else done.unionAll(leaf)
-        deep = now.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        nxt = deep.select(key, "path", F.explode(F.coalesce(F.expr("try_cast(v as map<string,variant>)"), F.map_from_entries(F.transform(F.expr("try_cast(v as array<variant>)"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))))).alias("__name", "v"))
+        nxt = now.where(deep).select(key, "path", F.explode(F.coalesce(F.expr("try_cast(v as map<string,variant>)"), F.map_from_entries(F.transform(F.expr("try_cast(v as array<variant>)"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))))).alias("__name", "v"))
         now = nxt.where(~F.array_contains(names, F.col("__name"))).select(key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("__name")).alias("path"), "v")
-    return done.where("value IS NOT NULL")
+    rest = now.select(key, "path", F.to_json("v").alias("body"))
+    return done.where("value IS NOT NULL").unionAll(rest.mapInPandas(_walked(key), f"{key} {dict(rest.dtypes)[key]}, path string, value string"))
+
+
+def _walked(key: str):
+    """Leaves of the bodies of each batch, without recursion."""
+    import json
+
+    import pandas as pd
+
+    def leaves(path: str, body: str):
+        todo = [(path, json.loads(body, parse_int=str, parse_float=str))]
+        while todo:
+            at, x = todo.pop()
+            if isinstance(x, dict):
+                todo += [(f"{at}.{k}" if at else k, y) for k, y in reversed(x.items()) if k not in BLOCKED]
+            elif isinstance(x, list):
+                todo += [(f"{at}.{k}" if at else str(k), y) for k, y in reversed(list(enumerate(x)))]
+            elif x is not None:
+                yield at, x if isinstance(x, str) else str(x).lower()
+
+    def walk(batches):
+        for batch in batches:
+            rows = [(k, p, v) for k, path, body in zip(batch[key], batch["path"], batch["body"]) for p, v in leaves(path, body)]
+            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+
+    return walk
+
+
+def record_evidence(records: DataFrame, measures: dict[str, dict[str, str]], dataset: str = "dataset", period: str = "period", order: str = "record_index") -> DataFrame:
+    """Long facts from curated records: a record's own metric and value, else each of its dataset's measure columns that has one.
+
+    ``measures``: dataset -> measure column -> unit. The id is
+    dataset:period:record:metric, so a record's facts stay apart.
+    """
+    fields = sorted({m for of in measures.values() for m in of if m in records.columns})
+    direct = F.col("metric_id").isNotNull() & F.col("value").isNotNull()
+    own = F.struct(F.col("metric_id").alias("metric_id"), F.lit("metric_id").alias("metric_source"), F.col("value").cast("string").alias("value"), (F.col("unit") if "unit" in records.columns else F.lit(None).cast("string")).alias("unit"))
+    unit = lambda m: F.coalesce(*(F.when(F.col(dataset) == d, F.lit(of[m])) for d, of in measures.items() if m in of))
+    mine = lambda m: F.col(dataset).isin(*(d for d, of in measures.items() if m in of)) & F.col(m).isNotNull()
+    wide = [F.when(mine(m), F.struct(F.lit(m).alias("metric_id"), F.lit("record_field").alias("metric_source"), F.col(m).cast("string").alias("value"), unit(m).alias("unit"))) for m in fields]
+    found = F.when(direct, F.array(own)).otherwise(F.filter(F.array(*wide), lambda x: x.isNotNull()) if wide else F.array().cast("array<struct<metric_id:string,metric_source:string,value:string,unit:string>>"))
+    keep = [c for c in records.columns if c not in {"metric_id", "value", "unit", *fields}]
+    rows = records.select(*keep, F.explode(found).alias("__f")).select(*keep, "__f.*")
+    return rows.withColumn("evidence_id", F.concat_ws(":", dataset, period, F.col(order).cast("string"), "metric_id"))
+
+
+def capped(rows: DataFrame, body: str, caps: dict[str, int], default: int = 120) -> DataFrame:
+    """Arrays of rows (``body``, with ``path``) cut to their path's cap, with how many went, and exploded after that."""
+    cap = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col("path")), F.lit(default)) if caps else F.lit(default)
+    cut = rows.withColumns({"__n": F.size(body), "__cap": cap}).withColumn(body, F.slice(body, 1, F.col("__cap")))
+    return cut.select("path", F.greatest(F.col("__n") - F.col("__cap"), F.lit(0)).alias("dropped"), F.posexplode(body).alias("place", "row"))
+
+
+def artifacts(available: DataFrame, datasets: list[str] | None, area: str | None, areas: dict[str, list[str]]) -> DataFrame:
+    """The artifacts to read: those named, else those of a focus area that has any, else all. ``available``: key."""
+    if datasets is not None:
+        return available.where(F.col("key").isin(*datasets) | F.concat(F.lit("analytics:"), F.col("key")).isin(*datasets))
+    wanted = areas.get((area or "").strip().lower())
+    if wanted is None:
+        return available
+    one = available.agg(F.count_if(F.col("key").isin(*wanted)).alias("__n"))
+    return available.crossJoin(F.broadcast(one)).where((F.col("__n") == 0) | F.col("key").isin(*wanted)).drop("__n")
+
+
+def assembled(facts: DataFrame, comparison: list[str], focus: list[str], districts: list[str], shares: dict[str, float], cap: int, requested: str | None = None) -> DataFrame:
+    """The evidence of one question: the comparison metrics for every district, and the focus ones of its own; each fact once, then by quota.
+
+    Facts that the comparison asks for come first; ``shares`` are by
+    ``metric_source``.
+    """
+    from talweg.operators.sets import quota_top
+    from talweg.operators.stats import first_by
+
+    inside = period_policy(facts, requested)
+    wide = scoped(inside, metrics=comparison).withColumn("__rank", F.lit(0)) if comparison else None
+    own = scoped(inside, districts=districts, metrics=focus).withColumn("__rank", F.lit(1))
+    both = own if wide is None else wide.unionByName(own)
+    once = first_by(both, ["evidence_id"], F.col("__rank"))
+    return quota_top(once, "metric_source", [F.asc("__rank"), F.asc("evidence_id")], shares, cap).drop("__rank", "rank")
+
+
+def item_evidence(items: DataFrame, plans: dict[str, list[str]], area: str) -> DataFrame:
+    """Leaves of the serving items that an area reads: (pk, sk, path, value). ``items``: pk, sk, body; ``plans``: area -> partitions."""
+    mine = items.where(F.col("pk").isin(*plans[area])).withColumn("__key", F.to_json(F.struct("pk", "sk")))
+    return flatten(mine, "body", "__key").select(F.get_json_object("__key", "$.pk").alias("pk"), F.get_json_object("__key", "$.sk").alias("sk"), "path", "value")
+
+
+class Repository(Protocol):
+    """Where facts come from: a query in, facts out."""
+
+    def facts(self, districts: list[str], metrics: list[str], eligibility: list[str], period: str | None) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class TableRepository:
+    """Facts of one table, scoped and under the period policy, each dataset's rows up to a limit."""
+
+    table: DataFrame
+    limit: int = 4000
+
+    def facts(self, districts: list[str] = (), metrics: list[str] = (), eligibility: list[str] = (), period: str | None = None) -> DataFrame:
+        from talweg.operators.sets import limited
+
+        rows = period_policy(scoped(self.table, districts, metrics, eligibility), period)
+        return limited(rows, "dataset", [F.asc("evidence_id")], self.limit)
+
+
+@dataclass(frozen=True)
+class CompositeRepository:
+    """Several repositories as one; those that can't answer are left out, all failing is an error."""
+
+    parts: list[Repository]
+
+    def facts(self, districts: list[str] = (), metrics: list[str] = (), eligibility: list[str] = (), period: str | None = None) -> DataFrame:
+        from talweg.operators.sets import union_all
+
+        return union_all([lambda p=p: p.facts(districts, metrics, eligibility, period) for p in self.parts])
 
 
 def scoped(facts: DataFrame, districts: list[str] = (), metrics: list[str] = (), eligibility: list[str] = ()) -> DataFrame:

@@ -24,9 +24,9 @@ def lookup(df: DataFrame, build: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fallback_lookup(df: DataFrame, build: DataFrame, first: str, second: str, build_first: str, build_second: str, value: str) -> DataFrame:
-    """The value by the first key, else by the second."""
-    a = build.select(F.col(build_first).alias(first), F.col(value).alias("__a")).dropDuplicates([first])
-    b = build.select(F.col(build_second).alias(second), F.col(value).alias("__b")).dropDuplicates([second])
+    """The value by the first key, else by the second; the least value where a key repeats."""
+    a = build.groupBy(F.col(build_first).alias(first)).agg(F.min(value).alias("__a"))
+    b = build.groupBy(F.col(build_second).alias(second)).agg(F.min(value).alias("__b"))
     return df.join(a, first, "left").join(b, second, "left").withColumn(value, F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
@@ -48,16 +48,28 @@ def _axis(ring: Column, axis: str) -> Column:
     return F.transform(ring, lambda p: p[axis])
 
 
-def located(points: DataFrame, polygons: DataFrame, key: str, region: str) -> DataFrame:
+def located(points: DataFrame, polygons: DataFrame, key: str, region: str, cells: int = 256) -> DataFrame:
     """(key, region) of each point: the polygon that holds it if there is exactly one, else null.
 
-    ``polygons`` (a dimension table: region, rings) is broadcast; the bounding
-    box goes first, so the ray cast meets few pairs.
+    ``polygons``: region, rings. Points and polygons meet on the cells of a grid
+    (``cells`` a side, over the extent of all polygons), then on the bounding box,
+    so the ray cast meets few pairs.
     """
     ring = F.element_at(F.col("rings"), 1)
     boxed = polygons.select(F.col(region), "rings", *(f(_axis(ring, c)).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.array_min, F.array_max)))
     near = F.col("x").between(F.col("array_min_x"), F.col("array_max_x")) & F.col("y").between(F.col("array_min_y"), F.col("array_max_y"))
-    held = points.join(F.broadcast(boxed), near & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    extent = boxed.agg(*(f(f"{g}_{c}").alias(f"__{g}_{c}") for c in "xy" for f, g in ((F.min, "array_min"), (F.max, "array_max"))))
+
+    def cell(c: Column, axis: str) -> Column:
+        lo, hi = F.col(f"__array_min_{axis}"), F.col(f"__array_max_{axis}")
+        return F.floor(F.coalesce(F.try_divide(c - lo, hi - lo), F.lit(0.0)) * cells).cast("int")
+
+    spread = boxed.crossJoin(F.broadcast(extent))
+    for c in "xy":
+        spread = spread.withColumn(f"__g{c}", F.explode(F.sequence(cell(F.col(f"array_min_{c}"), c), cell(F.col(f"array_max_{c}"), c))))
+    spread = spread.drop(*(c for c in spread.columns if c.startswith("__array")))
+    dealt = points.select(key, "x", "y").crossJoin(F.broadcast(extent)).select(key, "x", "y", cell(F.col("x"), "x").alias("__gx"), cell(F.col("y"), "y").alias("__gy"))
+    held = dealt.join(spread, ["__gx", "__gy"]).where(near & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
     one = held.groupBy(key).agg(F.count("*").alias("n"), F.min(region).alias(region)).where("n = 1").drop("n")
     return points.select(key).join(one, key, "left")
 

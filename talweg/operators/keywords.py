@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,12 +21,18 @@ class Weights:
     bonus: float = 0.8
 
 
-def term_stats(docs: DataFrame, doc: str, body: Column, source: str, endorsements: Column | None = None, stop: list[str] = ()) -> DataFrame:
-    """tf, df and support (1 + ln(1 + endorsements) summed over documents) of each term and source."""
-    words = docs.select(F.col(doc).alias("__doc"), F.col(source).alias("source"), (endorsements if endorsements is not None else F.lit(0)).alias("__e"), F.explode(T.kept_tokens(T.tokens(body), list(stop))).alias("term"))
-    # One row a term and document first: the distinct count becomes a plain count.
-    each = words.groupBy("term", "source", "__doc").agg(F.count("*").alias("n"), F.first("__e").alias("e"))
-    return each.groupBy("term", "source").agg(F.sum("n").alias("tf"), F.count("*").alias("df"), F.sum(1 + F.log1p(F.col("e").cast("double"))).alias("support"))
+def term_stats(docs: DataFrame, doc: str, body: Column, source: str, endorsements: Column | None = None, stop: list[str] = (), tokenizer: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """tf, df and support (1 + ln(1 + endorsements) summed over documents) of each term and source; a row is a document.
+
+    ``tokenizer``: text to an array of tokens, ``T.tokens`` or another (``T.udf_tokens`` wraps a Python one).
+    A text's tokens and its distinct tokens both leave its row, the latter marked:
+    the one shuffle takes partial sums by term and source.
+    """
+    found = docs.select(F.col(source).alias("source"), (1 + F.log1p(F.coalesce(endorsements, F.lit(0)).cast("double")) if endorsements is not None else F.lit(1.0)).alias("__e"), T.kept_tokens(tokenizer(body), list(stop)).alias("__t"))
+    once = F.transform(F.array_distinct("__t"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("once")))
+    each = F.transform("__t", lambda t: F.struct(t.alias("term"), F.lit(False).alias("once")))
+    words = found.select("source", "__e", F.explode(F.concat(once, each)).alias("w")).select("source", "__e", "w.*")
+    return words.groupBy("term", "source").agg(F.count_if(~F.col("once")).alias("tf"), F.count_if("once").alias("df"), F.sum(F.when(F.col("once"), F.col("__e")).otherwise(0.0)).alias("support"))
 
 
 def ranked(stats: DataFrame, listed: list[str] = (), min_df: int = 2, n: int = 23, w: Weights = Weights()) -> DataFrame:

@@ -30,10 +30,11 @@ def resume_action(status: Column, has_output: Column, has_raw: Column) -> Column
     return F.when(has_output & (status == "ok"), "reuse_output").when(has_raw & status.isin("ok", "transform_failed"), "reuse_raw").when(status == "no_data", "keep_no_data").otherwise("download")
 
 
-def retained(df: DataFrame, year: Column, newest: int, keep_years: int, protected: list[int] = ()) -> DataFrame:
-    """Rows of the last years and of protected anchors."""
-    inside = year >= newest - keep_years + 1
-    return df.where(inside | year.isin(*protected) if protected else inside)
+def retained(df: DataFrame, year: Column, keep_years: int, protected: list[int] = (), newest: int | None = None) -> DataFrame:
+    """Rows of the last years and of protected anchors; the newest year is the table's own unless it is given."""
+    top = df.agg((F.max(year) if newest is None else F.lit(newest)).alias("__newest"))
+    inside = year >= F.col("__newest") - keep_years + 1
+    return df.crossJoin(F.broadcast(top)).where(inside | year.isin(*protected) if protected else inside).drop("__newest")
 
 
 def orphans(artifacts: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.operators.stats import first_by
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    """By name; columns that a part lacks are null. At least one part is needed."""
-    if not parts:
-        raise ValueError("every source failed")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def union_all(parts: list[DataFrame | Callable[[], DataFrame]]) -> DataFrame:
+    """By name; columns that a part lacks are null.
+
+    A part may be a function that opens it: one that can't be opened is left out
+    (its schema is resolved here, its rows are read later). At least one is needed.
+    """
+    opened, failures = [], []
+    for part in parts:
+        try:
+            df = part() if callable(part) else part
+            df.schema  # noqa: B018
+            opened.append(df)
+        except (AnalysisException, OSError) as e:
+            failures.append(e)
+    if not opened:
+        raise ValueError(f"every source failed: {'; '.join(map(str, failures))}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), opened)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -36,7 +50,7 @@ def limited(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame
     """The first n rows of each group, with the group's rows and whether it was cut."""
     w = Window.partitionBy(group).orderBy(*order)
     totals = df.groupBy(group).agg(F.count("*").alias("group_rows"))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).join(F.broadcast(totals), group).withColumn("truncated", F.col("group_rows") > n)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).join(totals, group).withColumn("truncated", F.col("group_rows") > n)
 
 
 def quotas(counts: dict[str, int], shares: dict[str, float], cap: int) -> dict[str, int]:
@@ -57,7 +71,9 @@ def quota_top(df: DataFrame, group: str, order: list[Column], shares: dict[str,
     take = quotas(counts, shares, cap)
     allowed = F.create_map(*(F.lit(x) for kv in take.items() for x in kv)) if take else F.create_map()
     w = Window.partitionBy(group).orderBy(*order)
-    return df.where(F.col(group).isin(list(shares))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= allowed[F.col(group)])
+    # The constant limit goes below the shuffle: no more than ``cap`` rows of a group leave a task.
+    ranked = df.where(F.col(group).isin(list(shares))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    return ranked.where(F.col("rank") <= allowed[F.col(group)])
 
 
 def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

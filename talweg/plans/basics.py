@@ -9,14 +9,16 @@ from talweg.functions import parsing as P
 from talweg.operators import quality, series, sets, stats
 from talweg.plans.base import order_year, query, r
 
+
 def gappy(t):
-    """Value of each nation's and year's largest orders: a series with gaps where there is none, and nulls where none is very large."""
-    big = t.orders.where("o_totalprice > 495000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    v = F.when(F.max("o_totalprice") > 496500, F.sum("o_totalprice"))
-    return big.groupBy(F.col("c_nationkey").alias("k"), order_year().alias("y")).agg(v.alias("v"))
+    """Urgent orders' value by nation and year, over all orders: no row where they are few of a year's, null where they are rather few."""
+    each = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k"), order_year().alias("y"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    a = each.agg(F.sum(F.when(urgent, F.col("o_totalprice"))).alias("v"), (F.count_if(urgent) / F.count("*")).alias("share"))
+    return a.where("share >= 0.17").select("k", "y", F.when(F.col("share") >= 0.19, F.col("v")).alias("v"))
 
 
-GAPPY = "SELECT c_nationkey AS k, year(o_orderdate) AS y, CASE WHEN max(o_totalprice) > 496500 THEN sum(o_totalprice) END AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 495000 GROUP BY ALL"
+GAPPY = "SELECT k, y, CASE WHEN share >= 0.19 THEN v END AS v FROM (SELECT c_nationkey AS k, year(o_orderdate) AS y, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS v, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::DOUBLE / count(*) AS share FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) WHERE share >= 0.17"
 
 
 @query("SELECT year(o_orderdate) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ALL")
@@ -83,13 +85,15 @@ def weighted_scores(t):
 
 @query("SELECT l_shipdate_y AS y, l_returnflag AS k, round(quantile_cont(l_extendedprice, 0.5), 4) AS med, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM (SELECT *, year(l_shipdate) AS l_shipdate_y FROM lineitem) GROUP BY ALL")
 def percentiles_by_group(t):
-    g = t.lineitem.groupBy(F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("k"))
-    return g.agg(*(r(F.percentile("l_extendedprice", q)).alias(n) for n, q in (("med", 0.5), ("q1", 0.25), ("p95", 0.95))))
+    rows = t.lineitem.select(F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("k"), "l_extendedprice")
+    out = stats.percentiles(rows, ["y", "k"], F.col("l_extendedprice"), {"med": 0.5, "q1": 0.25, "p95": 0.95})
+    return out.select("y", "k", *(r(F.col(n)).alias(n) for n in ("med", "q1", "p95")))
 
 
 @query("SELECT round(quantile_cont(p_retailprice, 1.0 / 3), 4) AS t1, round(quantile_cont(p_retailprice, 2.0 / 3), 4) AS t2 FROM part")
 def tercile_thresholds(t):
-    return t.part.agg(r(F.percentile("p_retailprice", F.lit(1 / 3))).alias("t1"), r(F.percentile("p_retailprice", F.lit(2 / 3))).alias("t2"))
+    out = stats.percentiles(t.part, [], F.col("p_retailprice"), {"t1": 1 / 3, "t2": 2 / 3})
+    return out.select(r(F.col("t1")).alias("t1"), r(F.col("t2")).alias("t2"))
 
 
 @query("SELECT k, round(-sum(n / s * log2(n / s)), 6) AS entropy FROM (SELECT c_nationkey AS k, o_orderpriority, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY c_nationkey)::DOUBLE AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY k")

@@ -21,26 +21,32 @@ def ambiguous_lookup_keys(t):
     return joins.ambiguous(t.orders.select(F.col("o_custkey").alias("k")), ["k"])
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS suppliers, a.k IS NULL AS orders_missing, b.k IS NULL AS suppliers_missing FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) a FULL JOIN (SELECT s_suppkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS suppliers, a.k IS NULL AS orders_missing, b.k IS NULL AS suppliers_missing FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 255000) a FULL JOIN (SELECT s_suppkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def full_outer_flags(t):
-    a = t.orders.where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"), F.lit(True).alias("a"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"), F.lit(True).alias("a"), F.avg("o_totalprice").alias("mean")).where("mean > 255000").drop("mean")
     b = t.supplier.groupBy(F.col("s_suppkey").alias("k")).agg(F.count("*").alias("suppliers"), F.lit(True).alias("b"))
     return a.join(b, "k", "full").select("k", "orders", "suppliers", F.col("a").isNull().alias("orders_missing"), F.col("b").isNull().alias("suppliers_missing"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def large_buyers(t):
+    """Customers by the mean of all their orders."""
+    return t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean")).where("mean > 255000")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 255000)")
 def semi_expected(t):
-    return t.customer.join(t.orders.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return t.customer.join(large_buyers(t), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 255000)")
 def anti_missing(t):
-    return t.customer.join(t.orders.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(large_buyers(t), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT y, n_nationkey, coalesce(n, 0) AS n, n IS NULL AS missing FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders), nation LEFT JOIN (SELECT year(o_orderdate) AS y2, c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 490000 GROUP BY 1, 2) ON y = y2 AND n_nationkey = c_nationkey")
+@query("SELECT y, n_nationkey, coalesce(n, 0) AS n, n IS NULL AS missing FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders), nation LEFT JOIN (SELECT year(o_orderdate) AS y2, c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::DOUBLE / count(*) >= 0.19) ON y = y2 AND n_nationkey = c_nationkey")
 def grid_outer_fill(t):
-    rows = t.orders.where("o_totalprice > 490000").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(order_year().alias("y"), F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    each = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(order_year().alias("y"), F.col("c_nationkey").alias("n_nationkey"))
+    rows = each.agg(F.count("*").alias("n"), (F.count_if(F.col("o_orderpriority") == "1-URGENT") / F.count("*")).alias("share")).where("share >= 0.19").drop("share")
     years = t.orders.select(order_year().alias("y")).distinct()
     return joins.grid(rows, years, F.broadcast(t.nation.select("n_nationkey"))).select("y", "n_nationkey", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
 
@@ -160,7 +166,16 @@ def q12_service_coverage(t):
     return joins.coverage(_squares(t), pts, "k", 30.0).select("k", r(F.col("ratio"), 6).alias("ratio"), "n_points")
 
 
-@query()
+def _tm2_sql() -> str:
+    """The transverse Mercator series, written out."""
+    n = "(1 / 298.257222101) / (2 - 1 / 298.257222101)"
+    return f"""WITH p AS (SELECT s_suppkey, radians(24.0 + s_suppkey % 70 / 100.0) AS phi, radians(s_suppkey % 100 / 100.0) AS dl, {n} AS n FROM supplier),
+c AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e FROM p), d AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) * 0.9999 AS a FROM c),
+x AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM d)
+SELECT s_suppkey, round(250000 + a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 4) AS x, round(a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 4) AS y FROM x"""
+
+
+@query(_tm2_sql())
 def f32_tm2_forward(t):
     from talweg.functions import geo
 

@@ -17,41 +17,12 @@ def placed(t):
     return t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("y", order_year())
 
 
-PLACED = "(SELECT *, c_nationkey AS k, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey)"
+def middle(t, name: str):
+    """Each nation's median order."""
+    return stats.percentiles(placed(t), ["k"], F.col("o_totalprice"), {name: 0.5})
 
-OPPORTUNITY = f"""
-WITH ord AS (SELECT k, count(*) AS n, median(o_totalprice) AS med, avg(o_totalprice) AS mean FROM {PLACED} GROUP BY k),
-ent AS (SELECT k, -sum(n / s * log2(n / s)) AS entropy FROM (SELECT k, o_orderpriority, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY k)::DOUBLE AS s FROM {PLACED} GROUP BY 1, 2) GROUP BY k),
-sup AS (SELECT s_nationkey AS k, count(*) AS suppliers, median(s_acctbal) AS sup_med FROM supplier GROUP BY 1),
-city AS (SELECT median(o_totalprice) AS city_med, min(o_totalprice) AS lo FROM orders),
-high AS (SELECT k, sum(CASE WHEN o_totalprice > 1.5 * city_med THEN 1 ELSE 0 END)::DOUBLE / count(*) AS high_ratio FROM {PLACED}, city GROUP BY k),
-f AS (SELECT n_nationkey AS k, n_name, n::DOUBLE AS n, entropy, (n * med + 30 * city_med) / (n + 30) AS shrunk, high_ratio, coalesce(med, lo) AS med, suppliers::DOUBLE AS suppliers, sup_med
-  FROM nation LEFT JOIN ord ON ord.k = n_nationkey LEFT JOIN ent ON ent.k = n_nationkey LEFT JOIN sup ON sup.k = n_nationkey LEFT JOIN high ON high.k = n_nationkey, city),
-s AS (SELECT k, n_name, {", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN max({c}) OVER () > min({c}) OVER () THEN {inv}({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 100 ELSE 50 END AS z_{c}" for c, inv in (("n", ""), ("entropy", ""), ("shrunk", ""), ("high_ratio", ""), ("med", "100 - "), ("suppliers", ""), ("sup_med", "")))} FROM f),
-c AS (SELECT k, n_name, {", ".join(f"CASE WHEN z_{a} IS NULL AND z_{b} IS NULL THEN NULL ELSE (coalesce(z_{a} * {wa}, 0) + coalesce(z_{b} * {wb}, 0)) / (CASE WHEN z_{a} IS NULL THEN 0 ELSE {wa} END + CASE WHEN z_{b} IS NULL THEN 0 ELSE {wb} END) END AS {name}" for name, a, wa, b, wb in (("job", "n", 0.6, "entropy", 0.4), ("salary", "shrunk", 0.6, "high_ratio", 0.4), ("transport", "suppliers", 0.5, "sup_med", 0.5)))}, z_med AS housing FROM s),
-raw AS (SELECT k, n_name, job, salary, housing, transport, (coalesce(job * 0.3, 0) + coalesce(salary * 0.3, 0) + coalesce(housing * 0.2, 0) + coalesce(transport * 0.2, 0)) / (CASE WHEN job IS NULL THEN 0 ELSE 0.3 END + CASE WHEN salary IS NULL THEN 0 ELSE 0.3 END + CASE WHEN housing IS NULL THEN 0 ELSE 0.2 END + CASE WHEN transport IS NULL THEN 0 ELSE 0.2 END) AS raw FROM c),
-i AS (SELECT *, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) * 100, 6) AS index FROM raw)
-SELECT k AS district_id, n_name AS district_name, round(job, 4) AS job, round(salary, 4) AS salary, round(housing, 4) AS housing, round(transport, 4) AS transport, round(index, 4) AS opportunity_index,
-CASE WHEN index <= q1 THEN 'high' WHEN index >= q3 THEN 'low' WHEN index IS NOT NULL THEN 'medium' END AS risk FROM i, (SELECT quantile_cont(index, 0.25) AS q1, quantile_cont(index, 0.75) AS q3 FROM i)"""
-
-
-@query(OPPORTUNITY)
-def q04_opportunity_index(t):
-    """Features by district, min-max to 0..100, components, weighted index, min-max again, quartile risk."""
-    p = placed(t).select("k", "o_totalprice", "o_orderpriority")
-    city = t.orders.agg(F.percentile("o_totalprice", 0.5).alias("city_med"), F.min("o_totalprice").alias("lo"))
-    ord_ = p.crossJoin(F.broadcast(city)).groupBy("k").agg(F.count("*").alias("n"), F.percentile("o_totalprice", 0.5).alias("med"), F.avg((F.col("o_totalprice") > 1.5 * F.col("city_med")).cast("double")).alias("high_ratio"))
-    sup = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").cast("double").alias("suppliers"), F.percentile("s_acctbal", 0.5).alias("sup_med"))
-    f = t.nation.select(F.col("n_nationkey").alias("k"), "n_name").join(ord_, "k", "left").join(stats.entropy(p, ["k"], "o_orderpriority"), "k", "left").join(sup, "k", "left").crossJoin(F.broadcast(city))
-    f = f.withColumn("shrunk", stats.shrunk(F.col("med"), F.col("n"), F.col("city_med"), 30.0)).withColumn("med", F.coalesce("med", "lo"))
-    z = stats.minmax(f, {f"z_{c}": (c, c == "med") for c in ("n", "entropy", "shrunk", "high_ratio", "med", "suppliers", "sup_med")})
-    w = lambda *parts: N.weighted_available([(F.col(c), x) for c, x in parts])
-    c = z.withColumns({"job": w(("z_n", 0.6), ("z_entropy", 0.4)), "salary": w(("z_shrunk", 0.6), ("z_high_ratio", 0.4)), "housing": F.col("z_med"), "transport": w(("z_suppliers", 0.5), ("z_sup_med", 0.5))})
-    c = c.withColumn("raw", w(("job", 0.3), ("salary", 0.3), ("housing", 0.2), ("transport", 0.2)))
-    i = stats.minmax(c, {"index": ("raw", False)}).withColumn("index", F.round("index", 6))
-    out = stats.quartile_level(i, "index", "risk")
-    return out.select(F.col("k").alias("district_id"), F.col("n_name").alias("district_name"), *(r(F.col(x)).alias(x) for x in ("job", "salary", "housing", "transport")), r(F.col("index")).alias("opportunity_index"), "risk")
 
+PLACED = "(SELECT *, c_nationkey AS k, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 @query(f"""WITH m AS (SELECT k, y, month(o_orderdate) AS m, count(*) AS people, count(*) FILTER (WHERE o_orderstatus = 'F') AS youth FROM {PLACED} GROUP BY ALL),
 l AS (SELECT k, y, people, youth FROM (SELECT *, row_number() OVER (PARTITION BY k, y ORDER BY m DESC) AS p FROM m) WHERE p = 1),
@@ -133,10 +104,10 @@ def q13_proposal_funnel(t):
     return n.unpivot(["y"], ["proposed", "resolved", "escalated", "funded", "closed"], "stage", "n")
 
 
-@query(f"WITH s AS (SELECT o_orderpriority AS scope, y, sum(o_totalprice) AS v FROM {PLACED} WHERE o_totalprice > 498000 GROUP BY ALL), pick AS (SELECT scope FROM s GROUP BY scope ORDER BY count(*) DESC, max(y) DESC, scope DESC LIMIT 1) SELECT scope, y, round(v, 2) AS amount, scope IN (SELECT scope FROM pick) AS comparable FROM s")
+@query(f"WITH s AS (SELECT o_orderpriority AS scope, y, sum(o_totalprice) AS v FROM {PLACED} GROUP BY ALL HAVING sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DOUBLE / count(*) >= 0.33), pick AS (SELECT scope FROM s GROUP BY scope ORDER BY count(*) DESC, max(y) DESC, scope DESC LIMIT 1) SELECT scope, y, round(v, 2) AS amount, scope IN (SELECT scope FROM pick) AS comparable FROM s")
 def q14_grants_scope(t):
     """Amounts by scope and year; the comparable scope has the most years, then the latest."""
-    s = placed(t).where("o_totalprice > 498000").groupBy(F.col("o_orderpriority").alias("scope"), "y").agg(F.sum("o_totalprice").alias("v"))
+    s = placed(t).groupBy(F.col("o_orderpriority").alias("scope"), "y").agg(F.sum("o_totalprice").alias("v"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("share")).where("share >= 0.33")
     pick = s.groupBy("scope").agg(F.count("*").alias("n"), F.max("y").alias("last")).agg(F.max_by("scope", F.struct("n", "last", "scope")).alias("pick"))
     return s.crossJoin(F.broadcast(pick)).select("scope", "y", r(F.col("v"), 2).alias("amount"), (F.col("scope") == F.col("pick")).alias("comparable"))
 
@@ -154,20 +125,20 @@ def q15_allocation_share(t):
 @query(f"""WITH d AS (SELECT k, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) * 1.0 / count(*) AS knowledge, median(o_totalprice) AS salary FROM {PLACED} GROUP BY k)
 SELECT count(*) AS n, round(regr_slope(salary, knowledge), 2) AS slope, round(regr_intercept(salary, knowledge), 2) AS intercept, round(regr_r2(salary, knowledge), 6) AS r2 FROM d""")
 def q17_employment_scatter(t):
-    d = placed(t).groupBy("k").agg((F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")) / F.count("*")).alias("knowledge"), F.percentile("o_totalprice", 0.5).alias("salary"))
+    d = placed(t).groupBy("k").agg((F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")) / F.count("*")).alias("knowledge")).join(middle(t, "salary"), "k")
     o = stats.ols(F.col("salary"), F.col("knowledge"))
     return d.agg(o["n"].alias("n"), r(o["slope"], 2).alias("slope"), r(o["intercept"], 2).alias("intercept"), r(o["r2"], 6).alias("r2"))
 
 
 @query(f"""WITH d AS (SELECT k, count(*) * 1.0 AS a, median(o_totalprice) AS b, count(*) FILTER (WHERE o_orderpriority = '5-LOW') * 1.0 / count(*) AS c FROM {PLACED} GROUP BY k),
 z AS (SELECT k, {", ".join(f"{inv}({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 100 AS z{c}" for c, inv in (("a", ""), ("b", "100 - "), ("c", "")))} FROM d), i AS (SELECT k, round(za * 0.5 + zb * 0.3 + zc * 0.2, 6) AS fafi FROM z)
-SELECT k, round(fafi, 4) AS fafi, CASE WHEN fafi <= q1 THEN 'high' WHEN fafi >= q3 THEN 'low' ELSE 'medium' END AS level FROM i, (SELECT quantile_cont(fafi, 0.25) AS q1, quantile_cont(fafi, 0.75) AS q3 FROM i)""")
+SELECT k, round(fafi, 4) AS fafi, CASE WHEN fafi <= q1 THEN 'low' WHEN fafi >= q3 THEN 'high' ELSE 'medium' END AS level FROM i, (SELECT quantile_cont(fafi, 0.25) AS q1, quantile_cont(fafi, 0.75) AS q3 FROM i)""")
 def q18_family_index(t):
     """Three components, complete cases only, with quartile levels."""
-    d = placed(t).groupBy("k").agg(F.count("*").cast("double").alias("a"), F.percentile("o_totalprice", 0.5).alias("b"), (F.count_if(F.col("o_orderpriority") == "5-LOW") / F.count("*")).alias("c"))
-    z = stats.minmax(d, {"za": ("a", False), "zb": ("b", True), "zc": ("c", False)})
+    d = placed(t).groupBy("k").agg(F.count("*").cast("double").alias("a"), (F.count_if(F.col("o_orderpriority") == "5-LOW") / F.count("*")).alias("c")).join(middle(t, "b"), "k")
+    z = stats.minmax(d, {"za": ("a", False), "zb": ("b", True), "zc": ("c", False)}, dimension=True)
     i = z.select("k", F.round(N.weighted_complete([(F.col("za"), 0.5), (F.col("zb"), 0.3), (F.col("zc"), 0.2)]), 6).alias("fafi"))
-    return stats.quartile_level(i, "fafi").select("k", r(F.col("fafi")).alias("fafi"), "level")
+    return stats.quartile_level(i, "fafi", dimension=True, names=("low", "high")).select("k", r(F.col("fafi")).alias("fafi"), "level")
 
 
 @query(f"WITH m AS (SELECT y, month(o_orderdate) AS m, count(DISTINCT k) AS d, count(*) AS n FROM {PLACED} GROUP BY ALL), c AS (SELECT y, n FROM m WHERE m = 7 AND d = (SELECT count(*) FROM nation)) SELECT a.y, a.n, round((a.n - b.n) * 100.0 / b.n, 4) AS yoy FROM c a LEFT JOIN c b ON a.y = b.y + 1")
@@ -182,4 +153,5 @@ def q19_complete_trend(t):
 @query(f"SELECT k, count(*) AS vacancies, sum(o_orderkey % 4)::BIGINT AS positions, round(count(*) FILTER (WHERE o_orderkey % 3 <> 0) * 1.0 / count(*), 6) AS coverage, CASE WHEN NOT bool_or(o_totalprice > 499900) THEN round(median(o_totalprice), 4) END AS median_salary FROM {PLACED} GROUP BY k")
 def g26_vacancy_summary(t):
     """Positions, coverage of salaries, and a median that is withheld where the source was cut."""
-    return placed(t).groupBy("k").agg(F.count("*").alias("vacancies"), F.sum(F.col("o_orderkey") % 4).alias("positions"), r(F.count_if(F.col("o_orderkey") % 3 != 0) / F.count("*"), 6).alias("coverage"), F.when(~F.bool_or(F.col("o_totalprice") > 499900), r(F.percentile("o_totalprice", 0.5), 4)).alias("median_salary"))
+    d = placed(t).groupBy("k").agg(F.count("*").alias("vacancies"), F.sum(F.col("o_orderkey") % 4).alias("positions"), r(F.count_if(F.col("o_orderkey") % 3 != 0) / F.count("*"), 6).alias("coverage"), F.bool_or(F.col("o_totalprice") > 499900).alias("cut"))
+    return d.join(middle(t, "m"), "k").select("k", "vacancies", "positions", "coverage", F.when(~F.col("cut"), r(F.col("m"))).alias("median_salary"))

@@ -45,6 +45,13 @@ def districts(df: DataFrame, code: str, registry: DataFrame) -> DataFrame:
     return df.join(one, "_ord", "left")
 
 
+def named_district(df: DataFrame, text: str, registry: DataFrame, name: str = "district_id") -> DataFrame:
+    """District by exact name, alias, postal code or code (``registry``: district_id, code, name, zip, aliases); null for none or several."""
+    keys = registry.select("district_id", F.explode(F.array_distinct(F.concat(F.array("name", F.col("zip").cast("string"), F.col("code").cast("string")), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("__key"))
+    one = keys.where("__key IS NOT NULL").groupBy("__key").agg(F.min("district_id").alias(name), F.count("*").alias("__n")).where("__n = 1").drop("__n")
+    return df.withColumn("__key", F.trim(text)).join(one, "__key", "left").drop("__key")
+
+
 def population(landed: DataFrame, registry: DataFrame) -> Split:
     """Villages to districts by month: people, male, female and all of 18 to 35, long; any null in a sum makes it null."""
     have = set(landed.columns)
@@ -159,7 +166,7 @@ def majors(overview: DataFrame, detail: DataFrame, places: DataFrame, key: list[
     parsed = detail.dropDuplicates([*key, *counts]).groupBy(*key).agg(*(sum_complete(P.parse_int(F.col(c))).alias(c) for c in counts), F.lit(True).alias("in_detail"))
     both = overview.withColumn("in_overview", F.lit(True)).join(parsed, key, "full")
     flag = F.when(F.col("in_detail").isNull(), "detail_missing").when(F.col("in_overview").isNull(), "overview_missing")
-    return both.withColumn("match", F.coalesce(flag, F.lit("matched"))).drop("in_detail", "in_overview").join(F.broadcast(places), "school_code", "left")
+    return both.withColumn("match", F.coalesce(flag, F.lit("matched"))).drop("in_detail", "in_overview").join(places, "school_code", "left")
 
 
 def both_sexes(male: Column, female: Column) -> Column:
@@ -167,6 +174,45 @@ def both_sexes(male: Column, female: Column) -> Column:
     return P.parse_int(male) + P.parse_int(female)
 
 
+def misread(text: Column, parsed: Column) -> Column:
+    """There is a text, and it can't be read; a text that stands for missing is no error."""
+    return P.clean_text(text).isNotNull() & parsed.isNull()
+
+
+def academic_year(year: Column) -> tuple[Column, Column]:
+    """First and last day: August of the year to July of the next."""
+    return F.make_date(year, F.lit(8), F.lit(1)), F.make_date(year + 1, F.lit(7), F.lit(31))
+
+
+def graduates(landed: DataFrame) -> Split:
+    """Graduates by school year: men, women, and both where both are known."""
+    year, men, women = P.roc_year(F.col("school_year")), P.parse_int(F.col("graduates_male")), P.parse_int(F.col("graduates_female"))
+    start, end = academic_year(year)
+    rows = landed.withColumns({"period_start": start, "period_end": end, "male": men, "female": women, "graduates": both_sexes(F.col("graduates_male"), F.col("graduates_female"))})
+    got = split(rows, {"invalid_year": year.isNull(), "invalid_value": misread(F.col("graduates_male"), men) | misread(F.col("graduates_female"), women)}, "_ord")
+    return Split(with_header(got.accepted, "graduate_majors", geo_level="national", period_type="year"), got.quarantine, got.quality)
+
+
+def trainings(landed: DataFrame) -> Split:
+    """Courses at county grain: people, hours, fee and days, typed; unreadable numbers and dates are quarantined."""
+    people, hours, fee = P.parse_int(F.col("people")), P.parse_decimal(P.clean_text(F.col("hours"))), P.parse_decimal(P.clean_text(F.col("fee")))
+    start, end = P.calendar_date(F.col("opened")), P.calendar_date(F.col("closed"))
+    rows = landed.withColumns({"county_name": P.clean_text(F.col("county")), "training_people": people, "training_hours": hours, "fee_per_person": fee, "period_start": start, "period_end": end})
+    rules = {"invalid_value": misread(F.col("people"), people) | misread(F.col("hours"), hours) | misread(F.col("fee"), fee), "invalid_date": misread(F.col("opened"), start) | misread(F.col("closed"), end)}
+    got = split(rows, rules, "_ord")
+    return Split(with_header(got.accepted, "training_numbers", geo_level="county"), got.quarantine, got.quality)
+
+
+def talent_demand(landed: DataFrame) -> Split:
+    """National demand by year and occupation."""
+    year = P.roc_year(F.regexp_replace(P.clean_text(F.col("period")), "年$", ""))
+    counts = {c: P.parse_int(F.col(c)) for c in ("new_demand", "new_hired", "valid_hired")}
+    rows = landed.withColumns({"year": year} | {f"{c}_count": v for c, v in counts.items()})
+    wrong = misread(F.col("new_demand"), counts["new_demand"]) | misread(F.col("new_hired"), counts["new_hired"]) | misread(F.col("valid_hired"), counts["valid_hired"])
+    got = split(rows, {"invalid_year": year.isNull(), "invalid_value": wrong}, "_ord")
+    return Split(with_header(got.accepted, "talent_demand", geo_level="national", period_type="year"), got.quarantine, got.quality)
+
+
 def courses(landed: DataFrame) -> DataFrame:
     """Distinct course ids by district, and which."""
     return landed.groupBy("district_id").agg(F.countDistinct("course_id").alias("courses"), F.sort_array(F.collect_set("course_id")).alias("ids"))
@@ -183,15 +229,30 @@ def stops(landed: DataFrame, polygons: DataFrame) -> Split:
 
 
 def service_points(landed: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Places with coordinates from the override table (its last row for an id), else their own; the other system's are filled in."""
-    from talweg.functions.geo import tm2
+    """Places with coordinates of both systems and a status.
 
-    own = overrides.groupBy("point_id").agg(F.max_by(F.struct("longitude", "latitude"), "_ord").alias("o"))
-    rows = landed.join(F.broadcast(own), "point_id", "left")
-    lon, lat = F.coalesce("o.longitude", F.col("longitude").try_cast("double")), F.coalesce("o.latitude", F.col("latitude").try_cast("double"))
-    x, y = tm2(lon, lat)
-    how = F.when(F.col("o").isNotNull(), "reference").when(lon.isNotNull() & lat.isNotNull(), "source").otherwise("excluded")
-    return rows.withColumns({"geocode_status": how, "longitude": lon, "latitude": lat, "x_3826": x, "y_3826": y}).drop("o")
+    Each coordinate is the override table's (its last row for an id), else the
+    source's. A place is "matched" if the table has a coordinate for it or the
+    source calls it so; a matched place with plane coordinates alone gets the
+    sphere's from them, and plane ones are filled in. Without a longitude and
+    latitude, or unmatched, it is "excluded_no_verified_coordinate".
+    """
+    from talweg.functions.geo import tm2, tm2_inverse
+
+    fields = ["longitude", "latitude", "x_3826", "y_3826"]
+    last = overrides.groupBy("point_id").agg(F.max_by(F.struct(*(c for c in overrides.columns if c != "point_id")), "_ord").alias("__o"))
+    rows = landed.join(last, "point_id", "left")
+    table = {c: F.col(f"__o.{c}").cast("double") if c in overrides.columns else F.lit(None).cast("double") for c in fields}
+    own = {c: P.parse_decimal(F.col(c)) if c in landed.columns else F.lit(None).cast("double") for c in fields}
+    stated = F.col("geocode_status") if "geocode_status" in landed.columns else F.lit(None).cast("string")
+    matched = F.coalesce(*table.values()).isNotNull() | F.coalesce(stated == "matched", F.lit(False))
+    lon, lat, x, y = (F.coalesce(table[c], own[c]) for c in fields)
+    inverse = [F.when(matched & (lon.isNull() | lat.isNull()), c) for c in tm2_inverse(x, y)]
+    on_sphere = rows.withColumns({"__m": matched, "__lon": F.coalesce(inverse[0], lon), "__lat": F.coalesce(inverse[1], lat), "__x": x, "__y": y})
+    east, north = tm2(F.col("__lon"), F.col("__lat"))
+    how = F.when(F.col("__m") & F.col("__lon").isNotNull() & F.col("__lat").isNotNull(), "matched").otherwise("excluded_no_verified_coordinate")
+    out = on_sphere.withColumns({"geocode_status": how, "longitude": F.col("__lon"), "latitude": F.col("__lat"), "x_3826": F.coalesce("__x", east), "y_3826": F.coalesce("__y", north)})
+    return out.drop("__o", "__m", "__lon", "__lat", "__x", "__y")
 
 
 def candidates(landed: DataFrame) -> Split:
@@ -270,10 +331,11 @@ def minutes_items(meetings: DataFrame) -> DataFrame:
     return out.withColumn("needs_review", F.col("resolution") == "").withColumn("escalated", F.col("resolution").rlike("列管|提報"))
 
 
-#: Names that a dataset goes by, and its transform.
+#: Names that a dataset goes by, and its transform.
 TRANSFORMS: dict[str, Callable] = {
     "population": population, "population_villages": village_population, "national_population": national_population, "movement": movement, "births": births, "marriages": marriages,
-    "house_prices": priced, "rentals": priced, "job_vacancies": vacancies, "job_vacancy_salaries": vacancies, "wages": wages, "college_majors": majors, "vt_courses": courses,
+    "house_prices": priced, "rentals": priced, "job_vacancies": vacancies, "job_vacancy_salaries": vacancies, "wages": wages, "college_majors": majors, "graduate_majors": graduates, "vt_courses": courses,
+    "training_numbers": trainings, "talent_demand": talent_demand,
     "bus_stops": stops, "railway_stops": stops, "bike_stops": stops, "babysitting_places": service_points, "youth_service_points": service_points, "elections": candidates,
     "village_boundaries": boundaries, "youth_budgets": budgets, "youth_grants": grants, "join_proposals": proposals, "youth_council_minutes": minutes_items,
 }

@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from talweg.operators import transforms as X
 
@@ -72,11 +73,17 @@ def test_majors_courses_stops_points(spark):
     s = spark.createDataFrame([(0, "5", "5"), (1, "10", "5"), (2, "50", "5"), (3, "x", "5"), (4, "500", "5")], "_ord int, lon string, lat string")
     got = X.stops(s, polygons)
     assert {r._ord: r.district_id for r in got.accepted.collect()} == {0: "D1", 1: "D1", 2: None} and got.quarantine.count() == 2
-    pts = spark.createDataFrame([("p", "121.5", "25.0"), ("q", None, None), ("r", None, None)], "point_id string, longitude string, latitude string")
+    pts = [("p", "121.5", "25.0", None, None, "matched"), ("q", None, None, None, None, None), ("r", "121.5", "25.0", None, None, "guessed"), ("s", None, None, "300000", "2700000", "matched")]
+    pts = spark.createDataFrame(pts, "point_id string, longitude string, latitude string, x_3826 string, y_3826 string, geocode_status string")
     over = spark.createDataFrame([(0, "q", 1.0, 2.0), (1, "q", 121.0, 24.0)], "_ord int, point_id string, longitude double, latitude double")
     got = {r.point_id: r for r in X.service_points(pts, over).collect()}
-    assert got["p"].geocode_status == "source" and got["q"].geocode_status == "reference" and got["r"].geocode_status == "excluded"
-    assert abs(got["q"].x_3826 - 250000) < 1e-6 and got["r"].x_3826 is None
+    assert [got[k].geocode_status for k in "pqrs"] == ["matched", "matched", "excluded_no_verified_coordinate", "matched"]
+    assert abs(got["q"].x_3826 - 250000) < 1e-6 and abs(got["s"].longitude - 121.4930) < 1e-3 and abs(got["s"].latitude - 24.4053) < 1e-3
+    from talweg.functions.geo import tm2, tm2_inverse
+
+    x, y = tm2(F.col("id") / 40.0 + 119.5, F.col("id") / 30.0 + 21.8)
+    back = spark.range(100).select("id", *(c.alias(n) for n, c in zip("xy", (x, y)))).select("id", *(c.alias(n) for n, c in zip(("lon", "lat"), tm2_inverse(F.col("x"), F.col("y"))))).collect()
+    assert all(abs(r.lon - r.id / 40 - 119.5) < 1e-8 and abs(r.lat - r.id / 30 - 21.8) < 1e-8 for r in back)
 
 
 def test_elections_boundaries_budgets(spark):

@@ -1,19 +1,34 @@
-"""python -m talweg QUERY TABLES OUT: run a registered query over a directory of tables and write Parquet."""
+"""Run queries and analytics over a directory of tables.
 
+    python -m talweg QUERY TABLES OUT                     one registered query to Parquet
+    python -m talweg analytics TABLES OUT [--metric M] [--snapshot-id S] [--publish]
+                                                          a metric's queries (or all) as one JSON snapshot
+"""
+
+import argparse
 import sys
 
 
 def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
 
+    from talweg.operators import runs
     from talweg.plans import registry
 
     queries = registry.queries()
-    if len(args) != 3 or args[0] not in queries:
-        print(__doc__, "\nQueries:", *sorted(queries), sep="\n  ", file=sys.stderr)
-        return 2
+    parser = argparse.ArgumentParser(prog="python -m talweg", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter, epilog="Queries: " + ", ".join(sorted(queries)))
+    parser.add_argument("what", choices=["analytics", *sorted(queries)], metavar="QUERY|analytics")
+    parser.add_argument("tables")
+    parser.add_argument("out")
+    parser.add_argument("--metric", default="all", choices=["all", *runs.METRICS])
+    parser.add_argument("--snapshot-id")
+    parser.add_argument("--publish", action="store_true")
+    a = parser.parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    queries[args[0]](spark, args[1]).write.mode("overwrite").parquet(args[2])
+    if a.what == "analytics":
+        print(*runs.analytics(spark, a.tables, a.out, a.metric, a.snapshot_id, a.publish), sep="\n")
+    else:
+        queries[a.what](spark, a.tables).write.mode("overwrite").parquet(a.out)
     return 0
 
 

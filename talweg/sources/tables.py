@@ -54,7 +54,17 @@ class Curated:
     def everything(self, dataset: str) -> DataFrame:
         return self.all().where(F.col("dataset") == dataset)
 
+    def all_available(self, dataset: str, index: DataFrame) -> DataFrame:
+        """Rows of every path that the index has for all of a dataset's time, each path once. ``index``: dataset, output_key, path."""
+        whole = index.where((F.col("dataset") == dataset) & (F.col("output_key").isNull() | (F.col("output_key") == "all") | F.col("path").endswith("/all.json")))
+        paths = [r.path for r in whole.select("path").distinct().orderBy("path").collect()]
+        if not paths:
+            raise FileNotFoundError(f"{dataset}: nothing for all of its time")
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+
     def _where(self, dataset: str, keys: list[str]) -> DataFrame:
+        if any("/" in x or "\\" in x or x in ("", ".", "..") for x in [dataset, *keys]):
+            raise ValueError("a dataset or period that leaves the root")
         return self.all().where((F.col("dataset") == dataset) & F.col("output_key").cast("string").isin(keys))
 
 
@@ -80,10 +90,14 @@ def newest(listing: DataFrame, group: str, path: str = "path", modified: str = "
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects or an envelope with ``records``, one row a record, with its place."""
+    """An array of objects or an envelope with ``records``, one row a record, with its place; anything else fails the job."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_path"), F.parse_json("value").alias("v"))
     records = F.coalesce(F.expr("try_cast(variant_get(v, '$.records', 'variant') as array<variant>)"), F.expr("try_cast(v as array<variant>)"))
-    return raw.select("_path", F.expr("try_variant_get(v, '$.fetched_at', 'string')").alias("fetched_at"), F.posexplode(records).alias("_ord", "record"))
+    rows = raw.select("_path", F.expr("try_variant_get(v, '$.fetched_at', 'string')").alias("fetched_at"), records.alias("records"))
+    rows = rows.withColumn("_ok", F.assert_true(F.col("records").isNotNull(), F.lit("neither an array nor an envelope with records"))).where("_ok IS NULL")
+    each = rows.select("_path", "fetched_at", F.posexplode("records").alias("_ord", "record"))
+    is_object = F.schema_of_variant("record").startswith("OBJECT")
+    return each.withColumn("_ok", F.assert_true(F.coalesce(is_object, F.lit(False)), F.lit("a record is no object"))).where("_ok IS NULL").drop("_ok")
 
 
 def read_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
@@ -149,12 +163,14 @@ def publish(tables: dict[str, DataFrame], root: str, snapshot: str, candidate: b
         sizes.append((name, spark.read.text(f"{root}/snapshot_id={snapshot}/{name}").count()))
     spark.createDataFrame(sizes, "name string, n long").coalesce(1).write.mode("overwrite").json(f"{root}/snapshot_id={snapshot}/manifest")
     if not candidate:
-        spark.createDataFrame([(snapshot,)], "snapshot_id string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+        # Only added to: a reader meets the pointer before or after, never none.
+        moved = spark.createDataFrame([(snapshot,)], "snapshot_id string").withColumn("at", F.current_timestamp())
+        moved.coalesce(1).write.mode("append").parquet(f"{root}/current")
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the snapshot that the pointer names."""
-    snapshot = spark.read.json(f"{root}/current").first().snapshot_id
+    """A table of the snapshot that the pointer named last."""
+    snapshot = spark.read.parquet(f"{root}/current").agg(F.max_by("snapshot_id", "at").alias("s")).first().s
     return spark.read.json(f"{root}/snapshot_id={snapshot}/{name}")
 
 

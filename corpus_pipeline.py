@@ -3,6 +3,13 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame with the columns of ``documents`` (the last: packed pieces).
 ``run`` writes each stage's rows as Parquet and reads them again for the next.
+
+Nulls: a null text is an empty one in every stage and stays null; rows without an
+id are scored, kept and packed. Rows that repeat an id and a text are one after
+near-dedup; different texts under one id are documents of their own. Of a group
+of near-duplicates the least id, then the least hash of the text, stays. Texts of
+any length are read whole. Columns beyond those of documents go in the first
+stage, whatever their names. An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations

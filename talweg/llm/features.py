@@ -3,8 +3,8 @@
 A text is lower-cased and cut at whatever is neither letter nor digit. Each
 distinct word gives its own feature and those of its first four and five
 characters (stems, where it is longer), hashed into a fixed number of buckets;
-a text's features are binary and scaled to unit length. Null is empty: no
-feature.
+a feature's value is 1 + ln(times its word occurs), divided by the fourth root
+of the text's words (``ROOT``). Null is empty: no feature.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ every whole text, in one pass without a shuffle, with weights of a fixed size.
 
 Nulls: a null text is empty and scores by the intercept; rows with a null id
 aren't learnt from and are scored. Repeated rows score alike. Labels that are
-null count as unlabelled. Without a confirmed example every score is 0. An
-empty table gives no rows; extra columns are ignored.
+null count as unlabelled. Without a confirmed example, or without unlabelled
+text, every score is that of an intercept of -60, 0 to 26 places. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +49,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def risk(w: np.ndarray, b: float, bucket: np.ndarray, value: np.ndarray, count: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """(p R+(positives), R-(unlabelled) - p R-(positives), the step's gradient by w and by b).
+
+    The gradient is that of both terms' sum, or of the second one turned over where it is negative.
+    """
+    n_pos, n_un = positive.sum(), (~positive).sum()
+    z = sums(w[bucket] * value, count) + b
+    up = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # derivative of the loss as a negative
+    wanted = prior * np.logaddexp(0, -z[positive]).mean()
+    negative = np.logaddexp(0, z[~positive]).mean() - prior * np.logaddexp(0, z[positive]).mean()
+    pull = np.where(positive, -prior * up / n_pos, up / n_un)
+    g = -pull if negative < 0 else np.where(positive, prior * (up - 1) / n_pos, 0) + pull
+    return float(wanted), float(negative), np.bincount(bucket, weights=np.repeat(g, count) * value, minlength=len(w)), float(g.sum())
+
+
 def train(bucket: np.ndarray, value: np.ndarray, count: np.ndarray, positive: np.ndarray, prior: float, buckets: int = BUCKETS, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK) -> tuple[np.ndarray, float]:
     """Minimise the non-negative PU risk (logistic loss, Adam with a lasso step, all rows at every step).
 
@@ -59,17 +74,10 @@ def train(bucket: np.ndarray, value: np.ndarray, count: np.ndarray, positive: np
     if not positive.any() or positive.all():
         return w, -60.0
     value = np.where(np.bincount(bucket, minlength=buckets)[bucket] >= MIN_ROWS, value, 0.0)
-    n_pos, n_un = positive.sum(), (~positive).sum()
     m, v, mb, vb = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0
     b = float(np.log(prior / (1 - prior)))
     for t in range(1, steps + 1):
-        z = sums(w[bucket] * value, count) + b
-        up = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # derivative of the loss as a negative
-        negative = np.logaddexp(0, z[~positive]).mean() - prior * np.logaddexp(0, z[positive]).mean()
-        pull = np.where(positive, -prior * up / n_pos, up / n_un)
-        g = -pull if negative < 0 else np.where(positive, prior * (up - 1) / n_pos, 0) + pull
-        gw = np.bincount(bucket, weights=np.repeat(g, count) * value, minlength=buckets) 
-        gb = g.sum()
+        _, _, gw, gb = risk(w, b, bucket, value, count, positive, prior)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate * (1 - t / (steps + 1)) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
@@ -115,13 +123,18 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
         tokens.tidy()
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "intercept": [b]})
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := [p for p in batches if len(p)]:
+            yield one(pd.concat(parts, ignore_index=True))
+
     # Both samples are bounded by their parameters, so their ids may be broadcast.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "positive")), "doc_id")
     rows = text.mapInArrow(vectors, "doc_id long, positive boolean, bucket array<int>, value array<float>")
     every = F.sequence(F.lit(0), F.lit(MODELS - 1))
     own = F.array(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(MODELS)).cast("int"))
     dealt = rows.withColumn("model", F.explode(F.when(F.col("positive"), every).otherwise(own)))
-    models = dealt.groupBy("model").applyInPandas(one, "weights binary, intercept double").collect()
+    # A partition for each model, none with two: what one holds is bounded by the samples.
+    models = dealt.repartitionById(MODELS, F.col("model")).mapInPandas(each, "weights binary, intercept double").collect()
     if not models:
         return Model(np.zeros(BUCKETS, np.float32), -60.0)
     return Model(np.mean([np.frombuffer(r.weights, "<f4") for r in models], axis=0).astype(np.float32), float(np.mean([r.intercept for r in models])))

@@ -60,6 +60,30 @@ def test_toxicity_without_positives_or_rows(spark):
     assert T.score(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_risk_and_gradient_against_a_plain_version_and_finite_differences():
+    rng = np.random.default_rng(5)
+    rows = [rng.choice(4, rng.integers(0, 4), replace=False) + (0 if k < 20 else 4) for k in range(60)]
+    values = [rng.random(len(r)) for r in rows]
+    bucket, value, count = np.concatenate(rows).astype(np.int64), np.concatenate(values), np.array([len(r) for r in rows])
+    positive = np.arange(60) < 20
+    loss = lambda z: np.log1p(np.exp(-z))
+    seen = set()
+    for w, b, prior in ((rng.normal(size=8) / 2, 0.0, 0.3), (np.repeat([3.0, -3.0], 4), 0.5, 0.9), (rng.normal(size=8), -1.0, 0.05)):
+
+        def plain(w, b):
+            z = np.array([v @ w[r] + b for r, v in zip(rows, values)])
+            return prior * loss(z[positive]).mean(), loss(-z[~positive]).mean() - prior * loss(-z[positive]).mean()
+
+        wanted, negative, gw, gb = T.risk(w, b, bucket, value, count, positive, prior)
+        assert np.allclose((wanted, negative), plain(w, b))
+        goal = (lambda w, b: -plain(w, b)[1]) if negative < 0 else (lambda w, b: sum(plain(w, b)))
+        seen.add(negative < 0)
+        e = 1e-6
+        slope = [(goal(w + e * d, b) - goal(w - e * d, b)) / (2 * e) for d in np.eye(8)]
+        assert np.allclose(gw, slope, atol=1e-7) and np.isclose(gb, (goal(w, b + e) - goal(w, b - e)) / (2 * e), atol=1e-7)
+    assert seen == {True, False}
+
+
 def test_nonnegative_risk_prefers_the_positive_feature():
     bucket = np.array([1, 2] * 50 + [3] * 200)
     positive = np.arange(250) < 50

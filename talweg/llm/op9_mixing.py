@@ -11,8 +11,10 @@ aggregate over a narrow table, in which every task takes the steps so far anew i
 numpy, so nothing grows on the driver and no state is lost with an executor. In the metric of the documents' tokens the loss's curvature is at most
 1, so the step is 1 and no document's weight in the step depends on its length.
 
-Labelled rows are a bounded sample (``max_labelled``, least hash of id); rates,
-totals and targets cover all rows.
+Labelled rows are a bounded sample (``max_labelled``, least hash of id, and of
+every domain there is ``LEAST_LABELLED`` at least); rates, totals and targets
+cover all rows. A target without a domain is an error; iteration that ends before
+its targets are met says so in a warning.
 
 Nulls: a null text has no tokens and weighs nothing; it still gets a posterior
 and a rate. Labelled rows with a null domain are not learnt from. Without
@@ -22,20 +24,22 @@ Tokens are words (runs of letters and digits). An empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from talweg.llm import common, tokens
 from talweg.llm.features import linear, sparse, sums
 
-BUCKETS, MODELS, MAX_LABELLED = 1 << 16, 4, 8000
+#: Labelled rows that are learnt from, and those of each domain that are at least, however rare it is.
+BUCKETS, MODELS, MAX_LABELLED, LEAST_LABELLED = 1 << 16, 4, 8000, 50
 STEPS, RATE, SHRINK, MIN_ROWS = 80, 0.2, 1e-5, 3
 ROUNDS, CLOSE, TEMPERATURE = 40, 1e-6, 0.7
 
@@ -78,8 +82,11 @@ def train(bucket: np.ndarray, value: np.ndarray, count: np.ndarray, label: np.nd
 
 def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Domains:
     """Learn domains from ``labelled`` (doc_id, domain)."""
-    sample = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(max_labelled)
+    known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
+    order = [F.xxhash64("doc_id", F.lit(9)), F.col("doc_id")]
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(*order))
+    rare = known.withColumn("place", place).where(F.col("place") <= LEAST_LABELLED).drop("place")
+    sample = known.orderBy(*order).limit(max_labelled).union(rare).distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +97,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((bucket, pa.int32()), (value, pa.float32()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), *lists], names=["doc_id", "domain", "bucket", "value"])
 
-    # The sample is bounded by its parameter, so its ids may be broadcast.
+    # The sample is bounded by its parameter and a few rows a domain, so its ids may be broadcast.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = common.written(text.mapInArrow(vectors, "doc_id long, domain string, bucket array<int>, value array<float>"), "labelled")
     names = tuple(sorted(r.domain for r in rows.select("domain").distinct().collect()))
@@ -105,7 +112,13 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
         tokens.tidy()
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "intercepts": [b.tolist()]})
 
-    models = rows.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(MODELS)).alias("model")).applyInPandas(one, "weights binary, intercepts array<double>").collect()
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := [p for p in batches if len(p)]:
+            yield one(pd.concat(parts, ignore_index=True))
+
+    # A partition for each classifier, none with two: what one holds is bounded by the sample.
+    model = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(MODELS)).cast("int")
+    models = rows.withColumn("model", model).repartitionById(MODELS, F.col("model")).mapInPandas(each, "weights binary, intercepts array<double>").collect()
     weights = np.mean([np.frombuffer(r.weights, "<f4").reshape(BUCKETS, len(names)) for r in models], axis=0)
     return Domains(names, weights.astype(np.float32), np.mean([r.intercepts for r in models], axis=0))
 
@@ -184,6 +197,8 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
     if not whole:
         return []
     share = np.maximum(now / whole, 1e-9)
+    if unknown := sorted(set(targets or ()) - set(domains.names)):
+        raise ValueError(f"targets without a domain: {', '.join(unknown)}")
     weight = tempered(share, domains.names) if targets is None else np.array([targets.get(x, 0.0) for x in domains.names])
     weight = weight / weight.sum()
     total = whole * max(1.0, (share / np.maximum(weight, 1e-12)).max()) if grow else whole
@@ -194,6 +209,10 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
             break
         steps.append((off / share).tolist())
         now = totals(steps)
+    else:
+        left = float(np.abs(now - weight * total).max() / whole)
+        if left >= CLOSE:
+            warnings.warn(f"mixing ended after {ROUNDS} rounds, {left:.1e} of all tokens from its targets", stacklevel=2)
     return steps
 
 

@@ -116,6 +116,20 @@ def test_mixing_reaches_its_targets(spark, tmp_path):
     assert np.allclose(r, got.rate)
 
 
+def test_mixing_learns_rare_domains_and_refuses_unknown_targets(spark):
+    import pytest
+
+    rng = random.Random(6)
+    rows = [(i, ("zyx wvu tsr " if i == 250 else "the of and ") + prose(rng, 12), "en", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    labelled = spark.createDataFrame([(i, "rare" if i == 250 else "usual") for i in range(400)], "doc_id long, domain string")
+    domains = M.fit(df, labelled, max_labelled=20)
+    assert domains.names == ("rare", "usual")
+    members = M.memberships(df, domains, ["doc_id"])
+    with pytest.raises(ValueError, match="other"):
+        M.fit_rates(members, domains, {"usual": 0.5, "other": 0.5})
+
+
 def test_mixing_floor_copies_and_no_labels(spark):
     df = spark.createDataFrame(docs(["a b c", "d e", ""]), DOCS)
     domains = M.fit(df, spark.createDataFrame([], "doc_id long, domain string"))

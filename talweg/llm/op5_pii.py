@@ -57,6 +57,9 @@ NO_ID = (
 )
 NO_ID_LENGTH = 40
 START, END = "^", "$"  # no runs of letters
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+#: Documents with added spans that may be broadcast; more are joined by a shuffle.
+MANY = 100_000
 
 
 def cut(text: Column, pattern: str, keep) -> Column:
@@ -144,8 +147,19 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: row_key, doc_id, base (spans of the fixed expressions), added (spans of the bootstrap)."""
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A document's id and a hash of its text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def tagged(text: Column) -> Column:
+    """Base spans (kind's rank, start, end) of a non-null text."""
+    tag = lambda rank: lambda s: F.struct(F.lit(rank).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    return F.concat(*(F.transform(s, tag(i)) for i, s in enumerate(base_spans(text).values())))
+
+
+def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: row_key, doc_id, base, mentions with their patterns; a written table without texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = rows.select("doc_id", text.alias("text"), *(s.alias(k) for k, s in base_spans(text).items()))
@@ -161,14 +175,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = found.withColumn("mentions", F.array_sort(F.concat(*seeds, F.transform(other, mention(shape)))))
     found = found.select(
         "doc_id",
-        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256)).alias("row_key"),
+        row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
         "base",
         in_context(F.col("text"), F.col("mentions")).alias("mentions"),
     )
-    found = common.written(found, "spans")
+    return common.written(found, "spans")
+
+
+def added_spans(found: DataFrame) -> DataFrame:
+    """(row_key, added) of the documents in which the bootstrap finds spans."""
     mentions = found.select("row_key", F.explode("mentions").alias("s")).select("row_key", "s.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
-    added = bootstrap(mentions).groupBy("row_key").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("added"))
-    return found.drop("mentions").join(added, "row_key", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
+    return bootstrap(mentions).groupBy("row_key").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("added"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: row_key, doc_id, base (spans of the fixed expressions), added (spans of the bootstrap)."""
+    found = found_spans(docs, id_col, text_col)
+    return found.drop("mentions").join(added_spans(found), "row_key", "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS)))
 
 
 def bootstrap(mentions: DataFrame) -> DataFrame:
@@ -205,17 +228,21 @@ def merged(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind in brackets; null texts stay null."""
-    spans = find(docs, id_col, text_col).where(F.size("base") + F.size("added") > 0).groupBy("row_key").agg(F.first("base").alias("base"), F.first("added").alias("added"))
-    spans = spans.select("row_key", merged(F.concat("base", "added")).alias("_spans"))
-    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text, n = F.col(text_col), F.size("_spans")
+    """``docs`` with every span of the text replaced by its kind in brackets; null texts stay null.
+
+    Base spans are found again where the text is, so no text is shuffled for
+    them; documents with added spans are few, and joined.
+    """
+    added = common.hinted(added_spans(found_spans(docs, id_col, text_col)), MANY).withColumnsRenamed({"row_key": "_row_key", "added": "_added"})
+    text = F.col(text_col)
+    rows = docs.withColumn("_row_key", row_key(F.col(id_col), text)).join(added, "_row_key", "left")
+    rows = rows.withColumn("_base", tagged(F.coalesce(text.cast("string"), F.lit(""))))
+    rows = rows.withColumn("_spans", merged(F.concat("_base", F.coalesce("_added", F.array().cast(SPANS)))))
+    kinds, n = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), F.size("_spans")
     # The text up to the first span, then each span's kind and the text up to the next.
     ends = F.transform("_spans", lambda s, i: F.coalesce(F.try_element_at("_spans", i + 2)["start"], F.length(text)))
-    clean = F.concat(F.substring(text, F.lit(1), F.element_at("_spans", 1)["start"]), F.array_join(F.zip_with("_spans", ends, lambda s, e: F.concat(F.element_at(kinds, s["kind"] + 1), F.substring(text, s["end"] + 1, e - s["end"]))), ""))
-    rows = docs.withColumn("row_key", key).join(spans, "row_key", "left")
-    return rows.withColumn(text_col, F.when(n > 0, clean).otherwise(text)).drop("row_key", "_spans")
+    clean = F.concat(F.substring(text, F.lit(1), F.try_element_at("_spans", F.lit(1))["start"]), F.array_join(F.zip_with("_spans", ends, lambda s, e: F.concat(F.element_at(kinds, s["kind"] + 1), F.substring(text, s["end"] + 1, e - s["end"]))), ""))
+    return rows.withColumn(text_col, F.when(n > 0, clean).otherwise(text)).select(docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

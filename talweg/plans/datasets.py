@@ -334,9 +334,9 @@ def t23_quarantine_reasons(t):
 
 
 @query(f"""WITH p AS (SELECT _ord, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_extendedprice END AS stated, l_extendedprice AS total, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE l_quantity END AS area FROM (SELECT *, l_orderkey * 10 + l_linenumber AS _ord FROM lineitem))
-SELECT _ord, round(coalesce(stated, CASE WHEN area > 0 THEN total / area END), 6) AS rent, CASE WHEN stated IS NOT NULL THEN 'source' WHEN area > 0 THEN 'derived' ELSE 'missing' END AS basis FROM p""")
+SELECT _ord, round(coalesce(stated, CASE WHEN area > 0 THEN total / area END), 9) AS rent, CASE WHEN stated IS NOT NULL THEN 'source' WHEN area > 0 THEN 'derived' ELSE 'missing' END AS basis FROM p""")
 def f19_rent_per_sqm(t):
     """A stated figure, else one derived, with where it comes from."""
     line = F.col("l_linenumber")
     value, basis = X.rent_per_sqm(F.when(line % 4 != 0, F.col("l_extendedprice")), F.col("l_extendedprice"), F.when(line % 5 == 0, 0).otherwise(F.col("l_quantity")))
-    return t.lineitem.select((F.col("l_orderkey") * 10 + line).alias("_ord"), r(value, 6).alias("rent"), basis.alias("basis"))
+    return t.lineitem.select((F.col("l_orderkey") * 10 + line).alias("_ord"), r(value, 9).alias("rent"), basis.alias("basis"))

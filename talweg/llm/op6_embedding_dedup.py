@@ -61,6 +61,22 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def packed(vectors: np.ndarray) -> list[bytes]:
+    """Each vector's numbers as bytes: in single precision where that is exact, else in double."""
+    with np.errstate(over="ignore"):
+        short = vectors.astype(np.float32)
+    exact = (short == vectors).all(axis=1)
+    return [s.tobytes() if e else v.tobytes() for s, v, e in zip(short, vectors.astype(np.float64), exact.tolist())]
+
+
+def unpacked(column, width: int) -> np.ndarray:
+    """Unit vectors, in double precision, of what ``packed`` gave."""
+    out = np.empty((len(column), width))
+    for k, x in enumerate(column):
+        out[k] = np.frombuffer(x, np.float32 if len(x) == 4 * width else np.float64)
+    return _unit(out) if len(out) else out
+
+
 def keep_apart(units: np.ndarray, most: int, apart: float) -> np.ndarray:
     """The first ``most`` of the unit vectors that have no cosine above ``apart`` to one before."""
     kept = np.zeros((most, units.shape[1]))
@@ -166,26 +182,29 @@ def linked(distinct: DataFrame, width: int, cosine: float, pivots: int | None, n
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                u = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                u = _unit(v)
                 near = np.concatenate([np.argsort(-np.round(u[k : k + 1024] @ sent.value.T, 12), axis=1, kind="stable")[:, :depth] for k in range(0, len(u), 1024)])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, depth), pa.int32()), pa.array(near.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("copies"), pa.array([x.tobytes() for x in u], pa.binary()), lists], names=["first", "copies", "u", "near"])
+                yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("copies"), pa.array(packed(v), pa.binary()), lists], names=["first", "copies", "v", "near"])
 
-    index = common.written(distinct.mapInArrow(describe, "first long, copies long, u binary, near array<int>"), "index")
+    index = common.written(distinct.mapInArrow(describe, "first long, copies long, v binary, near array<int>"), "index")
     sizes = index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     # A row a pivot, ``MOST`` at most.
     posted = index.withColumn("pivot", F.explode("near")).join(F.broadcast(sizes), "pivot")
     posted = posted.withColumn("own", F.pmod(F.xxhash64("first", F.lit(11)), F.col("n")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    posted = posted.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "first", "copies", "u", "near")
+    posted = posted.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "first", "copies", "v", "near")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         pivot, i, j = key
         group = group.sort_values("first")
         parts = []
-        for k in (i, j):
-            g = group if i == j else group[group["own"] == k]
-            parts.append((g["first"].to_numpy(), g["copies"].to_numpy(), np.frombuffer(b"".join(g["u"]), np.float64).reshape(len(g), width), np.array(g["near"].to_list(), np.int64).reshape(len(g), depth)))
+        for k in dict.fromkeys((i, j)):
+            g = group[group["own"] == k]
+            parts.append((g["first"].to_numpy(), g["copies"].to_numpy(), unpacked(g["v"], width), np.array(g["near"].to_list(), np.int64).reshape(len(g), depth)))
+        if i == j:
+            parts *= 2
         (name_a, copies_a, a, near_a), (name_b, copies_b, b, near_b) = parts
         none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("first", "links", "to")})
         if not len(a) or not len(b):

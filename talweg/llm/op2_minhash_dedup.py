@@ -208,7 +208,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * M3
         for batch in batches:
-            for a, b in tokens.slices(batch.column(2), 4_000_000):
+            for a, b in tokens.slices(batch.column(2)):
                 s = Shingles(batch.column(2).slice(a, b - a))
                 got = samples(s.id, s.weights(idf.value), s.size)
                 bands = np.zeros((b - a, BANDS), np.uint64) + salt
@@ -275,13 +275,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     met = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1").select("bucket", "low")
     members = common.written(banded.join(met, "bucket"), "buckets")
     lead = members.where("doc_id = low").groupBy("bucket").agg(F.min(F.struct("a", "sig_a")).alias("lead")).select("bucket", F.col("lead.a").alias("b"), F.col("lead.sig_a").alias("sig_b"))
-    edges = verified(agreeing(members.join(lead, "bucket").where("a <> b")), docs, idf, similarity)
+    led = common.written(members.join(lead, "bucket").select("bucket", "a", "b", "sig_a", "sig_b"), "led")
+    edges = verified(agreeing(led.where("a <> b")), docs, idf, similarity)
 
     def apart(edges: DataFrame) -> DataFrame:
-        """Rows of buckets whose texts lie in several components, with their components."""
+        """Rows of buckets whose texts but the leader, which has met all, lie in several components; with their components."""
         component = common.connected_components(edges)
-        now = members.select("bucket", "a").join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mark = now.withColumn("mark", F.xxhash64("component"))
+        now = led.select("bucket", "a", "b").join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        mark = now.where("a <> b").withColumn("mark", F.xxhash64("component"))
         open_ = mark.groupBy("bucket").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("bucket")
         return common.written(now.join(open_, "bucket", "left_semi"), "apart")
 

@@ -22,7 +22,7 @@ PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: A letter before one of these always ends a pre-token (not the apostrophe: 's and the like are tokens; nor the bar: special tokens have it).
 CLOSED = r"(\p{L})([!-&(-/:-@\[-`{}~])"
 #: Bytes of text in one slice, pieces that the cache may hold, and pieces in one call of the tokenizer.
-SLICE_BYTES, CACHE_PIECES, CALL_PIECES = 4_000_000, 500_000, 500
+SLICE_BYTES, CACHE_PIECES, CALL_PIECES = 2_000_000, 500_000, 500
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions import geo
+from talweg.operators import cells
 
 
 def ambiguous(build: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,39 +37,31 @@ def grid(rows: DataFrame, *dims: DataFrame) -> DataFrame:
     return full.join(rows, full.columns, "left")
 
 
-def contains(df: DataFrame, text: Column, rules: DataFrame, keyword: str) -> DataFrame:
-    """Theta join of texts with a bounded rule table by substring."""
-    return df.join(F.broadcast(rules), F.contains(text, F.col(keyword)))
-
-
 def _axis(ring: Column, axis: str) -> Column:
     """The ring's x or y values."""
     return F.transform(ring, lambda p: p[axis])
 
 
-def located(points: DataFrame, polygons: DataFrame, key: str, region: str, cells: int = 256) -> DataFrame:
+def located(points: DataFrame, polygons: DataFrame, key: str, region: str, parts: int = cells.PARTS) -> DataFrame:
     """(key, region) of each point: the polygon that holds it if there is exactly one, else null.
 
-    ``polygons``: region, rings. Points and polygons meet on the cells of a grid
-    (``cells`` a side, over the extent of all polygons), then on the bounding box,
-    so the ray cast meets few pairs.
+    ``polygons``: region, rings. Points and polygons meet on cells that are cut
+    where points are many (``cells``), then on the bounding box, so the ray cast
+    meets few pairs and a hot spot is many tasks. Points that repeat a key are one if they hold one place.
     """
     ring = F.element_at(F.col("rings"), 1)
-    boxed = polygons.select(F.col(region), "rings", *(f(_axis(ring, c)).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.array_min, F.array_max)))
+    boxed = polygons.select(F.col(region), "rings", F.xxhash64(region, "rings").alias("__box"), *(f(_axis(ring, c)).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.array_min, F.array_max)))
     near = F.col("x").between(F.col("array_min_x"), F.col("array_max_x")) & F.col("y").between(F.col("array_min_y"), F.col("array_max_y"))
-    extent = boxed.agg(*(f(f"{g}_{c}").alias(f"__{g}_{c}") for c in "xy" for f, g in ((F.min, "array_min"), (F.max, "array_max"))))
-
-    def cell(c: Column, axis: str) -> Column:
-        lo, hi = F.col(f"__array_min_{axis}"), F.col(f"__array_max_{axis}")
-        return F.floor(F.coalesce(F.try_divide(c - lo, hi - lo), F.lit(0.0)) * cells).cast("int")
-
-    spread = boxed.crossJoin(F.broadcast(extent))
-    for c in "xy":
-        spread = spread.withColumn(f"__g{c}", F.explode(F.sequence(cell(F.col(f"array_min_{c}"), c), cell(F.col(f"array_max_{c}"), c))))
-    spread = spread.drop(*(c for c in spread.columns if c.startswith("__array")))
-    dealt = points.select(key, "x", "y").crossJoin(F.broadcast(extent)).select(key, "x", "y", cell(F.col("x"), "x").alias("__gx"), cell(F.col("y"), "y").alias("__gy"))
-    held = dealt.join(spread, ["__gx", "__gy"]).where(near & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
-    one = held.groupBy(key).agg(F.count("*").alias("n"), F.min(region).alias(region)).where("n = 1").drop("n")
+    square = F.broadcast(cells.extent(boxed, "array_min_x", "array_max_x", "array_min_y", "array_max_y"))
+    placed = points.select(key, "x", "y").join(square).withColumns({"gx": cells.at(F.col("x"), "x"), "gy": cells.at(F.col("y"), "y")}).select(key, "x", "y", "gx", "gy")
+    found = cells.leaves(placed, parts)
+    spread = boxed.join(square).withColumns({f"g{c}{end}": cells.at(F.col(f"array_{side}_{c}"), c) for c in "xy" for end, side in ((0, "min"), (1, "max"))}).drop("lo_x", "lo_y", "side")
+    # Rings come when the cells are known, one copy for each.
+    sides = [c for c in boxed.columns if c.startswith("array")]
+    around = cells.covering(spread.drop("rings", *sides), found).join(boxed.drop(region), "__box")
+    dealt = cells.dealt(placed.where("gx IS NOT NULL AND gy IS NOT NULL"), found, key, "x", "y")
+    held = dealt.join(around, ["level", "cx", "cy", "share"]).where(near & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    one = held.groupBy(key).agg(F.countDistinct(region).alias("n"), F.min(region).alias(region)).where("n = 1").drop("n")
     return points.select(key).join(one, key, "left")
 
 
@@ -90,82 +81,3 @@ def tiered(requests: DataFrame, keys: DataFrame, request: str) -> DataFrame:
     met = requests.join(keys, "key").select(F.struct(request, "tier").alias("__k"), "x", "y")
     found = collapsed(met, "__k").where("how IS NOT NULL").select(F.col(f"__k.{request}").alias(request), F.col("__k.tier").alias("tier"), "how", "x", "y")
     return found.groupBy(request).agg(F.min_by(F.struct("tier", "how", "x", "y"), "tier").alias("r")).select(request, "r.*")
-
-
-def covered_ratio(rings: list[list[tuple[float, float]]], discs: list[list[tuple[float, float]]]) -> float:
-    """Share of a polygon's area under the union of convex polygons, exactly, by vertical slabs.
-
-    Between neighbouring x of vertices and crossings every side is straight, so
-    the covered length is linear and its mean over a slab is its middle value.
-    """
-    def sides(ring):
-        p = np.array(ring, float)
-        return np.hstack([p, np.roll(p, -1, 0)])
-
-    shape = np.vstack([sides(r) for r in rings])
-    covers = [sides(d) for d in discs]
-    every = np.vstack([shape, *covers])
-    xs = set(every[:, 0].tolist())
-    x1, y1, x2, y2 = every.T
-    dx, dy = x2 - x1, y2 - y1
-    for k in range(len(every)):
-        det = dx[k] * dy - dy[k] * dx
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((x1 - x1[k]) * dy - (y1 - y1[k]) * dx) / det
-            u = ((x1 - x1[k]) * dy[k] - (y1 - y1[k]) * dx[k]) / det
-        good = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        xs.update((x1[k] + t[good] * dx[k]).tolist())
-    grid_ = np.array(sorted(xs))
-
-    def spans(side, x):
-        a, b, c, d = side.T
-        cut = np.minimum(a, c) < x
-        cut &= np.maximum(a, c) > x
-        return np.sort(b[cut] + (x - a[cut]) / (c[cut] - a[cut]) * (d[cut] - b[cut]))
-
-    whole = part = 0.0
-    # Crossings at one place may differ by rounding: the slivers between them hold nothing.
-    least = 1e-12 * (np.abs(grid_).max() + 1)
-    for lo, hi in zip(grid_[:-1], grid_[1:]):
-        if hi - lo <= least:
-            continue
-        mid = (lo + hi) / 2
-        inside = spans(shape, mid).reshape(-1, 2)
-        whole += (inside[:, 1] - inside[:, 0]).sum() * (hi - lo)
-        cover = sorted(tuple(s) for c in covers for s in spans(c, mid).reshape(-1, 2))
-        merged: list[list[float]] = []
-        for a, b in cover:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        part += sum(max(0.0, min(b, d) - max(a, c)) for a, b in inside for c, d in merged) * (hi - lo)
-    return part / whole if whole else 0.0
-
-
-def coverage(areas: DataFrame, points: DataFrame, key: str, radius: float) -> DataFrame:
-    """(key, ratio, n_points): each area's share within ``radius`` of a point; areas are one task's rows each.
-
-    Points reach an area by a join on grid cells of the radius, not by pairing
-    every area with every point.
-    """
-    cell = lambda c: F.floor(c / radius).cast("long")
-    ring = F.element_at("rings", 1)
-    lo = {c: F.array_min(_axis(ring, c)) for c in "xy"}
-    hi = {c: F.array_max(_axis(ring, c)) for c in "xy"}
-    cells = areas.select(key, F.explode(F.sequence(cell(lo["x"]) - 1, cell(hi["x"]) + 1)).alias("gx"), lo["y"].alias("ly"), hi["y"].alias("hy"))
-    cells = cells.select(key, "gx", F.explode(F.sequence(cell(F.col("ly")) - 1, cell(F.col("hy")) + 1)).alias("gy"))
-    near = cells.join(points.select("x", "y", cell(F.col("x")).alias("gx"), cell(F.col("y")).alias("gy")), ["gx", "gy"])
-    served = near.groupBy(key).agg(F.collect_set(F.struct("x", "y")).alias("near"))
-
-    def measure(batches):
-        for batch in batches:
-            out = []
-            for rings, near_ in zip(batch["rings"], batch["near"]):
-                shape = [[(p["x"], p["y"]) for p in r] for r in rings]
-                near_ = [] if near_ is None else list(near_)
-                out.append((covered_ratio(shape, [geo.disc(p["x"], p["y"], radius) for p in near_]) if near_ else 0.0, len(near_)))
-            yield pd.DataFrame({key: batch[key], "ratio": [r for r, _ in out], "n_points": [n for _, n in out]})
-
-    kind = dict(areas.dtypes)[key]
-    return areas.join(served, key, "left").select(key, "rings", "near").mapInPandas(measure, f"{key} {kind}, ratio double, n_points long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import predicates as W
 from talweg.functions import text as T
-from talweg.operators import evidence, lookups, recipes, sets
+from talweg.operators import evidence, lookups, matching, recipes, sets
 from talweg.plans.base import order_year, query, r
 from talweg.plans.datasets import Landed
 
@@ -32,21 +32,6 @@ def f15_home_predicates(t):
     return SALES.frame(t).select("_ord", W.home_listing(c("target"), c("usage"), c("building"), ["house"]).alias("listing"), W.home_sale(c("kind"), c("area"), c("usage"), c("land_use")).alias("sale"), W.college(c("education")).alias("college"), W.labelled(c("rental"), W.RENTAL_TYPES, "未知").alias("rental_label"))
 
 
-PLATES = Landed(
-    "customer",
-    _ord="c_custkey",
-    address="CASE c_custkey % 5 WHEN 0 THEN '新北市臺北區中山路二段' || CAST(c_custkey AS STRING) || '號之三(後棟)' WHEN 1 THEN '中山路２段' || CAST(c_custkey AS STRING) || '-4號5樓' WHEN 2 THEN '八里區12鄰中山路' || CAST(c_custkey AS STRING) || '、9、11號' WHEN 3 THEN ' ' ELSE '中山路' || CAST(c_custkey AS STRING) || '號B1 the shop' END",
-)
-
-
-@query(f"""SELECT _ord, CASE _ord % 5 WHEN 0 THEN '台北區中山路二段' || _ord || '之3號' WHEN 1 THEN '中山路2段' || _ord || '之4號5樓' WHEN 2 THEN '八里區12鄰中山路' || _ord || '號' WHEN 3 THEN '' ELSE '中山路' || _ord || '號B1theshop' END AS normal,
-CASE _ord % 5 WHEN 0 THEN '中山路二段' || _ord || '之3號' WHEN 1 THEN '中山路2段' || _ord || '之4號5樓' WHEN 2 THEN '中山路' || _ord || '號' WHEN 3 THEN '' ELSE '中山路' || _ord || '號B1theshop' END AS street,
-CASE _ord % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS n_tiers FROM {PLATES.sql}""")
-def f31_address_keys(t):
-    a = W.address(F.col("address"))
-    return PLATES.frame(t).select("_ord", a.alias("normal"), W.street(a).alias("street"), F.size(W.address_tiers(F.col("address"))).alias("n_tiers"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS a, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END AS b FROM orders")
 def f33_sanitized(t):
     k = F.col("o_orderkey")
@@ -84,18 +69,10 @@ def f38_question_intents(t):
     question = F.concat(F.when(k % 3 == 0, F.concat((100 + k % 20).cast("string"), F.lit(" 年度 "))).otherwise(F.lit("2024年 ")), F.when(k % 5 == 0, "salary ").otherwise(""), F.when(k % 2 == 0, "rents ").otherwise(""), F.when(k % 7 == 0, "which is best").otherwise(""))
     asked = t.orders.select(k.alias("id"), F.when(k % 4 == 0, " latest ").otherwise(" ").alias("period"), question.alias("q"))
     rules = t.region.sparkSession.createDataFrame([("salary", ["wage"]), ("rents", ["rent"])], "keyword string, metric_ids array<string>")
-    met = W.intents(asked, "id", "q", rules, ["best"], ["index"])
+    met = matching.intents(asked, "id", "q", rules, ["best"], ["index"])
     return asked.join(met, "id").select("id", W.question_period(F.col("period"), F.col("q")).alias("period"), F.array_join("metric_ids", ",").alias("metrics"))
 
 
-@query("SELECT c_custkey AS id, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE length(n_name) >= 2 UNION ALL SELECT c_custkey, 'NATION_1' FROM customer WHERE c_nationkey BETWEEN 10 AND 19 UNION ALL SELECT c_custkey, 'NATION_2' FROM customer WHERE c_nationkey BETWEEN 20 AND 24")
-def f40_mentioned_districts(t):
-    """A name within another is mentioned, too; half of the questions leave the suffix out."""
-    named = t.nation.select(F.concat("n_name", F.lit("區")).alias("name"), "n_nationkey")
-    asked = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("how is "), "n_name", F.when(F.col("c_custkey") % 2 == 0, "區").otherwise("")).alias("q"))
-    return W.mentioned(asked, "id", "q", named, "name", "區").select("id", F.regexp_replace("name", "區$", "").alias("name"))
-
-
 @query("SELECT count(*) AS expected, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS matched, round(count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders)) * 1.0 / count(*), 8) AS coverage_ratio, CASE WHEN count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders)) < count(*) THEN 'incomplete_coverage' END AS reason, (SELECT count(*) FROM orders) AS joined FROM customer")
 def j02_covered_join(t):
     both, accounts = lookups.covered_join(t.customer.withColumnRenamed("c_custkey", "k"), t.orders.withColumnRenamed("o_custkey", "k"), "k")
@@ -299,15 +276,6 @@ def x01_injected_tokenizer(t):
     return t.part.select("p_partkey", F.array_join(words(F.concat_ws(" ", "p_name", "p_brand")), " ").alias("tokens"))
 
 
-@query("SELECT p_partkey, 'small' AS latin, '青年 年就 就業 青年就 年就業 青年就業' AS han, p_size > 25 AS listed FROM part WHERE p_name LIKE 'small%'")
-def f29_mixed_tokens(t):
-    text = F.concat(F.lit("Small 青年就業 "), F.when(F.col("p_size") > 25, "social housing").otherwise(""))
-    tokens = T.mixed_tokens(text, ["social housing"])
-    rows = t.part.where(F.col("p_name").startswith("small")).select("p_partkey", tokens.alias("w"))
-    grams = F.filter("w", lambda x: x.rlike(r"\p{IsHan}"))
-    return rows.select("p_partkey", F.col("w")[0].alias("latin"), F.array_join(grams, " ").alias("han"), F.array_contains("w", "social housing").alias("listed"))
-
-
 @query("SELECT 'customer' AS kind, c_custkey AS id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier")
 def u01_union_with_failures(t):
     """A source that can't be opened is left out."""

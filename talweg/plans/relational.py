@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talweg.operators import joins, sets
+from talweg.operators import joins, matching, sets
 from talweg.plans.base import order_year, query, r
 from talweg.streaming import windows
 
@@ -60,16 +60,7 @@ def fallback_lookup(t):
 @query("SELECT p_partkey, w AS word FROM part, (VALUES ('red'), ('widget'), ('small'), ('ring')) v(w) WHERE contains(p_name, w)")
 def theta_contains(t):
     rules = t.part.sparkSession.createDataFrame([("red",), ("widget",), ("small",), ("ring",)], "word string")
-    return joins.contains(t.part, F.col("p_name"), rules, "word").select("p_partkey", "word")
-
-
-@query("SELECT s_suppkey, CASE WHEN count(*) FILTER (WHERE inside) = 1 THEN min(g) FILTER (WHERE inside) END AS region FROM (SELECT s_suppkey, g, (s_suppkey * 7) % 100 + 0.5 BETWEEN x AND x + 60 AND (s_suppkey * 13) % 100 + 0.5 BETWEEN 0 AND 80 AS inside FROM supplier, (VALUES (0, 0), (1, 40)) v(g, x)) GROUP BY s_suppkey")
-def point_in_polygon_grid(t):
-    spark = t.supplier.sparkSession
-    box = lambda x: [[(float(x), 0.0), (x + 60.0, 0.0), (x + 60.0, 80.0), (float(x), 80.0)]]
-    areas = spark.createDataFrame([(0, box(0)), (1, box(40))], "region int, rings array<array<struct<x:double,y:double>>>")
-    pts = t.supplier.select("s_suppkey", ((F.col("s_suppkey") * 7) % 100 + 0.5).alias("x"), ((F.col("s_suppkey") * 13) % 100 + 0.5).alias("y"))
-    return joins.located(pts, areas, "s_suppkey", "region")
+    return matching.matched(t.part, F.col("p_name"), rules, "word").select("p_partkey", "word")
 
 
 @query("SELECT event_type AS g, event_id, rank, group_rows, group_rows > 5 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank, count(*) OVER (PARTITION BY event_type) AS group_rows FROM events) WHERE rank <= 5")
@@ -159,13 +150,6 @@ def q07_polygon_area(t):
     return _squares(t).select("k", r(geo.polygon_area(F.col("rings")), 6).alias("area"))
 
 
-@query()
-def q12_service_coverage(t):
-    """Share of each district within 30 of a service point (suppliers, on the same grid)."""
-    pts = t.supplier.select(((F.col("s_suppkey") * 37) % 1000).cast("double").alias("x"), ((F.col("s_suppkey") * 53) % 1000).cast("double").alias("y"))
-    return joins.coverage(_squares(t), pts, "k", 30.0).select("k", r(F.col("ratio"), 6).alias("ratio"), "n_points")
-
-
 def _tm2_sql() -> str:
     """The transverse Mercator series, written out."""
     n = "(1 / 298.257222101) / (2 - 1 / 298.257222101)"
@@ -181,13 +165,3 @@ def f32_tm2_forward(t):
 
     x, y = geo.tm2(121.0 + F.col("s_suppkey") % 100 / 100.0, 24.0 + F.col("s_suppkey") % 70 / 100.0)
     return t.supplier.select("s_suppkey", r(x).alias("x"), r(y).alias("y"))
-
-
-@query("SELECT n_nationkey AS request, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS tier FROM nation WHERE n_nationkey % 3 < 2")
-def j11_tiered_resolution(t):
-    """Strict keys resolve a third of the requests, loose ones another; the rest stay unresolved."""
-    k = F.col("n_nationkey")
-    requests = t.nation.select(k.alias("request"), F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.concat(F.lit("strict"), k).alias("key")), F.struct(F.lit(1).alias("tier"), F.concat(F.lit("loose"), k).alias("key")))).alias("p")).select("request", "p.*")
-    keys = t.nation.where(k % 3 == 0).select(F.concat(F.lit("strict"), k).alias("key"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-    keys = keys.unionByName(t.nation.where(k % 3 == 1).select(F.concat(F.lit("loose"), k).alias("key"), F.lit(2.0).alias("x"), F.lit(2.0).alias("y")))
-    return joins.tiered(requests, keys, "request").select("request", "tier")

@@ -1,7 +1,6 @@
 import datetime
 import io
 import math
-import random
 import zipfile
 
 import pytest
@@ -113,19 +112,6 @@ def test_geometry(spark):
     arc = sum(geo.A * (1 - e2) / (1 - e2 * math.sin((k + 0.5) * lat / steps) ** 2) ** 1.5 for k in range(steps)) * lat / steps
     assert one(spark, geo.tm2(F.lit(121.0), F.lit(25.0))[1]) == pytest.approx(geo.K0 * arc, abs=1e-3)
     assert one(spark, geo.tm2(F.lit(121.5), F.lit(25.0))[0]) - 250000 == pytest.approx(250000 - one(spark, geo.tm2(F.lit(120.5), F.lit(25.0))[0]), abs=1e-6)
-    served = joins.coverage(areas.where("region = 'a'"), spark.createDataFrame([(1.0, 1.0), (100.0, 100.0)], "x double, y double"), "region", 0.5).first()
-    assert served.n_points == 1 and served.ratio == pytest.approx(math.pi * 0.25 / 96, rel=5e-3)
-    assert joins.coverage(areas, spark.createDataFrame([], "x double, y double"), "region", 1.0).agg(F.sum("ratio")).first()[0] == 0
-
-
-def test_coverage_is_exact_for_boxes():
-    box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
-    rng = random.Random(1)
-    for _ in range(30):
-        boxes = [tuple(sorted(rng.sample(range(0, 21), 2)) + sorted(rng.sample(range(0, 21), 2))) for _ in range(4)]
-        cells = sum(any(a <= x < b and c <= y < d for a, b, c, d in boxes) for x in range(5, 15) for y in range(5, 15))
-        got = joins.covered_ratio([box(5, 5, 15, 15)], [box(a, c, b, d) for a, b, c, d in boxes])
-        assert got == pytest.approx(cells / 100, abs=1e-9)
 
 
 @settings(max_examples=200, database=None, derandomize=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import nulls as N
 from talweg.operators import stats
+from talweg.sources import scratch
 
 #: Features (whether less is better), components with their features' weights, the components' weights.
 FEATURES = {
@@ -42,14 +43,19 @@ def pivoted(long: DataFrame, names: list[str], *keys: str) -> DataFrame:
     return long.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
 
 
-def middles(inputs: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(kind, district_id, city, middle, least, n) of each input's values, by district and (``city``) for all, in the same two passes."""
+def narrow(inputs: dict[str, tuple[DataFrame, str, str | None]]) -> DataFrame:
+    """(kind, district_id, v, weight) of each input's values, written once: percentiles and what they decide read these alone."""
     rows = None
-    for kind, (df, value) in inputs.items():
-        part = df.select(F.lit(kind).alias("kind"), "district_id", F.col(value).cast("double").alias("v"))
+    for kind, (df, value, weight) in inputs.items():
+        part = df.select(F.lit(kind).alias("kind"), "district_id", F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("weight"))
         rows = part if rows is None else rows.unionByName(part)
+    return scratch.kept(rows, "narrow")
+
+
+def middles(rows: DataFrame) -> DataFrame:
+    """(kind, district_id, city, middle, least, n) of the values, by district and (``city``) for all, in the same two passes."""
     both = F.array(F.struct(F.col("district_id").alias("d"), F.lit(False).alias("city")), F.struct(F.lit(None).alias("d"), F.lit(True).alias("city")))
-    return stats.percentiles(rows.select("kind", "v", F.explode(both).alias("g")).select("kind", "v", F.col("g.d").alias("district_id"), "g.city"), ["kind", "district_id", "city"], F.col("v"), {"middle": 0.5, "least": 0.0}, "n")
+    return scratch.kept(stats.percentiles(rows.select("kind", "v", F.explode(both).alias("g")).select("kind", "v", F.col("g.d").alias("district_id"), "g.city"), ["kind", "district_id", "city"], F.col("v"), {"middle": 0.5, "least": 0.0}, "n"), "middles")
 
 
 def features(districts: DataFrame, population: DataFrame, vacancies: DataFrame, salaries: DataFrame, rents: DataFrame, houses: DataFrame, students: DataFrame, courses: DataFrame, stops: DataFrame, city: DataFrame) -> DataFrame:
@@ -61,11 +67,12 @@ def features(districts: DataFrame, population: DataFrame, vacancies: DataFrame,
     students; courses: courses (one row a district); stops: kind (bus, rail,
     bike); city: one row of latest_wage, talent_demand_yoy, training_people.
     """
-    found = middles({"salary": (salaries, "salary"), "rent": (rents, "rent"), "house": (houses, "price")})
+    values = narrow({"salary": (salaries, "salary", "positions"), "rent": (rents, "rent", None), "house": (houses, "price", None)})
+    found = middles(values)
     own = found.where("NOT city")
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
     whole = found.where("city").agg(of("salary", "middle").alias("salary_median_city"), of("house", "middle").alias("house_own_city"), of("rent", "least").alias("least_rent"))
-    high = salaries.crossJoin(F.broadcast(whole)).where(F.col("salary") > HIGH * F.col("salary_median_city")).groupBy("district_id").agg(F.sum("positions").alias("high_positions"))
+    high = values.where("kind = 'salary'").crossJoin(F.broadcast(whole)).where(F.col("v") > HIGH * F.col("salary_median_city")).groupBy("district_id").agg(F.sum("weight").alias("high_positions"))
     n = vacancies.groupBy("district_id", F.coalesce(F.col("category"), F.lit("unknown")).alias("c")).agg(F.sum(F.coalesce("positions", F.lit(0))).cast("double").alias("n")).where("n > 0")
     jobs = n.groupBy("district_id").agg(F.sum("n").alias("positions"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("occupation_entropy"))
     parts = [

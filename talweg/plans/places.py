@@ -44,6 +44,14 @@ _KEYS = """(SELECT _ord, tier, CASE tier WHEN 0 THEN [town, {same}, sub::VARCHAR
 WHEN 2 THEN ['', {same}, sub::VARCHAR, '', ''] ELSE ['', {same}, NULL, '', ''] END AS k {more} FROM {parts}, unnest([0, 1, 2, 3]) AS u(tier) WHERE plate IS NOT NULL AND (tier > 0 OR town IS NOT NULL))"""
 
 
+@query(f"SELECT _ord, min(tier) AS tier, count(*) AS same_key FROM {_KEYS.format(same=_SAME, more='', parts=_parts_sql(CUSTOMERS.sql))} GROUP BY _ord, array_to_string(list_transform(k, lambda v: coalesce(v, '')), '|')")
+def f31_address_keys(t):
+    """The tiers of every address with a plate; a looser tier with a stricter one's key isn't repeated, so it adds to that."""
+    p = CUSTOMERS.frame(t).select("_ord", A.parts(F.col("address")).alias("p")).where("p.plate IS NOT NULL").select("_ord", A.tiers(F.col("p")).alias("t"))
+    rows = p.select("_ord", F.posexplode("t").alias("i", "k"), F.get("t", F.col("i") + 1)["tier"].alias("next"))
+    return rows.select("_ord", F.col("k.tier").alias("tier"), (F.coalesce("next", F.lit(4)) - F.col("k.tier")).cast("long").alias("same_key"))
+
+
 @query(f"""WITH q AS {_KEYS.format(same=_SAME, more="", parts=_parts_sql(CUSTOMERS.sql))}, g AS (SELECT DISTINCT array_to_string(list_transform(k, lambda v: coalesce(v, '')), '|') AS k, _ord AS place, x, y FROM {_KEYS.format(same=_SAME, more=", x, y", parts=_parts_sql(REGISTER.sql))}),
 m AS (SELECT q._ord AS request, q.tier, x, y, count(*) AS n FROM (SELECT _ord, min(tier) AS tier, array_to_string(list_transform(k, lambda v: coalesce(v, '')), '|') AS k FROM q GROUP BY _ord, 3) q JOIN g USING (k) GROUP BY ALL),
 w AS (SELECT request, tier, avg(x) AS cx, avg(y) AS cy, count(*) AS places, sum(n) AS total, max(n) AS top FROM m GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talweg.functions import text as T
 from talweg.operators import evidence, keywords, planner
 from talweg.plans.base import query, r
+from talweg.plans.datasets import Landed
 
 WORDS = "SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents"
 STATS = f"SELECT term, source, sum(n) AS tf, count(*) AS df FROM (SELECT term, source, doc_id, count(*) AS n FROM ({WORDS}) WHERE length(term) BETWEEN 2 AND 12 GROUP BY ALL) GROUP BY ALL"
@@ -123,3 +124,54 @@ def m02_refresh_due(t):
 def m05_retention_filter(t):
     rows = t.orders.select(F.year("o_orderdate").alias("y"))
     return planner.retained(rows, F.col("y"), 2, [1995]).groupBy("y").agg(F.count("*").alias("n"))
+
+
+def _said(prefix: str) -> str:
+    """Han phrases by key, some with a title's name or an address for the scrub."""
+    return f"concat({prefix}, CASE doc_id % 6 WHEN 0 THEN ' 青年就業輔導政策' WHEN 1 THEN ' 社會住宅 租金補貼' WHEN 2 THEN ' 會議紀錄 青年就業 https://a.example/x' WHEN 3 THEN ' 王小明委員 公共托育' WHEN 4 THEN ' 租金補貼 a@b.example 2024-01-02' ELSE ' 本案 說明事項' END)"
+
+
+NOTED = Landed(
+    "documents",
+    kind="CASE WHEN doc_id % 2 = 0 THEN 'join' ELSE 'minutes' END",
+    text=_said("text"),
+    topic=_said("substr(text, 1, 40)"),
+    resolution="CASE WHEN doc_id % 3 = 0 THEN concat('決議 青年就業 ', substr(text, 1, 60)) END",
+    escalated="doc_id % 9 = 3",
+    endorsements="CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 50 - 3 END",
+)
+RULES = keywords.Rules(listed=("社會住宅", "licensed"), anchors=("就業", "租金", "托育", "tion"), stop=("the", "die", "and"), soft=("政策",), administrative=("本案",), suffixes=("紀錄", "事項"))
+
+
+def _cut(c: str) -> str:
+    """Kept tokens of a text: what the scrub leaves, Latin runs, Han grams, listed terms."""
+    for rx in T.SCRUBS.values():
+        c = f"regexp_replace({c}, '{rx}', ' ', 'g')"
+    c = f"regexp_replace({c}, '\\p{{Han}}{{2,4}}?(?:{'|'.join(sorted(T.ROLES, key=len, reverse=True))})', ' ', 'g')"
+    grams = f"flatten(list_transform(regexp_extract_all(x.c, '\\p{{Han}}+'), lambda run: flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, greatest(length(run) - n + 2, 1)), lambda i: substr(run, i, n))))))"
+    kept = "lambda w: length(w) BETWEEN 2 AND 12 AND regexp_matches(w, '\\p{L}') AND w NOT IN ('the', 'die', 'and', '本案')"
+    return f"(SELECT list_filter(list_concat(regexp_extract_all(lower(x.c), '[a-z][a-z0-9]+'), {grams}, list_filter(['社會住宅', 'licensed'], lambda w: contains(lower(x.c), w))), {kept}) FROM (SELECT {c} AS c) x)"
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, kind = 'join' AS j, coalesce(escalated, false) AS up, 1 + ln(1 + greatest(coalesce(endorsements, 0), 0)) AS e, {_cut("coalesce(text, '')")} AS t, {_cut("coalesce(topic, '')")} AS h, {_cut("coalesce(resolution, '')")} AS s FROM {NOTED.sql}),
+o AS (SELECT id, j, up, e, unnest(t) AS term, h, s FROM d), p AS (SELECT id, j, up, e, term, count(*) AS n, list_contains(any_value(h), term) AS h, list_contains(any_value(s), term) AS s FROM o GROUP BY id, j, up, e, term),
+a AS (SELECT term, sum(n) AS tf, count(*) FILTER (WHERE j) AS jd, count(*) FILTER (WHERE NOT j) AS md, count(*) AS df, count(*) FILTER (WHERE h) AS td, coalesce(sum(e) FILTER (WHERE j), 0) AS support, bool_or(NOT j AND s) AS resolved, bool_or(NOT j AND s AND up) AS escalated,
+  regexp_matches(term, '就業|租金|托育|tion') AS anchor, term IN ('社會住宅', 'licensed') AS listed FROM p GROUP BY term HAVING count(*) >= 2),
+b AS (SELECT * FROM a WHERE listed OR (term <> '政策' AND NOT regexp_matches(term, '(紀錄|事項)$') AND CASE WHEN length(term) >= 3 THEN td >= 1 OR (jd > 0 AND md > 0 AND tf >= 3 AND anchor) ELSE anchor AND (td >= 1 OR (jd > 0 AND md > 0 AND tf >= 3)) END)),
+c AS (SELECT * FROM b WHERE listed OR NOT EXISTS (SELECT 1 FROM b l WHERE regexp_matches(l.term, '^\\p{{Han}}{{3,}}$') AND length(l.term) > length(b.term) AND contains(l.term, b.term) AND l.tf = b.tf AND l.df = b.df)),
+m AS (SELECT max(ln(1 + tf)) AS x, max(support) AS y, max(md) AS z FROM c),
+r AS (SELECT c.*, ln(1 + tf) / x + coalesce(support / nullif(y, 0), 0) + 1.8 * md / nullif(z, 0) + 1.2 * resolved::INT + 2.5 * escalated::INT AS raw, CASE WHEN listed THEN 1.0 ELSE 0.25 * anchor::INT + 0.25 * (length(term) >= 3 AND td > 0)::INT END + 0.25 * td / df AS rel FROM c, m),
+q AS (SELECT *, raw + 0.8 * rel AS score FROM r ORDER BY score DESC, df DESC, tf DESC, term DESC LIMIT 23)
+SELECT term, tf::BIGINT AS tf, jd AS join_df, md AS minutes_df, td AS topic_df, round(support, 6) AS support, resolved, escalated, CASE WHEN escalated THEN 'escalated' WHEN md > 0 THEN 'minutes' ELSE 'join' END AS signal, round(rel, 6) AS relevance, round(raw, 6) AS raw_score, round(score, 6) AS ranking_score,
+  least(greatest(floor(1.5 + 4 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ())), 1), 5)::INTEGER AS bucket FROM q""")
+def q16_policy_terms(t):
+    """The whole recipe over all documents: scrub, Latin and Han tokens, candidate rules with anchors, nested grams, scores."""
+    out = keywords.policy_ranking(NOTED.frame(t), RULES)
+    return out.select("term", "tf", F.col("join_df"), "minutes_df", "topic_df", r(F.col("support"), 6).alias("support"), "resolved", "escalated", "signal", r(F.col("relevance"), 6).alias("relevance"), r(F.col("raw_score"), 6).alias("raw_score"), r(F.col("ranking_score"), 6).alias("ranking_score"), "bucket")
+
+
+@query(f"SELECT doc_id, md5(array_to_string({_cut('x')}, ' ')) AS tokens FROM (SELECT doc_id, {_said('text')} AS x FROM documents)")
+def f29_mixed_tokens(t):
+    """Kept tokens of every document, in order."""
+    words = T.kept_tokens(T.mixed_tokens(T.scrub(F.expr(_said("text")), T.ROLES)[0], list(RULES.listed)), [*RULES.stop, *RULES.administrative], list(RULES.listed))
+    return t.documents.select("doc_id", F.md5(F.array_join(words, " ").cast("binary")).alias("tokens"))

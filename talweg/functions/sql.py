@@ -1,8 +1,9 @@
-"""The engine's functions for SQL: scalar ones as SQL text, which Catalyst inlines, and one table function."""
+"""The engine's functions for SQL: scalar ones as SQL text, which Catalyst inlines, and two table functions, one of them over partitions."""
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -41,8 +42,52 @@ class Leaves:
                 yield path, x if isinstance(x, str) else str(x).lower()
 
 
+SECTION, ITEM, RESOLVED = re.compile("^[壹貳參肆伍陸柒捌玖拾]+、"), re.compile("^[一二三四五六七八九十]+、"), re.compile("^(?:決議|裁示)[:：]")
+
+
+@udtf(returnType="meeting_id string, section string, item long, title string, body string, resolution string, needs_review boolean, escalated boolean")
+class MinutesItems:
+    """Numbered items of a meeting's minutes from its lines: a table argument of (meeting_id, n, line), partitioned by the meeting, ordered by n.
+
+    One line is held at a time, and the item that it belongs to: a section's
+    header ends an item, an item's number starts one, a resolution starts its
+    second half.
+    """
+
+    def __init__(self):
+        self.meeting = self.section = self.item = None
+        self.count = 0
+
+    def eval(self, row) -> Iterator[tuple]:
+        self.meeting = row["meeting_id"]
+        line = (row["line"] or "").strip(" ")
+        if not line:
+            return
+        if SECTION.match(line):
+            yield from self._ended()
+            self.section = SECTION.sub("", line)
+        elif ITEM.match(line):
+            yield from self._ended()
+            self.count += 1
+            self.item = (ITEM.sub("", line), [], [])
+        elif self.item is not None:
+            _, body, resolution = self.item
+            (resolution if resolution or RESOLVED.match(line) else body).append(line)
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self._ended()
+
+    def _ended(self) -> Iterator[tuple]:
+        if self.item is not None:
+            title, body, resolution = self.item
+            decided = "\n".join(resolution)
+            yield self.meeting, self.section, self.count, title, "\n".join(body), decided, not decided, "列管" in decided or "提報" in decided
+        self.item = None
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session's SQL."""
     for head, (kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     spark.udtf.register("json_leaves", Leaves)
+    spark.udtf.register("minutes_items", MinutesItems)

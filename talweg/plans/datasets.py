@@ -309,15 +309,34 @@ def t20_join_proposals(t):
     return out.select("proposal_id", "year", "endorsements", F.array_join(F.transform("proxy_reasons", lambda x: F.concat(x, F.lit(";"))), "").alias("reasons"))
 
 
-@query("""WITH m AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id AS meeting_id, s AS section, ((s = 'second')::INT * n + i)::BIGINT AS item, 'item ' || i AS title, 'talk ' || i AS body, CASE WHEN i % 2 = 1 THEN '決議:列管 ' || i ELSE '' END AS resolution, i % 2 = 0 AS needs_review, i % 2 = 1 AS escalated
-FROM m, (VALUES ('first'), ('second')) v(s), unnest(range(1, m.n + 1)) u(i)""")
-def t21_council_minutes(t):
+MINUTES_SQL = """WITH m AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id AS meeting_id, s AS section, ((s = 'second')::INT * n + i)::BIGINT AS item, 'item ' || i AS title, 'talk ' || i AS body, CASE WHEN i % 2 = 1 THEN '決議:列管 ' || i ELSE '' END AS resolution, i % 2 = 0 AS needs_review, i % 2 = 1 AS escalated
+FROM m, (VALUES ('first'), ('second')) v(s), unnest(range(1, m.n + 1)) u(i)"""
+
+
+def meetings(t):
     """Every conversation is a meeting with as many items in each of two sections as it has turns."""
     n = t.conversations.groupBy(F.col("conv_id").alias("meeting_id")).agg(F.count("*").alias("n"))
     line = lambda i: F.concat(F.lit("一、item "), i, F.lit("\ntalk "), i, F.when(i % 2 == 1, F.concat(F.lit("\n決議:列管 "), i)).otherwise(F.lit("")))
     items = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), line), "\n")
-    pages = n.select("meeting_id", F.array(F.concat(F.lit("壹、first\n"), items), F.concat(F.lit("貳、second\n"), items)).alias("page_texts"))
-    return X.minutes_items(pages).select("meeting_id", "section", "item", "title", "body", "resolution", "needs_review", "escalated")
+    return n.select("meeting_id", F.array(F.concat(F.lit("壹、first\n"), items), F.concat(F.lit("貳、second\n"), items)).alias("page_texts"))
+
+
+@query(MINUTES_SQL)
+def t21_council_minutes(t):
+    return X.minutes_items(meetings(t)).select("meeting_id", "section", "item", "title", "body", "resolution", "needs_review", "escalated")
+
+
+@query(MINUTES_SQL)
+def x05_minutes_by_table_function(t):
+    """The same rows from SQL: a table function over each meeting's lines in order."""
+    from talweg.functions import sql
+
+    spark = t.region.sparkSession
+    sql.register(spark)
+    lines = meetings(t).select(F.col("meeting_id").cast("string").alias("meeting_id"), F.posexplode(F.split(F.array_join("page_texts", "\n"), "\n")).alias("n", "line"))
+    out = spark.sql("SELECT * FROM minutes_items(TABLE({lines}) PARTITION BY meeting_id ORDER BY n)", lines=lines)
+    kind = dict(t.conversations.dtypes)["conv_id"]
+    return out.withColumn("meeting_id", F.col("meeting_id").cast(kind))
 
 
 @query(f"""WITH a AS (SELECT 'population' AS dataset, CASE WHEN month IS NULL THEN 'invalid_period' WHEN district_id IS NULL THEN 'unmapped_district' END AS reason FROM {MONTHS} UNION ALL

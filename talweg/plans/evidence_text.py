@@ -175,3 +175,20 @@ def f29_mixed_tokens(t):
     """Kept tokens of every document, in order."""
     words = T.kept_tokens(T.mixed_tokens(T.scrub(F.expr(_said("text")), T.ROLES)[0], list(RULES.listed)), [*RULES.stop, *RULES.administrative], list(RULES.listed))
     return t.documents.select("doc_id", F.md5(F.array_join(words, " ").cast("binary")).alias("tokens"))
+
+
+REPORTS = Landed("events", unit="CONCAT('u', user_id)", ts="ts", every="CASE user_id % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'never' END", status="CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'no_data' WHEN 'error' THEN 'failed' ELSE 'transform_failed' END", has_output="event_id % 2 = 0", has_raw="event_id % 3 = 0")
+
+
+@query(f"""WITH o AS (SELECT unit, ts, max(struct_pack(a := every, b := status, c := has_output, d := has_raw)) AS r FROM {REPORTS.sql} WHERE ts <= TIMESTAMP '2024-01-25' GROUP BY unit, ts),
+n AS (SELECT unit, ts, r, lead(ts) OVER w AS nx, lag(ts) OVER w AS pt, lag(r) OVER w AS p, CASE r.a WHEN 'daily' THEN ts + INTERVAL 1 DAY WHEN 'weekly' THEN ts + INTERVAL 7 DAY WHEN 'monthly' THEN date_trunc('month', ts) + INTERVAL 1 MONTH END AS due, ts + INTERVAL 2 DAY AS gone FROM o WINDOW w AS (PARTITION BY unit ORDER BY ts)),
+q AS (SELECT *, CASE WHEN pt + INTERVAL 2 DAY >= ts THEN p END AS b FROM n)
+SELECT unit, ts AS at, 'report' AS kind, CASE WHEN b.c AND b.b = 'ok' THEN 'reuse_output' WHEN b.d AND b.b IN ('ok', 'transform_failed') THEN 'reuse_raw' WHEN b.b = 'no_data' THEN 'keep_no_data' ELSE 'download' END AS action FROM q
+UNION ALL SELECT unit, due, 'due', NULL FROM q WHERE due < gone AND due <= TIMESTAMP '2024-01-25' AND (nx IS NULL OR nx > due) UNION ALL SELECT unit, gone, 'gone', NULL FROM q WHERE gone <= TIMESTAMP '2024-01-25' AND (nx IS NULL OR nx > gone)""")
+def m04_unit_states(t):
+    """Users are units, events their reports: actions, due moments and units given up; the stream form gives the same (tests)."""
+    from talweg.streaming import units
+
+    reports = REPORTS.frame(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = units.batch(reports, 2, F.lit("2024-01-25 00:00:00").cast("timestamp"))
+    return out.select("unit", F.col("at").cast("timestamp_ntz").alias("at"), "kind", "action")

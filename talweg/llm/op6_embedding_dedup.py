@@ -1,9 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference points (pivots) are chosen among the distinct vectors; each vector is
-described by its ``nearest`` pivots in order of cosine, and stands in the
-inverted list of each. Two vectors that share ``shared`` or more pivots are
-candidates; only candidates' cosines are computed, in double precision.
+described by its nearest pivots in order of cosine, and stands in the
+inverted list of each. Two vectors that share enough pivots are candidates; only candidates' cosines are computed, in double precision.
 
 There are ``PER_ROOT`` times the square root of n pivots (n distinct vectors),
 so that a list holds some sqrt(n) of them and the counting of shared pivots
@@ -19,11 +18,17 @@ row for each of its pairs. Exact copies are one vector until the end. Components
 come from the forests (``common``).
 
 Pivots come from a bounded sample (``SAMPLE`` times their number, the vectors of
-least hash) and are kept apart: one whose cosine to an earlier pivot is above
+least hash). Vectors and pivots are described by what they differ from the
+sample's mean: embeddings often share a direction, and would all be near the same
+pivots else. Pivots are kept apart: one whose cosine to an earlier pivot is above
 ``apart`` is left out. So a cluster has a pivot or a few, however many rows it
 holds, and its members agree on their nearest ones. Where the sample has fewer
-such vectors there are fewer pivots and longer lists, down to a comparison of
-all with all. Every vector is indexed, whatever its label.
+such vectors there are fewer pivots and longer lists. How many nearest pivots
+describe a vector, and how many a pair has to share, is tried on the sample:
+vectors of it are turned, by the angle of the threshold, towards others of it
+(``TRIALS``), and pairs of it that link are taken, if they are many enough to tell. Of each of ``DEPTHS`` the most shared pivots count that find ``TARGET`` of
+them, and the first depth is taken at which no more than ``FEW`` of other pairs of the sample are candidates.
+Every vector is indexed, whatever its label; cosines are those of the vectors themselves.
 
 Nulls: a vector that is null, zero, or that holds null or non-finite components
 links with nothing and stays, a component of its own. Vectors are compared with
@@ -46,9 +51,11 @@ from pyspark.sql import functions as F
 from talweg.llm import common
 from talweg.llm.graph import forest
 
-COSINE, NEAREST, SHARED, BLOCK = 0.95, 8, 2, 2048
+COSINE, BLOCK = 0.95, 2048
 PER_ROOT, LEAST, MOST = 4, 256, 4096
 SAMPLE, APART = 8, 0.5
+#: How many pivots may describe a vector, the part of the trial pairs that is to be found, the part of other pairs that may be candidates, trial pairs and how many tell.
+DEPTHS, TARGET, FEW, TRIALS, LEAST_TRIALS = (8, 12, 16, 24, 32, 48, 64), 0.97, 0.02, 1024, 64
 #: Pairs whose cosines are computed at once, and how near to the threshold a matrix product is computed again pair by pair.
 PAIRS, EXACT = 1 << 16, 1e-9
 #: Pairs of rows of one shared pivot from which on they are counted as a block.
@@ -88,6 +95,60 @@ def keep_apart(units: np.ndarray, most: int, apart: float) -> np.ndarray:
     return kept[:m]
 
 
+def centred(units: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Directions from the mean; zero for a vector that is the mean."""
+    d = units - mean
+    size = np.sqrt((d * d).sum(axis=1, keepdims=True))
+    return np.where(size > 1e-9, d / np.maximum(size, 1e-9), 0.0)
+
+
+def nearest_pivots(directions: np.ndarray, reference: np.ndarray, depth: int) -> np.ndarray:
+    """The pivots nearest to each direction, in order; a tie goes to the first."""
+    return np.concatenate([np.argsort(-np.round(directions[k : k + 1024] @ reference.T, 12), axis=1, kind="stable")[:, :depth] for k in range(0, len(directions), 1024)]).reshape(len(directions), depth)
+
+
+def turned(units: np.ndarray, cosine: float, trials: int = TRIALS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at exactly this cosine: vectors of the sample, turned towards others of it."""
+    rng = np.random.default_rng(6)
+    a, b = units[rng.integers(0, len(units), trials)], units[rng.integers(0, len(units), trials)]
+    across = b - (a * b).sum(1, keepdims=True) * a
+    size = np.sqrt((across * across).sum(1, keepdims=True))
+    good = size[:, 0] > 1e-6
+    a, across = a[good], across[good] / size[good]
+    return a, cosine * a + np.sqrt(max(0.0, 1 - cosine * cosine)) * across
+
+
+def linked_in_sample(units: np.ndarray, cosine: float, trials: int = TRIALS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the sample's first ``2 * trials`` vectors that link, but ``trials`` of them at most."""
+    some = units[: 2 * trials]
+    i, j = np.nonzero(np.triu(some @ some.T >= cosine, 1))
+    take = np.random.default_rng(7).permutation(len(i))[:trials]
+    return some[i[take]], some[j[take]]
+
+
+def depth_and_shared(units: np.ndarray, mean: np.ndarray, reference: np.ndarray, cosine: float, depths: tuple[int, ...] = DEPTHS) -> tuple[int, int]:
+    """How many pivots describe a vector and how many a pair has to share, tried on the sample (see the module)."""
+    top = min(max(depths), len(reference))
+    near = lambda u: nearest_pivots(centred(u, mean), reference, top)
+    trials = [(near(a), near(b)) for a, b in (turned(units, cosine), linked_in_sample(units, cosine)) if len(a) >= LEAST_TRIALS]
+    if not trials:
+        return min(depths[0], top), 1
+    others = near(units[:TRIALS])
+    best: tuple = (2.0, 0, 0)
+    for depth in sorted({min(d, top) for d in depths}):
+        both = [(a[:, :depth, None] == b[:, None, :depth]).any(2).sum(1) for a, b in trials]
+        # The most shared pivots that enough pairs have; at the last depth one at least.
+        shared = max([s for s in range(1, depth + 1) if all((x >= s).mean() >= TARGET for x in both)], default=1 if depth == top else 0)
+        if shared:
+            listed = np.zeros((len(others), len(reference)), np.float32)
+            np.put_along_axis(listed, others[:, :depth], 1, 1)
+            met = float((listed @ listed.T >= shared).mean())
+            best = min(best, (met, depth, shared))
+            if met <= FEW:
+                break
+    return best[1:]
+
+
 def candidates(near_a: np.ndarray, near_b: np.ndarray, pivot: int, shared: int) -> np.ndarray:
     """Which rows of a and b share ``shared`` pivots or more, of the pairs whose least shared pivot is this one.
 
@@ -148,7 +209,7 @@ def links_within(a: np.ndarray, b: np.ndarray, near_a: np.ndarray, near_b: np.nd
     return linked
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, apart: float = APART) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int | None = None, nearest: int | None = None, shared: int | None = None, block: int = BLOCK, apart: float = APART) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     rows = vectors.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -166,25 +227,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return whole.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))
 
 
-def linked(distinct: DataFrame, width: int, cosine: float, pivots: int | None, nearest: int, shared: int, block: int, apart: float) -> DataFrame:
+def linked(distinct: DataFrame, width: int, cosine: float, pivots: int | None, nearest: int | None, shared: int | None, block: int, apart: float) -> DataFrame:
     """(first, links, to) of each group of the index: a vector's links there, and its parent in their forest."""
     spark = distinct.sparkSession
     if pivots is None:
         pivots = min(MOST, max(LEAST, PER_ROOT * math.isqrt(distinct.count())))
     # A bounded sample: SAMPLE vectors a pivot.
-    sample = distinct.orderBy(F.xxhash64("v"), "first").limit(SAMPLE * pivots).select("v").collect()
-    reference = keep_apart(_unit(np.array([r.v for r in sample])), pivots, apart)
-    depth = min(nearest, len(reference))
-    need = min(shared, depth)
+    sample = distinct.orderBy(F.xxhash64("v"), "first").limit(SAMPLE * pivots).select("v").toArrow()["v"].combine_chunks()
+    units = _unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+    mean = units.mean(axis=0)
+    reference = keep_apart(centred(units, mean), pivots, apart)
+    depth, need = depth_and_shared(units, mean, reference, cosine, (nearest,) if nearest else DEPTHS)
+    need = min(shared or need, depth)
     # MOST vectors at most.
-    sent = spark.sparkContext.broadcast(reference)
+    sent = spark.sparkContext.broadcast((mean, reference))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                u = _unit(v)
-                near = np.concatenate([np.argsort(-np.round(u[k : k + 1024] @ sent.value.T, 12), axis=1, kind="stable")[:, :depth] for k in range(0, len(u), 1024)])
+                mean_, reference_ = sent.value
+                near = nearest_pivots(centred(_unit(v), mean_), reference_, depth)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, depth), pa.int32()), pa.array(near.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("copies"), pa.array(packed(v), pa.binary()), lists], names=["first", "copies", "v", "near"])
 

@@ -72,7 +72,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     minimum (partially aggregated, so a hub's edges meet as one row per task)
     and a join of edges with one row per node, which adaptive execution can
     split where a hub is hot. Each round is written to the shared folder, so
-    lost executors cost one round at most. Nodes are of any one type that sorts.
+    lost executors cost one round at most. Rounds are some log of the nodes; an end
+    before the components stand still is an error. Nodes are of any one type that sorts.
     Nulls and self-loops are ignored; an empty edge table gives an empty result.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -90,4 +91,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
         e, old = written(small.where("u <> v").distinct(), "edges"), e
         drop_written(old)
+    else:
+        raise RuntimeError(f"components are not found after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()

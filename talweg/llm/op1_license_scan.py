@@ -6,7 +6,8 @@ run of adjoining lines in which half of the bigrams are a template's (a licence
 wrapped over lines inside a longer text). Besides, whatever the lines, a template
 of which a text holds enough bigrams is compared with every window of words that
 starts and ends at one of them; a window half of which a better one covers
-doesn't count. With m and n distinct bigrams a
+doesn't count. What repeats itself over and over (``op12_periodic_runs``) is shortened
+to three periods for that: the windows in the rest hold the same bigrams. With m and n distinct bigrams a
 coefficient of at least t needs m and n within a factor of (2 - t) / t, so
 templates whose size is out of bounds are never compared; nor are passages that
 share fewer bigrams with all templates together than the smallest needs. A
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talweg.llm import common, tokens
 from talweg.llm.licences import TEMPLATES
+from talweg.llm.op12_periodic_runs import periodic_runs
 
 THRESHOLD = 0.8
 MATCHES = "doc_id long, license string, score double, passage string, first_word long, n_words long, template long"
@@ -42,6 +44,17 @@ def normalise(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
+def without_repetitions(pairs: np.ndarray) -> np.ndarray:
+    """Places of the bigrams that are left when every run of four periods or more keeps three: its first two, and its end in the same phase."""
+    kept = np.ones(len(pairs), bool)
+    free = 0
+    for start, end, period in zip(*(x.tolist() for x in periodic_runs(pairs, len(pairs)))):
+        if start >= free:
+            kept[start + 2 * period : start + 2 * period + (end - start - 3 * period) // period * period] = False
+            free = end
+    return np.flatnonzero(kept)
+
+
 class Scanner:
     """Templates made ready, and the scan of one Arrow array of texts."""
 
@@ -78,16 +91,18 @@ class Scanner:
 
     def windows(self, pairs: np.ndarray, keys: np.ndarray, best: dict[str, tuple]) -> None:
         """Give each template its best windows of a text's bigrams, but for those of which a better one covers half."""
-        place: dict[int, list[int]] = defaultdict(list)
-        for x, key in zip(np.flatnonzero(keys >= 0).tolist(), keys[keys >= 0].tolist()):
-            place[key].append(x)
-        shared = Counter(k for key in place for k in self.inverted[key])
-        prior, found = None, []
+        shared = Counter(k for key in np.unique(keys[keys >= 0]).tolist() for k in self.inverted[key])
+        prior, found, back = None, [], np.zeros(0, np.int64)
         for k, both in shared.items():
             n = self.size[k]
             if both < n * self.t / (2 - self.t):
                 continue
             if prior is None:  # where each bigram stood last
+                back = without_repetitions(pairs)
+                pairs, keys = pairs[back], keys[back]
+                place: dict[int, list[int]] = defaultdict(list)
+                for x, key in zip(np.flatnonzero(keys >= 0).tolist(), keys[keys >= 0].tolist()):
+                    place[key].append(x)
                 order = np.argsort(pairs, kind="stable")
                 prior = np.full(len(pairs), -1)
                 again = pairs[order[1:]] == pairs[order[:-1]]
@@ -114,7 +129,8 @@ class Scanner:
             if all(2 * (min(b, d) - max(a, c)) < b - a for c, d in taken):
                 taken.append((a, b))
                 if -score > best.get(self.names[k], (0,))[0]:
-                    best[self.names[k]] = (-score, "words", a, b - a + 1, k)
+                    first, last = int(back[a]), int(back[b - 1])
+                    best[self.names[k]] = (-score, "words", first, last - first + 2, k)
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, str, tuple]]:
         """(row, licence, its best match) of every text."""

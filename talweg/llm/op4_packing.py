@@ -68,7 +68,7 @@ def pack_vectors(sizes: np.ndarray, loss: np.ndarray, limit: int = LIMIT, segmen
             need = left[todo]
             bearing = np.minimum(need, np.maximum(0, at[todo] + need - np.maximum(at[todo], prompt[todo])))
             fits = (need <= room[0]) & (bearing <= room[2])
-            share = room / cap
+            share = room / np.maximum(cap, 1)
             if fits.any():
                 score = np.where(fits, (need / cap[0]) * share[0] + (1 / cap[1]) * share[1] + (bearing / cap[2]) * share[2], -1)
                 i = int(todo[score.argmax()])

@@ -143,8 +143,8 @@ def doubled(steps: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
         steps = further.drop("moved")
         common.drop_written(old)
         if not further.where("moved").head(1):
-            break
-    return steps
+            return steps
+    raise RuntimeError(f"chains go on after {max_rounds} doublings")
 
 
 def walk(parent: DataFrame, roots: DataFrame, max_rounds: int) -> DataFrame:

@@ -194,6 +194,8 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float] |
     if unknown := sorted(set(targets or ()) - set(domains.names)):
         raise ValueError(f"targets without a domain: {', '.join(unknown)}")
     weight = tempered(share, domains.names) if targets is None else np.array([targets.get(x, 0.0) for x in domains.names])
+    if floor > 0 and (weight <= 0).any():
+        raise ValueError(f"no weight for {', '.join(x for x, w in zip(domains.names, weight) if w <= 0)}, of which a rate of {floor} keeps documents")
     weight = weight / weight.sum()
     total = whole * max(1.0, (share / np.maximum(weight, 1e-12)).max()) if grow else whole
     steps: list[list[float]] = []

@@ -37,12 +37,15 @@ def with_header(df: DataFrame, dataset: str, **literals) -> DataFrame:
 
 
 def districts(df: DataFrame, code: str, registry: DataFrame) -> DataFrame:
-    """District by exact code or by the one registered code that it starts with; else null. ``registry`` is a small dimension."""
-    prefix = F.broadcast(registry.select("district_id", F.col("code").alias("__code")))
-    met = df.join(prefix, F.col(code).startswith(F.col("__code")), "left")
-    best = met.groupBy("_ord").agg(F.max(F.struct(F.length("__code").alias("n"), "district_id")).alias("b"), F.count("__code").alias("k"), F.max((F.col(code) == F.col("__code")).cast("int")).alias("exact"))
-    one = best.select("_ord", F.when((F.col("k") == 1) | (F.col("exact") == 1), F.col("b.district_id")).alias("district_id"))
-    return df.join(one, "_ord", "left")
+    """District by exact code or by the one registered code that it starts with; else null. ``registry`` is a small dimension.
+
+    The registry goes to every row as one array: the facts are neither joined nor grouped.
+    """
+    known = registry.agg(F.collect_list(F.struct(F.col("code").alias("c"), F.col("district_id").alias("d"))).alias("__known"))
+    met = F.filter("__known", lambda k: F.startswith(F.col(code), k["c"]))
+    exact = F.filter("__met", lambda k: k["c"] == F.col(code))
+    one = F.when(F.size(exact) > 0, F.array_max(F.transform(exact, lambda k: k["d"]))).when(F.size("__met") == 1, F.get("__met", F.lit(0))["d"])
+    return df.crossJoin(F.broadcast(known)).withColumn("__met", met).withColumn("district_id", one).drop("__met", "__known")
 
 
 def named_district(df: DataFrame, text: str, registry: DataFrame, name: str = "district_id") -> DataFrame:

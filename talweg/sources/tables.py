@@ -15,44 +15,58 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CATALOGUE = "dataset string, output_key string, path string, period_strategy string, source_period string, transform_version int"
 CHARSETS = ("utf-8-sig", "cp950", "big5")
 
 
 class Curated:
-    """Scans of a curated root."""
+    """Scans of a curated root, dataset by dataset.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    A scan reads the folders of the periods that it is asked for, and no other
+    file's footer; periods are the names of a dataset's folders. A dataset's schema is stated,
+    or merged over the files of those folders.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, StructType | str] | None = None):
+        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas or {}
 
-    def all(self) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self.root)
+    def _folders(self, path: str, prefix: str) -> list[str]:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()] if files.exists(at) else []
+        return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
 
     def keys(self, dataset: str) -> set[str]:
-        return {str(r[0]) for r in self.all().where(F.col("dataset") == dataset).select(F.col("output_key").cast("string")).distinct().collect()}
+        self._guard(dataset)
+        return set(self._folders(f"{self.root}/dataset={dataset}", "output_key="))
 
     def period(self, dataset: str, key: str) -> DataFrame:
         return self.periods(dataset, [key])
 
     def periods(self, dataset: str, keys: list[str]) -> DataFrame:
         """Strict: every period must be there."""
+        self._guard(dataset, *keys)
         if missing := sorted(set(keys) - self.keys(dataset)):
             raise FileNotFoundError(f"{dataset}: no {', '.join(missing)}")
-        return self._where(dataset, keys)
+        return self._where(dataset, sorted(set(keys)))
 
     def available(self, dataset: str, keys: list[str]) -> DataFrame:
         """Lenient: what is there of the periods; none is an error."""
+        self._guard(dataset, *keys)
         if not (have := sorted(set(keys) & self.keys(dataset))):
             raise FileNotFoundError(f"{dataset}: none of {', '.join(keys)}")
         return self._where(dataset, have)
 
     def latest(self, dataset: str) -> DataFrame:
-        keys = self.keys(dataset)
+        if not (keys := self.keys(dataset)):
+            raise FileNotFoundError(f"{dataset}: no period")
         return self._where(dataset, ["latest" if "latest" in keys else max(keys)])
 
     def everything(self, dataset: str) -> DataFrame:
-        return self.all().where(F.col("dataset") == dataset)
+        return self.available(dataset, sorted(self.keys(dataset)))
 
     def all_available(self, dataset: str, index: DataFrame) -> DataFrame:
         """Rows of every path that the index has for all of a dataset's time, each path once. ``index``: dataset, output_key, path."""
@@ -62,10 +76,18 @@ class Curated:
             raise FileNotFoundError(f"{dataset}: nothing for all of its time")
         return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
-    def _where(self, dataset: str, keys: list[str]) -> DataFrame:
-        if any("/" in x or "\\" in x or x in ("", ".", "..") for x in [dataset, *keys]):
+    def _guard(self, *names: str) -> None:
+        if any("/" in x or "\\" in x or x in ("", ".", "..") for x in names):
             raise ValueError("a dataset or period that leaves the root")
-        return self.all().where((F.col("dataset") == dataset) & F.col("output_key").cast("string").isin(keys))
+
+    def _where(self, dataset: str, keys: list[str]) -> DataFrame:
+        """The rows of these periods' folders, with the folders' names as they are written."""
+        self._guard(dataset, *keys)
+        stated = self.schemas.get(dataset)
+        reader = self.spark.read.schema(stated) if stated else self.spark.read.option("mergeSchema", "true")
+        # The folders themselves are the paths, so nothing guesses a type for their names.
+        rows = reader.option("recursiveFileLookup", "true").parquet(*(f"{self.root}/dataset={dataset}/output_key={k}" for k in keys))
+        return rows.withColumns({"dataset": F.lit(dataset), "output_key": F.regexp_extract("_metadata.file_path", "/output_key=([^/]+)/", 1)})
 
 
 def write_partitions(df: DataFrame, root: str) -> None:

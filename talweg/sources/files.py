@@ -15,7 +15,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELLS = "path string, sheet string, row int, col int, value string"
@@ -61,6 +61,11 @@ def _ods(z: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
             at += times
 
 
+def sheet_cells(z: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, col, value) of an opened XLSX or ODS file."""
+    return _ods(z) if "content.xml" in z.namelist() else _xlsx(z)
+
+
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     """(path, sheet, row, col, value) of every cell of XLSX and ODS files."""
 
@@ -68,7 +73,7 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    found = list(_ods(z) if "content.xml" in z.namelist() else _xlsx(z))
+                    found = list(sheet_cells(z))
                 yield pd.DataFrame([(p, *f) for f in found], columns=["path", "sheet", "row", "col", "value"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, CELLS)
@@ -98,6 +103,68 @@ def page_rows(pages: DataFrame, key: str, texts: str, pattern: str, names: list[
     return line.select(key, "page", "place", *(F.regexp_extract("__line", pattern, k).alias(n) for k, n in enumerate(names, 1)))
 
 
+def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, lines) of every page of PDF files."""
+    from talweg.sources import pdf
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, content in zip(batch["path"], batch["content"]):
+                lines = pdf.page_lines(content)
+                yield pd.DataFrame({"path": [p] * len(lines), "page": range(len(lines)), "lines": lines})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(pages, "path string, page int, lines array<string>")
+
+
+# Allocation codes and their table's name, and what marks a settlement's first page.
+ALLOCATION = r"^(0[1-4])\s+(\S+)\s+([0-9,]+)$"
+SOURCE = r"^(\S.*?)\s+([0-9,]+)\s+(-?[0-9,]+)\s+([0-9,]+)$"
+RESULT = r"^([0-9,]+)\s+([0-9,]+)\s+([0-9,]+)\s+([0-9,]+)\s+(-?[0-9,]+)\s+([0-9.]+)$"
+SETTLED = ["歲出機關", "原預算數"]
+
+
+def _lines(pages: DataFrame) -> DataFrame:
+    """(path, page, place, line) of pages (path, page, lines), single-spaced."""
+    return pages.select("path", "page", F.posexplode("lines").alias("place", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")))
+
+
+def _number(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit("")).try_cast("long")
+
+
+def budget_allocations(pages: DataFrame, title: str) -> DataFrame:
+    """(path, page, code, name, amount) of the pages with the table's title; a code that comes twice in a file fails the job."""
+    lines = _lines(pages)
+    named = lines.where(F.contains(F.replace("line", F.lit(" "), F.lit("")), F.lit(title))).select("path", "page").distinct()
+    found = lines.join(named, ["path", "page"], "left_semi").where(F.col("line").rlike(ALLOCATION))
+    part = lambda k: F.regexp_extract("line", ALLOCATION, k)
+    rows = found.select("path", "page", part(1).alias("code"), part(2).alias("name"), _number(part(3)).alias("amount"))
+    one = rows.groupBy("path", "code").agg(F.count("*").alias("n"), F.min(F.struct("page", "name", "amount")).alias("r"))
+    checked = one.withColumn("_ok", F.assert_true(F.col("n") == 1, F.concat(F.lit("an allocation comes twice: "), "code")))
+    return checked.where("_ok IS NULL").select("path", "r.page", "code", "r.name", "r.amount")
+
+
+def settlements(pages: DataFrame) -> DataFrame:
+    """(path, page, place, plan, original, adjustment, budget, realized, payable, reserved, settlement, difference, ratio): plans of a page with their results on the next, by place.
+
+    Pages of unlike length fail the job; the first row of a plan in a file counts.
+    """
+    lines = _lines(pages)
+    heads = lines.groupBy("path", "page").agg(F.replace(F.array_join(F.collect_list("line"), ""), F.lit(" "), F.lit("")).alias("t"))
+    for mark in SETTLED:
+        heads = heads.where(F.contains("t", F.lit(mark)))
+    group = lambda rx, k: F.regexp_extract("line", rx, k)
+    order = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy("path", "page").orderBy("place")))
+    first = order(lines.join(heads.select("path", "page"), ["path", "page"], "left_semi").where(F.col("line").rlike(SOURCE)))
+    first = first.select("path", "page", "place", group(SOURCE, 1).alias("plan"), *(_number(group(SOURCE, k)).alias(n) for k, n in enumerate(("original", "adjustment", "budget"), 2)))
+    after = lines.join(heads.select("path", (F.col("page") + 1).alias("page")), ["path", "page"], "left_semi").where(F.col("line").rlike(RESULT))
+    after = order(after).select("path", (F.col("page") - 1).alias("page"), "place", *(_number(group(RESULT, k)).alias(n) for k, n in enumerate(("realized", "payable", "reserved", "settlement", "difference"), 1)), group(RESULT, 6).try_cast("double").alias("ratio"))
+    both = first.join(after, ["path", "page", "place"], "full")
+    both = both.withColumn("_ok", F.assert_true(F.col("plan").isNotNull() & F.col("realized").isNotNull(), F.concat(F.lit("unlike pages of a settlement: page "), F.col("page").cast("string")))).where("_ok IS NULL").drop("_ok")
+    one = both.groupBy("path", "plan").agg(F.min_by(F.struct(*(c for c in both.columns if c not in ("path", "plan"))), F.struct("page", "place")).alias("r"))
+    return one.select("path", "plan", "r.*")
+
+
 def _rings(record: bytes) -> list[list[tuple[float, float]]]:
     """Rings of a polygon record: bounds, counts, where each ring starts, points; no ring for another kind."""
     if struct.unpack_from("<i", record)[0] not in (5, 15, 25):

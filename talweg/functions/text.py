@@ -114,3 +114,22 @@ def under_domain(url: Column, domains: list[str]) -> Column:
     """The host is one of the domains or under one; an unreadable address is not."""
     h = host(url)
     return F.coalesce(F.exists(F.array(*map(F.lit, domains)), lambda d: (h == d) | F.endswith(h, F.concat(F.lit("."), d))), F.lit(False))
+
+
+def listed(html: Column, url: Column) -> Column:
+    """Anchors of a page as array<struct<place, url, title>>: addresses made whole by the page's own, titles as they are seen; those without a title or to a place in the page are left out."""
+    anchor = r'(?is)<a\b[^>]*?\bhref="([^"#][^"]*)"[^>]*>(.*?)</a>'
+    site = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(url, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    whole = lambda h: F.when(h.rlike("^https?://"), h).when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(url, "^(https?:)", 1), h)).when(F.startswith(h, F.lit("/")), F.concat(site, h)).otherwise(F.concat(folder, h))
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(anchor), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(anchor), F.lit(2)).alias("t"))
+    each = F.transform(pairs, lambda p, i: F.struct(i.alias("place"), whole(p["h"]).alias("url"), visible_text(p["t"]).alias("title")))
+    return F.filter(each, lambda x: x["title"] != "")
+
+
+def detail(html: Column) -> Column:
+    """struct<title, heading, body> of a page: its title, its first heading, and what is seen of its article (else of all)."""
+    first = lambda tag: visible_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    body = F.when(article != "", article).otherwise(html)
+    return F.struct(first("title").alias("title"), first("h1").alias("heading"), visible_text(body).alias("body"))

@@ -135,6 +135,39 @@ def assembled(facts: DataFrame, comparison: list[str], focus: list[str], distric
     return quota_top(once, "metric_source", [F.asc("__rank"), F.asc("evidence_id")], shares, cap).drop("__rank", "rank")
 
 
+#: Facts that one artifact may bring, whatever it holds.
+ARTIFACT_CAP = 4000
+
+
+def artifact_cap(facts: DataFrame, artifact: str, order: str, cap: int = ARTIFACT_CAP) -> DataFrame:
+    """The first ``cap`` facts of each artifact, in their order, with ``artifact_facts`` (how many it has) and ``truncated``."""
+    from talweg.operators.sets import limited
+
+    return limited(facts, artifact, [F.asc(order)], cap).withColumnRenamed("group_rows", "artifact_facts").drop("rank")
+
+
+def limitations(facts: DataFrame, context: DataFrame, metrics: list[str], districts: list[str]) -> DataFrame:
+    """(code, subject, n): what a context of a question can't say.
+
+    ``facts``: all there are (metric_id, dataset, youth_eligibility,
+    district_name, geo_level); ``context``: those taken. A metric that is asked for
+    has no evidence, or only in part (some facts were cut), a district is without
+    facts of its own, facts taken are proxies or context only.
+    """
+    spark = facts.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(m,) for m in metrics], "subject string"))
+    named = F.broadcast(spark.createDataFrame([(d,) for d in districts], "subject string"))
+    have = facts.where(F.col("metric_id").isin(*metrics)).groupBy(F.col("metric_id").alias("subject")).agg(F.count("*").alias("have"))
+    took = context.groupBy(F.col("metric_id").alias("subject")).agg(F.count("*").alias("took"))
+    state = asked.join(have, "subject", "left").join(took, "subject", "left").fillna(0, ["have", "took"])
+    code = F.when(F.col("have") == 0, "no_evidence").when(F.col("took") < F.col("have"), "evidence_cut")
+    of_metrics = state.select(code.alias("code"), "subject", (F.col("have") - F.col("took")).alias("n")).where("code IS NOT NULL")
+    own = context.where("geo_level = 'district'").groupBy(F.col("district_name").alias("subject")).agg(F.count("*").alias("k"))
+    of_districts = named.join(own, "subject", "left_anti").select(F.lit("no_district_evidence").alias("code"), "subject", F.lit(0).cast("long").alias("n"))
+    marked = context.where(F.col("youth_eligibility").isin("proxy", "context")).groupBy("youth_eligibility").agg(F.count("*").alias("n"))
+    return of_metrics.unionByName(of_districts).unionByName(marked.select(F.concat("youth_eligibility", F.lit("_evidence")).alias("code"), F.lit("").alias("subject"), "n"))
+
+
 def item_evidence(items: DataFrame, plans: dict[str, list[str]], area: str) -> DataFrame:
     """Leaves of the serving items that an area reads: (pk, sk, path, value). ``items``: pk, sk, body; ``plans``: area -> partitions."""
     mine = items.where(F.col("pk").isin(*plans[area])).withColumn("__key", F.to_json(F.struct("pk", "sk")))

@@ -175,6 +175,29 @@ def budget_execution(budgets: DataFrame, settlements: DataFrame, years: list[int
     return out.select("year", "amount", "yoy", execution.alias("execution"), conversion.alias("conversion"), F.when(execution.isNotNull(), F.when(stated, "stated").otherwise("realized")).alias("execution_source"), failure.alias("failure"), F.when(F.col("amount").isNull(), "unavailable").otherwise("observed").alias("status"))
 
 
+def annual_population(months: DataFrame, years: list[int]) -> DataFrame:
+    """(district_id, year, people, youth, share, yoy) of the years asked for, by district and (null) for the city, from each year's latest month of a district.
+
+    ``months``: raw monthly rows (district_id, year, month, people, youth, _ord), of
+    which the last of a month counts. The year before the first is read from the raw
+    rows, too: it is the base of the first change, and isn't given itself.
+    """
+    base = [min(years) - 1, *years]
+    latest = months.where(F.col("year").isin(*base) & F.col("district_id").isNotNull()).groupBy("district_id", "year").agg(F.max_by(F.struct("people", "youth"), F.struct("month", "_ord")).alias("m")).select("district_id", "year", "m.*")
+    both = latest.groupingSets([["district_id", "year"], ["year"]], "district_id", "year").agg(F.sum("people").alias("people"), F.sum("youth").alias("youth"))
+    before = both.select(F.col("district_id").alias("__d"), (F.col("year") + 1).alias("__y"), F.col("youth").alias("__before"))
+    rows = both.join(before, F.col("district_id").eqNullSafe(F.col("__d")) & (F.col("year") == F.col("__y")), "left").where(F.col("year").isin(*years))
+    return rows.select("district_id", "year", "people", "youth", (N.ratio(F.col("youth"), F.col("people")) * 100).alias("share"), N.yoy(F.col("youth"), F.col("__before")).alias("yoy"))
+
+
+def strict_rollup(rows: DataFrame, keys: list[str], unit: list[str], sums: list[str]) -> DataFrame:
+    """Sums by ``keys`` of rows that ``unit`` (keys among them) names once; a unit that comes twice fails the job with its name."""
+    one = rows.groupBy(*unit).agg(F.count("*").alias("__n"), *(F.sum(c).alias(c) for c in sums))
+    told = F.concat(F.lit("twice: "), F.concat_ws("/", *(F.col(c).cast("string") for c in unit)))
+    checked = one.withColumn("__ok", F.assert_true(F.col("__n") == 1, told)).where("__ok IS NULL")
+    return checked.groupBy(*keys).agg(F.count("*").alias("units"), *(F.sum(c).alias(c) for c in sums))
+
+
 def scatters(points: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """(scatter, points, sample, slope, intercept, r2) of each pair of columns (x, y)."""
     from talweg.operators import stats

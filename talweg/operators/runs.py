@@ -110,12 +110,12 @@ def replay(spark: SparkSession, listing: DataFrame, sources: list[Source], read:
 
 #: The queries that make up each metric of the analytics run.
 METRICS = {
-    "homepage": ["q01_population_annual", "q02_fertility_annual", "q03_budget_execution", "q04_opportunity_index", "q05_key_figures", "q06_budget_points", "q06_policy_block"],
-    "employment": ["q17_employment_scatter", "g26_vacancy_summary"],
-    "fertility": ["q02_fertility_annual", "q18_family_index"],
+    "homepage": ["q20_homepage", "q01_population_annual", "q02_fertility_annual", "q03_budget_execution", "q04_opportunity_index", "q05_key_figures", "q06_budget_points", "q06_policy_block", "q12_service_coverage"],
+    "employment": ["q17_employment_scatter", "q17_two_scatters", "g26_vacancy_summary"],
+    "fertility": ["q02_fertility_annual", "q18_family_index", "q18_family_page"],
     "youth_participation": ["q10_candidacy_by_type", "q11_representation_ratio", "q13_proposal_funnel", "q14_grants_scope"],
-    "policy_support": ["q19_complete_trend", "q15_allocation_reasons"],
-    "youth_keyword_frequency": ["q16_keyword_ranking"],
+    "policy_support": ["q19_complete_trend", "q19_whole_months", "q19_wage_trend", "q15_allocation_reasons"],
+    "youth_keyword_frequency": ["q16_keyword_ranking", "q16_policy_terms"],
 }
 
 

@@ -80,3 +80,18 @@ def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Long rows (metric_id, value), a null value kept."""
     wide = df.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics))
     return wide.unpivot(keys, metrics, "metric_id", "value")
+
+
+def ordinals(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """``df`` with each row's place from 0 by ``order``: ranges of it are sorted apart, and each adds what stands before it.
+
+    The ranges are written once, so that places and counts are of the same ones; ``order`` has to be without ties.
+    """
+    from talweg.sources import scratch
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = scratch.kept(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")

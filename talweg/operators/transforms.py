@@ -155,6 +155,18 @@ def vacancies(landed: DataFrame) -> Split:
     return Split(with_header(got.accepted.withColumn("geo_level", F.when(F.col("geo_scope") == "county", "city").otherwise("district")), "job_vacancies"), got.quarantine, got.quality)
 
 
+def vacancy_salaries(landed: DataFrame) -> Split:
+    """Salaries of vacancies: both bounds are needed for a midpoint; rows without stay, marked, and count as incomplete; a bound above the other is quarantined."""
+    rows = landed.toDF(*(P.canonical_header(c) for c in landed.columns))
+    low, high = (F.when(b > 0, b) for b in (P.parse_decimal(F.col("NT_L")), P.parse_decimal(F.col("NT_U"))))
+    whole = low.isNotNull() & high.isNotNull()
+    flags = F.array_compact(F.array(F.when(~whole, "incomplete_salary_bounds")))
+    rows = rows.withColumns({"positions": P.parse_int(F.col("JOB_PERSON")), "salary_lower": low, "salary_upper": high, "salary": F.when(whole, (low + high) / 2), "quality_flags": flags})
+    rules = {"invalid_scope": ~F.coalesce(F.col("geo_scope").isin("district", "county"), F.lit(False)), "invalid_positions": F.col("positions").isNull(), "inverted_bounds": low > high}
+    got = split(rows, rules, "_ord")
+    return Split(with_header(got.accepted.withColumn("geo_level", F.when(F.col("geo_scope") == "county", "city").otherwise("district")), "job_vacancy_salaries"), got.quarantine, got.quality)
+
+
 def wages(landed: DataFrame, methods: dict[str, str]) -> Split:
     """The method names the metric; an unknown one is quarantined; the age range is a proxy."""
     names = F.create_map(*(F.lit(x) for kv in methods.items() for x in kv))
@@ -337,7 +349,7 @@ def minutes_items(meetings: DataFrame) -> DataFrame:
 #: Names that a dataset goes by, and its transform.
 TRANSFORMS: dict[str, Callable] = {
     "population": population, "population_villages": village_population, "national_population": national_population, "movement": movement, "births": births, "marriages": marriages,
-    "house_prices": priced, "rentals": priced, "job_vacancies": vacancies, "job_vacancy_salaries": vacancies, "wages": wages, "college_majors": majors, "graduate_majors": graduates, "vt_courses": courses,
+    "house_prices": priced, "rentals": priced, "job_vacancies": vacancies, "job_vacancy_salaries": vacancy_salaries, "wages": wages, "college_majors": majors, "graduate_majors": graduates, "vt_courses": courses,
     "training_numbers": trainings, "talent_demand": talent_demand,
     "bus_stops": stops, "railway_stops": stops, "bike_stops": stops, "babysitting_places": service_points, "youth_service_points": service_points, "elections": candidates,
     "village_boundaries": boundaries, "youth_budgets": budgets, "youth_grants": grants, "join_proposals": proposals, "youth_council_minutes": minutes_items,

@@ -107,11 +107,13 @@ def q23_serving_items(t):
     return made.select("pk", "sk", F.get_json_object("body", "$.n_name").alias("n_name"))
 
 
-@query("""SELECT 'a' AS dataset, lpad((year(m) - 1911)::VARCHAR, 3, '0') || lpad(month(m)::VARCHAR, 2, '0') AS output_key FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2024-02-01', INTERVAL 1 MONTH)) AS m)
-UNION ALL SELECT 'b', y FROM (VALUES ('112'), ('113')) v(y) UNION ALL SELECT 'c', 'latest' UNION ALL SELECT 'd', 'all'""")
+@query("""WITH s AS (SELECT s_name AS dataset, s_suppkey % 4 AS k FROM supplier), m AS (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2024-02-01', INTERVAL 1 MONTH)) AS m)
+SELECT dataset, lpad((year(m) - 1911)::VARCHAR, 3, '0') || lpad(month(m)::VARCHAR, 2, '0') AS output_key FROM s, m WHERE k = 0 UNION ALL SELECT DISTINCT dataset, lpad((year(m) - 1911)::VARCHAR, 3, '0') FROM s, m WHERE k = 1 UNION ALL SELECT dataset, CASE k WHEN 2 THEN 'latest' ELSE 'all' END FROM s WHERE k > 1""")
 def m01_planner_units(t):
-    specs = t.region.sparkSession.createDataFrame([("a", "MONTHLY"), ("b", "ANNUAL"), ("c", "SNAPSHOT"), ("d", "ALL_AVAILABLE")], "dataset string, strategy string")
-    return planner.units(specs, "2023-11-01", "2024-02-01").select("dataset", "output_key")
+    """Suppliers are datasets, each of a strategy."""
+    k = F.col("s_suppkey") % 4
+    strategy = F.when(k == 0, "MONTHLY").when(k == 1, "ANNUAL").when(k == 2, "SNAPSHOT").otherwise("ALL_AVAILABLE")
+    return planner.units(t.supplier.select(F.col("s_name").alias("dataset"), strategy.alias("strategy")), "2023-11-01", "2024-02-01").select("dataset", "output_key")
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN (TIMESTAMP '2024-01-20 00:00:00' - ts) >= INTERVAL 24 HOUR WHEN 1 THEN (TIMESTAMP '2024-01-20 00:00:00' - ts) >= INTERVAL 168 HOUR ELSE strftime(ts, '%Y%m') <> '202401' END AS due FROM events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talweg.plans import basics, datasets, evidence_text, family, homepage, indicators, opportunity, places, recipes, relational, snapshot  # noqa: F401  they register their queries
+from talweg.plans import basics, contracts, datasets, evidence_text, family, homepage, indicators, opportunity, places, recipes, relational, snapshot  # noqa: F401  they register their queries
 from talweg.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "q04_opportunity_index"

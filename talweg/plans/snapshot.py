@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talweg.operators import snapshot
 from talweg.plans import basics, datasets, evidence_text, homepage, indicators, opportunity, places, recipes, relational  # noqa: F401  their queries are the release's parts
-from talweg.plans.base import ORACLES, query
+from talweg.plans.base import ORACLES, QUERIES, query
 from talweg.sources import scratch
 
 BLOCKS = {"KPIS": "q05_key_figures", "POLICY": "q06_policy_block", "SERVICE_COVERAGE": "q12_service_coverage", "ELECTIONS": "q10_candidacy_by_type", "POPULATION_TREND": "q01_population_annual", "FERTILITY_TREND": "q02_fertility_annual", "DISTRICTS": "q04_opportunity_index"}
@@ -25,17 +25,21 @@ def _sql() -> str:
     UNION ALL SELECT 'MANIFEST', 'LATEST', 1, concat_ws(' ', '{len(BLOCKS)}', count(*), '{len(ANALYSES)}', '1.0', {", ".join(status(f) for f in FIELDS)}) FROM ({ORACLES["q04_opportunity_index"]})"""
 
 
+def release(spark, sf_dir: str, root: str, name: str, candidate: bool = False) -> snapshot.Release:
+    """Run every part of a release over a directory of tables and publish it: items, manifest, pointer."""
+    part = lambda query_name: QUERIES[query_name](spark, sf_dir)
+    districts = scratch.kept(part(BLOCKS["DISTRICTS"]), "districts")
+    blocks = {k: districts if k == "DISTRICTS" else part(q) for k, q in BLOCKS.items()}
+    expected = spark.read.parquet(f"{sf_dir}/nation.parquet").count()
+    return snapshot.publish(spark, root, name, blocks, districts, {k: part(q) for k, q in ANALYSES.items()}, FIELDS, expected, candidate)
+
+
 @query(_sql())
 def q23_release_items(t):
     """The items of a release, read where the pointer points: 7 blocks, a district each, 6 analyses, the manifest."""
-    from talweg.plans.base import QUERIES
-
-    spark, sf_dir = t._spark, t._dir
-    part = lambda name: QUERIES[name](spark, sf_dir)
+    spark = t._spark
     root = f"{scratch.folder(spark)}/published-{uuid.uuid4().hex}"
-    districts = scratch.kept(part(BLOCKS["DISTRICTS"]), "districts")
-    blocks = {k: districts if k == "DISTRICTS" else part(q) for k, q in BLOCKS.items()}
-    snapshot.publish(spark, root, "s1", blocks, districts, {k: part(q) for k, q in ANALYSES.items()}, FIELDS, t.nation.count())
+    release(spark, t._dir, root, "s1")
     field = lambda path: F.get_json_object("body", path)
     manifest = F.concat_ws(" ", field("$.items.dashboard_items"), field("$.items.district_items"), field("$.items.analysis_items"), field("$.coverage.ratio"), *(field(f"$.availability.{f}") for f in FIELDS))
     return snapshot.read(spark, root).select("pk", "sk", "rows", F.when(F.col("pk") == "MANIFEST", manifest).alias("manifest"))

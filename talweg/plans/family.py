@@ -13,9 +13,13 @@ def _level(c: str, q: str) -> str:
     return f"CASE WHEN {c} <= {q}1 THEN 'low' WHEN {c} >= {q}3 THEN 'high' WHEN {c} IS NOT NULL THEN 'medium' END"
 
 
+def _scaled(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 100 ELSE 50 END"
+
+
 @query(f"""WITH a AS (SELECT k, rate, births * 1.0 AS youth, coverage = 1 AS whole FROM ({ORACLES["q02_fertility_annual"]}) WHERE y = 1996), s AS (SELECT * FROM ({ORACLES["q12_service_coverage"]})), x AS (SELECT * FROM ({ORACLES["q04_opportunity_index"]})),
 d AS (SELECT n_nationkey AS district_id, n_name AS district_name, rate, CASE WHEN n_nationkey <> 7 THEN youth END AS youth, coalesce(whole, false) AS whole, s.value AS daycare, x.opportunity_index AS o, x.housing, x.salary_median_shrunk AS salary FROM nation LEFT JOIN a ON k = n_nationkey LEFT JOIN s ON s.district_id = n_nationkey LEFT JOIN x ON x.district_id = n_nationkey),
-z AS (SELECT *, CASE WHEN rate IS NULL AND youth IS NULL THEN 'unavailable' WHEN rate IS NOT NULL AND youth IS NOT NULL AND whole THEN 'observed' ELSE 'partial' END AS status, (daycare - min(daycare) OVER ()) / (max(daycare) OVER () - min(daycare) OVER ()) * 100 AS zd, (salary - min(salary) OVER ()) / (max(salary) OVER () - min(salary) OVER ()) * 100 AS zs FROM d),
+z AS (SELECT *, CASE WHEN rate IS NULL AND youth IS NULL THEN 'unavailable' WHEN rate IS NOT NULL AND youth IS NOT NULL AND whole THEN 'observed' ELSE 'partial' END AS status, {_scaled("daycare")} AS zd, {_scaled("salary")} AS zs FROM d),
 f AS (SELECT *, (zd + housing + zs) / 3 AS fafi FROM z), q AS (SELECT quantile_cont(fafi, 0.25) AS f1, quantile_cont(fafi, 0.75) AS f3, quantile_cont(rate, 0.25) AS r1, quantile_cont(rate, 0.75) AS r3 FROM f),
 c AS (SELECT CASE WHEN bool_and(status = 'unavailable') THEN 'unavailable' WHEN bool_or(status <> 'observed') THEN 'partial' ELSE 'observed' END AS ys, CASE WHEN count(fafi) = 0 THEN 'unavailable' WHEN count(fafi) < count(*) THEN 'partial' ELSE 'observed' END AS fs, regr_count(rate, o) AS n, regr_slope(rate, o) AS slope, regr_r2(rate, o) AS r2 FROM f)
 SELECT district_id, district_name, round(rate, 4) AS fertility_rate, round(daycare, 4) AS daycare, round(fafi, 4) AS fafi, {_level('fafi', 'f')} AS fafi_level, {_level('rate', 'r')} AS fertility_level, status, NULL AS daycare_status, NULL AS fafi_status, NULL AS reasons, NULL AS n, NULL AS slope, NULL AS r2 FROM f, q

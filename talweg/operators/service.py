@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import nulls as N
 from talweg.operators import overlay, series
+from talweg.sources import scratch
 
 # Why coverage is not known, or not whole.
 REASONS = ["incomplete_village_population_coverage", "no_boundary_population_join", "no_verified_service_points", "village_boundaries_not_published", "village_population_not_published"]
@@ -49,7 +50,8 @@ def coverage(points: DataFrame, villages: DataFrame, population: DataFrame, radi
     both = villages.drop("rings").join(shares, "village").join(people, "village", "left")
     both = both.withColumns({"district_id": F.coalesce("__d", "district_id"), "district_name": F.coalesce("__n", "district_name")})
     counts = F.coalesce((N.finite(F.col("people")) >= 0) & (F.col("area") > 0), F.lit(False)) & F.col("district_id").isNotNull()
-    both = both.withColumn("__use", counts)
+    # A row a village, read by the districts, the city and the counts: it is written, so that the overlay runs once.
+    both = scratch.kept(both.withColumn("__use", counts), "villages")
     own = both.where("__use").withColumn("__covered", F.col("ratio") * F.col("people"))
     sums = [F.sum("__covered").alias("covered_people"), F.sum("people").alias("people"), F.count("*").alias("villages"), F.count_if(F.col("ratio") > 0).alias("covered_villages")]
     kind = dict(both.dtypes)["district_id"]

@@ -155,3 +155,19 @@ def test_service_statuses(spark):
     assert [(r.district_id, r.value, r.status, r.reasons) for r in none] == [(None, None, "unavailable", ["no_verified_service_points"])]
     bare = service.coverage(points.where("counts"), villages.limit(0), people.limit(0), 5.0, "square").first()
     assert bare.status == "unavailable" and bare.reasons == ["no_boundary_population_join", "village_boundaries_not_published", "village_population_not_published"]
+
+
+def test_overlay_of_many_areas_broadcasts_no_cells(spark):
+    """Areas and cells meet by shuffles whatever their tables' sizes tell, and cells that two sides cross are clipped without Python, as exactly as with it."""
+    rng = random.Random(5)
+    dots = [(rng.random() * 40, rng.random() * 40) for _ in range(400)]
+    areas = [(k, [[(x, y), (x + 9, y + rng.random()), (x + 8, y + 9), (x + rng.random(), y + 8)]]) for k in range(12) for x, y in [(rng.random() * 30, rng.random() * 30)]]
+    out = overlay.coverage(spark.createDataFrame(areas, f"k int, rings {RINGS}"), spark.createDataFrame(dots, "x double, y double"), "k", 4.0, "square")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [qx" in line]
+    covers = np.array(dots)[:, None] + overlay.outline("square", 4.0)
+    for r in out.collect():
+        ring = np.array(areas[r.k][1][0], float)
+        lines = overlay.sides(ring)
+        box = (*ring.min(0), *ring.max(0))
+        assert r.covered == pytest.approx(overlay.covered_area(lines, covers, box), abs=1e-6)

@@ -21,7 +21,8 @@ def units(specs: DataFrame, start: str, end: str) -> DataFrame:
 
 def due(every: Column, last: Column, now: Column) -> Column:
     """Daily after 24 hours, weekly after 7 days, monthly in another calendar month; never run or unknown is due."""
-    hours = (F.unix_timestamp(now) - F.unix_timestamp(last)) / 3600
+    # By microseconds: a part of a second short of the time is not due.
+    hours = (F.unix_micros(now) - F.unix_micros(last)) / 3_600_000_000
     month = F.date_format(now, "yyyyMM") != F.date_format(last, "yyyyMM")
     return F.coalesce(F.when(every == "daily", hours >= 24).when(every == "weekly", hours >= 168).when(every == "monthly", month), F.lit(True))
 

@@ -119,7 +119,7 @@ def m01_planner_units(t):
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN (TIMESTAMP '2024-01-20 00:00:00' - ts) >= INTERVAL 24 HOUR WHEN 1 THEN (TIMESTAMP '2024-01-20 00:00:00' - ts) >= INTERVAL 168 HOUR ELSE strftime(ts, '%Y%m') <> '202401' END AS due FROM events")
 def m02_refresh_due(t):
     every = F.when(F.col("event_id") % 3 == 0, "daily").when(F.col("event_id") % 3 == 1, "weekly").otherwise("monthly")
-    return t.events.select("event_id", planner.due(every, F.date_trunc("second", F.col("ts").cast("timestamp")), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("due"))
+    return t.events.select("event_id", planner.due(every, F.col("ts").cast("timestamp"), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("due"))
 
 
 @query("SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE year(o_orderdate) >= (SELECT max(year(o_orderdate)) FROM orders) - 1 OR year(o_orderdate) = 1995 GROUP BY 1")

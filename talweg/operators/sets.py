@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from talweg.operators.stats import first_by
 
 
+#: Parts of a group that are cut by themselves.
+SHARES = 64
+
+
 def union_all(parts: list[DataFrame | Callable[[], DataFrame]]) -> DataFrame:
     """By name; columns that a part lacks are null.
 
@@ -46,11 +50,18 @@ def merged_duplicates(df: DataFrame, key: Column, order: str, observed: str, fla
     ).select("merge_key", "first.*", observed, *flags, *sums)
 
 
+def ranked_first(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group with their ``rank``. Each of ``SHARES`` parts of a group is cut first, so no task sorts a group."""
+    rows = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = df.withColumn("__share", F.pmod(F.xxhash64(F.spark_partition_id(), *rows), F.lit(SHARES)))
+    first = lambda rows, name, *by: rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
+    return first(first(dealt, "__rank", group, "__share").drop("__share", "__rank"), "rank", group)
+
+
 def limited(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, with the group's rows and whether it was cut."""
-    w = Window.partitionBy(group).orderBy(*order)
     totals = df.groupBy(group).agg(F.count("*").alias("group_rows"))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).join(totals, group).withColumn("truncated", F.col("group_rows") > n)
+    return ranked_first(df, group, order, n).join(totals, group).withColumn("truncated", F.col("group_rows") > n)
 
 
 def quotas(counts: dict[str, int], shares: dict[str, float], cap: int) -> dict[str, int]:
@@ -70,9 +81,8 @@ def quota_top(df: DataFrame, group: str, order: list[Column], shares: dict[str,
     counts = {r[0]: r[1] for r in df.where(F.col(group).isin(list(shares))).groupBy(group).count().collect()}
     take = quotas(counts, shares, cap)
     allowed = F.create_map(*(F.lit(x) for kv in take.items() for x in kv)) if take else F.create_map()
-    w = Window.partitionBy(group).orderBy(*order)
-    # The constant limit goes below the shuffle: no more than ``cap`` rows of a group leave a task.
-    ranked = df.where(F.col(group).isin(list(shares))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    # No more than ``cap`` rows of a part of a group are ranked together.
+    ranked = ranked_first(df.where(F.col(group).isin(list(shares))), group, order, cap)
     return ranked.where(F.col("rank") <= allowed[F.col(group)])
 
 

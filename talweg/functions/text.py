@@ -38,6 +38,8 @@ SCRUBS = {
     "identifier": r"\b[A-Za-z]{1,4}-?[0-9]{4,}\b",
     "number": r"[0-9]+",
 }
+#: The same matches without a try from each character of a word: from where one begins, or where the last match ended.
+QUICK = {"email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"}
 #: Titles that follow a person's name in minutes.
 ROLES = ["主席", "主任委員", "副主任委員", "委員", "局長", "副局長", "科長", "處長", "主任", "專員", "代表"]
 
@@ -46,7 +48,7 @@ def scrub(c: Column, roles: list[str] = ()) -> tuple[Column, dict[str, Column]]:
     """(text without metadata, how many of each kind went). Format characters go first; names before ``roles`` last."""
     counts = {}
     c = F.regexp_replace(c, r"\p{Cf}", "")
-    kinds = dict(SCRUBS)
+    kinds = SCRUBS | QUICK
     if roles:
         kinds["role"] = rf"\p{{IsHan}}{{2,4}}?(?:{'|'.join(sorted(roles, key=len, reverse=True))})"
     for name, rx in kinds.items():
@@ -55,6 +57,11 @@ def scrub(c: Column, roles: list[str] = ()) -> tuple[Column, dict[str, Column]]:
     return c, counts
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it: as the element of an array it has a name."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
@@ -62,14 +69,13 @@ def tokens(c: Column) -> Column:
 
 def mixed_tokens(c: Column, contained: list[str] = ()) -> Column:
     """Lower-case runs of Latin letters and digits, 2- to 4-grams of each run of Han characters, and the listed terms that the text contains."""
-    low = F.lower(c)
-    latin = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9]+"), F.lit(0))
-    han = F.regexp_extract_all(c, F.lit(r"\p{IsHan}+"), F.lit(0))
-    grams = F.flatten(F.transform(han, lambda run: F.flatten(F.array(*(ngrams(run, n) for n in (2, 3, 4))))))
-    parts = [latin, grams]
-    if contained:
-        parts.append(matched_terms(low, [t.lower() for t in contained]))
-    return F.concat(*parts)
+    def parts(own: Column, low: Column) -> Column:
+        latin = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9]+"), F.lit(0))
+        han = F.regexp_extract_all(own, F.lit(r"\p{IsHan}+"), F.lit(0))
+        grams = F.flatten(F.transform(han, lambda run: F.flatten(F.array(*(ngrams(run, n) for n in (2, 3, 4))))))
+        return F.concat(latin, grams, *([matched_terms(low, [t.lower() for t in contained])] if contained else []))
+
+    return once(c, lambda own: once(F.lower(own), lambda low: parts(own, low)))
 
 
 def udf_tokens(tokenize: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]:

@@ -1,6 +1,7 @@
 import datetime
 import io
 import math
+import random
 import zipfile
 
 import pytest
@@ -225,3 +226,42 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == closed
     windows.run_available(windows.distinct_events(windows.events_stream(spark, str(tmp_path / "in"), df.schema)), str(tmp_path / "out2"), str(tmp_path / "check2"))
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 61
+
+
+def test_a_scrubbed_text_is_made_once(spark):
+    from talweg.functions import text as T
+
+    words = T.kept_tokens(T.mixed_tokens(T.scrub(F.col("c"), T.ROLES)[0], ["licensed", "社會住宅"]), ["the"])
+    df = spark.createDataFrame([("the Licensed 青年就業 a@b.cd",), (None,)], "c string")
+    assert df.select(words.alias("w"))._jdf.queryExecution().optimizedPlan().toString().count("https?") == 1
+    assert [r.w for r in df.select(words.alias("w")).collect()] == [["licensed", "青年", "年就", "就業", "青年就", "年就業", "青年就業", "licensed"], None]
+
+
+def test_the_quick_email_finds_what_the_plain_one_does(spark):
+    from talweg.functions import text as T
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab@@..._ -%") for _ in range(rng.randrange(30))) for _ in range(4000)] + ["a@b.c_x@y.z", "a@b.c@d.e", "a" * 50_000]
+    df = spark.createDataFrame([(x,) for x in texts], "c string")
+    assert df.where(F.regexp_replace("c", T.QUICK["email"], "!") != F.regexp_replace("c", T.SCRUBS["email"], "!")).count() == 0
+
+
+def test_a_part_of_a_second_short_is_not_due(spark):
+    df = spark.sql("SELECT timestamp'2024-01-20 00:00:00' AS now, t FROM VALUES (timestamp'2024-01-19 00:00:00'), (timestamp'2024-01-19 00:00:00.000001') v(t)")
+    assert [r[0] for r in df.select(planner.due(F.lit("daily"), F.col("t"), F.col("now"))).collect()] == [True, False]
+
+
+def test_first_rows_of_a_group_come_from_its_parts(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 20_011).alias("rank"))
+    out = sets.limited(df, "g", [F.asc("rank")], 1500).select(F.col("rank").alias("place"), "group_rows", "truncated")
+    assert "__share" in out._jdf.queryExecution().analyzed().toString()
+    assert [r.place for r in out.orderBy("place").collect()] == list(range(1, 1501)) and out.where("group_rows = 20000 AND truncated").count() == 1500
+    values = sets.limited(df.withColumnRenamed("rank", "v"), "g", [F.asc("v")], 1500).agg(F.count("*"), F.countDistinct("v"), F.max("rank")).first()
+    assert tuple(values) == (1500, 1500, 1500)
+
+
+def test_a_key_is_resolved_once_for_all_its_requests(spark):
+    """Requests and places that share one key aren't paired."""
+    requests = spark.range(100_000).select(F.col("id").alias("request"), F.lit(0).alias("tier"), F.lit("k").alias("key"))
+    keys = spark.range(50_000).select(F.lit("k").alias("key"), (F.col("id") % 100).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert joins.tiered(requests, keys, "request").groupBy("tier", "how").count().collect() == [(0, "centroid", 100_000)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talweg.functions.parsing import nfkc
+from talweg.functions.text import once
 
 # Numerals, and variants of characters.
 NUMERALS = "一二三四五六七八九十"
@@ -38,6 +39,8 @@ GRAMMAR = [
 PATTERN = "^" + "".join(x for _, x in GRAMMAR) + "$"
 #: Place of each field's groups in the pattern.
 GROUPS = {"city": [1], "town": [2], "village": [3], "neighbourhood": [4], "street": [5], "section": [6], "lane": [7], "alley": [8], "plate": [9], "sub": [10, 11], "cellar": [12], "floor": [13], "unit": [14], "rest": [15]}
+#: Groups of the pattern, and what they are parted by.
+COUNT, MARK = 15, "\x01"
 NUMBERS = ["neighbourhood", "section", "lane", "alley", "plate", "sub", "floor", "unit"]
 
 
@@ -58,13 +61,17 @@ def cleaned(c: Column) -> Column:
 
 def parts(c: Column) -> Column:
     """The address as a struct of ``GROUPS``: texts, and whole numbers for ``NUMBERS``; a missing part is null."""
-    text = cleaned(c)
+    def fields(text: Column, groups: Column) -> Column:
+        def field(name: str) -> Column:
+            # A text that the mark stands in, or that the pattern doesn't match, is read group by group.
+            found = F.coalesce(*(F.nullif(F.when(F.size(groups) == COUNT, F.get(groups, g - 1)).otherwise(F.regexp_extract(text, PATTERN, g)), F.lit("")) for g in GROUPS[name]))
+            return once(found, number) if name in NUMBERS else found
 
-    def field(name: str) -> Column:
-        found = F.coalesce(*(F.nullif(F.regexp_extract(text, PATTERN, g), F.lit("")) for g in GROUPS[name]))
-        return number(found) if name in NUMBERS else found
+        return F.struct(*(field(name).alias(name) for name in GROUPS))
 
-    return F.struct(*(field(name).alias(name) for name in GROUPS))
+    # One match for all groups, each expression once.
+    split = lambda text: F.split(F.regexp_replace(text, PATTERN, MARK.join(f"${g}" for g in range(1, COUNT + 1))), MARK)
+    return once(cleaned(c), lambda text: once(split(text), lambda groups: fields(text, groups)))
 
 
 def key(p: Column, *names: str) -> Column:

@@ -77,7 +77,14 @@ def collapsed(candidates: DataFrame, key: str, spread: float = 150.0) -> DataFra
 
 
 def tiered(requests: DataFrame, keys: DataFrame, request: str) -> DataFrame:
-    """Entity resolution, strict keys first: (request, tier, key) ⋈ (key, x, y); the first tier that resolves wins."""
-    met = requests.join(keys, "key").select(F.struct(request, "tier").alias("__k"), "x", "y")
-    found = collapsed(met, "__k").where("how IS NOT NULL").select(F.col(f"__k.{request}").alias(request), F.col("__k.tier").alias("tier"), "how", "x", "y")
+    """Entity resolution, strict keys first: (request, tier, key) ⋈ (key, x, y); the first tier that resolves wins.
+
+    A key is resolved once, for all requests that have it. A request that has a tier twice (with
+    other keys, or one again) takes that tier's places together.
+    """
+    named = requests.select(F.struct(request, "tier").alias("__k"), "key")
+    own = named.groupBy("__k").agg(F.count("*").alias("__n"), F.first("key").alias("key"))
+    one = own.where("__n = 1").join(collapsed(keys, "key"), "key").select("__k", "how", "x", "y")
+    several = named.join(own.where("__n > 1").select("__k"), "__k").join(keys, "key").select("__k", "x", "y")
+    found = one.unionByName(collapsed(several, "__k")).where("how IS NOT NULL").select(F.col(f"__k.{request}").alias(request), F.col("__k.tier").alias("tier"), "how", "x", "y")
     return found.groupBy(request).agg(F.min_by(F.struct("tier", "how", "x", "y"), "tier").alias("r")).select(request, "r.*")

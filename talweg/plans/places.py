@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talweg.functions import addresses as A
+from talweg.functions.text import once
 from talweg.operators import joins, matching, overlay, service
 from talweg.plans.base import query, r
 from talweg.plans.datasets import Landed
@@ -60,7 +61,7 @@ h AS (SELECT request, tier, CASE WHEN places = 1 THEN 'single' WHEN far <= 150 T
 SELECT request, min(tier) AS tier, arg_min(how, tier) AS how FROM h WHERE how IS NOT NULL GROUP BY request""")
 def j11_tiered_resolution(t):
     """Every customer's address against the register of suppliers' ones: the strictest key that names one place."""
-    exploded = lambda df, *more: df.select("_ord", *more, A.parts(F.col("address")).alias("p")).where("p.plate IS NOT NULL").select("_ord", *more, F.explode(A.tiers(F.col("p"))).alias("k")).select("_ord", *more, "k.*")
+    exploded = lambda df, *more: df.select("_ord", *more, F.explode(once(A.parts(F.col("address")), lambda p: F.when(p["plate"].isNotNull(), A.tiers(p)))).alias("k")).select("_ord", *more, "k.*")
     requests = exploded(CUSTOMERS.frame(t)).withColumnRenamed("_ord", "request")
     keys = exploded(REGISTER.frame(t), "x", "y").select("_ord", "key", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
     return joins.tiered(requests, keys, "request").select("request", "tier", "how")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.functions import text as T
+from talweg.sources import scratch
 
 
 @dataclass(frozen=True)
@@ -87,11 +88,13 @@ def mentions(docs: DataFrame, rules: Rules, tokenizer: Callable[[Column], Column
     """
     cut = tokenizer or (lambda c: T.mixed_tokens(c, list(rules.listed)))
     words = lambda c: T.kept_tokens(cut(T.scrub(F.coalesce(c, F.lit("")), T.ROLES)[0]), [*rules.stop, *rules.administrative], list(rules.listed), rules.low, rules.high)
-    found = docs.select((F.col("kind") == "join").alias("join"), F.log1p(F.greatest(F.coalesce("endorsements", F.lit(0)), F.lit(0)).cast("double")).alias("e"), F.coalesce("escalated", F.lit(False)).alias("up"), words(F.col("text")).alias("t"), words(F.col("topic")).alias("h"), words(F.col("resolution")).alias("s"))
     # What a document says of a term once goes beside its occurrences: one shuffle of partial sums by term.
-    once = F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("n"), F.array_contains("h", t).alias("h"), F.array_contains("s", t).alias("s")))
-    each = F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("n"), F.lit(False).alias("h"), F.lit(False).alias("s")))
-    rows = found.select("join", "e", "up", F.explode(F.concat(once, each)).alias("w")).select("join", "e", "up", "w.*")
+    # The three token lists are made once a document, not once a token.
+    lists = F.struct(words(F.col("text")).alias("t"), words(F.col("topic")).alias("h"), words(F.col("resolution")).alias("s"))
+    first = lambda d: F.transform(F.array_distinct(d["t"]), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("n"), F.array_contains(d["h"], t).alias("h"), F.array_contains(d["s"], t).alias("s")))
+    each = lambda d: F.transform(d["t"], lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("n"), F.lit(False).alias("h"), F.lit(False).alias("s")))
+    said = T.once(lists, lambda d: F.concat(first(d), each(d)))
+    rows = docs.select((F.col("kind") == "join").alias("join"), F.log1p(F.greatest(F.coalesce("endorsements", F.lit(0)), F.lit(0)).cast("double")).alias("e"), F.coalesce("escalated", F.lit(False)).alias("up"), F.explode(said).alias("w")).select("join", "e", "up", "w.*")
     minutes = ~F.col("join")
     return rows.groupBy("term").agg(
         F.sum("n").alias("tf"),
@@ -142,7 +145,8 @@ def subsumed(terms: DataFrame) -> DataFrame:
 
 def policy_ranking(docs: DataFrame, rules: Rules, n: int = 23, w: Weights = Weights(), tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
     """The top n terms with their counts, scores, signal and bucket; maxima are over candidates only."""
-    c = candidates(mentions(docs, rules, tokenizer), rules)
+    # Read by the maxima, the scores and the nested terms: one row a term, written, so that texts are cut once.
+    c = candidates(scratch.kept(mentions(docs, rules, tokenizer), "terms"), rules)
     m = c.agg(F.max(F.log1p("tf")).alias("m_tf"), F.max("support").alias("m_s"), F.max("minutes_df").alias("m_m"))
     part = lambda x, top: F.coalesce(F.try_divide(x, F.col(top)), F.lit(0.0))
     ratio = F.try_divide(F.col("topic_df"), F.col("df"))

@@ -265,3 +265,14 @@ def test_a_key_is_resolved_once_for_all_its_requests(spark):
     requests = spark.range(100_000).select(F.col("id").alias("request"), F.lit(0).alias("tier"), F.lit("k").alias("key"))
     keys = spark.range(50_000).select(F.lit("k").alias("key"), (F.col("id") % 100).cast("double").alias("x"), F.lit(0.0).alias("y"))
     assert joins.tiered(requests, keys, "request").groupBy("tier", "how").count().collect() == [(0, "centroid", 100_000)]
+
+
+def test_policy_terms_cut_a_text_once(spark):
+    """Token lists aren't made again for each token, nor term counts for each reader."""
+    docs = spark.createDataFrame([("join", "rent rent subsidy", "rent", None, False, 3), ("minutes", "rent vote", None, "rent", True, None)], "kind string, text string, topic string, resolution string, escalated boolean, endorsements int")
+    rules = keywords.Rules(min_df=1, min_frequency=1)
+    counts = keywords.mentions(docs, rules)
+    # The three lists, each with one scrub.
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("https?") == 3
+    assert {r.term: (r.tf, r.join_df, r.minutes_df, r.topic_df, r.resolved, r.escalated) for r in counts.collect()} == {"rent": (3, 1, 1, 1, True, True), "subsidy": (1, 1, 0, 0, False, False), "vote": (1, 0, 1, 0, False, False)}
+    assert "https?" not in keywords.policy_ranking(docs, rules)._jdf.queryExecution().optimizedPlan().toString()

@@ -12,7 +12,7 @@ covered length is linear there and its mean is its middle value. An area's size
 is its polygon's; cells add up what of it is covered, in as many tasks as there are
 cells.
 
-Points that repeat a place are one. Null or non-finite coordinates are left out.
+Areas with the same rings are measured once. Points that repeat a place are one. Null or non-finite coordinates are left out.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from talweg.functions import geo
 from talweg.sources import scratch
 
-#: Cells on a radius; shapes beyond which a cell is cut; parts of its side then.
-FINE, MANY, CUT = 4, 64, 8
+#: Cells on a radius; shapes beyond which a cell is cut; parts of its side then; crossings that are looked at together.
+FINE, MANY, CUT, SLABS = 4, 64, 8, 1 << 18
 SHAPES = ("disc", "square")
 
 
@@ -57,22 +57,13 @@ def breaks(every: np.ndarray, lo: float, hi: float) -> np.ndarray:
     return np.unique(x[(x >= lo) & (x <= hi)])
 
 
-def spans(lines: np.ndarray, x: float) -> np.ndarray:
-    """y at which sides cross the vertical line, ascending."""
+def crossings(lines: np.ndarray, mid: np.ndarray, blank: float) -> np.ndarray:
+    """Rows of y at which the sides cross each vertical line, ``blank`` where a side doesn't."""
     a, b, c, d = lines.T
-    cut = (np.minimum(a, c) < x) & (np.maximum(a, c) > x)
-    return np.sort(b[cut] + (x - a[cut]) / (c[cut] - a[cut]) * (d[cut] - b[cut]))
-
-
-def heights(covers: np.ndarray, x: float) -> np.ndarray:
-    """(lower, upper) y of each convex shape that the vertical line crosses, by lower y; ``covers`` are the shapes' sides."""
-    a, b, c, d = np.moveaxis(covers, -1, 0)
-    cut = (np.minimum(a, c) < x) & (np.maximum(a, c) > x)
+    x = mid[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         y = b + (x - a) / (c - a) * (d - b)
-    crossed = cut.any(1)
-    out = np.stack([np.where(cut, y, np.inf)[crossed].min(1), np.where(cut, y, -np.inf)[crossed].max(1)], 1) if crossed.any() else np.zeros((0, 2))
-    return out[np.argsort(out[:, 0])]
+    return np.where((np.minimum(a, c) < x) & (np.maximum(a, c) > x), y, blank)
 
 
 def covered_area(lines: np.ndarray, covers: np.ndarray | None, box: tuple[float, float, float, float]) -> float:
@@ -85,23 +76,31 @@ def covered_area(lines: np.ndarray, covers: np.ndarray | None, box: tuple[float,
     # What turns or crosses elsewhere changes nothing in the box.
     near = (np.maximum(a, c) >= x0) & (np.minimum(a, c) <= x1) & (np.maximum(b, d) >= y0) & (np.minimum(b, d) <= y1)
     at = breaks(np.concatenate([every[near], frame]), x0, x1)
-    total, least = 0.0, 1e-12 * (np.abs(at).max() + 1)
-    for lo, hi in zip(at[:-1], at[1:]):
-        if hi - lo <= least:
-            continue
-        mid = (lo + hi) / 2
-        inside = np.clip(spans(lines, mid).reshape(-1, 2), y0, y1)
+    wide, least = np.diff(at), 1e-12 * (np.abs(at).max() + 1)
+    mid, wide = ((at[:-1] + at[1:]) / 2)[wide > least], wide[wide > least]
+    over, starts = np.zeros((0, 4)), np.zeros(0, np.int64)
+    if shapes is not None:
+        # Of a convex shape only the sides above or below the box matter, and of them the least and the greatest y.
+        used = (np.maximum(shapes[..., 0], shapes[..., 2]) > x0) & (np.minimum(shapes[..., 0], shapes[..., 2]) < x1)
+        over, (starts,) = shapes[used], np.nonzero(np.diff(np.nonzero(used)[0], prepend=-1))
+        if not len(over):
+            return 0.0
+    total, step = 0.0, max(1, SLABS // (len(over) + len(lines)))
+    for k in range(0, len(mid), step):
+        x, width = mid[k : k + step], wide[k : k + step]
+        inside = np.clip(np.sort(crossings(lines, x, np.inf), 1), y0, y1)
+        low, high = inside[:, : len(lines) // 2 * 2 : 2], inside[:, 1::2]
         if shapes is None:
-            total += (inside[:, 1] - inside[:, 0]).sum() * (hi - lo)
-            continue
-        over = heights(shapes, mid)
-        if not len(over) or not len(inside):
+            total += ((high - low).sum(1) * width).sum()
             continue
-        top = np.maximum.accumulate(over[:, 1])
-        starts = np.flatnonzero(np.concatenate([[True], over[1:, 0] > top[:-1]]))
-        bottom, top = over[starts, 0], np.append(top[starts[1:] - 1], top[-1])
-        for low, high in inside:
-            total += np.maximum(0.0, np.minimum(high, top) - np.maximum(low, bottom)).sum() * (hi - lo)
+        bottom = np.minimum.reduceat(crossings(over, x, np.inf), starts, 1)
+        order = np.argsort(bottom, 1)
+        bottom = np.take_along_axis(bottom, order, 1)
+        top = np.take_along_axis(np.maximum.reduceat(crossings(over, x, -np.inf), starts, 1), order, 1)
+        # A shape adds what lies above all shapes that begin below it.
+        bottom[:, 1:] = np.maximum(bottom[:, 1:], np.maximum.accumulate(top, 1)[:, :-1])
+        for lo, hi in zip(low.T, high.T):
+            total += (np.maximum(0.0, np.minimum(hi[:, None], top) - np.maximum(lo[:, None], bottom)).sum(1) * width).sum()
     return float(total)
 
 
@@ -208,7 +207,8 @@ def coverage(areas: DataFrame, points: DataFrame, key: str, radius: float, shape
     """
     if radius <= 0 or shape not in SHAPES:
         raise ValueError(f"a positive radius and one of {', '.join(SHAPES)} are needed")
-    sized = areas.select(key, "rings", geo.polygon_area(F.col("rings")).alias("area"))
+    named = areas.select(key, F.col("rings").alias("__rings"))
+    sized = areas.groupBy("rings").agg(F.min(key).alias(key)).withColumn("area", geo.polygon_area(F.col("rings")))
     size = radius / FINE
     spread = _touched(sized, key, size)
     ratio = F.col("size") / size
@@ -244,5 +244,6 @@ def coverage(areas: DataFrame, points: DataFrame, key: str, radius: float, shape
         hard.select(key, *geometry).mapInPandas(measure, f"`{key}` {kind}, part double"),
     ]
     parts = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("part").alias("covered"))
-    out = sized.select(key, "area").join(parts, key, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    out = sized.join(parts, key, "left").drop(key).withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    out = named.join(out, F.col("__rings").eqNullSafe(F.col("rings"))).select(key, "area", "covered")
     return out.withColumn("ratio", F.when(F.col("area") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("covered") / F.col("area")))))

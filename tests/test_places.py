@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -138,6 +139,34 @@ def test_covered_area_is_exact_for_boxes():
         assert overlay.covered_area(lines, None, (5.0, 4.0, 15.0, 17.0)) == pytest.approx(120)
 
 
+def test_discs_in_a_cell_are_measured_at_once(spark):
+    """All verticals of a cell go together, in slabs as exactly as all at once; areas with the same rings are one."""
+    rng = np.random.default_rng(4)
+    covers = rng.random((40, 1, 2)) * 12 - 6 + overlay.outline("disc", 10.0)
+    lines, box = overlay.sides(np.array([(-1, -20), (30, -20), (30, 30), (0.5, 30)], float)), (-9.0, -9.0, -6.5, 9.0)
+    lines2 = overlay.sides(np.array([(-8, -20), (30, -20), (30, 30), (-7.5, 30)], float))
+    took = []
+    for _ in range(5):
+        began = time.perf_counter()
+        got = overlay.covered_area(lines2, covers, box)
+        took.append(time.perf_counter() - began)
+    assert overlay.covered_area(lines, covers, box) == 0
+    one = overlay.covered_area(lines2, covers[:1], box)
+    assert one < got < 2.5 * 18
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(overlay, "SLABS", 1)
+        slow = time.perf_counter()
+        assert overlay.covered_area(lines2, covers, box) == pytest.approx(got, rel=1e-12)
+        slow = time.perf_counter() - slow
+    assert min(took) < slow / 3
+    square = lambda x: [[(x, 0.0), (x + 7.0, 0.0), (x + 7.0, 7.0), (x, 7.0)]]
+    areas = spark.createDataFrame([(k, square(float(k % 3))) for k in range(60)], f"k int, rings {RINGS}")
+    out = overlay.coverage(areas, spark.createDataFrame([(3.0, 3.0), (9.0, 2.0)], "x double, y double"), "k", 4.0)
+    assert "keys=[rings" in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.k: (r.area, r.covered, r.ratio) for r in out.collect()}
+    assert len(rows) == 60 and len(set(rows.values())) == 3 and all(rows[k] == rows[k % 3] for k in rows)
+
+
 def test_service_statuses(spark):
     square = lambda x: [[(x, 0.0), (x + 10.0, 0.0), (x + 10.0, 10.0), (x, 10.0)]]
     villages = spark.createDataFrame([("a", square(0.0), 1, "one"), ("b", square(10.0), 1, "one"), ("c", square(500.0), None, None)], f"village string, rings {RINGS}, district_id int, district_name string")

@@ -52,6 +52,18 @@ def in_polygon(x: Column, y: Column, rings: Column) -> Column:
     return in_ring(x, y, F.element_at(rings, 1)) & ~hole
 
 
+def holds_box(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The polygon holds the box whole: its middle, and no side reaches into it."""
+    def reaches(e: Column) -> Column:
+        near = (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1)
+        turn = [(x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"]) for x in (x0, x1) for y in (y0, y1)]
+        # All corners on one side of its line, by more than rounding.
+        little = EDGE * (F.abs(e["x1"]) + F.abs(e["x2"]) + F.abs(x1)) * (F.abs(e["y1"]) + F.abs(e["y2"]) + F.abs(y1))
+        return near & ~((F.least(*turn) > little) | (F.greatest(*turn) < -little))
+
+    return ~F.exists(F.flatten(F.transform(rings, edges)), reaches) & in_polygon((x0 + x1) / 2, (y0 + y1) / 2, rings)
+
+
 def tm2(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Longitude and latitude to easting and northing (Krüger series to the third order of the flattening)."""
     n = FLATTENING / (2 - FLATTENING)

@@ -30,6 +30,13 @@ def at(value: Column, axis: str, depth: int = DEPTH) -> Column:
     return F.when(share.between(0, 1), F.least(F.floor(share * (1 << depth)), F.lit((1 << depth) - 1)).cast("int"))
 
 
+def bounds() -> tuple[Column, Column, Column, Column]:
+    """x0, y0, x1, y1 of a cell (level, cx, cy) in an extent, a little wider than what ``at`` rounds into it."""
+    size, little = F.col("side") / F.expr("shiftleft(1, level)"), F.col("side") * 1e-9 + (F.abs("lo_x") + F.abs("lo_y")) * 1e-12
+    end = lambda axis, k: F.col(f"lo_{axis}") + (F.col(f"c{axis}") + k) * size + (little if k else -little)
+    return end("x", 0), end("y", 0), end("x", 1), end("y", 1)
+
+
 def leaves(points: DataFrame, parts: int = PARTS, depth: int = DEPTH) -> DataFrame:
     """(level, cx, cy, n, shares) of the cells that hold points; ``points`` has gx, gy, places among the smallest cells.
 

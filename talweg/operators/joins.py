@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import geo
 from talweg.operators import cells
+from talweg.sources import scratch
 
 
 def ambiguous(build: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,21 +48,31 @@ def located(points: DataFrame, polygons: DataFrame, key: str, region: str, parts
 
     ``polygons``: region, rings. Points and polygons meet on cells that are cut
     where points are many (``cells``), then on the bounding box, so the ray cast
-    meets few pairs and a hot spot is many tasks. Points that repeat a key are one if they hold one place.
+    meets few pairs and a hot spot is many tasks. The points of a cell that polygons of two
+    regions hold whole have none, and are paired with nothing; of the others a row a point leaves the task
+    that met them. Points that repeat a key are one if they hold one place.
     """
     ring = F.element_at(F.col("rings"), 1)
-    boxed = polygons.select(F.col(region), "rings", F.xxhash64(region, "rings").alias("__box"), *(f(_axis(ring, c)).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.array_min, F.array_max)))
+    # Polygons with the same rings are one, of several regions.
+    boxed = polygons.groupBy("rings").agg(F.min(region).alias("__least"), F.max(region).alias("__most")).select("__least", "__most", "rings", F.xxhash64("rings").alias("__box"), *(f(_axis(ring, c)).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.array_min, F.array_max)))
     near = F.col("x").between(F.col("array_min_x"), F.col("array_max_x")) & F.col("y").between(F.col("array_min_y"), F.col("array_max_y"))
     square = F.broadcast(cells.extent(boxed, "array_min_x", "array_max_x", "array_min_y", "array_max_y"))
     placed = points.select(key, "x", "y").join(square).withColumns({"gx": cells.at(F.col("x"), "x"), "gy": cells.at(F.col("y"), "y")}).select(key, "x", "y", "gx", "gy")
-    found = cells.leaves(placed, parts)
+    # Of bounded size, and read several times.
+    found = scratch.kept(cells.leaves(placed, parts), "cells")
     spread = boxed.join(square).withColumns({f"g{c}{end}": cells.at(F.col(f"array_{side}_{c}"), c) for c in "xy" for end, side in ((0, "min"), (1, "max"))}).drop("lo_x", "lo_y", "side")
     # Rings come when the cells are known, one copy for each.
     sides = [c for c in boxed.columns if c.startswith("array")]
-    around = cells.covering(spread.drop("rings", *sides), found).join(boxed.drop(region), "__box")
+    touching = cells.covering(spread.drop("rings", *sides), found.withColumn("shares", F.lit(1))).join(boxed.select("__box", "rings"), "__box").join(square)
+    x0, y0, x1, y1 = cells.bounds()
+    whole = touching.where(geo.holds_box(F.col("rings"), x0, y0, x1, y1))
+    full = whole.groupBy("level", "cx", "cy").agg(F.min("__least").alias("least"), F.max("__most").alias("most")).where("least <> most").select("level", "cx", "cy")
+    found = scratch.kept(found.join(full, ["level", "cx", "cy"], "left_anti"), "open-cells")
+    around = cells.covering(spread.drop("rings", *sides), found).join(boxed.drop("__least", "__most"), "__box")
     dealt = cells.dealt(placed.where("gx IS NOT NULL AND gy IS NOT NULL"), found, key, "x", "y")
     held = dealt.join(around, ["level", "cx", "cy", "share"]).where(near & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
-    one = held.groupBy(key).agg(F.countDistinct(region).alias("n"), F.min(region).alias(region)).where("n = 1").drop("n")
+    # Least and greatest, unlike a distinct count, are taken before the shuffle.
+    one = held.groupBy(key).agg(F.min("__least").alias(region), F.max("__most").alias("__most")).where(F.col(region) == F.col("__most")).drop("__most")
     return points.select(key).join(one, key, "left")
 
 

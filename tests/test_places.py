@@ -76,6 +76,34 @@ def test_located_against_every_pair(spark, hot):
         assert got[k] == (held[0] if len(held) == 1 else None)
 
 
+def test_a_cell_that_two_polygons_hold_is_no_pairs(spark):
+    """Points under many polygons leave their task once each, and results are those of every pair."""
+    rng = random.Random(3)
+    squares = [(i % 70, x, y, w) for i in range(90) for x, y, w in [(rng.random() * 60, rng.random() * 60, 5 + rng.random() * 40)]]
+    squares += [(100 + i, x, y, w) for i, x, y, w in squares[:20]] + squares[20:30]
+    rows = [(i, [[(x, y), (x + w, y), (x + w, y + w), (x, y + w)]]) for i, x, y, w in squares]
+    points = [(k, rng.random() * 110 - 5, rng.random() * 110 - 5) for k in range(3000)] + [(5000 + k, 30.0, 30.0) for k in range(900)]
+    out = joins.located(spark.createDataFrame(points, "k int, x double, y double"), spark.createDataFrame(rows, f"region int, rings {RINGS}"), "k", "region", parts=100)
+    plan = out._jdf.queryExecution().toString()
+    assert "partial_max(__most" in plan and "distinct" not in plan.lower()
+    got = {r.k: r.region for r in out.collect()}
+    for k, x, y in points:
+        held = {i for i, a, b, w in squares if a <= x <= a + w and b <= y <= b + w}
+        assert got[k] == (held.pop() if len(held) == 1 else None)
+
+
+def test_boxes_that_a_polygon_holds(spark):
+    rng = random.Random(4)
+    star = polygon(rng, 50, 50, 40, 9)
+    hole = [(45.0, 45.0), (55.0, 45.0), (50.0, 56.0)]
+    boxes = [(x, y, x + w, y + w) for _ in range(400) for x, y, w in [(rng.random() * 100, rng.random() * 100, 0.5 + rng.random() * 12)]]
+    df = spark.createDataFrame([(*b, [star, hole]) for b in boxes], f"x0 double, y0 double, x1 double, y1 double, rings {RINGS}")
+    got = [r.h for r in df.select(joins.geo.holds_box(F.col("rings"), *(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("h")).collect()]
+    lines = [overlay.sides(np.array(r, float)) for r in (star, hole)]
+    want = [overlay.covered_area(lines[0], None, b) - overlay.covered_area(lines[1], None, b) > (b[2] - b[0]) ** 2 * (1 - 1e-9) for b in boxes]
+    assert got == want and 10 < sum(want) < 300
+
+
 def test_matching_by_automaton_and_by_anchors(spark):
     rng = random.Random(5)
     texts = [(i, "".join(rng.choice("abcä ") for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(500, None), (501, ""), (502, "x" * 5000 + "needle in it")] + [(600 + i, "ab" * 20) for i in range(50)]

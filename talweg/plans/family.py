@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talweg.operators import family
 from talweg.plans import indicators, opportunity, places  # noqa: F401  their queries are the page's parts
 from talweg.plans.base import ORACLES, QUERIES, query, r
+from talweg.sources import scratch
 
 
 def _level(c: str, q: str) -> str:
@@ -26,7 +27,8 @@ SELECT district_id, district_name, round(rate, 4) AS fertility_rate, round(dayca
 UNION ALL SELECT NULL, NULL, NULL, round(s.value, 4), NULL, NULL, NULL, 'partial', s.status, 'partial', 'daycare_coverage_partial' || CASE WHEN fs <> 'observed' THEN ',fafi_component_missing' ELSE '' END, n, round(slope, 6), round(r2, 6) FROM c, s WHERE s.district_id IS NULL""")
 def q18_family_page(t):
     """Nations are districts: births of a year, service coverage as daycare, the index's housing and salaries."""
-    part = lambda name: QUERIES[name](t._spark, t._dir)
+    # A row a district, read by the districts and by the city: each part runs once, in a plan of its own.
+    part = lambda name: scratch.kept(QUERIES[name](t._spark, t._dir), name)
     births = part("q02_fertility_annual").where("y = 1996")
     annual = births.select(F.col("k").alias("district_id"), F.col("rate").alias("fertility_rate"), F.when(F.col("k") != 7, F.col("births")).alias("youth_ratio"), (F.col("coverage") == 1).alias("complete"))
     index = part("q04_opportunity_index").select("district_id", "opportunity_index", "housing", F.col("salary_median_shrunk").alias("salary"))

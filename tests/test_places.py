@@ -228,3 +228,11 @@ def test_overlay_of_many_areas_broadcasts_no_cells(spark):
         lines = overlay.sides(ring)
         box = (*ring.min(0), *ring.max(0))
         assert r.covered == pytest.approx(overlay.covered_area(lines, covers, box), abs=1e-6)
+
+
+def test_the_page_is_a_plan_of_written_parts(spark):
+    """The page's own plan reads its parts, not what is behind them."""
+    from talweg.plans import registry
+
+    plan = registry.queries()["q18_family_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [c for c in ("o_orderkey", "c_custkey", "l_shipdate", "p_partkey") if c in plan]

@@ -1,4 +1,4 @@
-"""A serving snapshot: every item of a release in one write, a manifest of what that write observed, the pointer last.
+"""A serving snapshot: every item of a release, made by itself, in one write, a manifest of what that write observed, the pointer last.
 
 Items are (pk, sk, body): one for each block of the dashboard, one for each
 district, one for each analysis, the manifest after them. Coverage and availability are
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.operators.evidence import public
+from talweg.sources import scratch
 
 # The blocks and analyses that a release has.
 BLOCKS = ["KPIS", "POLICY", "SERVICE_COVERAGE", "ELECTIONS", "POPULATION_TREND", "FERTILITY_TREND", "DISTRICTS"]
@@ -51,12 +52,12 @@ def summaries(districts: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def items(blocks: dict[str, DataFrame], districts: DataFrame, analyses: dict[str, DataFrame], fields: list[str]) -> DataFrame:
-    """Every item but the manifest, with ``present``."""
+    """Every item but the manifest, with ``present``. Each is written first: one plan of all parts would be the driver's to hold."""
     rows = summaries(districts, fields)
     for name, df in blocks.items():
-        rows = rows.unionByName(listed(df, "DASHBOARD", name))
+        rows = rows.unionByName(scratch.kept(listed(df, "DASHBOARD", name), "item"))
     for name, df in analyses.items():
-        rows = rows.unionByName(listed(df, f"ANALYSIS#{name}", "DATA"))
+        rows = rows.unionByName(scratch.kept(listed(df, f"ANALYSIS#{name}", "DATA"), "item"))
     return rows
 
 

@@ -236,3 +236,13 @@ def test_the_page_is_a_plan_of_written_parts(spark):
 
     plan = registry.queries()["q18_family_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [c for c in ("o_orderkey", "c_custkey", "l_shipdate", "p_partkey") if c in plan]
+
+
+def test_items_of_a_release_are_made_one_by_one(spark):
+    """The write of all items reads written ones, not the plans behind them."""
+    from talweg.operators import snapshot
+
+    part = spark.range(3).withColumn("part_of_a_plan", F.col("id") * 2)
+    rows = snapshot.items({"KPIS": part}, spark.createDataFrame([(1, 2.0)], "district_id int, x double"), {"a": part}, ["x"])
+    assert "part_of_a_plan" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.pk, r.rows) for r in rows.collect()} == {("DISTRICT#1", 1), ("DASHBOARD", 3), ("ANALYSIS#a", 3)}

@@ -155,3 +155,46 @@ def test_bands_reject_other_languages_and_keep_clean_text(spark):
 def test_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert Q.judged(Q.common.written(Q.score(docs, Q.fit(docs), ["doc_id"]), "scored")).count() == 0
+
+
+def whole_models(rows, fold):
+    counts = defaultdict(Counter)
+    for _, t, lang, *_ in rows:
+        counts[lang or "", fold[t or "", lang or ""]].update((t or "").split())
+    return {k: plain_model(c)[0] for k, c in counts.items()}
+
+
+def test_rare_n_grams_keep_their_own_probabilities_beside_millions_of_others(spark, tmp_path):
+    # More than 2 ** 21 counts of an order: n-grams seen once or twice are below 2 ** -20 of them.
+    line = "the same old words of the hot document "
+    rows = corpus() + [(9000 + i, line * 700 + str(i), "en", "s", 0) for i in range(120)]
+    assert sum(len(r[1]) for r in rows) > 3 << 20
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    fold = {(r._text, r._lang): r._fold for r in Q.folded(docs, []).collect()}
+    plain = whole_models(rows, fold)
+    got = {r.doc_id: r.log_perplexity for r in Q.op13_quality_perplexity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t, lang, *_ in rows[:360:30]:
+        w = t.split()
+        want = -sum(word_log(plain[lang, 1 - fold[t, lang]], x) for x in w) / sum(len(x) + 1 for x in w)
+        assert abs(got[i] - want) < 1e-6
+
+
+def test_scores_are_the_same_whatever_is_broadcast(spark):
+    rows = corpus()[::3] + [(6000, "einzig allein", "xx", "s", 0), (6001, None, None, "s", 0), (None, "a \U0001f600 b", "en", "s", 0), corpus()[0], (6002, "same text", "yy", "s", 0), (6003, "same text", "yy", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    runs = [sorted(Q.score_whole(docs, ["doc_id"], most=most).collect(), key=key) for most in (Q.MOST, 300, 0)]
+    assert len(runs[0]) == len(rows) and runs[0] == runs[1] == runs[2]
+    # No model of the other fold, or no words.
+    assert [r.log_perplexity for r in runs[0] if r.doc_id in (6000, 6001, 6002, 6003)] == [None] * 4
+    fold = {(r._text, r._lang): r._fold for r in Q.folded(docs, []).collect()}
+    plain = whole_models(rows, fold)
+    texts = {i: (t, lang) for i, t, lang, *_ in rows}
+    for r in runs[0]:
+        t, lang = texts[r.doc_id]
+        if r.log_perplexity is not None:
+            w = t.split()
+            want = -sum(word_log(plain[lang, 1 - fold[t, lang]], x) for x in w) / sum(len(x) + 1 for x in w)
+            assert abs(r.log_perplexity - want) < 1e-6

@@ -5,15 +5,18 @@ successive approximation, DC and AC, first passes and refinements, restarts)
 into coefficient arrays, one block a row. ``to_rgb`` inverse-transforms them in
 numpy, upsamples subsampled components and converts to RGB at full resolution.
 
-Symbols are looked up by the next 16 bits. A scan whose Huffman table has a
-single code has a regular layout (every symbol is the same known value, so every
-field lies at a known bit); such scans are read with numpy at once, all others
-symbol by symbol. ``encode`` writes files of the regular kind, exactly, for
-coefficients whose sizes are all alike; their fields fill whole bytes.
+Huffman tables are those of the file. For a first AC scan numpy looks up, at every
+bit, how far the next symbol would lie if one began there; a walk along these steps
+finds the true symbols, and their values, runs and ends of bands become places of
+coefficients by prefix sums. A refinement is walked symbol by symbol, its correction
+bits are gathered at once. (A scan whose table has a single code has every field at a
+known bit and is read without a walk.) ``encode`` writes any coefficients, with
+tables made for them, two spectral bands and successive approximation.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -28,6 +31,8 @@ ZIGZAG = np.array([
     58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 ])
 NATURAL = np.argsort(ZIGZAG)
+#: Bytes of entropy-coded data (or fields of it) that are looked at together.
+CHUNK = 1 << 16
 #: Inverse transform scaled to whole numbers, so that sums are exact in double precision and equal on every machine.
 SCALE = 1 << 12
 BASIS = np.array([[np.rint(SCALE * (np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16)) for u in range(8)] for x in range(8)])
@@ -73,6 +78,19 @@ class Huffman:
         return out.tolist()
 
 
+    @cached_property
+    def short(self) -> tuple[int, np.ndarray]:
+        """(longest code's bits, for each value of so many bits that may come next what ``look`` has)."""
+        length = np.repeat(np.arange(1, 17), list(self.counts))
+        most = int(length[-1]) if len(length) else 1
+        out = np.full(1 << most, -1, np.int64)
+        known = np.repeat(length << 8 | np.frombuffer(self.symbols, np.uint8, len(length)), 1 << (most - length))
+        if len(known) > len(out):
+            raise ValueError("too many Huffman codes")
+        out[: len(known)] = known
+        return most, out
+
+
 class Bits:
     """Bits of a run of entropy-coded bytes, the stuffed zeros gone; ones follow the end."""
 
@@ -164,61 +182,160 @@ def _regular(part: Component, start: int, end: int, high: int, low: int, table:
     return False
 
 
-def _ac_first(block: np.ndarray, start: int, end: int, low: int, bits: Bits, table: Huffman, skip: int) -> int:
-    if skip:
-        return skip - 1
-    k = start
-    while k <= end:
-        symbol = bits.symbol(table)
-        run, size = symbol >> 4, symbol & 15
-        if size:
-            k += run
-            block[k] = bits.signed(size) * (1 << low)
-            k += 1
-        elif run == 15:
-            k += 16
-        else:
-            return (1 << run) + bits.bits(run) - 1
-    return 0
+def _peek(raw: np.ndarray, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+    """The numbers in ``width`` (16 at most) bits from each bit ``at``."""
+    byte = at >> 3
+    four = raw[byte].astype(np.int64) << 24 | raw[byte + 1].astype(np.int64) << 16 | raw[byte + 2].astype(np.int64) << 8 | raw[byte + 3]
+    return four >> (32 - (at & 7) - width) & ((1 << np.asarray(width, np.int64)) - 1)
 
 
-def _ac_refine(block: np.ndarray, start: int, end: int, low: int, bits: Bits, table: Huffman, skip: int) -> int:
-    def correct(k: int) -> None:
-        if bits.bit():
-            block[k] += (1 << low) if block[k] > 0 else -(1 << low)
+@dataclass
+class First:
+    """The first pass of a band (blocks x coefficients)."""
+
+    band: np.ndarray
+    low: int
+    data: bytes
+    table: Huffman
+
+
+def _symbols(raw: np.ndarray, start: list[int], size: list[int], which: np.ndarray, look: np.ndarray, most: int) -> list[list[int]]:
+    """The bits at which each run's symbols begin; ``which`` is the row of ``look`` for each byte of ``raw``."""
+    run, extra = look >> 4 & 15, look & 15
+    step = np.where(look < 0, 255, (look >> 8) + np.where(extra > 0, extra, np.where(run < 15, run, 0))).astype(np.uint8)
+    shift, steps = np.arange(24 - most, 16 - most, -1, dtype=np.uint32), []
+    for a in range(0, len(raw) - 2, CHUNK):
+        x = raw[a : a + CHUNK + 2].astype(np.uint32)
+        window = (x[:-2] << 16 | x[1:-1] << 8 | x[2:])[:, None] >> shift & ((1 << most) - 1)
+        steps.append(step.reshape(-1)[window | which[a : a + len(window), None] << most].tobytes())
+    steps = b"".join(steps)
+    out = []
+    for a, n in zip(start, size):
+        own, at, end = [], 8 * a, 8 * (a + n)
+        add = own.append
+        while at < end:
+            add(at)
+            at += steps[at]
+        out.append(own)
+    return out
 
-    k = start
-    if not skip:
-        while k <= end:
-            symbol = bits.symbol(table)
-            run, size, new = symbol >> 4, symbol & 15, 0
+
+def _first_passes(jobs: list[First]) -> None:
+    """Read first passes, of any number of files, together."""
+    tables = list({id(j.table): j.table for j in jobs}.values())
+    row = {id(t): k for k, t in enumerate(tables)}
+    most = max(t.short[0] for t in tables)
+    look = np.stack([np.repeat(t.short[1], 1 << (most - t.short[0])) for t in tables])
+    pad = b"\xff" * 64
+    raw = np.frombuffer(b"".join([x for j in jobs for x in (j.data, pad)]), np.uint8)
+    size = [len(j.data) for j in jobs]
+    own = np.array([row[id(j.table)] for j in jobs])
+    start = (np.cumsum(size) - size + len(pad) * np.arange(len(jobs))).tolist()
+    symbols = _symbols(raw, start, size, np.repeat(own, np.array(size) + len(pad)).astype(np.uint32), look, most)
+    count = np.array(list(map(len, symbols)))
+    if not count.all():
+        raise ValueError("entropy-coded data end too early")
+    at = np.concatenate([np.array(x, np.int64) for x in symbols])
+    job = np.repeat(np.arange(len(jobs)), count)
+    begin = np.cumsum(count) - count
+    spans, sizes = np.array([j.band.shape[1] for j in jobs]), np.array([j.band.size for j in jobs])
+    span, limit = spans[job], sizes[job]
+    got = look[own[job], _peek(raw, at, most)]
+    run, extra = got >> 4 & 15, got & 15
+    width = np.where(got < 0, 0, np.where(extra > 0, extra, np.where(run < 15, run, 0)))
+    value = _peek(raw, at + np.where(got < 0, 0, got >> 8), width)
+    ends = (extra == 0) & (run < 15)
+    step = np.where(extra > 0, run + 1, np.where(ends, 0, 16))
+    upto, part = np.cumsum(step), np.cumsum(ends) - ends
+    # An end of band closes the block it is met in, and more if it says so; each starts at a whole block again.
+    last = np.flatnonzero(ends)
+    since = np.where(part > part[begin][job], np.concatenate([[0], upto[last]])[part], (upto - step)[begin][job])
+    closed = np.concatenate([[0], np.cumsum((upto[last] - since[last]) // span[last] + (1 << run[last]) + value[last])])
+    after = (closed[part] - closed[part[begin]][job]) * span + upto - since
+    before = after - step
+    final = begin + count - 1
+    if (np.where(ends[final], (closed[part[final] + ends[final]] - closed[part[begin]]) * spans, after[final]) < sizes).any():
+        raise ValueError("entropy-coded data end too early")
+    real = before < limit
+    if (got[real] < 0).any():
+        raise ValueError("no such Huffman code")
+    coded = np.flatnonzero(real & (extra > 0))
+    place, value, extra = after[coded] - 1, value[coded], extra[coded]
+    if (place // span[coded] != before[coded] // span[coded]).any():
+        raise ValueError("a run beyond its block")
+    offset = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.int32)
+    flat[place + offset[job[coded]]] = np.where(value >> (extra - 1), value, value - (1 << extra) + 1)
+    for j, a, n in zip(jobs, offset.tolist(), sizes.tolist()):
+        j.band[...] = flat[a : a + n].reshape(j.band.shape) * (1 << j.low)
+
+
+def _ac_refine(band: np.ndarray, low: int, data: bytes, table: Huffman) -> None:
+    """Read a refinement of a band: symbols one by one, correction bits at once."""
+    n, span = band.shape
+    flat = band.reshape(-1)
+    known = flat != 0
+    ahead, zeros = np.concatenate([[0], np.cumsum(known)]), np.flatnonzero(~known)
+    most, look = table.short
+    bits, look = Bits(data), look.tolist()
+    new, value, start, count = [], [], [], []
+    k = 0
+    while k < n * span:
+        if bits.at > bits.end:
+            raise ValueError("entropy-coded data end too early")
+        at = bits.at
+        got = look[bits.bits(most)]
+        if got < 0:
+            raise ValueError("no such Huffman code")
+        bits.at = at + (got >> 8)
+        run, size = got >> 4 & 15, got & 15
+        if not size and run < 15:
+            to = min(k // span + (1 << run) + bits.bits(run), n) * span
+        else:
             if size:
-                new = (1 << low) if bits.bit() else -(1 << low)
-            elif run < 15:
-                skip = (1 << run) + bits.bits(run)
-                break
-            while k <= end:
-                if block[k]:
-                    correct(k)
-                elif run == 0:
-                    if new:
-                        block[k] = new
-                    k += 1
-                    break
-                else:
-                    run -= 1
-                k += 1
-    if skip:
-        while k <= end:
-            if block[k]:
-                correct(k)
-            k += 1
-        return skip - 1
-    return 0
+                value.append((1 if bits.bit() else -1) * (1 << low))
+            to = int(zeros[k - int(ahead[k]) + run])
+            if to // span != k // span:
+                raise ValueError("a run beyond its block")
+            if size:
+                new.append(to)
+            to += 1
+        start.append(bits.at)
+        count.append(int(ahead[to] - ahead[k]))
+        bits.at += count[-1]
+        k = to
+    if bits.at > bits.end:
+        raise ValueError("entropy-coded data end too early")
+    each = np.array(count, np.int64)
+    at = np.repeat(np.array(start, np.int64) - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    one = np.frombuffer(bits.raw, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    place = np.flatnonzero(known)
+    flat[place] += np.sign(flat[place]) * (one.astype(np.int32) << low)
+    flat[new] = value
+
+
+def _band(part: Component, start: int, end: int) -> np.ndarray:
+    """A copy of a component's coefficients in the order of scans of it alone (blocks x coefficients)."""
+    return part.blocks.reshape(part.high, part.wide, 64)[: part.down, : part.across, start : end + 1].reshape(-1, end - start + 1).copy()
+
+
+def _set_band(part: Component, start: int, end: int, band: np.ndarray) -> None:
+    part.blocks.reshape(part.high, part.wide, 64)[: part.down, : part.across, start : end + 1] = band.reshape(part.down, part.across, -1)
 
 
 def _scan(parts: list[tuple[Component, Huffman | None, Huffman | None]], across: int, down: int, start: int, end: int, high: int, low: int, interval: int, runs: list[bytes]) -> None:
-    if start and len(runs) == 1 and parts[0][2].only and _regular(parts[0][0], start, end, high, low, parts[0][2], runs[0]):
+    if start:
+        part, _, table = parts[0]
+        if not (len(runs) == 1 and table.only and _regular(part, start, end, high, low, table, runs[0])):
+            per = interval or part.across * part.down
+            band = _band(part, start, end)
+            for r, raw in enumerate(runs):
+                own = band[r * per : (r + 1) * per]
+                if high:
+                    _ac_refine(own, low, raw, table)
+                else:
+                    _first_passes([First(own, low, raw.replace(b"\xff\x00", b"\xff"), table)])
+            _set_band(part, start, end, band)
         return
     alone = len(parts) == 1
     n = parts[0][0].across * parts[0][0].down if alone else across * down
@@ -237,10 +354,10 @@ def _scan(parts: list[tuple[Component, Huffman | None, Huffman | None]], across:
         return
     per = interval or n
     for r, raw in enumerate(runs):
-        bits, skip = Bits(raw), 0
+        bits = Bits(raw)
         last = {p.key: 0 for p, _, _ in parts}
         for m in range(r * per, min(n, (r + 1) * per)):
-            for p, dc, ac in parts:
+            for p, dc, _ in parts:
                 if alone:
                     places = [m // p.across * p.wide + m % p.across]
                 else:
@@ -248,20 +365,41 @@ def _scan(parts: list[tuple[Component, Huffman | None, Huffman | None]], across:
                     places = [(y * p.v + j) * p.wide + x * p.h + i for j in range(p.v) for i in range(p.h)]
                 for place in places:
                     block = p.blocks[place]
-                    if start == 0:
-                        if high:
-                            block[0] |= bits.bit() << low
-                        else:
-                            last[p.key] += bits.signed(bits.symbol(dc))
-                            block[0] = last[p.key] << low
-                    elif high:
-                        skip = _ac_refine(block, start, end, low, bits, ac, skip)
+                    if high:
+                        block[0] |= bits.bit() << low
                     else:
-                        skip = _ac_first(block, start, end, low, bits, ac, skip)
+                        last[p.key] += bits.signed(bits.symbol(dc))
+                        block[0] = last[p.key] << low
 
 
 def decode(data: bytes) -> Image:
     """All coefficients of a progressive JPEG file; raises ValueError for another kind of file."""
+    return decode_many([data])[0]
+
+
+def decode_many(files: list[bytes]) -> list[Image]:
+    """``decode`` of each file; the first AC passes of all files without restarts are read together."""
+    parsed = [_parsed(data) for data in files]
+    first = []
+    for _, scans in parsed:
+        # The first passes of a file's bands don't depend on each other.
+        for parts, _, _, start, end, high, low, _, runs in scans:
+            if start and not high and len(runs) == 1 and not parts[0][2].only:
+                part, _, table = parts[0]
+                first.append((part, start, end, First(_band(part, start, end), low, runs[0].replace(b"\xff\x00", b"\xff"), table)))
+    if first:
+        _first_passes([f[3] for f in first])
+    for part, start, end, job in first:
+        _set_band(part, start, end, job.band)
+    for _, scans in parsed:
+        for scan in scans:
+            if not (scan[3] and not scan[5] and len(scan[8]) == 1 and not scan[0][0][2].only):
+                _scan(*scan)
+    return [image for image, _ in parsed]
+
+
+def _parsed(data: bytes) -> tuple[Image, list[tuple]]:
+    """A file's frame and tables, and what ``_scan`` takes for each of its scans."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, interval, comment = 2, 0, b""
@@ -269,6 +407,7 @@ def decode(data: bytes) -> Image:
     dc: dict[int, Huffman] = {}
     ac: dict[int, Huffman] = {}
     image: Image | None = None
+    scans: list[tuple] = []
     across = down = 0
     while True:
         while data[at] == 0xFF and data[at + 1] == 0xFF:
@@ -311,11 +450,13 @@ def decode(data: bytes) -> Image:
             n = body[0]
             parts = [(next(p for p in image.components if p.key == body[1 + 2 * k]), dc.get(body[2 + 2 * k] >> 4), ac.get(body[2 + 2 * k] & 15)) for k in range(n)]
             start, end, approx = body[1 + 2 * n : 4 + 2 * n]
+            if any((ac_ if start else dc_ or approx >> 4) is None for _, dc_, ac_ in parts):
+                raise ValueError("a scan without its Huffman table")
             runs, at = _runs(data, at)
-            _scan(parts, across, down, start, end, approx >> 4, approx & 15, interval, runs)
+            scans.append((parts, across, down, start, end, approx >> 4, approx & 15, interval, runs))
     if image is None:
         raise ValueError("a file without a frame")
-    return image
+    return image, scans
 
 
 def samples(image: Image, part: Component) -> np.ndarray:
@@ -353,33 +494,135 @@ def _entropy(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
-def encode(planes: list[np.ndarray], width: int, height: int, sampling: list[tuple[int, int]], split: int = 5, comment: bytes = b"") -> bytes:
-    """A progressive file of regular scans, quantised by 1.
+def huffman(times: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(segment body without its class, code and length of each symbol) of an optimal table; no code is all ones."""
+    used = np.flatnonzero(times).tolist()
+    weight = {k: int(times[k]) for k in used}
+    while True:
+        length = dict.fromkeys([*used, 256], 0)
+        heap = [(0, 256, [256]), *((weight[k], k, [k]) for k in used)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            for k in a[2] + b[2]:
+                length[k] += 1
+            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        if max(length.values()) <= 16:
+            break
+        weight = {k: (w + 1) // 2 for k, w in weight.items()}
+    code, codes, lengths, last = 0, np.zeros(256, np.int64), np.zeros(256, np.int64), 0
+    order = sorted(used, key=lambda k: (length[k], k))
+    for k in order:
+        code <<= length[k] - last
+        codes[k], lengths[k], last = code, length[k], length[k]
+        code += 1
+    return bytes(np.bincount(lengths[order], minlength=17)[1:].astype(np.uint8)) + bytes(order), codes, lengths
 
-    ``planes``: each component's blocks in rows of whole MCUs (rows, blocks
-    across, 64), zigzag order, DC 0, every AC coefficient of either sign and of
-    exactly eight bits (128 to 255). Scans: DC and its refinement; then for each
-    component two spectral bands (1 to ``split``, the rest) without their last
-    bit, and one refinement that brings it.
+
+@dataclass
+class Tokens:
+    """Symbols of passes, in order, with their extra bits; correction bits and the symbols that they follow."""
+
+    symbol: np.ndarray
+    more: np.ndarray
+    width: np.ndarray
+    job: np.ndarray  # the pass of each symbol
+    fix: np.ndarray
+    follows: np.ndarray
+
+
+def _tokens(passes: list[tuple[np.ndarray, bool, int]]) -> Tokens:
+    """The symbols of passes (band of blocks x coefficients, whether it is a refinement, low bit)."""
+    count, spans = np.array([b.shape[0] for b, _, _ in passes]), np.array([b.shape[1] for b, _, _ in passes])
+    length = count * spans
+    flat = np.concatenate([b.reshape(-1) for b, _, _ in passes]).astype(np.int64)
+    refine, low = (np.repeat(np.array([p[k] for p in passes]), length) for k in (1, 2))
+    size_of = np.abs(flat) >> low
+    coded, known = np.where(refine, size_of == 1, size_of > 0), refine & (size_of > 1)
+    span = np.repeat(spans, count)
+    edge = np.concatenate([[0], np.cumsum(span)])
+    place, block_of = np.flatnonzero(coded), np.repeat(np.arange(len(span)), span)
+    zero = ~coded & ~known
+    zeros, upto = np.flatnonzero(zero), np.cumsum(zero) - zero
+    block = block_of[place]
+    before = edge[block]
+    alike = np.flatnonzero(block[1:] == block[:-1]) + 1
+    before[alike] = place[alike - 1]
+    base = upto[before]
+    run = upto[place] - base
+    long = run >> 4
+    nth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+    skips = zeros[np.repeat(base, long) + 16 * nth + 15]
+    size = np.frexp(size_of[place].astype(float))[1].astype(np.int64)
+    extra = np.where(flat[place] > 0, size_of[place], (1 << size) - 1 - size_of[place])
+    # Ends of bands: a block's, and those of the blocks after it that hold nothing new.
+    last = np.full(len(span), -1)
+    last[block] = place - edge[block]
+    ends = last < span - 1
+    begins = ends & ~((last < 0) & np.concatenate([[False], ends[:-1]]))
+    begins[np.cumsum(count) - count] |= ends[np.cumsum(count) - count]
+    since = np.maximum.accumulate(np.where(begins, np.arange(len(span)), 0))
+    begins |= ends & ((np.arange(len(span)) - since) % 32767 == 0)
+    begin = np.flatnonzero(begins)
+    times = np.add.reduceat(ends.astype(np.int64), begin) if len(begin) else begin
+    grade = np.frexp(times.astype(float))[1].astype(np.int64) - 1
+    until = np.concatenate([place, skips, edge[begin + times] - 1])
+    by = np.argsort(until)
+    none, until = np.zeros(len(skips), np.int64), until[by]
+    symbol = np.concatenate([(run & 15) << 4 | size, none + 0xF0, grade << 4])[by]
+    more = np.concatenate([extra, none, times - (1 << grade)])[by]
+    width = np.concatenate([size, none, grade])[by]
+    fix = np.flatnonzero(known)
+    return Tokens(symbol, more, width, np.searchsorted(np.cumsum(length), until, "right"), size_of[fix] & 1, np.searchsorted(until, fix))
+
+
+def _coded(t: Tokens, code: np.ndarray, length: np.ndarray, passes: int) -> list[bytes]:
+    """The entropy-coded bytes of each pass, from the code of each symbol."""
+    n, of = len(t.symbol), t.job[t.follows]
+    fixes, symbols = np.bincount(of, minlength=passes), np.bincount(t.job, minlength=passes)
+    pad = -(np.bincount(t.job, weights=length + t.width, minlength=passes).astype(np.int64) + fixes) % 8
+    value, size = np.zeros(n + len(of) + passes, np.int64), np.ones(n + len(of) + passes, np.int64)
+    at = np.arange(n) + np.searchsorted(t.follows, np.arange(n)) + t.job
+    value[at], size[at] = code << t.width | t.more, length + t.width
+    value[t.follows + 1 + np.arange(len(of)) + of] = t.fix
+    end = np.cumsum(symbols + fixes + 1) - 1
+    value[end], size[end] = (1 << pad) - 1, pad
+    bits = []
+    for a in range(0, len(value), CHUNK):
+        v, w = value[a : a + CHUNK], size[a : a + CHUNK]
+        left = np.repeat(np.cumsum(w), w) - 1 - np.arange(int(w.sum()))
+        bits.append((np.repeat(v, w) >> left & 1).astype(np.uint8))
+    data = np.packbits(np.concatenate(bits)).tobytes()
+    to = (np.cumsum(size)[end] // 8).tolist()
+    return [data[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip([0, *to], to)]
+
+
+def encode_many(images: list[tuple[list[np.ndarray], int, int, bytes]], sampling: list[tuple[int, int]], split: int = 5) -> list[bytes]:
+    """A progressive file, quantised by 1, of each image (planes, width, height, comment).
+
+    Planes: each component's blocks in rows of whole MCUs (rows, blocks
+    across, 64), zigzag order, DC 0, every AC coefficient below 1024. Scans: DC and its
+    refinement; of the first component two spectral bands (1 to ``split``, the rest)
+    without their last bit, and one refinement that brings it; of each other one band.
+    A file's first passes share one optimal Huffman table, the refinement has its own.
     """
-    dc, first, refine = (bytes([1] + [0] * 15) + bytes([s]) for s in (0, 7, 0))
-    out = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, b"\0" + b"\1" * 64)]
-    frame = struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling))
-    out += [_segment(0xC2, frame), _segment(0xC4, b"\x00" + dc + b"\x10" + first + b"\x11" + refine)]
-    n = sum(p.shape[0] * p.shape[1] for p in planes)
-    scan = lambda keys, table, a, b, approx, data: out.extend([_segment(0xDA, bytes([len(keys), *(x for k in keys for x in (k + 1, table)), a, b, approx])), data])
-    everything = range(len(planes))
-    zeros = _entropy(np.zeros(n, np.uint8))
-    scan(everything, 0, 0, 0, 0x01, zeros)
-    scan(everything, 0, 0, 0, 0x10, zeros)
-    for k, plane in enumerate(planes):
-        blocks = plane.reshape(-1, 64)
-        half = (np.abs(blocks) >> 1).astype(np.uint8)
-        # The code is a zero bit; seven bits of the value follow, turned over where it is negative.
-        half = np.where(blocks < 0, 127 - half, half)
-        for a, b in ((1, split), (split + 1, 63)):
-            scan([k], 0, a, b, 0x01, np.ascontiguousarray(half[:, a : b + 1]).tobytes())
-        bits = (np.abs(blocks) & 1).astype(np.uint8)
-        bits[:, 0] = 0
-        scan([k], 1, 1, 63, 0x10, _entropy(bits))
-    return b"".join([*out, b"\xff\xd9"])
+    passes = [(0, 1, split, 0, 1), (0, split + 1, 63, 0, 1), *((k, 1, 63, 0, 0) for k in range(1, len(sampling))), (0, 1, 63, 1, 0)]
+    t = _tokens([(planes[k].reshape(-1, 64)[:, a : b + 1], bool(high), low) for planes, *_ in images for k, a, b, high, low in passes])
+    which = t.job // len(passes) * 2 + (t.job % len(passes) == len(passes) - 1)
+    tables = [huffman(x) for x in np.bincount(which << 8 | t.symbol, minlength=512 * len(images)).reshape(-1, 256)]
+    code, length = (np.stack([x[k] for x in tables])[which, t.symbol] for k in (1, 2))
+    coded = iter(_coded(t, code, length, len(passes) * len(images)))
+    dc = bytes([1] + [0] * 15) + b"\0"
+    files = []
+    for f, (planes, width, height, comment) in enumerate(images):
+        out = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, b"\0" + b"\1" * 64)]
+        frame = struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling))
+        out += [_segment(0xC2, frame), _segment(0xC4, b"\x00" + dc + b"\x10" + tables[2 * f][0] + b"\x11" + tables[2 * f + 1][0])]
+        scan = lambda keys, table, a, b, approx, data: out.extend([_segment(0xDA, bytes([len(keys), *(x for k in keys for x in (k + 1, table)), a, b, approx])), data])  # noqa: B023,E731
+        zeros = _entropy(np.zeros(sum(p.shape[0] * p.shape[1] for p in planes), np.uint8))
+        scan(range(len(planes)), 0, 0, 0, 0x01, zeros)
+        scan(range(len(planes)), 0, 0, 0, 0x10, zeros)
+        for k, a, b, high, low in passes:
+            scan([k], high, a, b, high << 4 | low, next(coded))
+        files.append(b"".join([*out, b"\xff\xd9"]))
+    return files

@@ -206,3 +206,53 @@ def test_tensors_of_a_media_column(spark):
     rgb = jpeg.to_rgb(jpeg.decode(good))
     assert (got[1].height, got[1].width) == rgb.shape[:2] and bytes(got[1].rgb) == rgb.tobytes()
     assert got[2].rgb is None and got[3].rgb is None and got[4].rgb is None
+
+
+def ac_tables(data):
+    """Symbols in each AC Huffman table of a file with one DHT segment."""
+    at = data.index(b"\xff\xc4")
+    (size,) = struct.unpack_from(">H", data, at + 2)
+    body, out = data[at + 4 : at + 2 + size], []
+    while body:
+        n = sum(body[1:17])
+        out += [n] * (body[0] >> 4)
+        body = body[17 + n :]
+    return out
+
+
+def test_stored_files_have_huffman_tables_of_their_own_and_the_query_reads_them_generally(spark, tmp_path, monkeypatch):
+    text = "Real tables: über 20 symbols, \x7f\x01\x02 Ünïcödé 日本語 сообщение. " * 30
+    data = M.pack(M.payload(text.encode()))
+    assert min(ac_tables(data)) > 1 and max(ac_tables(data)) > 8
+    monkeypatch.setattr(jpeg, "_regular", lambda *a: False)
+    image = jpeg.decode(data)
+    assert M.unpack(image) == M.payload(text.encode())
+    # The tensor column is the decoded file, and the feature is the tensor's.
+    texts = [text, "", None, "y" * 577, text]
+    got = {r.doc_id: r for r in M.op10_media_jpeg(spark, write(spark, docs(texts), DOCS, tmp_path, "documents")).collect()}
+    for i, t in enumerate(texts):
+        rgb = jpeg.to_rgb(jpeg.decode(M.pack(M.payload((t or "").encode()))))
+        assert (got[i].height, got[i].width) == rgb.shape[:2] and bytes(got[i].rgb) == rgb.tobytes() and got[i].feature == M.feature(rgb)
+
+
+def test_any_coefficients_come_back_one_file_or_many():
+    rng = np.random.default_rng(3)
+    images, sampling = [], [(2, 2), (1, 1), (1, 1)]
+    for across, down, dense, most in ((1, 1, 0.0, 1), (3, 2, 0.02, 1), (4, 3, 0.3, 3), (2, 5, 1.0, 1023), (5, 1, 0.1, 40), (100, 90, 0.0, 1), (96, 90, 0.0005, 2)):
+        planes = []
+        for h, v in sampling:
+            c = rng.integers(-most, most + 1, (down * v, across * h, 64)) * (rng.random((down * v, across * h, 64)) < dense)
+            c[..., 0] = 0
+            planes.append(c)
+        images.append((planes, 16 * across, 16 * down, b""))
+    files = jpeg.encode_many(images, sampling)
+    assert files == [jpeg.encode_many([image], sampling)[0] for image in images]
+    for (planes, *_), image in zip(images, jpeg.decode_many(files)):
+        assert all((p.blocks.reshape(c.shape) == c).all() for p, c in zip(image.components, planes))
+    # What is cut short is an error, not fewer coefficients.
+    for file in files[1:5]:
+        for scan in [k for k in range(len(file) - 1) if file[k : k + 2] == b"\xff\xda"][2:]:
+            nxt = file.find(b"\xff\xda", scan + 2)
+            nxt = len(file) - 2 if nxt < 0 else nxt
+            with pytest.raises((ValueError, IndexError)):
+                jpeg.decode(file[: scan + 10] + file[nxt:])

@@ -32,7 +32,7 @@ ZIGZAG = np.array([
 ])
 NATURAL = np.argsort(ZIGZAG)
 #: Bytes of entropy-coded data (or fields of it) that are looked at together.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 #: Inverse transform scaled to whole numbers, so that sums are exact in double precision and equal on every machine.
 SCALE = 1 << 12
 BASIS = np.array([[np.rint(SCALE * (np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16)) for u in range(8)] for x in range(8)])

@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from talweg.llm import common, jpeg, tokens
 
-#: Bytes of texts or files that are coded together, but one at least.
-TOGETHER = 1 << 17
+#: Bytes of texts or files that are coded together (one at least): few enough for the arrays to stay in a processor's cache.
+TOGETHER = 1 << 14
 #: Payloads are filled up with bytes 255 to a multiple of this.
 UNIT = 576
 #: MCUs in a row of the image, where it has enough; coefficients a block that carry a byte.

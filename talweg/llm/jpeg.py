@@ -9,15 +9,17 @@ Huffman tables are those of the file. For a first AC scan numpy looks up, at eve
 bit, how far the next symbol would lie if one began there; a walk along these steps
 finds the true symbols, and their values, runs and ends of bands become places of
 coefficients by prefix sums. A refinement is walked symbol by symbol, its correction
-bits are gathered at once. (A scan whose table has a single code has every field at a
-known bit and is read without a walk.) ``encode`` writes any coefficients, with
-tables made for them, two spectral bands and successive approximation.
+bits are gathered at once. Scans of many files are read together. (A scan whose table
+has a single code has every field at a known bit and is read without a walk.) ``encode_many``
+writes any coefficients, with tables made for them, two spectral bands and successive approximation.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -33,9 +35,13 @@ ZIGZAG = np.array([
 NATURAL = np.argsort(ZIGZAG)
 #: Bytes of entropy-coded data (or fields of it) that are looked at together.
 CHUNK = 1 << 13
+#: Bits of each coefficient's size.
+SIZE = np.frexp(np.arange(1024.0))[1].astype(np.uint8)
 #: Inverse transform scaled to whole numbers, so that sums are exact in double precision and equal on every machine.
 SCALE = 1 << 12
 BASIS = np.array([[np.rint(SCALE * (np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16)) for u in range(8)] for x in range(8)])
+#: From a block's coefficients (zigzag order) to its samples.
+INVERSE = np.kron(BASIS, BASIS).T[ZIGZAG] / (SCALE * SCALE)
 
 
 @dataclass
@@ -182,45 +188,52 @@ def _regular(part: Component, start: int, end: int, high: int, low: int, table:
     return False
 
 
-def _peek(raw: np.ndarray, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
-    """The numbers in ``width`` (16 at most) bits from each bit ``at``."""
-    byte = at >> 3
-    four = raw[byte].astype(np.int64) << 24 | raw[byte + 1].astype(np.int64) << 16 | raw[byte + 2].astype(np.int64) << 8 | raw[byte + 3]
-    return four >> (32 - (at & 7) - width) & ((1 << np.asarray(width, np.int64)) - 1)
-
-
 @dataclass
-class First:
-    """The first pass of a band (blocks x coefficients)."""
+class Pass:
+    """A run of a scan of one band (blocks x coefficients) and the array that it is read into."""
 
     band: np.ndarray
     low: int
-    data: bytes
+    data: bytes  # without stuffed zeros
     table: Huffman
 
 
-def _symbols(raw: np.ndarray, start: list[int], size: list[int], which: np.ndarray, look: np.ndarray, most: int) -> list[list[int]]:
-    """The bits at which each run's symbols begin; ``which`` is the row of ``look`` for each byte of ``raw``."""
+def _symbols(raw: np.ndarray, start: list[int], size: list[int], which: np.ndarray, look: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the bits at which symbols begin, run after run; how many each run has); ``which`` is the row of ``look`` for each byte of ``raw``."""
     run, extra = look >> 4 & 15, look & 15
-    step = np.where(look < 0, 255, (look >> 8) + np.where(extra > 0, extra, np.where(run < 15, run, 0))).astype(np.uint8)
-    shift, steps = np.arange(24 - most, 16 - most, -1, dtype=np.uint32), []
-    for a in range(0, len(raw) - 2, CHUNK):
-        x = raw[a : a + CHUNK + 2].astype(np.uint32)
-        window = (x[:-2] << 16 | x[1:-1] << 8 | x[2:])[:, None] >> shift & ((1 << most) - 1)
-        steps.append(step.reshape(-1)[window | which[a : a + len(window), None] << most].tobytes())
-    steps = b"".join(steps)
-    out = []
+    step = np.where(look < 0, 255, (look >> 8) + np.where(extra > 0, extra, np.where(run < 15, run, 0))).astype(np.uint8).reshape(-1)
+    steps = np.empty((len(raw) - 2, 8), np.uint8)
+    for a in range(0, len(steps), CHUNK):
+        x, base = raw[a : a + CHUNK + 2].astype(np.int64), which[a : a + CHUNK][: len(steps) - a] << most
+        x = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        for k in range(8):
+            window = x >> 24 - most - k
+            window &= (1 << most) - 1
+            window |= base
+            steps[a : a + CHUNK, k] = step.take(window)
+    steps = steps.tobytes()
+    own, count, jump = bytearray(), [], []
+    add, at = own.append, 0
     for a, n in zip(start, size):
-        own, at, end = [], 8 * a, 8 * (a + n)
-        add = own.append
+        end = 8 * (a + n)
+        jump.append(8 * a - at)
+        count.append(len(own))
+        at = 8 * a
         while at < end:
-            add(at)
-            at += steps[at]
-        out.append(own)
-    return out
+            n = steps[at]
+            add(n)
+            at += n
+    begin, taken = np.array(count), np.frombuffer(own, np.uint8)
+    count = np.diff(begin, append=len(own))
+    if not count.all():
+        raise ValueError("entropy-coded data end too early")
+    step = np.zeros(len(own), np.int64)
+    step[1:] = taken[:-1]
+    step[begin] += jump
+    return np.cumsum(step, out=step), count
 
 
-def _first_passes(jobs: list[First]) -> None:
+def _first_passes(jobs: list[Pass]) -> None:
     """Read first passes, of any number of files, together."""
     tables = list({id(j.table): j.table for j in jobs}.values())
     row = {id(t): k for k, t in enumerate(tables)}
@@ -231,96 +244,137 @@ def _first_passes(jobs: list[First]) -> None:
     size = [len(j.data) for j in jobs]
     own = np.array([row[id(j.table)] for j in jobs])
     start = (np.cumsum(size) - size + len(pad) * np.arange(len(jobs))).tolist()
-    symbols = _symbols(raw, start, size, np.repeat(own, np.array(size) + len(pad)).astype(np.uint32), look, most)
-    count = np.array(list(map(len, symbols)))
-    if not count.all():
-        raise ValueError("entropy-coded data end too early")
-    at = np.concatenate([np.array(x, np.int64) for x in symbols])
-    job = np.repeat(np.arange(len(jobs)), count)
-    begin = np.cumsum(count) - count
-    spans, sizes = np.array([j.band.shape[1] for j in jobs]), np.array([j.band.size for j in jobs])
-    span, limit = spans[job], sizes[job]
-    got = look[own[job], _peek(raw, at, most)]
-    run, extra = got >> 4 & 15, got & 15
-    width = np.where(got < 0, 0, np.where(extra > 0, extra, np.where(run < 15, run, 0)))
-    value = _peek(raw, at + np.where(got < 0, 0, got >> 8), width)
-    ends = (extra == 0) & (run < 15)
-    step = np.where(extra > 0, run + 1, np.where(ends, 0, 16))
-    upto, part = np.cumsum(step), np.cumsum(ends) - ends
-    # An end of band closes the block it is met in, and more if it says so; each starts at a whole block again.
+    at, count = _symbols(raw, start, size, np.repeat(own, np.array(size) + len(pad)), look, most)
+    begin, final = np.cumsum(count) - count, np.cumsum(count) - 1
+    # Bits from each symbol on, 57 at least.
+    x = raw.astype(np.uint64)
+    x = x[:-1] << 8 | x[1:]
+    x = x[:-2] << 16 | x[2:]
+    x = x[:-4] << 32 | x[4:]
+    bits = x[at >> 3] << (at & 7).view(np.uint64)
+    got = look.reshape(-1)[(bits >> (64 - most)).view(np.int64) + np.repeat(own << most, count)]
+    wrong = got < 0
+    symbol = got & 255
+    run, extra = symbol >> 4, symbol & 15
+    ends = symbol < 0xF0
+    ends &= extra == 0
+    if bad := wrong.any():
+        run[wrong], extra[wrong], ends[wrong] = 15, 0, False
     last = np.flatnonzero(ends)
-    since = np.where(part > part[begin][job], np.concatenate([[0], upto[last]])[part], (upto - step)[begin][job])
-    closed = np.concatenate([[0], np.cumsum((upto[last] - since[last]) // span[last] + (1 << run[last]) + value[last])])
-    after = (closed[part] - closed[part[begin]][job]) * span + upto - since
-    before = after - step
-    final = begin + count - 1
-    if (np.where(ends[final], (closed[part[final] + ends[final]] - closed[part[begin]]) * spans, after[final]) < sizes).any():
+    bits <<= (got >> 8).view(np.uint64)
+    # How many coefficients a symbol passes: a run and one, or sixteen; an end of band those that are left in the block it is met in,
+    # and as many blocks more as it says.
+    step = run + 1
+    step[last] = 0
+    spans, sizes = np.array([j.band.shape[1] for j in jobs]), np.array([j.band.size for j in jobs])
+    offset = np.cumsum(sizes) - sizes
+    upto = np.cumsum(step)
+    of = np.searchsorted(final, last)
+    fresh, behind = np.diff(of, prepend=-1) > 0, upto[last]
+    ahead = behind - np.where(fresh, (upto[begin] - step[begin])[of], np.concatenate([[0], behind])[:-1])
+    more = (bits[last] >> (64 - run[last]).view(np.uint64)).view(np.int64)
+    closed = np.cumsum(ahead // spans[of] + (1 << run[last]) + more)
+    into = np.concatenate([[0], closed])[np.searchsorted(of, np.arange(len(jobs)))]
+    place = offset[of] + (closed - into[of]) * spans[of]
+    step[last] = place - np.where(fresh, offset[of], np.concatenate([[0], place])[:-1]) - ahead
+    after = np.cumsum(step)
+    after += np.repeat(offset - after[begin] + step[begin], count)
+    limit = offset + sizes
+    if (after[final] < limit).any():
         raise ValueError("entropy-coded data end too early")
-    real = before < limit
-    if (got[real] < 0).any():
+    before = after - step
+    real = before < np.repeat(limit, count)
+    if bad and (wrong & real).any():
         raise ValueError("no such Huffman code")
-    coded = np.flatnonzero(real & (extra > 0))
-    place, value, extra = after[coded] - 1, value[coded], extra[coded]
-    if (place // span[coded] != before[coded] // span[coded]).any():
+    real &= extra > 0
+    coded = np.flatnonzero(real)
+    place, extra = after[coded] - 1, extra[coded]
+    value = (bits[coded] >> (64 - extra).view(np.uint64)).view(np.int64)
+    far = coded[step[coded] > 1]
+    block = np.repeat(np.arange(int((sizes // spans).sum())), np.repeat(spans, sizes // spans))
+    if (after[far] > len(block)).any() or (block[after[far] - 1] != block[before[far]]).any():
         raise ValueError("a run beyond its block")
-    offset = np.cumsum(sizes) - sizes
-    flat = np.zeros(int(sizes.sum()), np.int32)
-    flat[place + offset[job[coded]]] = np.where(value >> (extra - 1), value, value - (1 << extra) + 1)
+    flat = np.zeros(len(block), np.int32)
+    flat[place] = value - np.where(value >> (extra - 1), 0, (1 << extra) - 1)
     for j, a, n in zip(jobs, offset.tolist(), sizes.tolist()):
-        j.band[...] = flat[a : a + n].reshape(j.band.shape) * (1 << j.low)
+        j.band[...] = (flat[a : a + n] << j.low).reshape(j.band.shape)
 
 
-def _ac_refine(band: np.ndarray, low: int, data: bytes, table: Huffman) -> None:
-    """Read a refinement of a band: symbols one by one, correction bits at once."""
-    n, span = band.shape
-    flat = band.reshape(-1)
+def _refinements(jobs: list[Pass]) -> None:
+    """Read refinements, of any number of files: symbols one by one, correction bits at once."""
+    flat = np.concatenate([j.band.reshape(-1) for j in jobs])
     known = flat != 0
-    ahead, zeros = np.concatenate([[0], np.cumsum(known)]), np.flatnonzero(~known)
-    most, look = table.short
-    bits, look = Bits(data), look.tolist()
+    missing = np.flatnonzero(~known)
+    zeros, pad = missing.tolist(), b"\xff" * 520
+    raw = b"".join([x for j in jobs for x in (j.data, pad)])
     new, value, start, count = [], [], [], []
-    k = 0
-    while k < n * span:
-        if bits.at > bits.end:
+    base = byte = 0
+    for j in jobs:
+        n, span = j.band.shape
+        # Zeros before each block.
+        before = np.searchsorted(missing, np.arange(base, base + (n + 1) * span, span)).tolist()
+        most, look = j.table.short
+        look, mask, one = look.tolist(), (1 << most) - 1, 1 << j.low
+        at, end = 8 * byte, 8 * (byte + len(j.data) + 512)
+        # A coefficient, the zeros before it, its block and where that ends.
+        k, z, block, edge = base, before[0], 0, base + span
+        while block < n:
+            if at > end:
+                raise ValueError("entropy-coded data end too early")
+            left = 40 - (at & 7)
+            bits = int.from_bytes(raw[at >> 3 : (at >> 3) + 5], "big")
+            got = look[bits >> (left - most) & mask]
+            if got < 0:
+                raise ValueError("no such Huffman code")
+            at += got >> 8
+            left -= got >> 8
+            run, size = got >> 4 & 15, got & 15
+            if not size and run < 15:
+                at += run
+                block = min(block + (1 << run) + (bits >> (left - run) & ((1 << run) - 1)), n)
+                to, passed = base + block * span, before[block]
+                edge = to + span
+            else:
+                passed = z + run
+                to = zeros[passed]
+                if to >= edge:
+                    raise ValueError("a run beyond its block")
+                if size:
+                    at += 1
+                    value.append(one if bits >> (left - 1) & 1 else -one)
+                    new.append(to)
+                to, passed = to + 1, passed + 1
+                if to == edge:
+                    block, edge = block + 1, edge + span
+            start.append(at)
+            count.append(to - k - passed + z)
+            at += count[-1]
+            k, z = to, passed
+        if at > end:
             raise ValueError("entropy-coded data end too early")
-        at = bits.at
-        got = look[bits.bits(most)]
-        if got < 0:
-            raise ValueError("no such Huffman code")
-        bits.at = at + (got >> 8)
-        run, size = got >> 4 & 15, got & 15
-        if not size and run < 15:
-            to = min(k // span + (1 << run) + bits.bits(run), n) * span
-        else:
-            if size:
-                value.append((1 if bits.bit() else -1) * (1 << low))
-            to = int(zeros[k - int(ahead[k]) + run])
-            if to // span != k // span:
-                raise ValueError("a run beyond its block")
-            if size:
-                new.append(to)
-            to += 1
-        start.append(bits.at)
-        count.append(int(ahead[to] - ahead[k]))
-        bits.at += count[-1]
-        k = to
-    if bits.at > bits.end:
-        raise ValueError("entropy-coded data end too early")
-    each = np.array(count, np.int64)
-    at = np.repeat(np.array(start, np.int64) - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    one = np.frombuffer(bits.raw, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-    place = np.flatnonzero(known)
-    flat[place] += np.sign(flat[place]) * (one.astype(np.int32) << low)
+        base, byte = base + n * span, byte + len(j.data) + len(pad)
+    # Other bits and correction bits take turns.
+    turns = np.zeros((len(start), 2), np.int64)
+    turns[:, 1], turns[:, 0] = count, start
+    turns[1:, 0] -= np.add(start, count)[:-1]
+    taken = np.repeat(np.tile([False, True], len(turns)), turns.ravel())
+    grown = np.flatnonzero(known)[np.unpackbits(np.frombuffer(raw, np.uint8), count=len(taken))[taken].view(bool)]
+    sizes = [j.band.size for j in jobs]
+    low, was = np.repeat(np.array([j.low for j in jobs], np.int32), sizes)[grown], flat[grown]
+    flat[grown] = was + np.where(was < 0, -1 << low, 1 << low)
     flat[new] = value
+    for j, a, n in zip(jobs, (np.cumsum(sizes) - sizes).tolist(), sizes):
+        j.band[...] = flat[a : a + n].reshape(j.band.shape)
 
 
 def _band(part: Component, start: int, end: int) -> np.ndarray:
-    """A copy of a component's coefficients in the order of scans of it alone (blocks x coefficients)."""
-    return part.blocks.reshape(part.high, part.wide, 64)[: part.down, : part.across, start : end + 1].reshape(-1, end - start + 1).copy()
+    """A component's coefficients in the order of scans of it alone (blocks x coefficients): a view where no block is left out."""
+    return part.blocks.reshape(part.high, part.wide, 64)[: part.down, : part.across, start : end + 1].reshape(-1, end - start + 1)
 
 
 def _set_band(part: Component, start: int, end: int, band: np.ndarray) -> None:
-    part.blocks.reshape(part.high, part.wide, 64)[: part.down, : part.across, start : end + 1] = band.reshape(part.down, part.across, -1)
+    if not np.may_share_memory(band, part.blocks):
+        part.blocks.reshape(part.high, part.wide, 64)[: part.down, : part.across, start : end + 1] = band.reshape(part.down, part.across, -1)
 
 
 def _scan(parts: list[tuple[Component, Huffman | None, Huffman | None]], across: int, down: int, start: int, end: int, high: int, low: int, interval: int, runs: list[bytes]) -> None:
@@ -330,11 +384,7 @@ def _scan(parts: list[tuple[Component, Huffman | None, Huffman | None]], across:
             per = interval or part.across * part.down
             band = _band(part, start, end)
             for r, raw in enumerate(runs):
-                own = band[r * per : (r + 1) * per]
-                if high:
-                    _ac_refine(own, low, raw, table)
-                else:
-                    _first_passes([First(own, low, raw.replace(b"\xff\x00", b"\xff"), table)])
+                (_refinements if high else _first_passes)([Pass(band[r * per : (r + 1) * per], low, raw.replace(b"\xff\x00", b"\xff"), table)])
             _set_band(part, start, end, band)
         return
     alone = len(parts) == 1
@@ -346,6 +396,8 @@ def _scan(parts: list[tuple[Component, Huffman | None, Huffman | None]], across:
         if not high:
             return
         bits = _fields(runs[0], n, len(each), 0).astype(np.int32)
+        if not bits.any():
+            return
         for at, (p, k) in enumerate(each):
             if alone:
                 p.blocks.reshape(p.high, p.wide, 64)[: p.down, : p.across, 0] |= bits[:, 0].reshape(p.down, p.across) << low
@@ -378,26 +430,37 @@ def decode(data: bytes) -> Image:
 
 
 def decode_many(files: list[bytes]) -> list[Image]:
-    """``decode`` of each file; the first AC passes of all files without restarts are read together."""
+    """``decode`` of each file; first AC passes of all files without restarts are read together, and so are their refinements."""
     parsed = [_parsed(data) for data in files]
-    first = []
-    for _, scans in parsed:
-        # The first passes of a file's bands don't depend on each other.
-        for parts, _, _, start, end, high, low, _, runs in scans:
-            if start and not high and len(runs) == 1 and not parts[0][2].only:
-                part, _, table = parts[0]
-                first.append((part, start, end, First(_band(part, start, end), low, runs[0].replace(b"\xff\x00", b"\xff"), table)))
-    if first:
-        _first_passes([f[3] for f in first])
-    for part, start, end, job in first:
-        _set_band(part, start, end, job.band)
+    # The first passes of a file's bands don't depend on each other; its other scans are read in order.
+    first, later = [], []
     for _, scans in parsed:
+        later.append([])
         for scan in scans:
-            if not (scan[3] and not scan[5] and len(scan[8]) == 1 and not scan[0][0][2].only):
+            (first if _together(scan) and not scan[5] else later[-1]).append(scan)
+    _read_together(first, _first_passes)
+    for turn in itertools.zip_longest(*later):
+        some = [scan for scan in turn if scan]
+        _read_together([scan for scan in some if _together(scan)], _refinements)
+        for scan in some:
+            if not _together(scan):
                 _scan(*scan)
     return [image for image, _ in parsed]
 
 
+def _together(scan: tuple) -> bool:
+    """Whether a scan is an AC scan of one run, with more than one code."""
+    return scan[3] and len(scan[8]) == 1 and not scan[0][0][2].only
+
+
+def _read_together(scans: list[tuple], read: Callable[[list[Pass]], None]) -> None:
+    jobs = [Pass(_band(parts[0][0], start, end), low, runs[0].replace(b"\xff\x00", b"\xff"), parts[0][2]) for parts, _, _, start, end, _, low, _, runs in scans]
+    if jobs:
+        read(jobs)
+    for (parts, _, _, start, end, *_), job in zip(scans, jobs):
+        _set_band(parts[0][0], start, end, job.band)
+
+
 def _parsed(data: bytes) -> tuple[Image, list[tuple]]:
     """A file's frame and tables, and what ``_scan`` takes for each of its scans."""
     if data[:2] != b"\xff\xd8":
@@ -461,26 +524,31 @@ def _parsed(data: bytes) -> tuple[Image, list[tuple]]:
 
 def samples(image: Image, part: Component) -> np.ndarray:
     """A component's samples, inverse-transformed, as 8-bit rows of whole blocks."""
-    freq = np.zeros((len(part.blocks), 64))
-    freq[:, ZIGZAG] = part.blocks * image.tables[part.table]
-    freq = freq.reshape(-1, 8, 8)
-    rows = (freq.reshape(-1, 8) @ BASIS.T).reshape(-1, 8, 8)
-    out = BASIS @ rows
-    out = np.clip(np.floor(out / (SCALE * SCALE) + 128.5), 0, 255).astype(np.uint8)
-    return out.reshape(part.high, part.wide, 8, 8).transpose(0, 2, 1, 3).reshape(part.high * 8, part.wide * 8)
+    out = (part.blocks * image.tables[part.table]).astype(np.float64) @ INVERSE
+    out += 128.5
+    rows = np.clip(out, 0, 255, out=out).astype(np.uint8).view(np.uint64)  # a block's rows, eight samples each
+    return rows.reshape(part.high, part.wide, 8).transpose(0, 2, 1).copy().view(np.uint8).reshape(part.high * 8, part.wide * 8)
 
 
 def to_rgb(image: Image) -> np.ndarray:
     """Full-resolution RGB, height x width x 3, uint8; one component gives grey."""
     most_h, most_v = max(p.h for p in image.components), max(p.v for p in image.components)
-    planes = [samples(image, p).repeat(most_v // p.v, 0).repeat(most_h // p.h, 1)[: image.height, : image.width] for p in image.components]
+    full = lambda x, p: x.repeat(most_h // p.h, 1).repeat(most_v // p.v, 0)[: image.height, : image.width]
+    planes = [samples(image, p) for p in image.components[:3]]
     if len(planes) == 1:
-        return np.repeat(planes[0][..., None], 3, axis=2)
-    y, cb, cr = (p.astype(np.int32) for p in planes[:3])
-    y, cb, cr = (y << 16) + 32768, cb - 128, cr - 128
+        return np.repeat(full(planes[0], image.components[0])[..., None], 3, axis=2)
+    first, blue, red = image.components[:3]
+    y, cb, cr = (p.astype(np.int32) for p in planes)
+    y = full(y.astype(np.int16), first)
+    if (blue.h, blue.v) != (red.h, red.v):
+        cb, cr, blue, red = full(cb, blue), full(cr, red), None, None
+    cb, cr = cb - 128, cr - 128
     rgb = np.empty((image.height, image.width, 3), np.uint8)
-    for k, value in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
-        rgb[..., k] = np.clip(value >> 16, 0, 255)
+    # What the chroma adds to whole numbers of y is rounded before it is spread.
+    for k, value in enumerate((91881 * cr, -22554 * cb - 46802 * cr, 116130 * cb)):
+        value = (value + 32768 >> 16).astype(np.int16)
+        value = y + (full(value, red) if red else value)
+        rgb[..., k] = np.clip(value, 0, 255, out=value)
     return rgb
 
 
@@ -499,14 +567,17 @@ def huffman(times: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     used = np.flatnonzero(times).tolist()
     weight = {k: int(times[k]) for k in used}
     while True:
-        length = dict.fromkeys([*used, 256], 0)
-        heap = [(0, 256, [256]), *((weight[k], k, [k]) for k in used)]
+        heap = [(0, 256, 256), *((weight[k], k, k) for k in used)]
         heapq.heapify(heap)
+        above, node = {}, 256
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for k in a[2] + b[2]:
-                length[k] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+            a, node = heapq.heappop(heap), node + 1
+            b = heap[0]
+            above[a[2]] = above[b[2]] = node
+            heapq.heapreplace(heap, (a[0] + b[0], a[1] if a[1] < b[1] else b[1], node))
+        length = {node: 0}
+        for k in reversed(above):
+            length[k] = length[above[k]] + 1
         if max(length.values()) <= 16:
             break
         weight = {k: (w + 1) // 2 for k, w in weight.items()}
@@ -531,33 +602,33 @@ class Tokens:
     follows: np.ndarray
 
 
-def _tokens(passes: list[tuple[np.ndarray, bool, int]]) -> Tokens:
-    """The symbols of passes (band of blocks x coefficients, whether it is a refinement, low bit)."""
-    count, spans = np.array([b.shape[0] for b, _, _ in passes]), np.array([b.shape[1] for b, _, _ in passes])
+def _tokens(passes: list[tuple[np.ndarray, int]], refine: bool) -> Tokens:
+    """The symbols of first passes or of refinements (band of blocks x coefficients, low bit)."""
+    count, spans = np.array([b.shape[0] for b, _ in passes]), np.array([b.shape[1] for b, _ in passes])
     length = count * spans
-    flat = np.concatenate([b.reshape(-1) for b, _, _ in passes]).astype(np.int64)
-    refine, low = (np.repeat(np.array([p[k] for p in passes]), length) for k in (1, 2))
-    size_of = np.abs(flat) >> low
-    coded, known = np.where(refine, size_of == 1, size_of > 0), refine & (size_of > 1)
+    flat = np.concatenate([b.reshape(-1) for b, _ in passes])
+    size_of = np.abs(flat) >> np.repeat(np.array([low for _, low in passes], flat.dtype), length)
+    zero, coded = size_of == 0, size_of == 1 if refine else size_of > 0
     span = np.repeat(spans, count)
     edge = np.concatenate([[0], np.cumsum(span)])
-    place, block_of = np.flatnonzero(coded), np.repeat(np.arange(len(span)), span)
-    zero = ~coded & ~known
-    zeros, upto = np.flatnonzero(zero), np.cumsum(zero) - zero
-    block = block_of[place]
-    before = edge[block]
-    alike = np.flatnonzero(block[1:] == block[:-1]) + 1
-    before[alike] = place[alike - 1]
-    base = upto[before]
+    upto = np.concatenate([[0], np.cumsum(zero, dtype=np.int32)])
+    place = np.flatnonzero(coded)
+    number = np.add.reduceat(coded, edge[:-1], dtype=np.int64)
+    first, some = np.cumsum(number) - number, np.flatnonzero(number)
+    base = upto[place]
+    base[1:] = base[:-1]
+    base[first[some]] = upto[edge[some]]
     run = upto[place] - base
-    long = run >> 4
-    nth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-    skips = zeros[np.repeat(base, long) + 16 * nth + 15]
-    size = np.frexp(size_of[place].astype(float))[1].astype(np.int64)
-    extra = np.where(flat[place] > 0, size_of[place], (1 << size) - 1 - size_of[place])
+    far = np.flatnonzero(run > 15)
+    times = run[far] >> 4
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    skips = np.flatnonzero(zero)[np.repeat(base[far], times) + 16 * nth + 15] if len(far) else far
+    extra = size_of[place].astype(np.int32)
+    size = SIZE[extra]
+    extra = np.where(flat[place] > 0, extra, (1 << size.astype(np.int32)) - 1 - extra)
     # Ends of bands: a block's, and those of the blocks after it that hold nothing new.
     last = np.full(len(span), -1)
-    last[block] = place - edge[block]
+    last[some] = place[first[some] + number[some] - 1] - edge[some]
     ends = last < span - 1
     begins = ends & ~((last < 0) & np.concatenate([[False], ends[:-1]]))
     begins[np.cumsum(count) - count] |= ends[np.cumsum(count) - count]
@@ -566,34 +637,50 @@ def _tokens(passes: list[tuple[np.ndarray, bool, int]]) -> Tokens:
     begin = np.flatnonzero(begins)
     times = np.add.reduceat(ends.astype(np.int64), begin) if len(begin) else begin
     grade = np.frexp(times.astype(float))[1].astype(np.int64) - 1
-    until = np.concatenate([place, skips, edge[begin + times] - 1])
-    by = np.argsort(until)
-    none, until = np.zeros(len(skips), np.int64), until[by]
-    symbol = np.concatenate([(run & 15) << 4 | size, none + 0xF0, grade << 4])[by]
-    more = np.concatenate([extra, none, times - (1 << grade)])[by]
-    width = np.concatenate([size, none, grade])[by]
-    fix = np.flatnonzero(known)
-    return Tokens(symbol, more, width, np.searchsorted(np.cumsum(length), until, "right"), size_of[fix] & 1, np.searchsorted(until, fix))
+    # Symbols are in the order of the last coefficient that each passes; no two have the same.
+    until = edge[begin + times] - 1
+    closes = coded
+    closes[skips] = closes[until] = True
+    rank = np.cumsum(closes, dtype=np.int32)
+    n = int(rank[-1])
+    symbol, more, width = np.empty(n, np.uint8), np.zeros(n, np.int32), np.zeros(n, np.uint8)
+    to = rank[place] - 1
+    symbol[to], more[to], width[to] = run << 4 & 0xF0 | size, extra, size
+    symbol[rank[skips] - 1] = 0xF0
+    to = rank[until] - 1
+    symbol[to], more[to], width[to] = grade << 4, times - (1 << grade), grade
+    fix = np.flatnonzero(size_of > 1) if refine else far[:0]
+    job = np.repeat(np.arange(len(passes)), np.diff(rank[np.cumsum(length) - 1], prepend=0))
+    return Tokens(symbol, more, width, job, size_of[fix] & 1, rank[fix] - closes[fix])
 
 
 def _coded(t: Tokens, code: np.ndarray, length: np.ndarray, passes: int) -> list[bytes]:
     """The entropy-coded bytes of each pass, from the code of each symbol."""
     n, of = len(t.symbol), t.job[t.follows]
     fixes, symbols = np.bincount(of, minlength=passes), np.bincount(t.job, minlength=passes)
-    pad = -(np.bincount(t.job, weights=length + t.width, minlength=passes).astype(np.int64) + fixes) % 8
-    value, size = np.zeros(n + len(of) + passes, np.int64), np.ones(n + len(of) + passes, np.int64)
-    at = np.arange(n) + np.searchsorted(t.follows, np.arange(n)) + t.job
-    value[at], size[at] = code << t.width | t.more, length + t.width
-    value[t.follows + 1 + np.arange(len(of)) + of] = t.fix
+    length = length + t.width
+    pad = -(np.bincount(t.job, weights=length, minlength=passes).astype(np.int64) + fixes) % 8
+    value, size = np.zeros(n + len(of) + passes, np.uint64), np.ones(n + len(of) + passes, np.int64)
+    at = np.arange(n) + t.job
+    if len(of):
+        each = np.bincount(t.follows, minlength=n)
+        at += np.cumsum(each) - each
+        value[t.follows + 1 + np.arange(len(of)) + of] = t.fix
+    value[at], size[at] = code << t.width | t.more, length
     end = np.cumsum(symbols + fixes + 1) - 1
     value[end], size[end] = (1 << pad) - 1, pad
-    bits = []
-    for a in range(0, len(value), CHUNK):
-        v, w = value[a : a + CHUNK], size[a : a + CHUNK]
-        left = np.repeat(np.cumsum(w), w) - 1 - np.arange(int(w.sum()))
-        bits.append((np.repeat(v, w) >> left & 1).astype(np.uint8))
-    data = np.packbits(np.concatenate(bits)).tobytes()
-    to = (np.cumsum(size)[end] // 8).tolist()
+    # Numbers of bits are put together in words of 64; what doesn't fit in one goes on in the next.
+    upto = np.cumsum(size)
+    word, left = (upto - size) >> 6, 64 - size - ((upto - size) & 63)
+    over = np.flatnonzero(left < 0)
+    high = value << np.maximum(left, 0).view(np.uint64)
+    high[over] = value[over] >> (-left[over]).view(np.uint64)
+    begin = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    words = np.zeros(int(word[-1]) + 2, np.uint64)
+    words[word[begin]] = np.bitwise_or.reduceat(high, begin)
+    words[word[over] + 1] |= value[over] << (64 + left[over]).view(np.uint64)
+    data = words.astype(">u8").tobytes()
+    to = (upto[end] // 8).tolist()
     return [data[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip([0, *to], to)]
 
 
@@ -606,23 +693,26 @@ def encode_many(images: list[tuple[list[np.ndarray], int, int, bytes]], sampling
     without their last bit, and one refinement that brings it; of each other one band.
     A file's first passes share one optimal Huffman table, the refinement has its own.
     """
-    passes = [(0, 1, split, 0, 1), (0, split + 1, 63, 0, 1), *((k, 1, 63, 0, 0) for k in range(1, len(sampling))), (0, 1, 63, 1, 0)]
-    t = _tokens([(planes[k].reshape(-1, 64)[:, a : b + 1], bool(high), low) for planes, *_ in images for k, a, b, high, low in passes])
-    which = t.job // len(passes) * 2 + (t.job % len(passes) == len(passes) - 1)
-    tables = [huffman(x) for x in np.bincount(which << 8 | t.symbol, minlength=512 * len(images)).reshape(-1, 256)]
-    code, length = (np.stack([x[k] for x in tables])[which, t.symbol] for k in (1, 2))
-    coded = iter(_coded(t, code, length, len(passes) * len(images)))
+    firsts, refinements = [(0, 1, split, 0, 1), (0, split + 1, 63, 0, 1), *((k, 1, 63, 0, 0) for k in range(1, len(sampling)))], [(0, 1, 63, 1, 0)]
+    tables, coded = [], []
+    for passes in (firsts, refinements):
+        n = len(passes) * len(images)
+        t = _tokens([(planes[k].reshape(-1, 64)[:, a : b + 1], low) for planes, *_ in images for k, a, b, _, low in passes], passes is refinements)
+        which = t.job // len(passes) << 8 | t.symbol
+        tables.append([huffman(x) for x in np.bincount(which, minlength=256 * len(images)).reshape(-1, 256)])
+        code, length = (np.concatenate([x[k] for x in tables[-1]])[which] for k in (1, 2))
+        coded.append(iter(_coded(t, code, length, n)))
     dc = bytes([1] + [0] * 15) + b"\0"
     files = []
     for f, (planes, width, height, comment) in enumerate(images):
         out = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, b"\0" + b"\1" * 64)]
         frame = struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling))
-        out += [_segment(0xC2, frame), _segment(0xC4, b"\x00" + dc + b"\x10" + tables[2 * f][0] + b"\x11" + tables[2 * f + 1][0])]
+        out += [_segment(0xC2, frame), _segment(0xC4, b"\x00" + dc + b"\x10" + tables[0][f][0] + b"\x11" + tables[1][f][0])]
         scan = lambda keys, table, a, b, approx, data: out.extend([_segment(0xDA, bytes([len(keys), *(x for k in keys for x in (k + 1, table)), a, b, approx])), data])  # noqa: B023,E731
         zeros = _entropy(np.zeros(sum(p.shape[0] * p.shape[1] for p in planes), np.uint8))
         scan(range(len(planes)), 0, 0, 0, 0x01, zeros)
         scan(range(len(planes)), 0, 0, 0, 0x10, zeros)
-        for k, a, b, high, low in passes:
-            scan([k], high, a, b, high << 4 | low, next(coded))
+        for k, a, b, high, low in firsts + refinements:
+            scan([k], high, a, b, high << 4 | low, next(coded[high]))
         files.append(b"".join([*out, b"\xff\xd9"]))
     return files

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from talweg.llm import common, jpeg, tokens
 
 #: Bytes of texts or files that are coded together (one at least): few enough for the arrays to stay in a processor's cache.
-TOGETHER = 1 << 14
+TOGETHER = 1 << 15
 #: Payloads are filled up with bytes 255 to a multiple of this.
 UNIT = 576
 #: MCUs in a row of the image, where it has enough; coefficients a block that carry a byte.
@@ -82,7 +82,7 @@ def unpack(image: jpeg.Image) -> bytes:
 def feature(rgb: np.ndarray) -> str:
     """Height, width, each channel's mean in thousandths, and the share of clipped samples in thousandths, all whole numbers."""
     n = rgb.shape[0] * rgb.shape[1]
-    means = [int(x) * 1000 // n for x in rgb.reshape(-1, 3).sum(0, dtype=np.int64)]
+    means = [int(x) * 1000 // n for x in rgb.reshape(rgb.shape[0], -1).sum(0, dtype=np.uint32).reshape(-1, 3).sum(0, dtype=np.int64)]
     clipped = int(np.count_nonzero(rgb == 0) + np.count_nonzero(rgb == 255)) * 1000 // (3 * n)
     return f"{rgb.shape[0]}x{rgb.shape[1]}:{','.join(map(str, means))}:{clipped}"
 

@@ -256,3 +256,52 @@ def test_any_coefficients_come_back_one_file_or_many():
             nxt = len(file) - 2 if nxt < 0 else nxt
             with pytest.raises((ValueError, IndexError)):
                 jpeg.decode(file[: scan + 10] + file[nxt:])
+
+
+def test_scans_of_many_files_are_read_together_as_one_by_one(monkeypatch):
+    rng, sampling, files = np.random.default_rng(8), [(2, 2), (1, 1), (1, 1)], []
+    for across, down, restart, dense in ((3, 2, 0, 0.25), (1, 1, 0, 0.02), (2, 2, 3, 0.25), (2, 1, 0, 0.7)):
+        coefs = []
+        for h, v in sampling:
+            c = rng.integers(-40, 41, (down * v, across * h, 64)) * (rng.random((down * v, across * h, 64)) < dense)
+            c[..., 0] = rng.integers(-200, 200, c.shape[:2])
+            coefs.append(c)
+        files += [general_file(coefs, 16 * across, 16 * down, sampling, across, down, restart), M.pack(M.payload(rng.integers(0, 256, 900 * across).astype(np.uint8).tobytes()))]
+    alone = [jpeg.decode(file) for file in files]
+    calls, read = [], jpeg._refinements
+    monkeypatch.setattr(jpeg, "_refinements", lambda jobs: (calls.append(len(jobs)), read(jobs)))
+    for a, b in zip(alone, jpeg.decode_many(files)):
+        assert all((x.blocks == y.blocks).all() for x, y in zip(a.components, b.components))
+    # Six refinements of each general file without restarts, one of each stored file: a file's own follow each other, those of different files don't.
+    several = [n for n in calls if n > 1]
+    assert sum(calls) - calls.count(1) >= 18 and len(several) <= 7
+
+
+@pytest.mark.parametrize("sampling", [[(2, 2), (1, 1), (1, 1)], [(2, 2), (2, 1), (1, 2)], [(1, 1), (1, 1), (1, 1)], [(1, 1)]])
+def test_rgb_is_the_defining_sums_rounded_once(sampling):
+    rng, parts = np.random.default_rng(2), []
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    for k, (h, v) in enumerate(sampling):
+        blocks = rng.integers(-300, 301, (6 * h * v, 64)).astype(np.int32)
+        blocks[:, 12:] = 0
+        parts.append(jpeg.Component(k + 1, h, v, 0, 3 * h, 2 * v, 3 * h, 2 * v, blocks))
+    image = jpeg.Image(24 * most_h - 3, 16 * most_v - 5, parts, {0: np.arange(1, 65)})
+    planes = []
+    for p in parts:
+        freq = np.zeros((len(p.blocks), 64), object)
+        freq[:, jpeg.ZIGZAG] = p.blocks * np.arange(1, 65)
+        basis = jpeg.BASIS.astype(int).astype(object)
+        out = np.array([(basis @ f.reshape(8, 8) @ basis.T + (jpeg.SCALE**2 * 257) // 2) // jpeg.SCALE**2 for f in freq]).astype(int)
+        assert ((jpeg.samples(image, p) == 255).any() and (jpeg.samples(image, p) == 0).any())
+        whole = np.clip(out, 0, 255).reshape(p.high, p.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * p.high, 8 * p.wide)
+        assert (jpeg.samples(image, p) == whole).all()
+        planes.append(whole.repeat(most_v // p.v, 0).repeat(most_h // p.h, 1)[: image.height, : image.width])
+    rgb = jpeg.to_rgb(image)
+    if len(planes) == 1:
+        assert (rgb == planes[0][..., None]).all()
+        return
+    y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
+    want = np.stack([y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb], 2) + 32768 >> 16
+    assert (rgb == np.clip(want, 0, 255)).all()
+    n = image.height * image.width
+    assert M.feature(rgb).split(":")[1] == ",".join(str(int(rgb[..., k].sum(dtype=int)) * 1000 // n) for k in range(3))

@@ -291,10 +291,10 @@ def _first_passes(jobs: list[Pass]) -> None:
     place, extra = after[coded] - 1, extra[coded]
     value = (bits[coded] >> (64 - extra).view(np.uint64)).view(np.int64)
     far = coded[step[coded] > 1]
-    block = np.repeat(np.arange(int((sizes // spans).sum())), np.repeat(spans, sizes // spans))
-    if (after[far] > len(block)).any() or (block[after[far] - 1] != block[before[far]]).any():
+    of = np.searchsorted(final, far)
+    if ((after[far] - 1 - offset[of]) // spans[of] != (before[far] - offset[of]) // spans[of]).any():
         raise ValueError("a run beyond its block")
-    flat = np.zeros(len(block), np.int32)
+    flat = np.zeros(int(sizes.sum()), np.int32)
     flat[place] = value - np.where(value >> (extra - 1), 0, (1 << extra) - 1)
     for j, a, n in zip(jobs, offset.tolist(), sizes.tolist()):
         j.band[...] = (flat[a : a + n] << j.low).reshape(j.band.shape)

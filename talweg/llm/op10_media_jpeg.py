@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from talweg.llm import common, jpeg, tokens
 
-#: Bytes of texts or files that are coded together (one at least): few enough for the arrays to stay in a processor's cache.
-TOGETHER = 1 << 15
+#: Bytes of texts that are coded and of files that are read together (one at least): few enough for the arrays to stay in a processor's cache.
+TOGETHER, FILES = 1 << 15, 1 << 14
 #: Payloads are filled up with bytes 255 to a multiple of this.
 UNIT = 576
 #: MCUs in a row of the image, where it has enough; coefficients a block that carry a byte.
@@ -113,7 +113,7 @@ def digest(media: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.slices(batch.column(2), TOGETHER):
+            for a, b in tokens.slices(batch.column(2), FILES):
                 rows = []
                 files = batch.column(2).slice(a, b - a).to_pylist()
                 for name, size, file, image in zip(names[a:b], sizes[a:b], files, jpeg.decode_many(files)):

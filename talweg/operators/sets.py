@@ -50,12 +50,24 @@ def merged_duplicates(df: DataFrame, key: Column, order: str, observed: str, fla
     ).select("merge_key", "first.*", observed, *flags, *sums)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, behind as many underscores as no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ranked_first(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group with their ``rank``. Each of ``SHARES`` parts of a group is cut first, so no task sorts a group."""
+    """The first n rows of each group with their ``rank``. Each of ``SHARES`` parts of a group is cut first, so no task sorts a group.
+
+    ``order`` may name any column of ``df``; the columns made on the way have names that it doesn't use.
+    """
+    share, place = unused(df, "__share"), unused(df, "__rank")
     rows = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    dealt = df.withColumn("__share", F.pmod(F.xxhash64(F.spark_partition_id(), *rows), F.lit(SHARES)))
+    dealt = df.withColumn(share, F.pmod(F.xxhash64(F.spark_partition_id(), *rows), F.lit(SHARES)))
     first = lambda rows, name, *by: rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
-    return first(first(dealt, "__rank", group, "__share").drop("__share", "__rank"), "rank", group)
+    return first(first(dealt, place, group, share).drop(share, place), "rank", group)
 
 
 def limited(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
@@ -79,7 +91,7 @@ def quotas(counts: dict[str, int], shares: dict[str, float], cap: int) -> dict[s
 def quota_top(df: DataFrame, group: str, order: list[Column], shares: dict[str, float], cap: int) -> DataFrame:
     """At most ``cap`` rows by quota. Group sizes (one number a share) are all that the driver sees."""
     counts = {r[0]: r[1] for r in df.where(F.col(group).isin(list(shares))).groupBy(group).count().collect()}
-    take = quotas(counts, shares, cap)
+    take = dict.fromkeys(shares, 0) | quotas(counts, shares, cap)
     allowed = F.create_map(*(F.lit(x) for kv in take.items() for x in kv)) if take else F.create_map()
     # No more than ``cap`` rows of a part of a group are ranked together.
     ranked = ranked_first(df.where(F.col(group).isin(list(shares))), group, order, cap)

@@ -47,6 +47,22 @@ def test_limitations_name_what_is_missing(spark):
     assert got == {("evidence_cut", "b"): 1, ("no_evidence", "c"): 0, ("no_district_evidence", "Z"): 0, ("proxy_evidence", ""): 1}
 
 
+FACTS = "evidence_id string, metric_id string, metric_source string, dataset string, geo_level string, district_id int, district_name string, period_type string, period string, youth_eligibility string"
+
+
+def some_facts(spark):
+    rows = [("e1", "b", "X"), ("e2", "a", "Y"), ("e3", "a", "X"), ("e4", "b", "Y"), ("e5", "c", "X"), ("e6", "b", "X")]
+    return spark.createDataFrame([(e, m, "s", "d", "district", None, x, "snapshot", "latest", "proxy" if x == "X" else "eligible") for e, m, x in rows], FACTS)
+
+
+def test_a_context_takes_comparison_facts_first(spark):
+    """Metric a is compared everywhere, a and b are read for X: a fact that both ask for comes once, and the cap cuts b."""
+    facts = some_facts(spark)
+    taken = lambda cap: [r.evidence_id for r in evidence.assembled(facts, ["a"], ["a", "b"], ["X"], {"s": 1.0}, cap).orderBy("evidence_id").collect()]
+    assert (taken(1), taken(2), taken(3), taken(9)) == (["e2"], ["e2", "e3"], ["e1", "e2", "e3"], ["e1", "e2", "e3", "e6"])
+    assert evidence.assembled(facts, ["a"], ["a", "b"], ["X"], {"s": 1.0}, 2).columns == facts.columns
+
+
 def test_keyword_candidates_by_rule(spark):
     rows = [
         ("listed", 1, 1, 1, 0), ("政策詞", 9, 1, 1, 0), ("軟", 9, 5, 5, 5), ("就業", 4, 1, 1, 0), ("就業", 4, 1, 1, 0), ("xx", 9, 5, 5, 5), ("青年就業輔", 6, 1, 1, 1), ("年就業", 6, 1, 1, 1), ("會議紀錄", 9, 3, 3, 3), ("lone", 9, 9, 0, 0),

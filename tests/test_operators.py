@@ -260,6 +260,17 @@ def test_first_rows_of_a_group_come_from_its_parts(spark):
     assert tuple(values) == (1500, 1500, 1500)
 
 
+def test_first_rows_may_be_ordered_by_a_column_named_like_a_helper(spark):
+    df = spark.range(1000).select(F.lit("g").alias("g"), (999 - F.col("id")).alias("__rank"), F.col("id").alias("__SHARE"))
+    quota = sets.quota_top(df, "g", [F.asc("__rank")], {"g": 1.0}, 3)
+    cut = sets.limited(df, "g", [F.asc("__SHARE")], 2)
+    assert quota.columns == ["g", "__rank", "__SHARE", "rank"]
+    assert sorted((r["rank"], r["__rank"], r["__SHARE"]) for r in quota.collect()) == [(1, 0, 999), (2, 1, 998), (3, 2, 997)]
+    assert sorted((r["rank"], r["__rank"], r["__SHARE"], r["group_rows"]) for r in cut.collect()) == [(1, 999, 0, 1000), (2, 998, 1, 1000)]
+    # No rows, no quotas.
+    assert sets.quota_top(df.where("false"), "g", [F.asc("__rank")], {"g": 1.0}, 3).count() == 0
+
+
 def test_a_key_is_resolved_once_for_all_its_requests(spark):
     """Requests and places that share one key aren't paired."""
     requests = spark.range(100_000).select(F.col("id").alias("request"), F.lit(0).alias("tier"), F.lit("k").alias("key"))

@@ -63,6 +63,13 @@ def test_a_context_takes_comparison_facts_first(spark):
     assert evidence.assembled(facts, ["a"], ["a", "b"], ["X"], {"s": 1.0}, 2).columns == facts.columns
 
 
+def test_limitations_of_an_assembled_context(spark):
+    facts = some_facts(spark)
+    context = evidence.assembled(facts, ["a"], ["a", "b"], ["X", "Z"], {"s": 1.0}, 3)
+    got = {(r.code, r.subject): r.n for r in evidence.limitations(facts, context, ["a", "b", "z"], ["X", "Z"]).collect()}
+    assert got == {("evidence_cut", "b"): 2, ("no_evidence", "z"): 0, ("no_district_evidence", "Z"): 0, ("proxy_evidence", ""): 2}
+
+
 def test_keyword_candidates_by_rule(spark):
     rows = [
         ("listed", 1, 1, 1, 0), ("政策詞", 9, 1, 1, 0), ("軟", 9, 5, 5, 5), ("就業", 4, 1, 1, 0), ("就業", 4, 1, 1, 0), ("xx", 9, 5, 5, 5), ("青年就業輔", 6, 1, 1, 1), ("年就業", 6, 1, 1, 1), ("會議紀錄", 9, 3, 3, 3), ("lone", 9, 9, 0, 0),
